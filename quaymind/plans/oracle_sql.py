@@ -10,7 +10,8 @@ from __future__ import annotations
 from quaymind.sources.fixtures import with_views
 
 NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-WS = r"[\s\x1c-\x1f\x85\xa0]"
+WS = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+      r"\x{202f}\x{205f}\x{3000}]")
 
 
 def strip(x: str) -> str:
