@@ -184,13 +184,21 @@ def faq_keywords_sql() -> str:
     return f"SELECT * FROM (VALUES {vals}) AS t(section, ordinal, keyword)"
 
 
+_REGISTERED: dict[int, str] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Register base tables and shared derived views as temp views."""
+    """Register base tables and shared derived views as temp views
+    (once per session and scale directory)."""
+    key = id(spark)
+    if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("route_labels"):
+        return
     for t in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for name, sql in SHARED_VIEWS:
         spark.sql(sql).createOrReplaceTempView(name)
     spark.sql(FAQ_DOCS_SPARK).createOrReplaceTempView("faq_docs")
+    _REGISTERED[key] = sf_dir
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
