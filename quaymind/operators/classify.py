@@ -60,13 +60,21 @@ def _ranked_terms(dictionary: DataFrame) -> list[str]:
 
 
 def detect_location_expr(text, ranked_terms: list[str]) -> Column:
-    """P3 as one CASE chain: first (longest, then earliest) term found on
-    word boundaries in the lowercased text; NULL when none."""
-    msg = F.lower(_c(text))
-    out = F.lit(None).cast("string")
-    for t in reversed(ranked_terms):
-        out = F.when(msg.rlike(location_pattern(t)), F.lit(t)).otherwise(out)
-    return out
+    """P3 as one compiled regex: the first (longest, then earliest) term
+    found on word boundaries in the lowercased text; NULL when none.
+
+    A zero-width lookahead ``(?=(t1|t2|...))`` is tried at every position,
+    so overlapping candidates are all seen; at each position the
+    alternation prefers the longest/earliest term, hence the best term over
+    the whole text is always among the extracted ones.
+    """
+    if not ranked_terms:
+        return F.lit(None).cast("string")
+    alt = "|".join(location_pattern(t) for t in ranked_terms)
+    found = F.regexp_extract_all(F.lower(_c(text)), F.lit("(?=(" + alt + "))"), 1)
+    rank = F.create_map(*[x for i, t in enumerate(ranked_terms) for x in (F.lit(t), F.lit(i))])
+    best = F.array_min(F.transform(found, lambda f: F.struct(F.try_element_at(rank, f).alias("r"), f.alias("t"))))
+    return best["t"]
 
 
 def detect_location(df: DataFrame, text: str, dictionary: DataFrame, out: str = "location_term",
