@@ -124,8 +124,23 @@ JOIN kb k ON k.ordinal = (m.conv_id + m.turn) % 40
 WHERE m.role = 'user'
 """
 
+# next version of the catalog: some prices and handles changed, some rows
+# gone, some new (input for the changed-rows job G6)
+CATALOG_NEXT_SQL = """
+SELECT product_id, variant_id, color, spec, condition,
+       CASE WHEN product_id % 17 = 0 THEN concat(coalesce(price, ''), '9') ELSE price END AS price,
+       CASE WHEN product_id % 23 = 0 THEN concat(handle, '-v2') ELSE handle END AS handle,
+       vendor, product_type, tenure
+FROM catalog WHERE product_id % 29 <> 0
+UNION ALL
+SELECT product_id + 1000000 AS product_id, variant_id + 10000000 AS variant_id, color, spec, condition, price,
+       handle, vendor, product_type, tenure
+FROM catalog WHERE product_id % 31 = 0
+"""
+
 SHARED_VIEWS = [
     ("catalog", CATALOG_SQL),
+    ("catalog_next", CATALOG_NEXT_SQL),
     ("stores", STORES_SQL),
     ("locations", LOCATIONS_SQL),
     ("messages", MESSAGES_SQL),
@@ -210,7 +225,7 @@ def with_views(names: list[str], body: str) -> str:
     """Prefix an oracle query with the shared views it needs as CTEs."""
     order = [n for n, _ in SHARED_VIEWS] + ["faq_docs", "vocab", "faq_keywords"]
     needed = set(names)
-    deps = {"questions": ["messages"], "history": ["messages", "questions"],
+    deps = {"questions": ["messages"], "catalog_next": ["catalog"], "history": ["messages", "questions"],
             "route_labels": ["messages", "kb"]}
     changed = True
     while changed:
