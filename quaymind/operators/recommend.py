@@ -283,10 +283,19 @@ def constrain_model(df: DataFrame, model: str, allowed: DataFrame | None) -> Dat
     None means no list was given and the model is kept.  Left-semi style
     flag via a left join on the (distinct) allowed handles.
     """
-    if allowed is None:
+    if allowed is None or allowed.isEmpty():
         return df
     a = allowed.select(F.col("handle").alias("_allowed")).distinct()
     m = F.col(model)
     out = df.join(a, m == F.col("_allowed"), "left")
     return out.withColumn(model, F.when((F.coalesce(m, F.lit("")) == "") | F.col("_allowed").isNotNull(), m)
                           .otherwise(F.lit(""))).drop("_allowed")
+
+
+def first_per_key(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
+    """The first row per key by ``order`` (one aggregation with
+    ``min_by``; partial aggregation keeps hot keys cheap)."""
+    keys = [key] if isinstance(key, str) else key
+    others = [c for c in df.columns if c not in keys]
+    best = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order]))
+    return df.groupBy(*keys).agg(best.alias("_first")).select(*keys, "_first.*")
