@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymind.session import ship_package
+
 SCORE_DECIMALS = 6
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024   # query block shipped to every task
 CORPUS_BATCH_ROWS = 8192                    # rows per Arrow batch in a task
@@ -167,6 +169,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     """
     key_cols = list(key_cols)
     spark = corpus.sparkSession
+    ship_package(spark)
     schema = f"{query_id} bigint, " + ", ".join(f"{c} bigint" for c in key_cols) + ", score double"
     if k <= 0:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1)).select(
@@ -268,6 +271,7 @@ def encode_texts(df: DataFrame, text_col: str, out_col: str = "embedding",
     Arrow batch is encoded in slices of ``batch_size`` rows.
     """
     factory = encoder_factory or (lambda: hash_encoder(64))
+    ship_package(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1 +1,92 @@
-"""placeholder"""
+"""Model-backed and streaming jobs: V1, V5, U1, T1, T2 (rows-only checks;
+the pytest suite compares them with brute force / the batch operators)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quaymind.operators import classify as C
+from quaymind.operators import project as P
+from quaymind.operators.infer import EchoProvider, generate_replies
+from quaymind.operators.vectors import encode_texts
+from quaymind.plans.q_sources import scratch
+from quaymind.plans.registry import query
+from quaymind.plans.store_build import build_store
+from quaymind.sources.fixtures import VOCABULARIES, register
+from quaymind.sources.tables import read_embedding_store
+from quaymind.streaming import jobs as S
+
+V = VOCABULARIES
+
+
+@query("v1_encode_texts")
+def v1(spark, sf):
+    """V1 catalog sentences encoded to unit vectors (hashing stand-in encoder)."""
+    register(spark, sf)
+    enc = encode_texts(P.describe_rows(spark.table("catalog")), "sentence", batch_size=32)
+    sq = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return enc.select("product_id", F.size("embedding").alias("dims"), F.round(F.sqrt(sq), 6).alias("norm"))
+
+
+@query("v5_build_store")
+def v5(spark, sf):
+    """V5 store build (scan -> sentences -> encode -> fingerprint -> write), read back through A7."""
+    register(spark, sf)
+    path = scratch(spark, sf, "store")
+    build_store(spark.table("catalog"), path, model="hash-64")
+    vec = read_embedding_store(spark, path, "hash-64")
+    return vec.select("product_id", "variant_id", F.size("embedding").alias("dims"), "handle", "price")
+
+
+@query("u1_generate_replies")
+def u1(spark, sf):
+    """U1 batch replies for every user message prompt (retry, default text and error paths)."""
+    register(spark, sf)
+    prompts = spark.table("messages").filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.concat(F.lit("Answer briefly.\n"), F.col("text")).alias("prompt"))
+    return generate_replies(prompts, "prompt", lambda: EchoProvider("primary"), model="primary",
+                            fallback_model="secondary", default_text=None)
+
+
+def _plan_stream_input(spark, sf):
+    from quaymind.plans.q_documents import HANDLES_SQL, PLAN_SQL
+    plan = spark.sql(PLAN_SQL).withColumn("is_refinement", C.is_refinement("text", V["refinement"]))
+    hs = spark.sql(HANDLES_SQL.replace("[", "array(").replace("] END", ") END")).select("conv_id", "turn", "handles")
+    return plan.join(hs, ["conv_id", "turn"]).select("conv_id", "turn", "search_query", "recommended_model",
+                                                     "is_refinement", "handles")
+
+
+@query("t1_stream_route")
+def t1(spark, sf):
+    """T1 user messages streamed from Parquet files through routing + escalation (availableNow)."""
+    from quaymind.plans.q_classify import _ranked
+    from quaymind.plans.q_text import _label_replies_spark
+    register(spark, sf)
+    base = scratch(spark, sf, "t1")
+    src = f"{base}/in"
+    um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    um.repartition(2).write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(um.schema).parquet(src)
+    out = S.stream_route(stream, _label_replies_spark(spark), spark.table("kb"), V, _ranked(spark))
+    sink = f"{base}/out-{_run_id()}"
+    S.run_available_now(out, sink, f"{sink}-ckpt")
+    return spark.read.parquet(sink)
+
+
+@query("t2_stream_carry_query")
+def t2(spark, sf):
+    """T2 carried query/handles per conversation as streaming keyed state (applyInPandasWithState)."""
+    register(spark, sf)
+    base = scratch(spark, sf, "t2")
+    src = f"{base}/in"
+    inp = _plan_stream_input(spark, sf)
+    inp.repartition(1).sortWithinPartitions("conv_id", "turn").write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(inp.schema).parquet(src)
+    sink = f"{base}/out-{_run_id()}"
+    S.run_available_now(S.stream_carry_query(stream), sink, f"{sink}-ckpt")
+    return spark.read.parquet(sink)
+
+
+def _run_id() -> str:
+    import uuid
+    return uuid.uuid4().hex[:12]

@@ -52,6 +52,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         return configured
     local = tempfile.mkdtemp(prefix="quaymind-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # static conf on some deployments; the context setting is enough
+        pass
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the ``quaymind`` package importable in Python workers.
+
+    Clusters normally ship it with ``--py-files``; when that was not done,
+    the package is zipped once into the shared checkpoint folder and added
+    with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    py_files = spark.conf.get("spark.submit.pyFiles", "") or ""
+    if "quaymind" not in py_files:
+        import shutil
+        import uuid
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(checkpoint_dir(spark).replace("file:", ""), f"pyfiles-{uuid.uuid4().hex[:8]}")
+        os.makedirs(base, exist_ok=True)
+        archive = shutil.make_archive(os.path.join(base, "quaymind"), "zip", os.path.dirname(pkg), "quaymind")
+        sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))

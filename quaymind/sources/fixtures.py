@@ -205,6 +205,8 @@ _REGISTERED: dict[int, str] = {}
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Register base tables and shared derived views as temp views
     (once per session and scale directory)."""
+    from quaymind.session import ship_package
+    ship_package(spark)
     key = id(spark)
     if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("route_labels"):
         return
