@@ -26,9 +26,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# every character Python's str.isspace() accepts (str.strip()'s default set)
+PY_WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def py_strip(col) -> Column:
-    """str.strip(): remove leading/trailing whitespace of any kind."""
-    return F.regexp_replace(_c(col), f"^{PY_WS}+|{PY_WS}+$", "")
+    """str.strip(): remove leading/trailing whitespace of any kind
+    (``btrim`` with Python's whitespace set; no regex)."""
+    return F.btrim(_c(col), F.lit(PY_WS_CHARS))
 
 
 def str_or_blank(col) -> Column:

@@ -59,20 +59,51 @@ def _ranked_terms(dictionary: DataFrame) -> list[str]:
     return [r["term"] for r in rows]
 
 
-def detect_location_expr(text, ranked_terms: list[str]) -> Column:
-    """P3 as one compiled regex: the first (longest, then earliest) term
-    found on word boundaries in the lowercased text; NULL when none.
+_WORDLIKE = re.compile(r"^\w+( \w+)*$")
+WORD_RUNS = r"[\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+)*"
+
+
+def _ngrams(seqs: Column, max_n: int) -> Column:
+    """All 1..max_n word n-grams of every single-space-separated word run."""
+    def grams_of(n: int):
+        # bind n outside the lambdas: Spark reads a 2-argument lambda as (x, index)
+        def grams(s):
+            w = F.split(s, " ")
+            m = F.size(w)
+            starts = F.filter(F.sequence(F.lit(1), F.greatest(m - n + 1, F.lit(1))), lambda i: i <= m - n + 1)
+            return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+        return grams
 
-    A zero-width lookahead ``(?=(t1|t2|...))`` is tried at every position,
-    so overlapping candidates are all seen; at each position the
-    alternation prefers the longest/earliest term, hence the best term over
-    the whole text is always among the extracted ones.
+    def all_grams(s):
+        return F.flatten(F.array(*[grams_of(n)(s) for n in range(1, max_n + 1)]))
+    return F.flatten(F.transform(seqs, all_grams))
+
+
+def detect_location_expr(text, ranked_terms: list[str]) -> Column:
+    """P3 as one projection: the first (longest, then earliest) term found
+    on word boundaries in the lowercased text; NULL when none.
+
+    Word-like terms (words joined by single spaces) are found exactly by
+    intersecting the text's word n-grams with the term list (a hash-set
+    intersection).  Other terms use one compiled regex with a zero-width
+    lookahead ``(?=(t1|t2|...))`` tried at every position, so overlapping
+    candidates are all seen.  The best candidate by dictionary rank wins.
     """
     if not ranked_terms:
         return F.lit(None).cast("string")
-    alt = "|".join(location_pattern(t) for t in ranked_terms)
-    found = F.regexp_extract_all(F.lower(_c(text)), F.lit("(?=(" + alt + "))"), 1)
+    msg = F.lower(_c(text))
     rank = F.create_map(*[x for i, t in enumerate(ranked_terms) for x in (F.lit(t), F.lit(i))])
+    wordlike = [t for t in ranked_terms if _WORDLIKE.match(t)]
+    other = [t for t in ranked_terms if not _WORDLIKE.match(t)]
+    cands = []
+    if wordlike:
+        max_n = max(len(t.split(" ")) for t in wordlike)
+        grams = _ngrams(F.regexp_extract_all(msg, F.lit("(" + WORD_RUNS + ")"), 1), max_n)
+        cands.append(F.array_intersect(grams, lit_array(wordlike)))
+    if other:
+        alt = "|".join(location_pattern(t) for t in other)
+        cands.append(F.regexp_extract_all(msg, F.lit("(?=(" + alt + "))"), 1))
+    found = cands[0] if len(cands) == 1 else F.concat(*cands)
     best = F.array_min(F.transform(found, lambda f: F.struct(F.try_element_at(rank, f).alias("r"), f.alias("t"))))
     return best["t"]
 

@@ -34,23 +34,26 @@ def lookup_records(keys: DataFrame, catalog: DataFrame) -> DataFrame:
     return catalog.join(keys.select(*KEYS).dropDuplicates(KEYS), KEYS, "inner")
 
 
-def attach_records(hits: DataFrame, records: DataFrame) -> DataFrame:
+def attach_records(hits: DataFrame, records: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Left lookup of record fields for each hit; hits whose record is
     missing or has a blank handle are dropped (so Catalyst may plan it as
-    an inner join)."""
-    fields = [c for c in RECORD_FIELDS if c in records.columns]
-    rec = records.select(*KEYS, *fields)
+    an inner join).  The handle is cleaned on the record side, before the
+    join, so the work scales with the catalog, not with the hits."""
+    fields = [c for c in RECORD_FIELDS if c in records.columns] + list(extra or [])
+    rec = records.select(*KEYS, *fields).withColumn("handle", str_or_blank("handle"))
     out = hits.join(rec, KEYS, "left")
-    return out.withColumn("handle", str_or_blank("handle")).filter(F.col("handle") != "")
+    return out.filter(F.col("handle").isNotNull() & (F.col("handle") != ""))
 
 
-def price_filter(df: DataFrame, price: Column | str = "price", price_min=None, price_max=None) -> DataFrame:
+def price_filter(df: DataFrame, price: Column | str = "price", price_min=None, price_max=None,
+                 parsed: bool = False) -> DataFrame:
     """Keep a row when its price does not parse, or min <= p < max.
 
     ``price_min`` / ``price_max`` are column names, Columns or literals;
-    NULL bounds are open.  The max bound is exclusive.
+    NULL bounds are open.  The max bound is exclusive.  ``parsed=True``
+    means ``price`` already holds the C5-parsed number.
     """
-    p = parse_price(price)
+    p = _c(price) if parsed else parse_price(price)
     lo = F.lit(None).cast("double") if price_min is None else (
         _c(price_min) if isinstance(price_min, (str, Column)) else F.lit(float(price_min)))
     hi = F.lit(None).cast("double") if price_max is None else (
@@ -116,13 +119,12 @@ def diverse_models(hits: DataFrame, records: DataFrame, k: int = 3, *,
     first-seen order.  Preferred handles (array column ``preferred``) come
     first, then first-seen order; ``position`` numbers the kept models.
     """
-    rows = attach_records(hits, records)
-    rows = price_filter(rows, "price", price_min, price_max)
-    p = parse_price("price")
+    rows = attach_records(hits, records.withColumn("_p", parse_price("price")), extra=["_p"])
+    rows = price_filter(rows, "_p", price_min, price_max, parsed=True)
     inf = F.lit(float("inf"))
     pref = (F.coalesce(F.array_contains(F.col(preferred), F.col("handle")), F.lit(False))
             if preferred else F.lit(False))
-    rows = rows.withColumn("_p", p).withColumn("_pref", pref)
+    rows = rows.withColumn("_pref", pref)
     best = F.min_by(
         F.struct(*[F.col(c) for c in KEYS], "color", "spec", "condition", "tenure", "price",
                  F.col("score").alias("score")),
