@@ -112,22 +112,29 @@ def detect_location(df: DataFrame, text: str, dictionary: DataFrame, out: str =
                     id_cols: list[str] | None = None) -> DataFrame:
     """P3 over a message table.
 
-    Small dictionaries become a literal CASE chain (no join).  Larger ones
-    are joined: the dictionary is broadcast when its size allows and each
-    message keeps min_by(term, (-length, ordinal)) among the terms found.
+    Small dictionaries become literal expressions (no join).  Large ones
+    are matched by joining the messages' word n-grams with the dictionary
+    terms on equality (a hash join the planner sizes itself), keeping
+    min_by(term, (-length, ordinal)) per message.  Large dictionaries must
+    be word-like (words joined by single spaces); other terms are limited
+    to the literal path.
     """
     ranked = _ranked_terms(dictionary)
     if ranked is not None:
         return df.withColumn(out, detect_location_expr(text, ranked))
-    # join path: word-like terms only need the plain boundary lookarounds
     id_cols = id_cols or [c for c in df.columns if c != text]
-    escaped = F.regexp_replace(F.col("term"), r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    d = (dictionary.groupBy("term").agg(F.min("ordinal").alias("_ord"))
-         .withColumn("_pat", F.concat(F.lit(WB_L), escaped, F.lit(WB_R))))
-    msg = df.withColumn("_msg", F.lower(F.col(text)))
-    hits = msg.join(F.broadcast(d), F.expr("_msg RLIKE _pat"), "left")
+    d = dictionary.groupBy("term").agg(F.min("ordinal").alias("_ord"))
+    if d.filter(~F.col("term").rlike("^[\\p{L}\\p{N}_]+( [\\p{L}\\p{N}_]+)*$")).limit(1).count():
+        raise ValueError("large dictionaries must hold word-like terms only")
+    max_n = d.agg(F.max(F.size(F.split("term", " ")))).head()[0] or 1
+    keyed = df
+    msg = F.lower(F.col(text))
+    grams = _ngrams(F.regexp_extract_all(msg, F.lit("(" + WORD_RUNS + ")"), 1), int(max_n))
+    exploded = keyed.select(*id_cols, text, F.explode_outer(F.array_distinct(grams)).alias("term"))
+    hits = exploded.join(d, "term", "left")
     return hits.groupBy(*id_cols, text).agg(
-        F.min_by("term", F.struct(-F.length("term"), F.col("_ord"))).alias(out))
+        F.min_by(F.when(F.col("_ord").isNotNull(), F.col("term")), F.struct(
+            F.when(F.col("_ord").isNull(), F.lit(1)).otherwise(F.lit(0)), -F.length("term"), F.col("_ord"))).alias(out))
 
 
 def is_location_query(text, strong: list[str], weak: list[str], ranked_terms: list[str]) -> Column:

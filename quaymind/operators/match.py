@@ -18,6 +18,7 @@ from quaymind.functions.vocab import lit_array
 from quaymind.operators import classify as C
 
 PRODUCT_LABEL = "PRODUCT_ENQUIRE"
+BROADCAST_ROWS = 1_000_000  # rows of a dimension table shipped to every task
 
 
 def _c(c) -> Column:
@@ -56,7 +57,14 @@ def term_stores(terms: DataFrame, dictionary: DataFrame, stores: DataFrame) -> D
     st = stores.withColumn("_loc", F.lower(F.coalesce("location", F.lit("")))) \
         .withColumn("_name", F.lower(F.coalesce("name", F.lit(""))))
     cond = (F.instr(F.col("_loc"), F.col("_n")) > 0) | (F.instr(F.col("_name"), F.col("_n")) > 0)
-    pairs = needles.join(F.broadcast(st), cond, "inner")
+    # substring match is a theta join: broadcast the side whose size is checked
+    # small (the store list, else the needle list) and stream the other
+    if stores.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        pairs = needles.join(F.broadcast(st), cond, "inner")
+    elif needles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(needles).join(st, cond, "inner")
+    else:
+        raise ValueError("store list and location dictionary are both too large for a substring join")
     return pairs.select("term", *stores.columns).dropDuplicates(["term", "id"])
 
 
@@ -113,7 +121,10 @@ def faq_section(messages: DataFrame, keyword_map: DataFrame, sections: DataFrame
     is applied as literal expressions (no join); sections join on
     (document, section name).
     """
-    rows = keyword_map.orderBy("ordinal", "keyword").collect()
+    from quaymind.functions.vocab import LITERAL_TERMS_LIMIT
+    rows = keyword_map.orderBy("ordinal", "keyword").limit(LITERAL_TERMS_LIMIT + 1).collect()
+    if len(rows) > LITERAL_TERMS_LIMIT:
+        raise ValueError(f"FAQ keyword map exceeds {LITERAL_TERMS_LIMIT} phrases")
     order: list[str] = []
     kw: dict[str, list[str]] = {}
     for r in rows:

@@ -58,3 +58,16 @@ def test_faq_and_refinement(spark):
     ref = [r[0] for r in df.select(C.is_refinement("t", ["rm", "under"])).collect()]
     # 'warm' contains 'rm'; 'a' has no 2+ char token
     assert ref == [True, True, True, True, True, False]
+
+
+def test_detect_location_join_path_matches_literal(spark, monkeypatch):
+    from quaymind.operators import classify as CL
+    texts = ["Shop near NATION_10 please", "nation_1, nation_10", "middle  east", "Middle East!", "x", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, t string")
+    terms = ["middle east", "nation_1", "nation_10", "east", "asia"]
+    d = spark.createDataFrame([(t, i + 1) for i, t in enumerate(terms)], "term string, ordinal bigint")
+    lit = {r["id"]: r["loc"] for r in CL.detect_location(df, "t", d, out="loc").collect()}
+    monkeypatch.setattr(CL, "_ranked_terms", lambda dictionary: None)
+    joined = {r["id"]: r["loc"] for r in CL.detect_location(df, "t", d, out="loc").collect()}
+    assert lit == joined
+    assert lit[0] == "nation_10" and lit[2] == "east" and lit[3] == "middle east" and lit[4] is None
