@@ -63,19 +63,31 @@ _WORDLIKE = re.compile(r"^\w+( \w+)*$")
 WORD_RUNS = r"[\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+)*"
 
 
-def _ngrams(seqs: Column, max_n: int) -> Column:
-    """All 1..max_n word n-grams of every single-space-separated word run."""
+def _ngrams(seqs: Column, max_n: int, firsts: dict[int, list[str]] | None = None) -> Column:
+    """Word n-grams (n = 1..max_n) of every single-space-separated word run.
+
+    With ``firsts`` (n -> first words of the n-word terms) an n-gram is only
+    built where its first word can start a term; single words are the words
+    themselves.  Without it every n-gram is built (join path).
+    """
     def grams_of(n: int):
         # bind n outside the lambdas: Spark reads a 2-argument lambda as (x, index)
         def grams(s):
             w = F.split(s, " ")
+            if n == 1:
+                return w
             m = F.size(w)
             starts = F.filter(F.sequence(F.lit(1), F.greatest(m - n + 1, F.lit(1))), lambda i: i <= m - n + 1)
+            if firsts is not None:
+                fw = lit_array(firsts.get(n, []))
+                starts = F.filter(starts, lambda i: F.array_contains(fw, F.element_at(w, i)))
             return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
         return grams
 
+    ns = [n for n in range(1, max_n + 1) if firsts is None or n == 1 or firsts.get(n)]
+
     def all_grams(s):
-        return F.flatten(F.array(*[grams_of(n)(s) for n in range(1, max_n + 1)]))
+        return F.flatten(F.array(*[grams_of(n)(s) for n in ns]))
     return F.flatten(F.transform(seqs, all_grams))
 
 
@@ -98,7 +110,12 @@ def detect_location_expr(text, ranked_terms: list[str]) -> Column:
     cands = []
     if wordlike:
         max_n = max(len(t.split(" ")) for t in wordlike)
-        grams = _ngrams(F.regexp_extract_all(msg, F.lit("(" + WORD_RUNS + ")"), 1), max_n)
+        firsts: dict[int, list[str]] = {}
+        for t in wordlike:
+            parts = t.split(" ")
+            if len(parts) > 1 and parts[0] not in firsts.setdefault(len(parts), []):
+                firsts[len(parts)].append(parts[0])
+        grams = _ngrams(F.regexp_extract_all(msg, F.lit("(" + WORD_RUNS + ")"), 1), max_n, firsts)
         cands.append(F.array_intersect(grams, lit_array(wordlike)))
     if other:
         alt = "|".join(location_pattern(t) for t in other)

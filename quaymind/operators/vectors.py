@@ -180,20 +180,20 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1)).select(
             query_id, "rank", *key_cols, "score")
     dim = int(first[0]["d"])
-    nq = q.count()
     corpus_sel = corpus.select(*[F.col(c).cast("long").alias(c) for c in key_cols],
                                F.col(corpus_vec).alias("_cv"))
-    if nq * dim * 8 <= broadcast_bytes:
-        cands = _broadcast_candidates(q, corpus_sel, k, dim, query_id, key_cols)
+    max_rows = max(1, broadcast_bytes // (dim * 8))
+    tbl = q.limit(max_rows + 1).toArrow()   # bounded: at most max_rows + 1 query rows reach the driver
+    if tbl.num_rows <= max_rows:
+        cands = _broadcast_candidates(tbl, corpus_sel, k, dim, query_id, key_cols)
     else:
-        cands = _block_candidates(q, corpus_sel, k, dim, nq, query_id, key_cols)
+        cands = _block_candidates(q, corpus_sel, k, dim, q.count(), query_id, key_cols)
     return _rank(cands, k, query_id, key_cols).select(query_id, "rank", *key_cols, "score")
 
 
-def _broadcast_candidates(q: DataFrame, corpus: DataFrame, k: int, dim: int,
+def _broadcast_candidates(tbl: pa.Table, corpus: DataFrame, k: int, dim: int,
                           query_id: str, key_cols: list[str]) -> DataFrame:
     spark = corpus.sparkSession
-    tbl = q.toArrow()  # size checked by the caller: nq * dim * 8 bytes
     qids = tbl.column(query_id).to_numpy().astype(np.int64)
     qmat = _matrix(tbl.column("_qv"), dim)
     bq = spark.sparkContext.broadcast((qids, qmat))
