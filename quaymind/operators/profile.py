@@ -86,7 +86,8 @@ def top_values(df: DataFrame, cols: list[str] | None = None, n: int = 10) -> Dat
                                         for c in cols])).alias("_kv")).select("_kv.*")
     counts = long.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("column_name").orderBy(F.col("cnt").desc(), F.col("value"))
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n) \
+        .withColumn("rank", F.col("rank").cast("long"))
 
 
 def distinct_values(df: DataFrame, col: str = "handle") -> DataFrame:

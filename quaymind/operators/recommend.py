@@ -139,7 +139,8 @@ def diverse_models(hits: DataFrame, records: DataFrame, k: int = 3, *,
         F.max("_pref").alias("preferred"),
     )
     w = Window.partitionBy(query_id).orderBy(F.col("preferred").desc(), F.col("first_rank"))
-    top = g.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+    top = g.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k) \
+        .withColumn("position", F.col("position").cast("long"))
     return top.select(
         query_id, "position", F.col("first_rank").alias("rank"), "handle",
         F.col("best.product_id").alias("product_id"), F.col("best.variant_id").alias("variant_id"),
@@ -217,7 +218,8 @@ def rank_hits(scores: DataFrame, k: int, *, query_id: str = "query_id", score: s
     """Rank 1..k per query by score descending, ties by key."""
     keys = keys or KEYS
     w = Window.partitionBy(query_id).orderBy(F.col(score).desc(), *[F.col(c) for c in keys])
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
+        .withColumn("rank", F.col("rank").cast("long"))
 
 
 def available_models(catalog: DataFrame, prefix: str, limit: int = 50) -> DataFrame:
@@ -246,7 +248,8 @@ def top_k_after_filter(hits: DataFrame, records: DataFrame, k: int = 5, *, query
     hi = _bound(price_max)
     keep = p.isNull() | ((lo.isNull() | (p >= lo)) & (hi.isNull() | (p < hi)))
     w = Window.partitionBy(query_id).orderBy("rank")
-    return rows.filter(keep).withColumn("shown", F.row_number().over(w)).filter(F.col("shown") <= k)
+    return rows.filter(keep).withColumn("shown", F.row_number().over(w)).filter(F.col("shown") <= k) \
+        .withColumn("shown", F.col("shown").cast("long"))
 
 
 def _bound(b) -> Column:

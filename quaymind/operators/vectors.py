@@ -152,7 +152,8 @@ def _arrow_topk_fn(bq, k: int, key_cols: list[str], vec_col: str, query_id: str,
 def _rank(cands: DataFrame, k: int, query_id: str, key_cols: list[str]) -> DataFrame:
     """Rank 1..k per query, score descending, ties by key."""
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), *[F.col(c) for c in key_cols])
-    return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
+        .withColumn("rank", F.col("rank").cast("long"))
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,

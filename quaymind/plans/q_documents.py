@@ -40,7 +40,7 @@ FROM conversations"""
     ("body", "SELECT doc_id, sec, string_agg(line, chr(10) ORDER BY pos) AS text FROM tag WHERE NOT is_heading GROUP BY doc_id, sec"),
     ("occ", """SELECT b.doc_id, b.sec, coalesce(h.name, 'General') AS section, b.text FROM body b
         LEFT JOIN (SELECT doc_id, sec, name FROM tag WHERE is_heading) h ON b.doc_id = h.doc_id AND b.sec = h.sec""")], """
-SELECT doc_id, section, min(sec) AS position, arg_max(text, sec) AS text FROM occ GROUP BY doc_id, section"""))
+SELECT doc_id, section, CAST(min(sec) AS BIGINT) AS position, arg_max(text, sec) AS text FROM occ GROUP BY doc_id, section"""))
 def d2(spark, sf):
     """D2 styled paragraphs (derived from conversation turns) rendered into sections."""
     register(spark, sf)

@@ -161,7 +161,7 @@ def sections_sql(docs: str) -> list[tuple[str, str]]:
             WHERE NOT is_heading GROUP BY doc_id, sec"""),
         ("d1_occ", """SELECT b.doc_id, b.sec, coalesce(h.name, 'General') AS section, b.text
             FROM d1_body b LEFT JOIN d1_heads h ON b.doc_id = h.doc_id AND b.sec = h.sec"""),
-        ("sections", """SELECT doc_id, section, min(sec) AS position, arg_max(text, sec) AS text
+        ("sections", """SELECT doc_id, section, CAST(min(sec) AS BIGINT) AS position, arg_max(text, sec) AS text
             FROM d1_occ GROUP BY doc_id, section"""),
     ]
 
