@@ -33,6 +33,7 @@ SCORE_DECIMALS = 6
 BROADCAST_QUERY_BYTES = 64 * 1024 * 1024   # query block shipped to every task
 CORPUS_BATCH_ROWS = 8192                    # rows per Arrow batch in a task
 BLOCK_PAIR_BYTES = 256 * 1024 * 1024        # corpus bytes per cogroup block
+BLOCK_QUERY_BYTES = 512 * 1024 * 1024       # query bytes per cogroup block (fewer blocks = less corpus replication)
 
 
 def l2_normalize(col: Column | str) -> Column:
@@ -210,7 +211,9 @@ def _block_candidates(q: DataFrame, corpus: DataFrame, k: int, dim: int, nq: int
     """Block matrix-product layout: corpus blocks x query blocks, one cogroup
     task per pair; each task emits only its local top-k per query."""
     spark = corpus.sparkSession
-    q_blocks = max(1, math.ceil(nq * dim * 8 / BROADCAST_QUERY_BYTES))
+    # the corpus is replicated once per query block: keep query blocks as
+    # large as a task can hold so replication stays small
+    q_blocks = max(1, math.ceil(nq * dim * 8 / BLOCK_QUERY_BYTES))
     n_corpus = corpus.count()
     c_blocks = max(1, math.ceil(n_corpus * dim * 8 / BLOCK_PAIR_BYTES))
     qb = q.withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks))) \

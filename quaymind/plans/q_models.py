@@ -90,3 +90,136 @@ def t2(spark, sf):
 def _run_id() -> str:
     import uuid
     return uuid.uuid4().hex[:12]
+
+
+# ---- A6 / A7 and the model-backed recipes (rows-only; pytest covers paths) ----
+
+from quaymind.plans import recipes as RC  # noqa: E402
+from quaymind.sources.tables import write_embedding_store  # noqa: E402
+
+
+def _store_input(spark):
+    emb = spark.table("embeddings").select(F.col("vec_id").alias("product_id"),
+                                           (F.col("vec_id") * 10 + 1).alias("variant_id"), "embedding")
+    return emb.join(spark.table("catalog"), ["product_id", "variant_id"], "left")
+
+
+@query("a6_write_embedding_store")
+def a6(spark, sf):
+    """A6 embeddings + product fields written as a vector store with its metadata row."""
+    register(spark, sf)
+    return write_embedding_store(_store_input(spark), scratch(spark, sf, "a6_store"), "given-64")
+
+
+@query("a7_read_embedding_store")
+def a7(spark, sf):
+    """A7 store read back with the expected model (rows) and a wrong model (empty)."""
+    register(spark, sf)
+    path = scratch(spark, sf, "a7_store")
+    write_embedding_store(_store_input(spark), path, "given-64")
+    ok = read_embedding_store(spark, path, "given-64").select("product_id", "variant_id", "handle",
+                                                              F.lit("given-64").alias("asked"))
+    bad = read_embedding_store(spark, path, "other-model").select("product_id", "variant_id", "handle",
+                                                                  F.lit("other-model").alias("asked"))
+    return ok.unionByName(bad)
+
+
+def _provider():
+    return EchoProvider("primary")
+
+
+@query("u1_recipe_label_messages")
+def r_label(spark, sf):
+    """Recipe: knowledge-base labelling of every user message (B6 -> U1 -> C13 -> J3)."""
+    register(spark, sf)
+    um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    return RC.label_messages(um, spark.table("kb"), _provider, model="primary", fallback_model="secondary")
+
+
+@query("u1_recipe_summarise")
+def r_summary(spark, sf):
+    """Recipe: conversation summaries (G9 -> B6 -> U1; no turns keeps the previous summary)."""
+    register(spark, sf)
+    prev = spark.table("questions").select("conv_id", F.concat(F.lit("asked: "), F.col("question")).alias("previous_summary"))
+    return RC.summarise_conversations(spark.table("history"), prev, _provider, model="secondary")
+
+
+@query("u1_recipe_earlier_reply")
+def r_earlier(spark, sf):
+    """Recipe: earlier reply lookup by the model (G9 -> B6 -> U1 -> C15)."""
+    register(spark, sf)
+    return RC.find_earlier_reply(spark.table("history"), spark.table("questions"), _provider, model="secondary")
+
+
+@query("u1_recipe_emotion")
+def r_emotion(spark, sf):
+    """Recipe: emotion labels of every user message (C11 -> B6 -> U1 -> C14)."""
+    register(spark, sf)
+    um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    return RC.label_emotion(um, _provider, model="secondary")
+
+
+@query("u1_recipe_faq_answer")
+def r_faq(spark, sf):
+    """Recipe: FAQ answers (P5 -> J8 -> B6 -> U1 with default text)."""
+    from quaymind.operators.documents import split_sections
+    from quaymind.sources.fixtures import faq_keywords_df
+    register(spark, sf)
+    um = spark.table("messages").filter(F.col("role") == "user").select(
+        "conv_id", "turn", "text", F.col("conv_id").alias("doc_id"))
+    return RC.answer_from_faq(um, faq_keywords_df(spark), split_sections(spark.table("faq_docs")), _provider,
+                              model="primary", strong=V["strong_faq"], weak=V["weak_faq"]).drop("prompt")
+
+
+@query("u1_recipe_store_replies")
+def r_store(spark, sf):
+    """Recipe: store replies for location questions (P12 -> J4 -> B6 -> U1, else B7 list)."""
+    from quaymind.plans.q_classify import _ranked
+    register(spark, sf)
+    ranked = _ranked(spark)
+    um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    loc = um.filter(C.is_location_query("text", V["strong_location"], V["weak_location"], ranked))
+    out = RC.store_replies(loc, spark.table("locations"), spark.table("stores"), _provider, model="primary",
+                           malay=V["malay"], ranked_terms=ranked)
+    return out.select("conv_id", "turn", "language", "location_term", "reply")
+
+
+@query("u1_recipe_rewrite_queries")
+def r_rewrite(spark, sf):
+    """Recipe: search-query rewrite (B6 -> U1 -> C12 -> S4 against available handles)."""
+    register(spark, sf)
+    from quaymind.operators import recommend as R
+    um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    allowed = R.available_models(spark.table("catalog"), "", 50)
+    return RC.rewrite_search_queries(um, _provider, model="primary", allowed=allowed)
+
+
+@query("u1_recipe_sales_redirect")
+def r_sales(spark, sf):
+    """Recipe: sales-redirect replies for messages routed nowhere else (B6 -> U1)."""
+    register(spark, sf)
+    um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    products = '[{"handle": "sample-phone", "price": 1000}]'
+    return RC.sales_redirect(um, products, _provider, model="primary").drop("prompt")
+
+
+@query("u1_recipe_stock_prompt")
+def r_stock(spark, sf):
+    """Recipe: stock-query prompts carrying the catalog profile (G4 -> B6, no model call)."""
+    from quaymind.operators.profile import profile_json
+    register(spark, sf)
+    prof = profile_json(spark.table("catalog"), "public.catalog", order=["product_id", "variant_id"]).head()[0]
+    um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    return RC.stock_query_prompt(um, prof).select("conv_id", "turn", F.length("prompt").alias("prompt_chars"))
+
+
+@query("u1_recipe_recommendation_intro")
+def r_intro(spark, sf):
+    """Recipe: intro reply per search over the flagship rows, rows narrowed to mentioned models (W3 -> B6 -> U1 -> J6)."""
+    from quaymind.plans.q_documents import PAIRS_SQL
+    from quaymind.plans.q_recommend import diverse
+    register(spark, sf)
+    rows = diverse(spark, sf).withColumn("conv_id", F.col("query_id") % 100) \
+        .withColumn("query", F.concat(F.lit("phones like "), F.col("query_id").cast("string")))
+    out = RC.recommendation_intro(rows, spark.sql(PAIRS_SQL), _provider, model="secondary")
+    return out.select("query_id", "position", "handle", "reply")
