@@ -42,7 +42,7 @@ def kb_match(labels: DataFrame, kb: DataFrame, label: str = "match") -> DataFram
                       F.col("_kb.keyword").alias("keyword"), F.col("_kb.answer").alias("answer"))
 
 
-def term_stores(terms: DataFrame, dictionary: DataFrame, stores: DataFrame) -> DataFrame:
+def term_stores(terms: DataFrame | None, dictionary: DataFrame, stores: DataFrame) -> DataFrame:
     """Precompute term -> matching stores, independent of message volume.
 
     Needles come from the dictionary (``term, needle``); a term missing from
@@ -51,9 +51,13 @@ def term_stores(terms: DataFrame, dictionary: DataFrame, stores: DataFrame) -> D
     dictionary and store list, not by the message stream.
     """
     dict_needles = dictionary.select("term", "needle")
-    unknown = terms.select("term").distinct().join(dictionary.select("term").distinct(), "term", "left_anti") \
-        .withColumn("needle", F.col("term"))
-    needles = dict_needles.unionByName(unknown).withColumn("_n", F.lower("needle"))
+    if terms is None:  # terms come from the dictionary itself (P3 output): no unknown terms
+        needles = dict_needles
+    else:
+        unknown = terms.select("term").distinct().join(dictionary.select("term").distinct(), "term", "left_anti") \
+            .withColumn("needle", F.col("term"))
+        needles = dict_needles.unionByName(unknown)
+    needles = needles.withColumn("_n", F.lower("needle"))
     st = stores.withColumn("_loc", F.lower(F.coalesce("location", F.lit("")))) \
         .withColumn("_name", F.lower(F.coalesce("name", F.lit(""))))
     cond = (F.instr(F.col("_loc"), F.col("_n")) > 0) | (F.instr(F.col("_name"), F.col("_n")) > 0)
@@ -69,12 +73,13 @@ def term_stores(terms: DataFrame, dictionary: DataFrame, stores: DataFrame) -> D
 
 
 def match_stores(messages: DataFrame, dictionary: DataFrame, stores: DataFrame,
-                 term: str = "location_term") -> DataFrame:
+                 term: str = "location_term", known_terms: bool = False) -> DataFrame:
     """Stores for each message's detected term (one row per message and
     store, with the P10 ``closed`` flag).  The message side meets the
-    precomputed term->store table on an equi-join."""
+    precomputed term->store table on an equi-join.  ``known_terms=True``
+    (terms detected by P3) skips the unknown-term pass over the messages."""
     with_term = messages.filter(F.col(term).isNotNull())
-    ts = term_stores(with_term.select(F.col(term).alias("term")), dictionary, stores)
+    ts = term_stores(None if known_terms else with_term.select(F.col(term).alias("term")), dictionary, stores)
     ts = ts.select(F.col("term").alias(term), *[F.col(c).alias(f"store_{c}") if c != "id" else F.col("id").alias("store_id")
                                                 for c in stores.columns])
     out = with_term.join(ts, term, "inner")
@@ -158,7 +163,10 @@ def route_messages(messages: DataFrame, replies: DataFrame, kb: DataFrame, vocab
                    ranked_terms: list[str], *, keys: list[str] | None = None, text: str = "text") -> DataFrame:
     """Location question -> STORE_LOCATOR / ..._NEEDS_LOCATION (score
     1.0); else FAQ question -> FAQ (1.0); else the routing model's label
-    (C13 over ``replies.reply``) looked up in the knowledge base (J3)."""
+    (C13 over ``replies.reply``) looked up in the knowledge base (J3).
+
+    One pass: intercepted rows simply carry a NULL lookup key, so every
+    message goes through the same (broadcastable) knowledge-base join."""
     from quaymind.functions.text import normalize_label
     keys = keys or ["conv_id", "turn"]
     loc = C.is_location_query(text, vocab["strong_location"], vocab["weak_location"], ranked_terms)
@@ -169,14 +177,25 @@ def route_messages(messages: DataFrame, replies: DataFrame, kb: DataFrame, vocab
     m = messages.withColumn("_intercept", intercept)
     lab = replies.select(*keys, normalize_label(F.col("reply")).alias("_l"))
     j = m.join(lab, keys, "left")
-    j = j.withColumn("match", F.coalesce(F.col("_intercept"), F.col("_l.match"))) \
-        .withColumn("score", F.when(F.col("_intercept").isNotNull(), F.lit(1.0)).otherwise(F.col("_l.score")))
-    routed = j.drop("_l")
-    looked = kb_match(routed.filter(F.col("_intercept").isNull()), kb, "match")
-    direct = routed.filter(F.col("_intercept").isNotNull()) \
-        .withColumn("kb_ordinal", F.lit(None).cast("bigint")) \
-        .withColumn("keyword", F.col("match")).withColumn("answer", F.lit(None).cast("string"))
-    return looked.unionByName(direct).drop("_intercept")
+    routed = (j.withColumn("match", F.coalesce(F.col("_intercept"), F.col("_l.match")))
+               .withColumn("score", F.when(F.col("_intercept").isNotNull(), F.lit(1.0)).otherwise(F.col("_l.score")))
+               .withColumn("_lookup", F.when(F.col("_intercept").isNull(), F.col("match")))
+               .drop("_l"))
+    looked = kb_match(routed, kb, "_lookup")
+    return looked.withColumn("keyword", F.coalesce(F.col("_intercept"), F.col("keyword"))).drop("_intercept", "_lookup")
+
+
+def term_outcomes(dictionary: DataFrame, stores: DataFrame, max_listed: int = 5) -> DataFrame:
+    """Per dictionary term: active / closed store counts and the first
+    ``max_listed`` active stores (store order).  Aggregated on the
+    dictionary x stores table, so messages only need a lookup by term."""
+    ts = term_stores(None, dictionary, stores).withColumn("closed", C.is_closed("name"))
+    item = F.struct(F.col("id").alias("i"), F.col("name").alias("n"), F.col("location").alias("l"),
+                    F.col("operatingHours").alias("h"), F.col("whatsappLink").alias("w"))
+    return ts.groupBy("term").agg(
+        F.sum(F.when(~F.col("closed"), 1).otherwise(0)).cast("bigint").alias("n_active"),
+        F.sum(F.when(F.col("closed"), 1).otherwise(0)).cast("bigint").alias("n_closed"),
+        F.slice(F.array_sort(F.collect_list(F.when(~F.col("closed"), item))), 1, max_listed).alias("active_stores"))
 
 
 def store_outcome(messages: DataFrame, dictionary: DataFrame, stores: DataFrame, malay: list[str],
@@ -184,25 +203,22 @@ def store_outcome(messages: DataFrame, dictionary: DataFrame, stores: DataFrame,
                   max_listed: int = 5) -> DataFrame:
     """Per location message: language (P2), detected term (P3),
     needs_location when no term, active and closed store counts, the first
-    ``max_listed`` active store names in store order, and the outcome kind
-    (needs_location / not_found / stores)."""
-    keys = keys or ["conv_id", "turn"]
+    ``max_listed`` active stores in store order (``active_stores``,
+    ``active_names``) and the outcome kind (needs_location / not_found /
+    stores).  Store facts are aggregated per term first (bounded by the
+    dictionary), then looked up by term: no shuffle of the messages."""
     m = messages.withColumn("language", C.detect_language(text, malay)) \
         .withColumn("location_term", C.detect_location_expr(text, ranked_terms))
-    ms = match_stores(m.select(*keys, "location_term"), dictionary, stores)
-    agg = ms.groupBy(*keys).agg(
-        F.sum(F.when(~F.col("closed"), 1).otherwise(0)).alias("n_active"),
-        F.sum(F.when(F.col("closed"), 1).otherwise(0)).alias("n_closed"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.when(~F.col("closed"), F.struct(
-            F.col("store_id").alias("i"), F.col("store_name").alias("n"))))), lambda x: x["n"]),
-            1, max_listed).alias("active_names"))
-    out = m.join(agg, keys, "left")
+    per_term = term_outcomes(dictionary, stores, max_listed).withColumnRenamed("term", "location_term")
+    out = m.join(per_term, "location_term", "left")
+    n_act = F.coalesce("n_active", F.lit(0).cast("bigint"))
+    n_clo = F.coalesce("n_closed", F.lit(0).cast("bigint"))
+    act = F.coalesce("active_stores", F.array().cast(per_term.schema["active_stores"].dataType))
     return out.select(
         *messages.columns, "language", "location_term",
         F.col("location_term").isNull().alias("needs_location"),
-        F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"),
-        F.coalesce("n_closed", F.lit(0)).cast("bigint").alias("n_closed"),
-        F.coalesce("active_names", F.array().cast("array<string>")).alias("active_names"),
+        n_act.alias("n_active"), n_clo.alias("n_closed"), act.alias("active_stores"),
+        F.transform(act, lambda x: x["n"]).alias("active_names"),
         F.when(F.col("location_term").isNull(), F.lit("needs_location"))
-         .when(F.coalesce("n_active", F.lit(0)) + F.coalesce("n_closed", F.lit(0)) == 0, F.lit("not_found"))
+         .when(n_act + n_clo == 0, F.lit("not_found"))
          .otherwise(F.lit("stores")).alias("outcome"))

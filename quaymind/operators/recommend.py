@@ -201,16 +201,18 @@ def card_text(position: Column, handle: Column, from_price: Column, storage: Col
         compact_values(colors), F.lit("\nView options: "), lk)
 
 
-def render_cards(rows: DataFrame, *, query_id: str = "query_id", order: str = "position") -> DataFrame:
+def render_cards(rows: DataFrame, *, query_id: str = "query_id", order: str = "position",
+                 extra: list | None = None) -> DataFrame:
     """One text per query: numbered card blocks joined by a blank line.
 
-    Numbers restart at 1 in ``order`` (after any J5/J6 filtering)."""
+    Numbers restart at 1 in ``order`` (after any J5/J6 filtering).
+    ``extra`` aggregate columns are computed in the same grouping."""
     items = F.array_sort(F.collect_list(F.struct(
         F.col(order).alias("o"), F.col("handle").alias("h"), F.col("from_price").alias("f"),
         F.col("storage_options").alias("s"), F.col("condition_options").alias("c"),
         F.col("color_options").alias("k"), F.col("product_link").alias("l"))))
     blocks = F.transform(items, lambda x, i: card_text(i + 1, x["h"], x["f"], x["s"], x["c"], x["k"], x["l"]))
-    return rows.groupBy(query_id).agg(F.array_join(blocks, "\n\n").alias("cards"))
+    return rows.groupBy(query_id).agg(F.array_join(blocks, "\n\n").alias("cards"), *(extra or []))
 
 
 def rank_hits(scores: DataFrame, k: int, *, query_id: str = "query_id", score: str = "score",

@@ -72,7 +72,7 @@ STORE_MATCH_CTES = [
 def _store_matches(spark, sf):
     register(spark, sf)
     m = C.detect_location(spark.table("messages"), "text", spark.table("locations"))
-    return M.match_stores(m, spark.table("locations"), spark.table("stores"))
+    return M.match_stores(m, spark.table("locations"), spark.table("stores"), known_terms=True)
 
 
 @query("j4_match_stores", O.sql(["messages", "locations", "stores"], STORE_MATCH_CTES, """
@@ -277,16 +277,9 @@ def b6(spark, sf):
     register(spark, sf)
     um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
     ranked = _ranked(spark)
-    loc = um.filter(C.is_location_query("text", V["strong_location"], V["weak_location"], ranked)) \
-        .withColumn("language", C.detect_language("text", V["malay"])) \
-        .withColumn("location_term", C.detect_location_expr("text", ranked))
-    ms = M.match_stores(loc.select("conv_id", "turn", "location_term"), spark.table("locations"), spark.table("stores"))
-    item = F.struct(F.col("store_id").alias("i"), P.store_line(
-        F.col("store_name"), F.col("store_location"), F.col("store_operatingHours"),
-        F.col("store_whatsappLink")).alias("l"))
-    lines = ms.filter(~F.col("closed")).groupBy("conv_id", "turn").agg(F.array_join(F.transform(
-        F.slice(F.array_sort(F.collect_list(item)), 1, 5), lambda x: x["l"]), "\n").alias("store_lines"))
-    df = loc.join(lines, ["conv_id", "turn"], "left")
+    loc = um.filter(C.is_location_query("text", V["strong_location"], V["weak_location"], ranked))
+    df = M.store_outcome(loc, spark.table("locations"), spark.table("stores"), V["malay"], ranked) \
+        .withColumn("store_lines", P.store_lines())
     head = F.when(F.col("language") == "ms", F.lit(PROMPT_HEAD["ms"])).otherwise(F.lit(PROMPT_HEAD["en"]))
     parts = [head, "\n\nCustomer message: \"", F.col("text"), "\"\n\n",
              ("optional", "Stores:\n", F.col("store_lines"), "")]
@@ -299,4 +292,7 @@ SELECT conv_id, turn, array_to_string(list_slice(list(concat('📍 ', name, chr(
 FROM sm WHERE NOT closed GROUP BY conv_id, turn"""))
 def b7(spark, sf):
     """B7 plain-text list of the first 5 active stores for every message with matches."""
-    return P.render_store_list(_store_matches(spark, sf))
+    register(spark, sf)
+    m = spark.table("messages").select("conv_id", "turn", "text")
+    out = M.store_outcome(m, spark.table("locations"), spark.table("stores"), V["malay"], _ranked(spark))
+    return P.render_store_list(out.filter(F.col("n_active") > 0)).select("conv_id", "turn", "store_list")

@@ -186,8 +186,7 @@ def v4(spark, sf):
         .withColumn("reply", F.expr(REPLY_OF_QUERY.replace("mk.handle", "_qh"))).drop("_qh")
     rows = R.semi_or_all_by_model(d, "model", VOCABULARIES["stopwords"])
     rows = R.semi_or_all_by_mention(rows, "reply")
-    flag = rows.groupBy("query_id").agg(F.max("recommended_in_results").alias("recommended_in_results"))
-    return R.render_cards(rows).join(flag, "query_id")
+    return R.render_cards(rows, extra=[F.max("recommended_in_results").alias("recommended_in_results")])
 
 
 @query("s1_available_models", O.sql(["catalog"], [], """

@@ -77,20 +77,12 @@ def answer_from_faq(messages: DataFrame, keyword_map: DataFrame, sections: DataF
 def store_replies(messages: DataFrame, dictionary: DataFrame, stores: DataFrame, provider: Provider, *,
                   model: str, malay: list[str], ranked_terms: list[str], keys: list[str] | None = None,
                   text: str = "text") -> DataFrame:
-    """Store replies: P12 -> J4 -> B6 -> U1, falling back to the plain
-    store list (B7) when the model gives nothing."""
-    keys = keys or ["conv_id", "turn"]
+    """Store replies: P12 -> B6 -> U1, falling back to the plain store list
+    (B7) when the model gives nothing."""
     outc = M.store_outcome(messages, dictionary, stores, malay, ranked_terms, keys=keys, text=text)
-    withs = outc.filter(F.col("outcome") == "stores")
-    ms = M.match_stores(withs.select(*keys, "location_term"), dictionary, stores)
-    listing = P.render_store_list(ms, 5, keys=keys)
-    item = F.struct(F.col("store_id").alias("i"), P.store_line(F.col("store_name"), F.col("store_location"),
-                                                               F.col("store_operatingHours"), F.col("store_whatsappLink")).alias("l"))
-    lines = ms.filter(~F.col("closed")).groupBy(*keys).agg(F.array_join(F.transform(
-        F.slice(F.array_sort(F.collect_list(item)), 1, 5), lambda x: x["l"]), "\n").alias("store_lines"))
-    df = withs.join(lines, keys, "left").join(listing, keys, "left")
-    prompt = P.assemble_prompts(df, ["Reply in ", F.col("language"), " listing these stores.\n\nMessage: \"",
-                                     F.col(text), "\"\n\nStores:\n", F.col("store_lines")])
+    withs = P.render_store_list(outc.filter(F.col("outcome") == "stores")).withColumn("store_lines", P.store_lines())
+    prompt = P.assemble_prompts(withs, ["Reply in ", F.col("language"), " listing these stores.\n\nMessage: \"",
+                                        F.col(text), "\"\n\nStores:\n", F.col("store_lines")])
     out = generate_replies(prompt, "prompt", provider, model=model, default_text="")
     return out.withColumn("reply", F.when(F.col("reply") == "", F.col("store_list")).otherwise(F.col("reply")))
 
