@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quaymind import fixed as X
+
 __all__ = [
     "PY_WS", "py_strip", "tokens", "keywords", "word_set", "alnum_word_set",
     "model_tokens", "parse_price", "storage_key", "pretty_handle",
@@ -81,7 +83,7 @@ def parse_price(col) -> Column:
     non-finite price can never win an ordering (documented difference).
     """
     raw = F.replace(py_strip(_c(col).cast("string")), F.lit(","), F.lit(""))
-    raw = py_strip(F.replace(F.replace(raw, F.lit("RM"), F.lit("")), F.lit("rm"), F.lit("")))
+    raw = py_strip(F.replace(F.replace(raw, F.lit(X.CURRENCY), F.lit("")), F.lit(X.CURRENCY.lower()), F.lit("")))
     return F.when(raw.rlike(_NUMBER), raw.try_cast("double")).otherwise(F.lit(None).cast("double"))
 
 
@@ -99,19 +101,16 @@ def storage_key(col) -> Column:
     return F.struct(gb.alias("gb"), text.alias("text"))
 
 
-# fixed values: display texts of the result cards
-UNKNOWN_MODEL = "Unknown model"
-FLASH_DEAL_SUFFIX = "-flash-deal$"
 
 
 def pretty_handle(col) -> Column:
     """Strip; blank -> 'Unknown model'; drop a '-flash-deal' suffix;
     split on '-' and capitalise each part (first upper, rest lower)."""
     raw = str_or_blank(col)
-    body = F.regexp_replace(raw, FLASH_DEAL_SUFFIX, "")
+    body = F.regexp_replace(raw, X.FLASH_DEAL_SUFFIX + "$", "")
     parts = F.transform(F.split(body, "-"),
                         lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30))))
-    return F.when(raw == "", F.lit(UNKNOWN_MODEL)).otherwise(F.array_join(parts, " "))
+    return F.when(raw == "", F.lit(X.UNKNOWN_MODEL)).otherwise(F.array_join(parts, " "))
 
 
 def format_price(col) -> Column:
@@ -120,9 +119,9 @@ def format_price(col) -> Column:
     Input is a price value (text or number); it is parsed with C5 first.
     """
     x = parse_price(col)
-    return (F.when(x.isNull(), F.lit("-"))
-            .when(x == F.floor(x), F.concat(F.lit("RM"), F.format_number(x, 0)))
-            .otherwise(F.concat(F.lit("RM"), F.format_number(x, 2))))
+    return (F.when(x.isNull(), F.lit(X.EMPTY_FIELD))
+            .when(x == F.floor(x), F.concat(F.lit(X.CURRENCY), F.format_number(x, 0)))
+            .otherwise(F.concat(F.lit(X.CURRENCY), F.format_number(x, 2))))
 
 
 def compact_values(col) -> Column:
@@ -130,7 +129,7 @@ def compact_values(col) -> Column:
     joined by ' / '; an empty result is '-'."""
     kept = F.array_distinct(F.filter(F.transform(_c(col), lambda v: str_or_blank(v)),
                                      lambda v: (v != "") & (F.lower(v) != "none")))
-    return F.when(F.coalesce(F.size(kept), F.lit(0)) <= 0, F.lit("-")).otherwise(F.array_join(kept, " / "))
+    return F.when(F.coalesce(F.size(kept), F.lit(0)) <= 0, F.lit(X.EMPTY_FIELD)).otherwise(F.array_join(kept, X.VALUE_SEP))
 
 
 def phrase(col) -> Column:
@@ -143,11 +142,8 @@ def collapse_ws(col) -> Column:
     return F.btrim(F.regexp_replace(_c(col), f"{PY_WS}+", " "), F.lit(" "))
 
 
-# fixed values: labels the routing model may answer with
-TICKET_LOGGED = "TICKET_LOGGED"
-LOG_TICKET = "log_ticket"
-NO_MATCH = "NO_MATCH"
-LOG_TICKET_SPELLINGS = ["LOGGING_TICKET", "LOG_TICKET"]
+TICKET_LOGGED, LOG_TICKET, NO_MATCH = X.TICKET_LOGGED, X.LOG_TICKET, X.NO_MATCH
+LOG_TICKET_SPELLINGS = X.LOG_TICKET_SPELLINGS
 
 
 def normalize_label(col) -> Column:
@@ -171,8 +167,7 @@ def normalize_label(col) -> Column:
     return F.struct(label.alias("match"), score.alias("score"))
 
 
-# fixed values: emotions accepted from the emotion model
-EMOTIONS = ["frustrated", "worried", "confused", "sad"]
+EMOTIONS = X.EMOTIONS
 
 
 def normalize_emotion(col) -> Column:
@@ -193,7 +188,7 @@ def split_table_name(col) -> Column:
     name = _c(col)
     has_dot = F.instr(name, ".") > 0
     return F.struct(
-        F.when(has_dot, F.substring_index(name, ".", 1)).otherwise(F.lit("public")).alias("schema"),
+        F.when(has_dot, F.substring_index(name, ".", 1)).otherwise(F.lit(X.DEFAULT_SCHEMA)).alias("schema"),
         F.when(has_dot, F.substring(name, F.instr(name, ".") + 1, F.lit(1 << 30))).otherwise(name).alias("table"),
     )
 
@@ -202,10 +197,10 @@ def price_line(min_col, max_col) -> Column:
     """C17: 'a to b' / 'min a' / 'max b' / 'None' for the prompt."""
     lo, hi = _c(min_col), _c(max_col)
     los, his = lo.cast("string"), hi.cast("string")
-    return (F.when(lo.isNotNull() & hi.isNotNull(), F.concat(los, F.lit(" to "), his))
-            .when(lo.isNotNull(), F.concat(F.lit("min "), los))
-            .when(hi.isNotNull(), F.concat(F.lit("max "), his))
-            .otherwise(F.lit("None")))
+    return (F.when(lo.isNotNull() & hi.isNotNull(), X.fill(X.PRICE_LINE_BOTH, lo=los, hi=his))
+            .when(lo.isNotNull(), X.fill(X.PRICE_LINE_MIN, lo=los))
+            .when(hi.isNotNull(), X.fill(X.PRICE_LINE_MAX, hi=his))
+            .otherwise(F.lit(X.PRICE_LINE_NONE)))
 
 
 def _price_field(parsed, key: str) -> Column:

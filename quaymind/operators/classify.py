@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quaymind.functions.text import alnum_word_set, py_strip, tokens, word_set
 from quaymind.functions.vocab import LITERAL_TERMS_LIMIT, lit_array, terms
-from quaymind.sources.fixtures import CLOSED_MARKER
+from quaymind import fixed as X
 
 # word boundary as in Python's \b for word-like terms: no letter, digit or _
 WB_L = r"(?<![\p{L}\p{N}_])"
@@ -172,10 +172,7 @@ def is_faq_query(text, strong: list[str], weak: list[str]) -> Column:
     return F.coalesce(strong_hit, F.lit(False)) | (weak_hits >= 2)
 
 
-# fixed values: replies of the escalation detector
-GREETING_REPLY = "How can I help you today?"
-TICKET_LOGGED = "TICKET_LOGGED"
-LOG_TICKET = "log_ticket"
+GREETING_REPLY, TICKET_LOGGED, LOG_TICKET = X.GREETING_REPLY, X.TICKET_LOGGED, X.LOG_TICKET
 
 
 def detect_escalation(text, greeting: list[str], logged: list[str], human: list[str],
@@ -207,7 +204,7 @@ def is_refinement(text, terms_: list[str]) -> Column:
 
 def is_closed(name) -> Column:
     """P10: a store is closed when its name contains the closed marker (any case)."""
-    return F.coalesce(F.instr(F.lower(_c(name)), CLOSED_MARKER.lower()) > 0, F.lit(False))
+    return F.coalesce(F.instr(F.lower(_c(name)), X.CLOSED_MARKER.lower()) > 0, F.lit(False))
 
 
 def split_open_closed(stores: DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
@@ -216,9 +213,7 @@ def split_open_closed(stores: DataFrame, name: str = "name") -> tuple[DataFrame,
     return flagged.filter(~F.col("closed")), flagged.filter(F.col("closed"))
 
 
-# fixed values: validation messages
-EMPTY_QUESTION = "Question cannot be empty."
-HISTORY_NOT_LIST = "conversation_history must be a list."
+EMPTY_QUESTION, HISTORY_NOT_LIST = X.EMPTY_QUESTION, X.HISTORY_NOT_LIST
 
 
 def validation_reason(question, history: str | None = None) -> Column:

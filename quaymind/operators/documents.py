@@ -13,10 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymind import fixed as X
 from quaymind.functions.text import py_strip
 from quaymind.operators.match import split_lines
 
-GENERAL = "General"
+GENERAL = X.GENERAL_SECTION
 
 
 def _sections_from_lines(lines: DataFrame, doc: str) -> DataFrame:
@@ -38,7 +39,7 @@ def _sections_from_lines(lines: DataFrame, doc: str) -> DataFrame:
         F.min("sec").alias("position"), F.max_by("text", "sec").alias("text"))
 
 
-def split_sections(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", marker: str = "## ") -> DataFrame:
+def split_sections(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", marker: str = X.SECTION_MARKER) -> DataFrame:
     """Markdown-style sections of each document: ``doc, section,
     position, text`` (lines split as str.splitlines)."""
     lines = docs.select(doc, F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
@@ -47,10 +48,7 @@ def split_sections(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     return _sections_from_lines(lines, doc)
 
 
-# fixed values: paragraph styles of word-processor documents
-HEADING_1 = "Heading 1"
-HEADING_2 = "Heading 2"
-LIST_STYLE = "List Paragraph"
+HEADING_1, HEADING_2, LIST_STYLE = X.HEADING_1, X.HEADING_2, X.LIST_STYLE
 
 
 def render_styled_paragraphs(paras: DataFrame, *, doc: str = "doc_id", pos: str = "pos",
@@ -60,8 +58,8 @@ def render_styled_paragraphs(paras: DataFrame, *, doc: str = "doc_id", pos: str
     dropped (text stripped)."""
     t = py_strip(F.col(text))
     p = paras.withColumn("_t", t).filter(F.col("_t") != "")
-    line = (F.when(F.col(style) == HEADING_2, F.concat(F.lit("\n### "), F.col("_t")))
-            .when(F.col(style) == LIST_STYLE, F.concat(F.lit("- "), F.col("_t")))
+    line = (F.when(F.col(style) == HEADING_2, F.concat(F.lit(X.HEADING_2_PREFIX), F.col("_t")))
+            .when(F.col(style) == LIST_STYLE, F.concat(F.lit(X.LIST_PREFIX), F.col("_t")))
             .otherwise(F.col("_t")))
     lines = p.select(doc, F.col(pos).alias("pos"), (F.col(style) == HEADING_1).alias("is_heading"),
                      F.when(F.col(style) == HEADING_1, F.col("_t")).alias("name"), line.alias("line"))
@@ -101,7 +99,7 @@ def last_turns(pairs: DataFrame, n: int = 3, *, conv: str = "conv_id", order: st
     w = Window.partitionBy(conv).orderBy(F.col(order).desc())
     last = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
     full = last.filter((F.coalesce(F.length(user), F.lit(0)) > 0) & (F.coalesce(F.length(bot), F.lit(0)) > 0))
-    item = F.struct(F.col(order).alias("o"), F.concat(F.lit("User: "), F.col(user), F.lit("\nBot: "), F.col(bot)).alias("t"))
+    item = F.struct(F.col(order).alias("o"), X.fill(X.MEMORY_PAIR, user=F.col(user), bot=F.col(bot)).alias("t"))
     agg = full.groupBy(conv).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "\n")
                                  .alias("history_text"))
     return pairs.select(conv).distinct().join(agg, conv, "left") \
@@ -155,7 +153,7 @@ def turns_from_qa(df: DataFrame, *, key: str = "conv_id", history: str = "histor
     from the non-blank question and answer; otherwise keep the history."""
     q = py_strip(F.coalesce(F.col(question), F.lit("")))
     a = py_strip(F.coalesce(F.col(answer), F.lit("")))
-    built = F.array_compact(F.array(F.when(q != "", F.concat(F.lit("Customer: "), q)),
-                                    F.when(a != "", F.concat(F.lit("Agent: "), a))))
+    built = F.array_compact(F.array(F.when(q != "", F.concat(F.lit(X.CUSTOMER_PREFIX), q)),
+                                    F.when(a != "", F.concat(F.lit(X.AGENT_PREFIX), a))))
     empty = F.coalesce(F.size(F.col(history)), F.lit(0)) <= 0
     return df.withColumn(history, F.when(empty, built).otherwise(F.col(history)))

@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaymind import fixed as X
 from quaymind.functions.text import keywords, py_strip
 from quaymind.functions.vocab import lit_array
 from quaymind.operators import classify as C
 
-PRODUCT_LABEL = "PRODUCT_ENQUIRE"
+PRODUCT_LABEL = X.PRODUCT_LABEL
 BROADCAST_ROWS = 1_000_000  # rows of a dimension table shipped to every task
 
 
@@ -146,17 +147,14 @@ def faq_section(messages: DataFrame, keyword_map: DataFrame, sections: DataFrame
     sec = sections.select(F.col(doc).alias("_d"), F.col("section").alias("_s"), F.col("text").alias("_sec_text"))
     alltext = sections.groupBy(doc).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]),
-                     "\n\n---\n\n").alias("_all"))
+                     X.ALL_SECTIONS_SEP).alias("_all"))
     out = (m.join(sec, (F.col(doc) == F.col("_d")) & (F.col("_best") == F.col("_s")), "left")
             .join(alltext.withColumnRenamed(doc, "_d2"), F.col(doc) == F.col("_d2"), "left"))
     return out.select(*messages.columns, F.col("_best").alias("best_section"),
                       F.coalesce(F.col("_sec_text"), F.col("_all")).alias("faq_text"))
 
 
-# fixed values: routing labels
-STORE_LOCATOR = "STORE_LOCATOR"
-STORE_NEEDS_LOCATION = "STORE_LOCATOR_NEEDS_LOCATION"
-FAQ = "FAQ"
+STORE_LOCATOR, STORE_NEEDS_LOCATION, FAQ = X.STORE_LOCATOR, X.STORE_NEEDS_LOCATION, X.FAQ
 
 
 def route_messages(messages: DataFrame, replies: DataFrame, kb: DataFrame, vocab: dict[str, list[str]],

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaymind import fixed as X
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -96,15 +98,14 @@ def distinct_values(df: DataFrame, col: str = "handle") -> DataFrame:
     return df.select(c.alias("value")).filter(F.col("value").isNotNull()).distinct().orderBy("value")
 
 
-# fixed values: the fingerprinted catalog columns, in hashing order
-FINGERPRINT_COLS = ["product_id", "variant_id", "vendor", "product_type", "handle", "color", "spec",
-                    "condition", "tenure", "price"]
+FINGERPRINT_COLS = X.FINGERPRINT_COLS
 
 
 def row_hash(cols: list[str] | None = None) -> Column:
     """G5 (row): SHA-256 of the '|'-joined column texts, NULL written 'None'."""
     cols = cols or FINGERPRINT_COLS
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in cols]), 256)
+    return F.sha2(F.concat_ws(X.FINGERPRINT_SEP, *[F.coalesce(F.col(c).cast("string"), F.lit(X.FINGERPRINT_NULL))
+                                                  for c in cols]), 256)
 
 
 def row_fingerprint(df: DataFrame, cols: list[str] | None = None, out: str = "row_hash") -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymind import fixed as X
 from quaymind.functions.text import (
     compact_values, format_price, parse_price, phrase, pretty_handle,
     storage_key, str_or_blank, tokens,
@@ -96,7 +97,7 @@ def product_link(handle: Column | str, domain: Column | str) -> Column:
                          "^/+|/+$", "")
     d = F.regexp_replace(d, "^\\s+|\\s+$", "")
     return F.when(d == "", F.lit("")).otherwise(
-        F.concat(F.lit("https://"), d, F.lit("/products/"), F.coalesce(_c(handle), F.lit(""))))
+        X.fill(X.PRODUCT_LINK, domain=d, handle=F.coalesce(_c(handle), F.lit(""))))
 
 
 def variant_link(handle: Column | str, variant_id: Column | str, domain: Column | str) -> Column:
@@ -104,7 +105,7 @@ def variant_link(handle: Column | str, variant_id: Column | str, domain: Column
     pl = product_link(handle, domain)
     vid = _c(variant_id)
     return F.when((pl == "") | vid.isNull() | (vid == 0), F.lit("")).otherwise(
-        F.concat(pl, F.lit("?variant="), vid.cast("string")))
+        F.concat(pl, X.fill(X.VARIANT_SUFFIX, variant_id=vid.cast("string"))))
 
 
 def diverse_models(hits: DataFrame, records: DataFrame, k: int = 3, *,
@@ -193,12 +194,10 @@ def semi_or_all_by_mention(rows: DataFrame, reply: str, *, query_id: str = "quer
 def card_text(position: Column, handle: Column, from_price: Column, storage: Column,
               conditions: Column, colors: Column, link: Column) -> Column:
     """One card block (B5) for a model row."""
-    lk = F.when(str_or_blank(link) == "", F.lit("-")).otherwise(str_or_blank(link))
-    return F.concat(
-        position.cast("string"), F.lit(". "), pretty_handle(handle), F.lit("\nFrom "),
-        format_price(from_price), F.lit("\nOptions: "), compact_values(storage),
-        F.lit("\nCondition: "), compact_values(conditions), F.lit("\nColor: "),
-        compact_values(colors), F.lit("\nView options: "), lk)
+    lk = F.when(str_or_blank(link) == "", F.lit(X.EMPTY_FIELD)).otherwise(str_or_blank(link))
+    return X.fill(X.CARD, n=position.cast("string"), title=pretty_handle(handle), price=format_price(from_price),
+                  options=compact_values(storage), conditions=compact_values(conditions),
+                  colors=compact_values(colors), link=lk)
 
 
 def render_cards(rows: DataFrame, *, query_id: str = "query_id", order: str = "position",
@@ -212,7 +211,7 @@ def render_cards(rows: DataFrame, *, query_id: str = "query_id", order: str = "p
         F.col("storage_options").alias("s"), F.col("condition_options").alias("c"),
         F.col("color_options").alias("k"), F.col("product_link").alias("l"))))
     blocks = F.transform(items, lambda x, i: card_text(i + 1, x["h"], x["f"], x["s"], x["c"], x["k"], x["l"]))
-    return rows.groupBy(query_id).agg(F.array_join(blocks, "\n\n").alias("cards"), *(extra or []))
+    return rows.groupBy(query_id).agg(F.array_join(blocks, X.CARD_SEP).alias("cards"), *(extra or []))
 
 
 def rank_hits(scores: DataFrame, k: int, *, query_id: str = "query_id", score: str = "score",
@@ -266,21 +265,16 @@ def py_number(col: Column) -> Column:
     return py_strip(col.cast("string")).rlike(_NUMBER)
 
 
-# fixed values: the no-result messages of the recommend flow
-NO_MATCH_RANGE = "No matches in range {lo} to {hi}."
-NO_MATCH_UNDER = "No matches under {hi}."
-NO_MATCH_ABOVE = "No matches above {lo}."
-NO_MATCH_ANY = "No matches after filtering."
 
 
 def no_match_message(price_min: Column | str, price_max: Column | str) -> Column:
     """S3: message for an empty result; precedence both > max > min > none."""
     lo, hi = _c(price_min), _c(price_max)
     los, his = lo.cast("string"), hi.cast("string")
-    return (F.when(lo.isNotNull() & hi.isNotNull(), F.concat(F.lit("No matches in range "), los, F.lit(" to "), his, F.lit(".")))
-            .when(hi.isNotNull(), F.concat(F.lit("No matches under "), his, F.lit(".")))
-            .when(lo.isNotNull(), F.concat(F.lit("No matches above "), los, F.lit(".")))
-            .otherwise(F.lit(NO_MATCH_ANY)))
+    return (F.when(lo.isNotNull() & hi.isNotNull(), X.fill(X.NO_MATCH_RANGE, lo=los, hi=his))
+            .when(hi.isNotNull(), X.fill(X.NO_MATCH_UNDER, hi=his))
+            .when(lo.isNotNull(), X.fill(X.NO_MATCH_ABOVE, lo=los))
+            .otherwise(F.lit(X.NO_MATCH_ANY)))
 
 
 def constrain_model(df: DataFrame, model: str, allowed: DataFrame | None) -> DataFrame:

@@ -40,8 +40,7 @@ FROM (SELECT p_partkey, p_name, p_brand, p_type, p_size,
              cast(round(p_retailprice * 300) AS BIGINT) AS cents FROM part) p
 """
 
-# fixed values: the closed-store marker searched for by P10
-CLOSED_MARKER = "Temporarily Closed"
+from quaymind.fixed import CLOSED_MARKER  # noqa: E402,F401  (the fixture store names carry it)
 
 STORES_SQL = """
 SELECT s.s_suppkey AS id,
