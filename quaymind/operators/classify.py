@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymind.functions.text import alnum_word_set, py_strip, tokens, word_set
-from quaymind.functions.vocab import LITERAL_TERMS_LIMIT, lit_array, terms
+from quaymind.functions.vocab import LITERAL_TERMS_LIMIT, lit_array
 from quaymind import fixed as X
 
 # word boundary as in Python's \b for word-like terms: no letter, digit or _

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaymind.functions import text as T
 from quaymind.operators import classify as C
 from quaymind.operators import documents as D
 from quaymind.plans import oracle_sql as O

@@ -11,7 +11,7 @@ from quaymind.operators import project as P
 from quaymind.operators import recommend as R
 from quaymind.operators.documents import split_sections
 from quaymind.plans import oracle_sql as O
-from quaymind.plans.q_classify import ALNUM, ESC_SQL, LOCATION_SUBQ, WORDS, _lst, _ranked, _vocab
+from quaymind.plans.q_classify import ALNUM, LOCATION_SUBQ, WORDS, _lst, _ranked
 from quaymind.plans.q_recommend import DIVERSE_CTES, HITS_CTES, diverse, search_hits
 from quaymind.plans.q_text import LABEL_REPLIES_DUCK, _label_replies_spark, label_sql
 from quaymind.plans.registry import query

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from quaymind.operators import profile as G
 from quaymind.plans import oracle_sql as O
 from quaymind.plans.registry import query

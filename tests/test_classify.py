@@ -4,8 +4,6 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-
 from quaymind.operators import classify as C
 
 TERMS = ["middle east", "nation_1", "nation_10", "asia", "east", "kl", "kl sentral", "st. john"]

@@ -1,8 +1,6 @@
 """Model-call failure paths, sources and column placement."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from quaymind.operators.infer import ProviderError, generate_replies
 from quaymind.operators.project import reorder_columns, sanitize_text
 from quaymind.sources.tables import load_knowledge_base, scan_stores

@@ -1,7 +1,5 @@
 """Recipes: compositions over U1 with a scripted provider."""
 
-from pyspark.sql import functions as F
-
 from quaymind.plans import recipes as RC
 
 
