@@ -174,12 +174,12 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     ship_package(spark)
     schema = f"{query_id} bigint, " + ", ".join(f"{c} bigint" for c in key_cols) + ", score double"
     if k <= 0:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1)).select(
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1).cast("long")).select(
             query_id, "rank", *key_cols, "score")
     q = queries.select(F.col(query_id).cast("long").alias(query_id), F.col(query_vec).alias("_qv"))
     first = q.select(F.size("_qv").alias("d")).head(1)
     if not first:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1)).select(
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1).cast("long")).select(
             query_id, "rank", *key_cols, "score")
     dim = int(first[0]["d"])
     corpus_sel = corpus.select(*[F.col(c).cast("long").alias(c) for c in key_cols],
