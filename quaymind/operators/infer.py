@@ -71,20 +71,19 @@ class EchoProvider:
 
     Replies with the model name and the last line of the prompt; fails with
     a retryable status, a hard error, or a blank reply for a fixed share of
-    prompts (by a stable hash) so every branch of U1 runs.
+    prompts (by prompt length) so every branch of U1 runs.
     """
 
     def __init__(self, fail_model: str = "primary"):
         self.fail_model = fail_model
 
     def generate(self, prompt: str, model: str) -> str:
-        import zlib
-        h = zlib.crc32(prompt.encode("utf-8"))
-        if model == self.fail_model and h % 7 == 0:
+        n = len(prompt)
+        if model == self.fail_model and n % 7 == 0:
             raise ProviderError(503, "overloaded")
-        if h % 11 == 0:
+        if n % 11 == 0:
             raise ProviderError(400, "bad request")
-        if h % 13 == 0:
+        if n % 13 == 0:
             return "   "
         last = prompt.strip().splitlines()[-1] if prompt.strip() else ""
         return f"[{model}] {last[:60]}"

@@ -70,7 +70,7 @@ def t1(spark, sf):
     out = S.stream_route(stream, _label_replies_spark(spark), spark.table("kb"), V, _ranked(spark))
     sink = f"{base}/out-{_run_id()}"
     S.run_available_now(out, sink, f"{sink}-ckpt")
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("text")
 
 
 @query("t2_stream_carry_query")
@@ -84,7 +84,9 @@ def t2(spark, sf):
     stream = spark.readStream.schema(inp.schema).parquet(src)
     sink = f"{base}/out-{_run_id()}"
     S.run_available_now(S.stream_carry_query(stream), sink, f"{sink}-ckpt")
-    return spark.read.parquet(sink)
+    out = spark.read.parquet(sink)
+    return out.select("conv_id", "turn", "effective_query",
+                      F.array_join("preferred_handles", "|").alias("preferred_handles"))
 
 
 def _run_id() -> str:
@@ -223,3 +225,65 @@ def r_intro(spark, sf):
         .withColumn("query", F.concat(F.lit("phones like "), F.col("query_id").cast("string")))
     out = RC.recommendation_intro(rows, spark.sql(PAIRS_SQL), _provider, model="secondary")
     return out.select("query_id", "position", "handle", "reply")
+
+
+# ---- oracles for the writer / stream jobs whose results SQL can state ----------
+
+def _attach_oracles():
+    from quaymind.plans import oracle_sql as O
+    from quaymind.plans.q_classify import ESC_SQL
+    from quaymind.plans.q_documents import HANDLES_SQL, W4_CTES, _refine_sql
+    from quaymind.plans.q_match import KB_FIRST, ROUTE_CTES
+    from quaymind.plans.q_profile import ROW_HASH_SQL
+    from quaymind.plans.registry import REGISTRY
+
+    store_in = ("SELECT e.vec_id AS product_id, e.vec_id * 10 + 1 AS variant_id, c.vendor, c.product_type, c.handle, "
+                "c.color, c.spec, c.condition, c.tenure, c.price FROM embeddings e LEFT JOIN catalog c "
+                "ON c.product_id = e.vec_id AND c.variant_id = e.vec_id * 10 + 1")
+    fp = O.sql(["catalog"], [("si", store_in), ("h", f"SELECT {ROW_HASH_SQL} AS h FROM si"),
+                             ("w", "SELECT count(*) AS row_count, " + ", ".join(
+                                 f"coalesce(sum(CAST(CAST(('0x' || substr(h, {1 + 16 * i}, 16)) AS UHUGEINT) AS HUGEINT)), 0) AS s{i}"
+                                 for i in range(4)) + " FROM h")],
+               "SELECT sha256(concat_ws(':', CAST(row_count AS VARCHAR), " + ", ".join(
+                   f"CAST(s{i} % CAST('18446744073709551616' AS HUGEINT) AS VARCHAR)" for i in range(4))
+               + ")) AS fingerprint, 'given-64' AS model, row_count, CAST(NULL AS BIGINT) AS \"limit\" FROM w")
+    REGISTRY["a6_write_embedding_store"].oracle = fp
+    REGISTRY["a7_read_embedding_store"].oracle = O.sql(["catalog"], [("si", store_in)],
+                                                       "SELECT product_id, variant_id, handle, 'given-64' AS asked FROM si")
+    REGISTRY["v5_build_store"].oracle = O.sql(["catalog"], [], "SELECT product_id, variant_id, 64 AS dims, handle, price FROM catalog")
+    lb = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+    last = f"left(list_last(string_split_regex({O.strip('prompt')}, '{lb}')), 60)"
+    REGISTRY["u1_generate_replies"].oracle = O.sql(["messages"], [
+        ("p", "SELECT conv_id, turn, concat('Answer briefly.', chr(10), text) AS prompt FROM messages WHERE role = 'user'"),
+        ("c", """SELECT *, length(prompt) % 7 = 0 AS retry, length(prompt) % 11 = 0 AS bad,
+            length(prompt) % 13 = 0 AS blank FROM p""")], f"""
+SELECT conv_id, turn, prompt,
+  CASE WHEN bad THEN NULL WHEN blank THEN '' ELSE {O.strip(f"concat('[', CASE WHEN retry THEN 'secondary' ELSE 'primary' END, '] ', {last})")} END AS reply,
+  CASE WHEN bad THEN 'ProviderError: bad request' END AS error,
+  CASE WHEN retry THEN 'secondary' ELSE 'primary' END AS model_used
+FROM c""")
+    REGISTRY["a10_replace_table"].oracle = O.sql(["kb", "stores"], [], """
+SELECT 'kb' AS "table", 'answer,keyword,ordinal' AS columns, ordinal AS id FROM kb
+UNION ALL SELECT 'stores', 'id,name,whatsappLink,location,operatingHours', id FROM stores""")
+    REGISTRY["t1_stream_route"].oracle = O.sql(["messages", "locations", "route_labels", "kb"], ROUTE_CTES + [
+        ("esc", f"SELECT conv_id, turn, {ESC_SQL} AS r FROM messages WHERE role = 'user'")], """
+SELECT r.conv_id, r.turn, coalesce(r.intercept, r.lmatch) AS match,
+  CASE WHEN r.intercept IS NOT NULL THEN 1.0 ELSE r.lscore END AS score,
+  CASE WHEN r.intercept IS NOT NULL THEN NULL ELSE k.ordinal END AS kb_ordinal,
+  CASE WHEN r.intercept IS NOT NULL THEN r.intercept ELSE k.keyword END AS keyword,
+  CASE WHEN r.intercept IS NOT NULL THEN NULL ELSE k.answer END AS answer,
+  e.r <> '' AS escalate, e.r AS escalation_response
+FROM routed r LEFT JOIN kbf k ON r.intercept IS NULL AND r.lmatch <> 'PRODUCT_ENQUIRE' AND lower(r.lmatch) = k.k
+JOIN esc e ON e.conv_id = r.conv_id AND e.turn = r.turn""")
+    REGISTRY["t2_stream_carry_query"].oracle = O.sql(["messages"], W4_CTES + [
+        ("hs", HANDLES_SQL.replace("STRING", "VARCHAR")),
+        ("r", f"""SELECT conv_id, turn, {_refine_sql()} AS refine,
+            last_value(handles IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM hs""")], """
+SELECT w.conv_id, w.turn, w.eff AS effective_query,
+  CASE WHEN r.refine THEN coalesce(array_to_string(r.prev, '|'), '') ELSE '' END AS preferred_handles
+FROM walk w JOIN r ON r.conv_id = w.conv_id AND r.turn = w.turn""")
+    _ = KB_FIRST
+
+
+_attach_oracles()

@@ -130,7 +130,7 @@ SELECT conv_id, turn, text AS query,
   CASE (conv_id + turn) % 7
     WHEN 0 THEN concat('{"search_query": "', split_part(text, ' ', 1), ' phone", "recommended_model": "',
                        split_part(text, ' ', 2), '", "price_min": 1000, "price_max": 3000}')
-    WHEN 1 THEN '```json\\n{"search_query": "budget phones", "price_max": "2,500"}\\n```'
+    WHEN 1 THEN concat('```json', chr(10), '{"search_query": "budget phones", "price_max": "2,500"}', chr(10), '```')
     WHEN 2 THEN '{"search_query": "", "price_min": "1,200", "price_max": "abc"}'
     WHEN 3 THEN '{}'
     WHEN 4 THEN '{"recommended_model": 42, "search_query": "x", "price_min": true}'
@@ -257,3 +257,44 @@ def c17(spark, sf):
     lo = F.when(F.col("vec_id") % 3 == 0, F.lit(None).cast("double")).otherwise(F.lit(2750.0))
     hi = F.when(F.col("vec_id") % 2 == 0, F.lit(2950.5)).otherwise(F.lit(None).cast("double"))
     return e.select(F.col("vec_id").alias("query_id"), T.price_line(lo, hi).alias("price_line"))
+
+
+def _c12_oracle() -> str:
+    t = O.strip("coalesce(reply, '')")
+    unf = O.strip(f"regexp_replace(regexp_replace({t}, '^`+|`+$', '', 'g'), 'json', '')")
+    body = f"(CASE WHEN starts_with({t}, '```') THEN {unf} ELSE {t} END)"
+
+    def price(key: str) -> str:
+        k = f"json_type(js, '$.{key}')"
+        txt = O.strip(f"replace(json_extract_string(js, '$.{key}'), ',', '')")
+        return (f"CASE WHEN {k} IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT') THEN CAST(json_extract(js, '$.{key}') AS DOUBLE) "
+                f"WHEN {k} = 'BOOLEAN' THEN CASE WHEN json_extract_string(js, '$.{key}') = 'true' THEN 1.0 ELSE 0.0 END "
+                f"WHEN {k} = 'VARCHAR' AND regexp_matches({txt}, '{O.NUMBER_RE}') THEN CAST({txt} AS DOUBLE) END")
+    return f"""
+WITH {', '.join(f'{n} AS ({b})' for n, b in [])}plan AS ({PLAN_REPLIES_SQL.replace('STRING', 'VARCHAR')}),
+b AS (SELECT conv_id, turn, query, {body} AS body FROM plan),
+j AS (SELECT *, CASE WHEN coalesce(json_valid(body), false) THEN body ELSE 'null' END AS js FROM b),
+k AS (SELECT *, json_type(js) = 'OBJECT' AS is_obj, json_type(js, '$.search_query') AS sqk FROM j),
+e AS (SELECT *, CASE WHEN NOT is_obj THEN concat('non-JSON reply: ', body)
+                     WHEN sqk IS NOT NULL AND sqk <> 'VARCHAR' THEN 'search_query is not a string' END AS error FROM k)
+SELECT conv_id, turn,
+  CASE WHEN error IS NULL THEN CASE WHEN coalesce({O.strip("json_extract_string(js, '$.search_query')")}, '') = ''
+       THEN {O.strip('query')} ELSE {O.strip("json_extract_string(js, '$.search_query')")} END END AS search_query,
+  CASE WHEN error IS NULL THEN CASE WHEN json_type(js, '$.recommended_model') = 'VARCHAR'
+       THEN {O.strip("json_extract_string(js, '$.recommended_model')")} ELSE '' END END AS recommended_model,
+  CASE WHEN error IS NULL THEN {price('price_min')} END AS price_min,
+  CASE WHEN error IS NULL THEN {price('price_max')} END AS price_max,
+  error
+FROM e"""
+
+
+def _attach_c12():
+    from quaymind.plans.registry import REGISTRY
+    from quaymind.sources.fixtures import with_views
+    sql = _c12_oracle()
+    # the plan replies read the messages view: prepend the shared views it needs
+    head = with_views(["messages"], "")
+    REGISTRY["c12_parse_query_plan"].oracle = head.rstrip() + ",\n" + sql.strip()[len("WITH "):]
+
+
+_attach_c12()
