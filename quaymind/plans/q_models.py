@@ -287,3 +287,98 @@ FROM walk w JOIN r ON r.conv_id = w.conv_id AND r.turn = w.turn""")
 
 
 _attach_oracles()
+
+
+def _echo_sql(prompt: str, model: str, *, fail_model: str = "primary", fallback: str | None = None,
+              default: str | None = None) -> tuple[str, str, str]:
+    """(reply, error, model_used) of U1 with the stand-in provider, in DuckDB."""
+    from quaymind.plans import oracle_sql as O
+    lb = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+    n = f"length({prompt})"
+    retry = f"({n} % 7 = 0)" if model == fail_model else "false"
+    used = f"CASE WHEN {retry} AND {'true' if fallback else 'false'} THEN '{fallback or model}' ELSE '{model}' END"
+    last = f"left(list_last(string_split_regex({O.strip(prompt)}, '{lb}')), 60)"
+    ok = O.strip(f"concat('[', {used}, '] ', {last})")
+    hard = f"(({retry} AND {'false' if fallback else 'true'}) OR {n} % 11 = 0)"
+    err_txt = f"CASE WHEN {retry} AND {'false' if fallback else 'true'} THEN 'ProviderError: overloaded' ELSE 'ProviderError: bad request' END"
+    d = "NULL" if default is None else f"'{default}'"
+    blank = "''" if default is None else d
+    reply = f"CASE WHEN {hard} THEN {d} WHEN {n} % 13 = 0 THEN {blank} ELSE {ok} END"
+    error = f"CASE WHEN {hard} AND {'true' if default is None else 'false'} THEN {err_txt} END"
+    return reply, error, used
+
+
+def _attach_recipe_oracles():
+    from quaymind.plans import oracle_sql as O
+    from quaymind.plans.registry import REGISTRY
+    um = "SELECT conv_id, turn, text FROM messages WHERE role = 'user'"
+    # emotion: replies are never JSON, so every emotion is ''
+    REGISTRY["u1_recipe_emotion"].oracle = O.sql(["messages"], [("um", um)],
+                                                 "SELECT conv_id, turn, text, '' AS emotion FROM um")
+    sp = ("concat('Answer politely, then suggest a product from this list.', chr(10), chr(10), 'Products:', chr(10), "
+          "'[{\"handle\": \"sample-phone\", \"price\": 1000}]', chr(10), chr(10), 'Message: \"', text, '\"')")
+    r, e, u = _echo_sql("prompt", "primary")
+    REGISTRY["u1_recipe_sales_redirect"].oracle = O.sql(["messages"], [("um", um), ("p", f"SELECT *, {sp} AS prompt FROM um")],
+                                                        f"SELECT conv_id, turn, text, {r} AS reply, {e} AS error, {u} AS model_used FROM p")
+    tr = [("h", f"SELECT conv_id, turn, {O.strip('text')} AS t FROM history WHERE {O.strip('text')} <> ''"),
+          ("tr", "SELECT conv_id, array_to_string(list(t ORDER BY turn), chr(10)) AS transcript FROM h GROUP BY conv_id")]
+    sprompt = ("concat('Update the summary in at most three sentences.', chr(10), chr(10), 'Previous summary:', chr(10), "
+               "coalesce(concat('asked: ', q.question), ''), chr(10), chr(10), 'New messages:', chr(10), tr.transcript)")
+    r, e, _ = _echo_sql("prompt", "secondary")
+    REGISTRY["u1_recipe_summarise"].oracle = O.sql(["history", "questions"], tr + [
+        ("p", f"SELECT q.conv_id, {sprompt} AS prompt FROM questions q JOIN tr ON tr.conv_id = q.conv_id"),
+        ("kept", f"""SELECT q.conv_id, {O.strip("concat('asked: ', q.question)")} AS summary, CAST(NULL AS VARCHAR) AS error
+            FROM questions q LEFT JOIN tr ON tr.conv_id = q.conv_id WHERE tr.transcript IS NULL""")],
+        f"SELECT conv_id, {r} AS summary, {e} AS error FROM p UNION ALL SELECT * FROM kept")
+    lines = [("h", f"SELECT conv_id, turn, {O.strip('text')} AS t FROM history WHERE {O.strip('text')} <> ''"),
+             ("agg", "SELECT conv_id, list(t ORDER BY turn) AS lines FROM h GROUP BY conv_id"),
+             ("tl", f"""SELECT a.conv_id, CASE WHEN {O.strip("coalesce(q.question, '')")} <> ''
+                  AND lower(a.lines[len(a.lines)]) = lower({O.strip('q.question')}) THEN list_slice(a.lines, 1, len(a.lines) - 1)
+                  ELSE a.lines END AS lines FROM agg a LEFT JOIN questions q USING (conv_id)"""),
+             ("tr", "SELECT conv_id, CASE WHEN len(lines) > 0 THEN array_to_string(lines, chr(10)) END AS transcript FROM tl")]
+    eprompt = ("concat('Return the earlier reply that answers the question verbatim, or NO_MATCH.', chr(10), chr(10), "
+               f"'Question: \"', {O.strip('q.question')}, '\"', chr(10), chr(10), 'Transcript:', chr(10), tr.transcript)")
+    r, e, _ = _echo_sql("prompt", "secondary")
+    rr = f"coalesce({r}, '')"
+    REGISTRY["u1_recipe_earlier_reply"].oracle = O.sql(["history", "questions"], lines + [
+        ("ok", f"""SELECT q.conv_id, {eprompt} AS prompt FROM questions q JOIN tr ON tr.conv_id = q.conv_id
+            WHERE tr.transcript IS NOT NULL AND {O.strip("coalesce(q.question, '')")} <> ''"""),
+        ("skipped", "SELECT conv_id, CAST(NULL AS VARCHAR) AS reply, CAST(NULL AS VARCHAR) AS error FROM questions "
+                    "WHERE conv_id NOT IN (SELECT conv_id FROM ok)")], f"""
+SELECT conv_id, CASE WHEN {O.strip(rr)} = '' OR lower({O.strip(rr)}) = 'no_match' THEN NULL ELSE {O.strip(rr)} END AS reply,
+  {e} AS error FROM ok UNION ALL SELECT * FROM skipped""")
+
+
+_attach_recipe_oracles()
+
+
+def _attach_more_recipe_oracles():
+    from quaymind.plans import oracle_sql as O
+    from quaymind.plans.q_match import KB_FIRST
+    from quaymind.plans.q_text import label_sql
+    from quaymind.plans.registry import REGISTRY
+    um = "SELECT conv_id, turn, text FROM messages WHERE role = 'user'"
+    rp = ("concat('Turn the shopping request into JSON with keys search_query, recommended_model, price_min, price_max.', "
+          "chr(10), 'Query: ', text)")
+    r, e, _ = _echo_sql("prompt", "primary")
+    REGISTRY["u1_recipe_rewrite_queries"].oracle = O.sql(["messages"], [
+        ("um", um), ("p", f"SELECT *, {rp} AS prompt FROM um"),
+        ("g", f"SELECT conv_id, turn, text, {r} AS reply, {e} AS err FROM p")], f"""
+SELECT conv_id, turn, text, CAST(NULL AS VARCHAR) AS search_query, CAST(NULL AS VARCHAR) AS recommended_model,
+  CAST(NULL AS DOUBLE) AS price_min, CAST(NULL AS DOUBLE) AS price_max,
+  coalesce(err, concat('non-JSON reply: ', {O.strip("coalesce(reply, '')")})) AS error FROM g""")
+    opts = f"SELECT string_agg(concat('- ', {O.strip('keyword')}), chr(10) ORDER BY ordinal) AS o FROM kb"
+    lp = ("concat('Pick the option that answers the message, or NO_MATCH.', chr(10), chr(10), 'Options:', chr(10), "
+          "opts.o, chr(10), chr(10), 'Message: ', um.text)")
+    r, e, _ = _echo_sql("prompt", "primary", fallback="secondary")
+    lab, score = label_sql("coalesce(reply, '')")
+    REGISTRY["u1_recipe_label_messages"].oracle = O.sql(["messages", "kb"], [
+        ("um", um), ("opts", opts), ("p", f"SELECT um.*, {lp} AS prompt FROM um, opts"),
+        ("g", f"SELECT conv_id, turn, text, {r} AS reply, {e} AS error FROM p"),
+        ("l", f"SELECT conv_id, turn, text, {lab} AS match, {score} AS score, error FROM g"),
+        ("kbf", KB_FIRST)], """
+SELECT l.conv_id, l.turn, l.text, l.match, l.score, l.error, f.ordinal AS kb_ordinal, f.keyword, f.answer
+FROM l LEFT JOIN kbf f ON l.match <> 'PRODUCT_ENQUIRE' AND lower(l.match) = f.k""")
+
+
+_attach_more_recipe_oracles()
