@@ -171,7 +171,7 @@ def _fk_sql():
     return "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {o}, '{k}')" for s, o, k in rows) + ") AS t(section, ordinal, keyword)"
 
 
-@query("j8_faq_section", O.sql(["faq_docs", "messages"], sections_sql("faq_docs") + [
+J8_CTES = sections_sql("faq_docs") + [
     ("fk", _fk_sql()),
     ("um", "SELECT conv_id, turn, text, conv_id AS doc_id FROM messages WHERE role = 'user'"),
     ("cnt", """SELECT um.conv_id, um.turn, fk.section, min(fk.ordinal) AS o,
@@ -179,11 +179,15 @@ def _fk_sql():
         GROUP BY um.conv_id, um.turn, fk.section"""),
     ("best", """SELECT conv_id, turn, section FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn
         ORDER BY n DESC, o) AS rn FROM cnt) WHERE rn = 1 AND n > 0"""),
-    ("alltext", "SELECT doc_id, string_agg(text, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY position) AS t FROM sections GROUP BY doc_id")], """
+    ("alltext", "SELECT doc_id, string_agg(text, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY position) AS t FROM sections GROUP BY doc_id")]
+J8_SELECT = """
 SELECT um.conv_id, um.turn, b.section AS best_section, coalesce(s.text, a.t) AS faq_text
 FROM um LEFT JOIN best b ON um.conv_id = b.conv_id AND um.turn = b.turn
 LEFT JOIN sections s ON s.doc_id = um.doc_id AND s.section = b.section
-LEFT JOIN alltext a ON a.doc_id = um.doc_id"""))
+LEFT JOIN alltext a ON a.doc_id = um.doc_id"""
+
+
+@query("j8_faq_section", O.sql(["faq_docs", "messages"], J8_CTES, J8_SELECT))
 def j8(spark, sf):
     """J8 best FAQ section (keyword phrase count) for every user message."""
     register(spark, sf)

@@ -382,3 +382,35 @@ FROM l LEFT JOIN kbf f ON l.match <> 'PRODUCT_ENQUIRE' AND lower(l.match) = f.k"
 
 
 _attach_more_recipe_oracles()
+
+
+def _attach_faq_store_oracles():
+    from quaymind.plans import oracle_sql as O
+    from quaymind.plans.q_classify import ALNUM, _lst
+    from quaymind.plans.q_match import J8_CTES, J8_SELECT, LOC_MSG_CTES
+    from quaymind.plans.recipes import DEFAULT_FAQ_REPLY
+    from quaymind.plans.registry import REGISTRY
+    is_faq = (f"(list_bool_or(list_transform({_lst(V['strong_faq'])}, lambda s: strpos(replace(replace(lower(text), '-', ''), ' ', ''), s) > 0))"
+              f" OR len(list_intersect({ALNUM}, {_lst(V['weak_faq'])})) >= 2)")
+    fp = ("concat('Answer only from the FAQ extract.', chr(10), chr(10), 'Question: \"', text, '\"', chr(10), chr(10), "
+          "'FAQ extract:', chr(10), faq_text)")
+    r, e, u = _echo_sql("prompt", "primary", default=DEFAULT_FAQ_REPLY)
+    j8 = J8_SELECT.replace("SELECT um.conv_id, um.turn, b.section", "SELECT um.conv_id, um.turn, um.text, um.doc_id, b.section")
+    REGISTRY["u1_recipe_faq_answer"].oracle = O.sql(["faq_docs", "messages"], J8_CTES + [
+        ("sec", j8), ("p", f"SELECT *, {fp} AS prompt FROM sec WHERE {is_faq}")],
+        f"SELECT conv_id, turn, text, doc_id, best_section, faq_text, {r} AS reply, {e} AS error, {u} AS model_used FROM p")
+    lines = ("array_to_string(list_transform(list_slice(a.act, 1, 5), lambda x: concat('- ', x.n, ': ', x.l, ' | Hours: ', "
+             "x.h, ' | WhatsApp: ', x.w)), chr(10))")
+    blocks = ("array_to_string(list_transform(list_slice(a.act, 1, 5), lambda x: concat('\U0001F4CD ', x.n, chr(10), '\U0001F3E2 ', "
+              "x.l, chr(10), '\U0001F550 ', x.h, chr(10), '\U0001F4AC ', x.w)), concat(chr(10), chr(10)))")
+    sp = (f"concat('Reply in ', lm.language, ' listing these stores.', chr(10), chr(10), 'Message: \"', lm.text, '\"', "
+          f"chr(10), chr(10), 'Stores:', chr(10), coalesce({lines}, ''))")
+    r, e, u = _echo_sql("prompt", "primary", default="")
+    REGISTRY["u1_recipe_store_replies"].oracle = O.sql(["messages", "locations", "stores"], LOC_MSG_CTES + [
+        ("p", f"""SELECT lm.conv_id, lm.turn, lm.language, lm.location_term, {sp} AS prompt, coalesce({blocks}, '') AS store_list
+            FROM lm JOIN act a ON lm.conv_id = a.conv_id AND lm.turn = a.turn
+            WHERE lm.location_term IS NOT NULL AND coalesce(a.n_active, 0) + coalesce(a.n_closed, 0) > 0""")], f"""
+SELECT conv_id, turn, language, location_term, CASE WHEN {r} = '' THEN store_list ELSE {r} END AS reply FROM p""")
+
+
+_attach_faq_store_oracles()
