@@ -414,3 +414,35 @@ SELECT conv_id, turn, language, location_term, CASE WHEN {r} = '' THEN store_lis
 
 
 _attach_faq_store_oracles()
+
+
+def _attach_intro_oracle():
+    from quaymind.plans import oracle_sql as O
+    from quaymind.plans.q_documents import PAIRS_SQL
+    from quaymind.plans.q_recommend import DIVERSE_CTES
+    from quaymind.plans.registry import REGISTRY
+    r, _, _ = _echo_sql("prompt", "secondary", default="")
+    ip = ("concat('Write a one-sentence intro for these options.', chr(10), chr(10), 'History:', chr(10), "
+          "coalesce(m.history_text, 'None'), chr(10), chr(10), 'Query: ', c.query, chr(10), chr(10), 'Options:', chr(10), c.cat)")
+    ph = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+    REGISTRY["u1_recipe_recommendation_intro"].oracle = O.sql(["catalog", "messages"], DIVERSE_CTES + [
+        ("rows_", "SELECT *, query_id % 100 AS conv_id, concat('phones like ', CAST(query_id AS VARCHAR)) AS query FROM diverse"),
+        ("cat", """SELECT query_id, conv_id, query, string_agg(concat('- ', concat_ws(' | ', handle, color, spec, condition, price)),
+            chr(10) ORDER BY position) AS cat FROM rows_ GROUP BY query_id, conv_id, query"""),
+        ("pairs", PAIRS_SQL),
+        ("ilast3", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM pairs)
+            WHERE rn <= 3 AND length(user_text) > 0 AND length(bot_text) > 0"""),
+        ("iagg", """SELECT conv_id, string_agg(concat('User: ', user_text, chr(10), 'Bot: ', bot_text), chr(10) ORDER BY turn) AS h
+            FROM ilast3 GROUP BY conv_id"""),
+        ("mem", "SELECT DISTINCT p.conv_id, coalesce(a.h, '') AS history_text FROM pairs p LEFT JOIN iagg a USING (conv_id)"),
+        ("ip", f"SELECT c.query_id, {ip} AS prompt FROM cat c LEFT JOIN mem m ON m.conv_id = c.conv_id"),
+        ("rep", f"SELECT query_id, {r} AS reply FROM ip"),
+        ("mm", f"""SELECT r.query_id, r.position, r.handle, rep.reply,
+            coalesce({ph.format(x="rep.reply")} <> '' AND {ph.format(x=O.blank('r.handle'))} <> ''
+              AND strpos({ph.format(x="rep.reply")}, {ph.format(x=O.blank('r.handle'))}) > 0, false) AS m
+            FROM rows_ r LEFT JOIN rep USING (query_id)"""),
+        ("fm", "SELECT query_id, bool_or(m) AS anym FROM mm GROUP BY query_id")], """
+SELECT mm.query_id, mm.position, mm.handle, mm.reply FROM mm JOIN fm USING (query_id) WHERE mm.m OR NOT fm.anym""")
+
+
+_attach_intro_oracle()
