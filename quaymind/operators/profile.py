@@ -74,6 +74,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
             (F.col(f"_tx{i}") if tmp else F.lit(None).cast("string")).alias("max_time"),
         ))
     stats = row.select(F.inline(F.array(*items)))
+    # one row per column on both sides: the broadcast is bounded by the column count
     out = stats.join(F.broadcast(distinct_counts(df)), "name", "left")
     return out.select("ordinal", "name", "type", "nullable", "null_pct",
                       F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
@@ -158,17 +159,10 @@ def profile_json(df: DataFrame, table: str, top_n: int = 10, sample: int = 10,
     colsj = cols.agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*[c for c in cols.columns if c != "ordinal"]).alias("c")))),
                                  lambda x: x["c"]).alias("columns"))
     rc = df.agg(F.count(F.lit(1)).alias("row_count"))
-    return _one_row_json(rc, colsj, samples, table)
-
-
-def _one_row_json(rc: DataFrame, colsj: DataFrame, samples: DataFrame, table: str) -> DataFrame:
-    # three one-row frames; joined on a constant key (not a cross product)
-    k = F.lit(1).alias("_k")
-    a = rc.select(k, "*")
-    b = colsj.select(k, "*")
-    c = samples.select(k, "*")
-    j = a.join(b, "_k").join(c, "_k")
-    return j.select(F.to_json(F.struct(F.lit(table).alias("table"), "row_count", "columns", "samples")).alias("profile"))
+    # three one-row aggregates combined as scalar subqueries (no join)
+    doc = F.struct(F.lit(table).alias("table"), rc.scalar().alias("row_count"),
+                   colsj.scalar().alias("columns"), samples.scalar().alias("samples"))
+    return df.sparkSession.range(1).select(F.to_json(doc).alias("profile"))
 
 
 def valid_profile(col: Column | str) -> Column:
