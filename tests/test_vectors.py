@@ -44,3 +44,16 @@ def test_k_edges(spark):
     assert vector_topk(qdf, cdf, 10).count() == 3          # k capped at corpus size
     assert vector_topk(qdf, cdf, 0).count() == 0           # k <= 0
     assert vector_topk(qdf, cdf.limit(0), 5).count() == 0  # empty corpus
+
+
+def test_block_path_many_blocks(spark, monkeypatch):
+    import quaymind.operators.vectors as VX
+    monkeypatch.setattr(VX, "BLOCK_QUERY_BYTES", 8 * 8 * 5)     # ~5 queries per block
+    monkeypatch.setattr(VX, "BLOCK_PAIR_BYTES", 8 * 8 * 20)     # ~20 corpus rows per block
+    rng = np.random.default_rng(11)
+    c = [(i, 1, rng.normal(size=8).astype(np.float32)) for i in range(90)]
+    q = [(j, rng.normal(size=8).astype(np.float32)) for j in range(17)]
+    qdf, cdf = frames(spark, q, c)
+    got = sorted(tuple(r) for r in vector_topk(qdf, cdf, 7, broadcast_bytes=1).collect())
+    exp = brute(q, c, 7)
+    assert [g[:4] for g in got] == [e[:4] for e in exp]
