@@ -96,8 +96,10 @@ def storage_key(col) -> Column:
     text = F.lower(str_or_blank(col))
     qty = F.regexp_extract(text, r"(\d+)\s*(tb|gb)?", 1)
     unit = F.regexp_extract(text, r"(\d+)\s*(tb|gb)?", 2)
+    huge = F.lit(2 ** 63 - 1).cast("bigint")  # beyond 64 bits: sorts after every real size
     gb = F.when(qty == "", F.lit(10 ** 9).cast("bigint")).otherwise(
-        F.when(unit == "tb", qty.try_cast("bigint") * 1024).otherwise(qty.try_cast("bigint")))
+        F.when(unit == "tb", F.coalesce(F.try_multiply(qty.try_cast("bigint"), F.lit(1024).cast("bigint")), huge))
+         .otherwise(F.coalesce(qty.try_cast("bigint"), huge)))
     return F.struct(gb.alias("gb"), text.alias("text"))
 
 
