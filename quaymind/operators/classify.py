@@ -80,7 +80,7 @@ def _ngrams(seqs: Column, max_n: int, firsts: dict[int, list[str]] | None = None
             starts = F.filter(F.sequence(F.lit(1), F.greatest(m - n + 1, F.lit(1))), lambda i: i <= m - n + 1)
             if firsts is not None:
                 fw = lit_array(firsts.get(n, []))
-                starts = F.filter(starts, lambda i: F.array_contains(fw, F.element_at(w, i)))
+                starts = F.filter(starts, lambda i: F.array_contains(fw, F.try_element_at(w, i)))
             return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
         return grams
 

@@ -79,7 +79,7 @@ def transcript(turns: DataFrame, *, conv: str = "conv_id", order: str = "turn",
     lines = F.transform(F.col("_items"), lambda x: x["t"])
     if questions is not None:
         agg = agg.join(questions.select(conv, question), conv, "left")
-        last = F.element_at(lines, -1)
+        last = F.try_element_at(lines, F.lit(-1))
         drop = F.coalesce(F.lower(last) == F.lower(py_strip(F.col(question))), F.lit(False)) & \
             (py_strip(F.coalesce(F.col(question), F.lit(""))) != "")
         lines = F.when(drop, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)

@@ -59,7 +59,7 @@ def scan_stores(spark: SparkSession, path: str, schema: str = STORES_SCHEMA) ->
         if name in STORE_TEXT:
             c = F.coalesce(py_strip(c), F.lit(""))
         elif name in fields:
-            c = py_strip(c).cast(fields[name])
+            c = py_strip(c).try_cast(fields[name])  # a malformed value becomes NULL, not a failed job
         cols.append(c.alias(name))
     return raw.select(*cols)
 
