@@ -29,12 +29,15 @@ def _sections_from_lines(lines: DataFrame, doc: str) -> DataFrame:
     """
     w = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tagged = lines.withColumn("sec", F.sum(F.col("is_heading").cast("int")).over(w))
-    heads = tagged.filter("is_heading").select(doc, "sec", F.col("name").alias("section"))
-    body = tagged.filter(~F.col("is_heading")).groupBy(doc, "sec").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]),
-                     "\n").alias("text"))
-    occ = body.join(heads, [doc, "sec"], "left") \
-        .withColumn("section", F.coalesce(F.col("section"), F.lit(GENERAL)))
+    body = F.when(~F.col("is_heading"), F.struct("pos", "line"))
+    # one aggregation per (doc, section id): heading name and body lines together
+    # (the window's doc partitioning already clusters these groups: no new shuffle)
+    occ = (tagged.groupBy(doc, "sec")
+           .agg(F.max(F.when(F.col("is_heading"), F.col("name"))).alias("_name"),
+                F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["line"]), "\n").alias("text"),
+                F.count(body).alias("_n"))
+           .filter(F.col("_n") > 0)
+           .withColumn("section", F.coalesce(F.col("_name"), F.lit(GENERAL))))
     return occ.groupBy(doc, "section").agg(
         F.min("sec").alias("position"), F.max_by("text", "sec").alias("text"))
 

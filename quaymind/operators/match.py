@@ -144,14 +144,14 @@ def faq_section(messages: DataFrame, keyword_map: DataFrame, sections: DataFrame
         F.lit(-i).alias("o"), F.lit(s).alias("s")) for i, s in enumerate(order)])
     best = F.array_max(scored)
     m = messages.withColumn("_best", F.when(best["n"] > 0, best["s"]))
-    sec = sections.select(F.col(doc).alias("_d"), F.col("section").alias("_s"), F.col("text").alias("_sec_text"))
-    alltext = sections.groupBy(doc).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]),
-                     X.ALL_SECTIONS_SEP).alias("_all"))
-    out = (m.join(sec, (F.col(doc) == F.col("_d")) & (F.col("_best") == F.col("_s")), "left")
-            .join(alltext.withColumnRenamed(doc, "_d2"), F.col(doc) == F.col("_d2"), "left"))
+    # one row per document: its sections in order and the all-sections text
+    per_doc = (sections.groupBy(doc)
+               .agg(F.array_sort(F.collect_list(F.struct("position", "section", "text"))).alias("_secs"))
+               .withColumn("_all", F.array_join(F.transform("_secs", lambda x: x["text"]), X.ALL_SECTIONS_SEP)))
+    out = m.join(per_doc, doc, "left")
+    chosen = F.try_element_at(F.filter("_secs", lambda x: x["section"] == F.col("_best")), F.lit(1))["text"]
     return out.select(*messages.columns, F.col("_best").alias("best_section"),
-                      F.coalesce(F.col("_sec_text"), F.col("_all")).alias("faq_text"))
+                      F.coalesce(chosen, F.col("_all")).alias("faq_text"))
 
 
 STORE_LOCATOR, STORE_NEEDS_LOCATION, FAQ = X.STORE_LOCATOR, X.STORE_NEEDS_LOCATION, X.FAQ
