@@ -44,42 +44,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints / intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (set by the cluster).
-    Only when it is unset (local tests) a scratch folder is created and set.
+    Only when it is unset in a local session (tests) a scratch folder is
+    created; on a cluster a missing setting is an error, because a folder of
+    one machine is not seen by the others.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="quaymind-ckpt-")
-    try:
-        spark.conf.set("spark.checkpoint.dir", local)
-    except Exception:  # static conf on some deployments; the context setting is enough
-        pass
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make the ``quaymind`` package importable in Python workers.
 
     Clusters normally ship it with ``--py-files``; when that was not done,
-    the package is zipped once into the shared checkpoint folder and added
-    with ``addPyFile``.
+    the package is zipped on the driver and handed to Spark's ``addPyFile``,
+    which copies it to every executor.
     """
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     py_files = spark.conf.get("spark.submit.pyFiles", "") or ""
     if "quaymind" not in py_files:
         import shutil
-        import uuid
         pkg = os.path.dirname(os.path.abspath(__file__))
-        base = os.path.join(checkpoint_dir(spark).replace("file:", ""), f"pyfiles-{uuid.uuid4().hex[:8]}")
-        os.makedirs(base, exist_ok=True)
-        archive = shutil.make_archive(os.path.join(base, "quaymind"), "zip", os.path.dirname(pkg), "quaymind")
-        sc.addPyFile(archive)
-    _SHIPPED.add(id(sc))
+        staged = tempfile.mkdtemp(prefix="quaymind-pyfiles-")
+        sc.addPyFile(shutil.make_archive(os.path.join(staged, "quaymind"), "zip", os.path.dirname(pkg), "quaymind"))
+    _SHIPPED.add(sc.applicationId)
