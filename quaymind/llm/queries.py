@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymind.llm import mixing, pii, quality, secrets, sharding, simhash
+from quaymind.llm import bpe, html_text, mixing, pii, preferences, quality, secrets, sharding, simhash, topk
 from quaymind.llm.common import read_table
 
 
@@ -18,14 +18,20 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": _over("documents", sharding.op1_sharding),
+    "op2_preferences": _over("conversations", preferences.op2_preferences),
+    "op3_html": _over("pages", html_text.op3_html),
     "op4_pii": _over("documents", pii.op4_pii),
     "op5_simhash": _over("documents", simhash.op5_simhash),
     "op6_quality": _over("documents", quality.op6_quality),
+    "op7_bpe": _over("documents", bpe.op7_bpe),
     "op8_mixing": _over("documents", mixing.op8_mixing),
     "op9_secrets": _over("documents", secrets.op9_secrets),
+    "op10_topk": _over("embeddings", topk.op10_topk),
 }
 
 ORACLES: dict[str, str] = {
+    "op2_preferences": preferences.ORACLE,
     "op6_quality": quality.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op10_topk": topk.ORACLE,
 }
