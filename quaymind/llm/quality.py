@@ -135,9 +135,11 @@ def _verdict(df: DataFrame) -> DataFrame:
     left = F.aggregate("lines", F.lit(0).cast("long"),
                        lambda a, x: a + F.when(F.array_contains(F.col("removed"), x["h"]), 0).otherwise(x["n"]))
     remaining = F.when(F.size("removed") == 0, F.col("n_words")).otherwise(left)
+    enough = (F.col("n_remaining") >= MIN_WORDS) & (F.col("n_remaining") >= F.col("n_words") * MIN_REMAINING)
+    # one CASE over both sides of the join: a filter on it stays above the join, where the measures are plain
+    # columns; split into conjuncts it would sink into the scan and compute them again in every place they are used
     return (df.withColumn("base_failed", failed).withColumn("n_remaining", remaining)
-            .withColumn("kept", ~failed & (F.col("n_remaining") >= MIN_WORDS)
-                        & (F.col("n_remaining") >= F.col("n_words") * MIN_REMAINING)))
+            .withColumn("kept", F.when(failed | F.col("removed").isNull(), F.lit(False)).otherwise(enough)))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
