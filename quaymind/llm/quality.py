@@ -1,7 +1,8 @@
 """Quality rules from cross-document line frequency.
 
-Every line of a text is normalised (lower case, digits as 0, white space
-collapsed) and hashed.  Per host (the ``source`` column) the number of distinct
+Every line of a text is normalised (lower case, white space collapsed) and
+hashed.  Digits stay: documents whose lines differ in numbers only are not
+furniture.  Per host (the ``source`` column) the number of distinct
 documents that hold a line is counted; exact copies of a text are one
 document, so a popular document is not mistaken for page furniture.  A line is
 removed when more than ``max(MIN_DOCUMENTS, MAX_SHARE of the host's distinct
@@ -80,8 +81,7 @@ def _strip(line: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    plain = F.regexp_replace(F.lower(_strip(line)), SPACE_CLASS + "+", " ")
-    return F.translate(plain, "123456789", "000000000")
+    return F.regexp_replace(F.lower(_strip(line)), SPACE_CLASS + "+", " ")
 
 
 def with_stats(df: DataFrame) -> DataFrame:
@@ -177,8 +177,7 @@ d AS (SELECT row_number() OVER () AS rid, *, coalesce(text, '') AS t,
              list_filter(regexp_split_to_array(coalesce(text, ''), '{_SQL_SPACE}'), lambda x: x <> '') AS ws
       FROM documents),
 ln AS (SELECT rid, source, text, unnest(string_split(t, chr(10))) AS line FROM d),
-nl AS (SELECT *, translate(regexp_replace(lower(trim(line, {_SQL_STRIP})), '{_SQL_SPACE}', ' ', 'g'),
-                           '123456789', '000000000') AS norm,
+nl AS (SELECT *, regexp_replace(lower(trim(line, {_SQL_STRIP})), '{_SQL_SPACE}', ' ', 'g') AS norm,
               len(list_filter(regexp_split_to_array(line, '{_SQL_SPACE}'), lambda x: x <> '')) AS n FROM ln),
 wl AS (SELECT * FROM nl WHERE n > 0),
 host AS (SELECT source, count(*) AS docs FROM (SELECT DISTINCT source, text FROM d) GROUP BY source),
