@@ -2,8 +2,7 @@
 
 All classifiers are column expressions over literal vocabularies, so a
 batch of messages is classified in one projection (no join, no shuffle).
-P3 falls back to a broadcast dictionary join when the dictionary is too
-large for a literal CASE chain.
+P3 also has a table form that joins a dictionary of any size.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymind.functions.text import alnum_word_set, py_strip, tokens, word_set
-from quaymind.functions.vocab import LITERAL_TERMS_LIMIT, lit_array
+from quaymind.functions.vocab import check_literal, lit_array
 from quaymind import fixed as X
 
 # word boundary as in Python's \b for word-like terms: no letter, digit or _
@@ -50,13 +49,22 @@ def location_pattern(term: str) -> str:
 
 
 def _ranked_terms(dictionary: DataFrame) -> list[str]:
-    """Distinct terms ordered longest first, then dictionary order."""
+    """Distinct terms ordered longest first, then dictionary order.
+
+    The list becomes part of an expression, so its bytes are checked; a larger
+    dictionary goes through ``detect_location``, whose result column the
+    routing operators take in place of the list.
+    """
     d = dictionary.groupBy("term").agg(F.min("ordinal").alias("ordinal"))
-    rows = (d.orderBy(F.length("term").desc(), "ordinal").select("term")
-            .limit(LITERAL_TERMS_LIMIT + 1).collect())
-    if len(rows) > LITERAL_TERMS_LIMIT:
-        return None
-    return [r["term"] for r in rows]
+    check_literal(d, "term", "the location dictionary")
+    return [r["term"] for r in d.orderBy(F.length("term").desc(), "ordinal").select("term").collect()]
+
+
+def location_term(text, known: list[str] | Column) -> Column:
+    """The detected term: from a ranked list, or the column that ``detect_location`` made."""
+    if known is None:
+        raise ValueError("no location terms: pass a list (empty for none) or the detected column")
+    return known if isinstance(known, Column) else detect_location_expr(text, known)
 
 
 _WORDLIKE = re.compile(r"^\w+( \w+)*$")
@@ -125,42 +133,41 @@ def detect_location_expr(text, ranked_terms: list[str]) -> Column:
     return best["t"]
 
 
-def detect_location(df: DataFrame, text: str, dictionary: DataFrame, out: str = "location_term",
-                    id_cols: list[str] | None = None) -> DataFrame:
-    """P3 over a message table.
+_WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
+def detect_location(df: DataFrame, text: str, dictionary: DataFrame, out: str = "location_term") -> DataFrame:
+    """P3 over a message table, the same way for a dictionary of any size.
 
-    Small dictionaries become literal expressions (no join).  Large ones
-    are matched by joining the messages' word n-grams with the dictionary
-    terms on equality (a hash join the planner sizes itself), keeping
-    min_by(term, (-length, ordinal)) per message.  Large dictionaries must
-    be word-like (words joined by single spaces); other terms are limited
-    to the literal path.
+    A term is looked up by its first word: the messages' words meet the
+    dictionary on equality (a hash join that the planner sizes itself), and
+    each candidate is then checked on word boundaries in the whole text.  Terms
+    without any word share the empty word.  Every message row keeps its own
+    result, also where rows are equal.
     """
-    ranked = _ranked_terms(dictionary)
-    if ranked is not None:
-        return df.withColumn(out, detect_location_expr(text, ranked))
-    id_cols = id_cols or [c for c in df.columns if c != text]
-    d = dictionary.groupBy("term").agg(F.min("ordinal").alias("_ord"))
-    if d.filter(~F.col("term").rlike("^[\\p{L}\\p{N}_]+( [\\p{L}\\p{N}_]+)*$")).limit(1).count():
-        raise ValueError("large dictionaries must hold word-like terms only")
-    max_n = d.agg(F.max(F.size(F.split("term", " ")))).head()[0] or 1
-    keyed = df
+    edge = lambda at, inside, outside: F.when(F.col("term").rlike(at), F.lit(outside)).otherwise(F.lit(inside))
+    quoted = F.concat(F.lit(r"\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    d = (dictionary.where(F.col("term") != "").groupBy("term").agg(F.min("ordinal").alias("_ord"))
+         .withColumn("_word", F.regexp_extract("term", _WORD_CHAR + "+", 0))
+         .withColumn("_pattern", F.concat(edge("^" + _WORD_CHAR, f"(?<={_WORD_CHAR})", WB_L), quoted,
+                                          edge(_WORD_CHAR + "$", f"(?={_WORD_CHAR})", WB_R))))
     msg = F.lower(F.col(text))
-    grams = _ngrams(F.regexp_extract_all(msg, F.lit("(" + WORD_RUNS + ")"), 1), int(max_n))
-    exploded = keyed.select(*id_cols, text, F.explode_outer(F.array_distinct(grams)).alias("term"))
-    hits = exploded.join(d, "term", "left")
-    return hits.groupBy(*id_cols, text).agg(
-        F.min_by(F.when(F.col("_ord").isNotNull(), F.col("term")), F.struct(
-            F.when(F.col("_ord").isNull(), F.lit(1)).otherwise(F.lit(0)), -F.length("term"), F.col("_ord"))).alias(out))
+    found = F.array_append(F.array_distinct(F.regexp_extract_all(F.coalesce(msg, F.lit("")), F.lit(_WORD_CHAR + "+"), F.lit(0))), F.lit(""))
+    asked = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_word", F.explode(found))
+    hit = F.when(F.coalesce(F.regexp_like(msg, F.col("_pattern")), F.lit(False)),
+                 F.struct((-F.length("term")).alias("n"), F.col("_ord").alias("o"), F.col("term").alias("t")))
+    return (asked.join(d, "_word", "left").withColumn("_hit", hit)
+            .groupBy("_row", *df.columns).agg(F.min("_hit").alias("_best"))
+            .select(*df.columns, F.col("_best.t").alias(out)))
 
 
-def is_location_query(text, strong: list[str], weak: list[str], ranked_terms: list[str]) -> Column:
+def is_location_query(text, strong: list[str], weak: list[str], ranked_terms: list[str] | Column) -> Column:
     """Any strong token; or 2+ distinct weak tokens; or <= 6 distinct
     tokens and a known location (P3)."""
     toks = word_set(text)
     return (F.arrays_overlap(toks, lit_array(strong)).eqNullSafe(True)
             | (F.size(F.array_intersect(toks, lit_array(weak))) >= 2)
-            | ((F.size(toks) <= 6) & detect_location_expr(text, ranked_terms).isNotNull()))
+            | ((F.size(toks) <= 6) & location_term(text, ranked_terms).isNotNull()))
 
 
 def is_faq_query(text, strong: list[str], weak: list[str]) -> Column:

@@ -10,9 +10,11 @@ default text when one is configured, otherwise an ``error`` value.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class ProviderError(Exception):
@@ -26,14 +28,13 @@ RETRYABLE = (503,)
 
 def generate_replies(df: DataFrame, prompt: str, provider_factory: Callable[[], object], *,
                      model: str, fallback_model: str | None = None, default_text: str | None = None,
-                     retry_status: tuple[int, ...] = RETRYABLE) -> DataFrame:
-    """Add ``reply``, ``error`` and ``model_used`` to every row."""
+                     retry_status: tuple[int, ...] = RETRYABLE, concurrency: int = 1) -> DataFrame:
+    """Add ``reply``, ``error`` and ``model_used`` to every row.
+
+    ``concurrency`` is the number of calls that one task has open at a time.
+    """
     from quaymind.session import ship_package
     ship_package(df.sparkSession)
-    out_schema = df.schema.simpleString()[len("struct<"):-1]
-    out_schema = f"{out_schema},reply:string,error:string,model_used:string" if out_schema else \
-        "reply:string,error:string,model_used:string"
-
     def call(client, text: str) -> tuple[str | None, str | None, str | None]:
         used = model
         try:
@@ -53,17 +54,18 @@ def generate_replies(df: DataFrame, prompt: str, provider_factory: Callable[[],
                 return default_text, None, used
             return None, f"{type(e).__name__}: {e}", used
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # only the prompts travel to Python; the other columns never leave the JVM
+    @F.pandas_udf("reply string, error string, model_used string")
+    def replies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         client = provider_factory()
-        for pdf in batches:
-            res = [call(client, "" if p is None else str(p)) for p in pdf[prompt].tolist()]
-            pdf = pdf.copy()
-            pdf["reply"] = [r[0] for r in res]
-            pdf["error"] = [r[1] for r in res]
-            pdf["model_used"] = [r[2] for r in res]
-            yield pdf
+        with ThreadPoolExecutor(concurrency) as pool:
+            for prompts in batches:
+                rows = list(pool.map(lambda p: call(client, "" if p is None else str(p)), prompts))
+                yield pd.DataFrame(rows, columns=["reply", "error", "model_used"])
 
-    return df.mapInPandas(run, f"struct<{out_schema}>")
+    # a call is not repeated where the plan reads its result more than once
+    answer = replies.asNondeterministic()(F.col(f"`{prompt}`"))
+    return df.withColumn("u1_answer", answer).select(*[F.col(f"`{c}`") for c in df.columns], "u1_answer.*")
 
 
 class EchoProvider:
@@ -86,4 +88,4 @@ class EchoProvider:
         if n % 13 == 0:
             return "   "
         last = prompt.strip().splitlines()[-1] if prompt.strip() else ""
-        return f"[{model}] {last[:60]}"
+        return f"[{model}] {last}"

@@ -1,11 +1,13 @@
 """Matching joins: knowledge base (J3), stores (J4), earlier replies (J7),
 FAQ sections (J8) and the routing / store-outcome compositions (P11, P12).
 
-Skew notes: every join here has one side with at most one row per key
+Skew notes: all joins but J4 have one side with at most one row per key
 (pre-aggregated knowledge base, one question per conversation, one
 section per (document, name)), so a hot key never multiplies rows; hot keys
 on the big side are split by AQE's skew join when the small side is too
-large to broadcast.
+large to broadcast.  J4's result is message x matching store by definition.
+Rows without a key stay out of the lookups' hot partition: they get keys of
+their own that match nothing.
 """
 
 from __future__ import annotations
@@ -15,17 +17,23 @@ from pyspark.sql import functions as F
 
 from quaymind import fixed as X
 from quaymind.functions.text import keywords, py_strip
-from quaymind.functions.vocab import lit_array
+from quaymind.functions.vocab import check_literal, lit_array
 from quaymind.operators import classify as C
 
 PRODUCT_LABEL = X.PRODUCT_LABEL
-BROADCAST_ROWS = 1_000_000  # rows of a dimension table shipped to every task
+BROADCAST_BYTES = 64 << 20  # of a dimension table shipped to every task
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _spread(key: Column) -> Column:
+    """The key, or one of 1024 texts that no key can be (they hold U+0000): rows
+    without a key do not meet in one partition."""
+    return F.coalesce(key, F.concat(F.lit("\x00none"), F.floor(F.rand(1) * 1024).cast("string")))
+
+
 def kb_match(labels: DataFrame, kb: DataFrame, label: str = "match") -> DataFrame:
     """The first knowledge-base row (lowest ``ordinal``) whose trimmed
     keyword equals the label case-insensitively; NULL columns when none.
@@ -37,7 +45,7 @@ def kb_match(labels: DataFrame, kb: DataFrame, label: str = "match") -> DataFram
     first = (kb.withColumn("_key", F.lower(py_strip(F.col("keyword"))))
              .groupBy("_key")
              .agg(F.min_by(F.struct("ordinal", "keyword", "answer"), F.col("ordinal")).alias("_kb")))
-    lab = labels.withColumn("_lkey", F.when(F.col(label) != PRODUCT_LABEL, F.lower(F.col(label))))
+    lab = labels.withColumn("_lkey", _spread(F.when(F.col(label) != PRODUCT_LABEL, F.lower(F.col(label)))))
     out = lab.join(first, F.col("_lkey") == F.col("_key"), "left")
     return out.select(*labels.columns, F.col("_kb.ordinal").alias("kb_ordinal"),
                       F.col("_kb.keyword").alias("keyword"), F.col("_kb.answer").alias("answer"))
@@ -62,11 +70,12 @@ def term_stores(terms: DataFrame | None, dictionary: DataFrame, stores: DataFram
     st = stores.withColumn("_loc", F.lower(F.coalesce("location", F.lit("")))) \
         .withColumn("_name", F.lower(F.coalesce("name", F.lit(""))))
     cond = (F.instr(F.col("_loc"), F.col("_n")) > 0) | (F.instr(F.col("_name"), F.col("_n")) > 0)
-    # substring match is a theta join: broadcast the side whose size is checked
-    # small (the store list, else the needle list) and stream the other
-    if stores.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    # a substring match is no equi-join: the smaller side goes to every task, if its bytes allow
+    size = lambda df, *cols: df.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cols), F.lit(64))),
+                                               F.lit(0))).head()[0]
+    if size(stores, *[c for c, t in stores.dtypes if t == "string"]) <= BROADCAST_BYTES:
         pairs = needles.join(F.broadcast(st), cond, "inner")
-    elif needles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    elif size(needles, "term", "needle") <= BROADCAST_BYTES:
         pairs = F.broadcast(needles).join(st, cond, "inner")
     else:
         raise ValueError("store list and location dictionary are both too large for a substring join")
@@ -127,10 +136,8 @@ def faq_section(messages: DataFrame, keyword_map: DataFrame, sections: DataFrame
     is applied as literal expressions (no join); sections join on
     (document, section name).
     """
-    from quaymind.functions.vocab import LITERAL_TERMS_LIMIT
-    rows = keyword_map.orderBy("ordinal", "keyword").limit(LITERAL_TERMS_LIMIT + 1).collect()
-    if len(rows) > LITERAL_TERMS_LIMIT:
-        raise ValueError(f"FAQ keyword map exceeds {LITERAL_TERMS_LIMIT} phrases")
+    check_literal(keyword_map, "keyword", "the FAQ keyword map")
+    rows = keyword_map.orderBy("ordinal", "keyword").collect()
     order: list[str] = []
     kw: dict[str, list[str]] = {}
     for r in rows:
@@ -168,7 +175,7 @@ def route_messages(messages: DataFrame, replies: DataFrame, kb: DataFrame, vocab
     from quaymind.functions.text import normalize_label
     keys = keys or ["conv_id", "turn"]
     loc = C.is_location_query(text, vocab["strong_location"], vocab["weak_location"], ranked_terms)
-    term = C.detect_location_expr(text, ranked_terms)
+    term = C.location_term(text, ranked_terms)
     faq = C.is_faq_query(text, vocab["strong_faq"], vocab["weak_faq"])
     intercept = (F.when(loc & term.isNull(), F.lit(STORE_NEEDS_LOCATION))
                  .when(loc, F.lit(STORE_LOCATOR)).when(faq, F.lit(FAQ)))
@@ -206,7 +213,7 @@ def store_outcome(messages: DataFrame, dictionary: DataFrame, stores: DataFrame,
     stores).  Store facts are aggregated per term first (bounded by the
     dictionary), then looked up by term: no shuffle of the messages."""
     m = messages.withColumn("language", C.detect_language(text, malay)) \
-        .withColumn("location_term", C.detect_location_expr(text, ranked_terms))
+        .withColumn("location_term", C.location_term(text, ranked_terms))
     per_term = term_outcomes(dictionary, stores, max_listed).withColumnRenamed("term", "location_term")
     out = m.join(per_term, "location_term", "left")
     n_act = F.coalesce("n_active", F.lit(0).cast("bigint"))

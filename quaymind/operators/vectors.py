@@ -184,13 +184,14 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     dim = int(first[0]["d"])
     corpus_sel = corpus.select(*[F.col(c).cast("long").alias(c) for c in key_cols],
                                F.col(corpus_vec).alias("_cv"))
-    max_rows = max(1, broadcast_bytes // (dim * 8))
-    tbl = q.limit(max_rows + 1).toArrow()   # bounded: at most max_rows + 1 query rows reach the driver
-    if tbl.num_rows <= max_rows:
-        cands = _broadcast_candidates(tbl, corpus_sel, k, dim, query_id, key_cols)
-    else:
-        cands = _block_candidates(q, corpus_sel, k, dim, q.count(), query_id, key_cols)
-    return _rank(cands, k, query_id, key_cols).select(query_id, "rank", *key_cols, "score")
+    # the queries go out in slices of a bounded size; the corpus is never shuffled or copied
+    slices = max(1, math.ceil(q.count() * dim * 8 / broadcast_bytes))
+    cands = None
+    for n in range(slices):
+        part = q if slices == 1 else q.where(F.pmod(F.xxhash64(query_id), F.lit(slices)) == n)
+        found = _rank(_broadcast_candidates(part.toArrow(), corpus_sel, k, dim, query_id, key_cols), k, query_id, key_cols)
+        cands = found if cands is None else cands.unionByName(found)
+    return cands.select(query_id, "rank", *key_cols, "score")
 
 
 def _broadcast_candidates(tbl: pa.Table, corpus: DataFrame, k: int, dim: int,
@@ -206,42 +207,6 @@ def _broadcast_candidates(tbl: pa.Table, corpus: DataFrame, k: int, dim: int,
     return corpus.mapInArrow(fn, spark_schema)
 
 
-def _block_candidates(q: DataFrame, corpus: DataFrame, k: int, dim: int, nq: int,
-                      query_id: str, key_cols: list[str]) -> DataFrame:
-    """Block matrix-product layout: corpus blocks x query blocks, one cogroup
-    task per pair; each task emits only its local top-k per query."""
-    spark = corpus.sparkSession
-    # the corpus is replicated once per query block: keep query blocks as
-    # large as a task can hold so replication stays small
-    q_blocks = max(1, math.ceil(nq * dim * 8 / BLOCK_QUERY_BYTES))
-    n_corpus = corpus.count()
-    c_blocks = max(1, math.ceil(n_corpus * dim * 8 / BLOCK_PAIR_BYTES))
-    qb = q.withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks))) \
-        .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    cb = corpus.withColumn("_cb", F.pmod(F.xxhash64(*key_cols), F.lit(c_blocks))) \
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    spark_schema = f"{query_id} bigint, " + ", ".join(f"{c} bigint" for c in key_cols) + ", score double"
-
-    def pair(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or cdf.empty:
-            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in [query_id, *key_cols]}
-                                | {"score": pd.Series([], dtype="float64")})
-        qmat = np.stack(qdf["_qv"].to_numpy()).astype(np.float64)
-        qids = qdf[query_id].to_numpy(np.int64)
-        tops = _new_tops(len(qids), k, len(key_cols))
-        for start in range(0, len(cdf), CORPUS_BATCH_ROWS):
-            part = cdf.iloc[start:start + CORPUS_BATCH_ROWS]
-            mat = np.stack(part["_cv"].to_numpy()).astype(np.float64)
-            _score_block(tops, qmat, mat, [part[c].to_numpy(np.int64) for c in key_cols])
-        r = _emit(tops, qids)
-        out = {query_id: r["q"]}
-        out.update({c: v for c, v in zip(key_cols, r["k"])})
-        out["score"] = r["s"]
-        return pd.DataFrame(out)
-
-    return qb.groupBy("_cb", "_qb").cogroup(cb.groupBy("_cb", "_qb")).applyInPandas(pair, spark_schema)
-
-
 def hash_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
     """Deterministic stand-in encoder: hashed word/bigram counts, L2-normalised.
 

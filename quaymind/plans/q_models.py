@@ -252,7 +252,7 @@ def _attach_oracles():
                                                        "SELECT product_id, variant_id, handle, 'given-64' AS asked FROM si")
     REGISTRY["v5_build_store"].oracle = O.sql(["catalog"], [], "SELECT product_id, variant_id, 64 AS dims, handle, price FROM catalog")
     lb = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
-    last = f"left(list_last(string_split_regex({O.strip('prompt')}, '{lb}')), 60)"
+    last = f"list_last(string_split_regex({O.strip('prompt')}, '{lb}'))"
     REGISTRY["u1_generate_replies"].oracle = O.sql(["messages"], [
         ("p", "SELECT conv_id, turn, concat('Answer briefly.', chr(10), text) AS prompt FROM messages WHERE role = 'user'"),
         ("c", """SELECT *, length(prompt) % 7 = 0 AS retry, length(prompt) % 11 = 0 AS bad,
@@ -262,9 +262,6 @@ SELECT conv_id, turn, prompt,
   CASE WHEN bad THEN 'ProviderError: bad request' END AS error,
   CASE WHEN retry THEN 'secondary' ELSE 'primary' END AS model_used
 FROM c""")
-    REGISTRY["a10_replace_table"].oracle = O.sql(["kb", "stores"], [], """
-SELECT 'kb' AS "table", 'answer,keyword,ordinal' AS columns, ordinal AS id FROM kb
-UNION ALL SELECT 'stores', 'id,name,whatsappLink,location,operatingHours', id FROM stores""")
     REGISTRY["t1_stream_route"].oracle = O.sql(["messages", "locations", "route_labels", "kb"], ROUTE_CTES + [
         ("esc", f"SELECT conv_id, turn, {ESC_SQL} AS r FROM messages WHERE role = 'user'")], """
 SELECT r.conv_id, r.turn, coalesce(r.intercept, r.lmatch) AS match,
@@ -297,7 +294,7 @@ def _echo_sql(prompt: str, model: str, *, fail_model: str = "primary", fallback:
     n = f"length({prompt})"
     retry = f"({n} % 7 = 0)" if model == fail_model else "false"
     used = f"CASE WHEN {retry} AND {'true' if fallback else 'false'} THEN '{fallback or model}' ELSE '{model}' END"
-    last = f"left(list_last(string_split_regex({O.strip(prompt)}, '{lb}')), 60)"
+    last = f"list_last(string_split_regex({O.strip(prompt)}, '{lb}'))"
     ok = O.strip(f"concat('[', {used}, '] ', {last})")
     hard = f"(({retry} AND {'false' if fallback else 'true'}) OR {n} % 11 = 0)"
     err_txt = f"CASE WHEN {retry} AND {'false' if fallback else 'true'} THEN 'ProviderError: overloaded' ELSE 'ProviderError: bad request' END"

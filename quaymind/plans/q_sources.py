@@ -116,23 +116,27 @@ def a9(spark, sf):
     new = spark.table("messages").filter(F.col("role") == "assistant").select(
         F.lit("chat").alias("source"), F.col("text").alias("answer"),
         F.concat(F.lit("q\x07"), F.col("turn").cast("string")).alias("keyword"))
-    return A.append_by_name(spark.table("kb"), new)
+    folder = scratch(spark, sf, "append")
+    spark.table("kb").write.mode("overwrite").parquet(f"{folder}/kb")
+    A.append_table(new, folder, "kb")
+    return A.read_table(spark, folder, "kb")
 
 
-@query("a10_replace_table")
+@query("a10_replace_table", O.sql(["kb", "stores"], [], """
+SELECT 'kb' AS "table", 'answer,keyword,ordinal' AS columns, ordinal AS id, concat(answer, '|', keyword) AS body FROM kb
+UNION ALL SELECT 'stores', 'id,name,whatsappLink,location,operatingHours', id, name FROM stores"""))
 def a10(spark, sf):
-    """A10 one table of a folder replaced (reordered, sanitised); the sibling table is kept."""
+    """A10 one table of a folder replaced by itself (reordered, sanitised); the sibling table is kept."""
     register(spark, sf)
     folder = scratch(spark, sf, "workbook")
     spark.table("kb").write.mode("overwrite").parquet(f"{folder}/kb")
     spark.table("stores").write.mode("overwrite").parquet(f"{folder}/stores")
-    A.replace_table(spark.table("kb"), folder, "kb", {"answer": "A", "ordinal": 3})
-    kb = spark.read.parquet(f"{folder}/kb")
-    st = spark.read.parquet(f"{folder}/stores")
-    return kb.select(F.lit("kb").alias("table"), F.array_join(F.array(*[F.lit(c) for c in kb.columns]), ",").alias("columns"),
-                     F.col("ordinal").alias("id")).unionByName(
-        st.select(F.lit("stores").alias("table"), F.array_join(F.array(*[F.lit(c) for c in st.columns]), ",").alias("columns"),
-                  F.col("id")))
+    A.replace_table(A.read_table(spark, folder, "kb"), folder, "kb", {"answer": "A", "ordinal": 3})
+    kb, st = A.read_table(spark, folder, "kb"), A.read_table(spark, folder, "stores")
+    names = lambda df: F.lit(",".join(df.columns)).alias("columns")
+    return kb.select(F.lit("kb").alias("table"), names(kb), F.col("ordinal").alias("id"),
+                     F.concat("answer", F.lit("|"), "keyword").alias("body")).unionByName(
+        st.select(F.lit("stores").alias("table"), names(st), "id", F.col("name").alias("body")))
 
 
 RUN_SQL = """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS revenue

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaymind.functions import text as T
-from quaymind.functions.vocab import LITERAL_TERMS_LIMIT
+from quaymind.functions.vocab import check_literal
 from quaymind.operators import classify as C
 from quaymind.operators import documents as D
 from quaymind.operators import match as M
@@ -47,10 +47,8 @@ def label_messages(messages: DataFrame, kb: DataFrame, provider: Provider, *, mo
                    text: str = "text", summary: str | None = None, fallback_model: str | None = None) -> DataFrame:
     """Knowledge-base labelling: B6 (options = all trimmed keywords, a
     size-checked dimension list) -> U1 -> C13 -> J3."""
-    rows = kb.select("ordinal", T.py_strip(F.col("keyword")).alias("k")).orderBy("ordinal") \
-        .limit(LITERAL_TERMS_LIMIT + 1).collect()
-    if len(rows) > LITERAL_TERMS_LIMIT:
-        raise ValueError("knowledge base too large to list in a prompt")
+    check_literal(kb, "keyword", "the knowledge base's keyword list")
+    rows = kb.select("ordinal", T.py_strip(F.col("keyword")).alias("k")).orderBy("ordinal").collect()
     options = "\n".join(f"- {r['k']}" for r in rows)   # bounded option list, one literal for all prompts
     m = messages.withColumn("_options", F.lit(options))
     parts = ["Pick the option that answers the message, or NO_MATCH.\n\nOptions:\n", F.col("_options"),

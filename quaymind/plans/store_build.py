@@ -24,6 +24,8 @@ def build_store(catalog: DataFrame, path: str, model: str, *, limit: int | None
     fingerprint changed are encoded; unchanged vectors are carried over by
     an equi-join on the key.  ``path`` must differ from ``previous_path``.
     """
+    if previous_path and previous_path.rstrip("/") == path.rstrip("/"):
+        raise ValueError("the new store needs a path of its own")
     spark = catalog.sparkSession
     rows = scan_catalog(catalog, spark, limit=limit)
     todo = rows

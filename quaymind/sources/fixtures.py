@@ -58,24 +58,28 @@ LOCATIONS_SQL = """
 SELECT term, CAST(row_number() OVER (ORDER BY term) AS BIGINT) AS ordinal, needle
 FROM (SELECT lower(n_name) AS term, n_name AS needle FROM nation
       UNION ALL
-      SELECT lower(r_name) AS term, r_name AS needle FROM region) t
+      SELECT lower(r_name) AS term, r_name AS needle FROM region
+      UNION ALL
+      SELECT 'atlantis' AS term, 'Atlantis' AS needle) t
 """
 
 # bucket = (conv_id + turn div 2) % 10 picks the injected user text
 MESSAGES_SQL = """
 SELECT conv_id, turn, role,
   CASE WHEN role <> 'user' THEN text
-       WHEN bucket = 0 THEN concat('Where is the nearest store around nation_', cast((conv_id + turn) % 25 AS STRING), '?')
+       WHEN bucket = 0 THEN concat('Which kiosk is the closest to nation_', cast((conv_id + turn) % 25 AS STRING), '?')
        WHEN bucket = 1 THEN CASE (conv_id + turn) % 5 WHEN 0 THEN 'Africa' WHEN 1 THEN 'america'
                                  WHEN 2 THEN 'ASIA' WHEN 3 THEN 'Europe' ELSE 'middle east' END
-       WHEN bucket = 2 THEN 'How do I claim the warranty for my order?'
-       WHEN bucket = 3 THEN CASE conv_id % 4 WHEN 0 THEN 'hi' WHEN 1 THEN 'hi there, anyone around'
-                                 WHEN 2 THEN 'hi!' ELSE ' Good morning team' END
-       WHEN bucket = 4 THEN 'Can I talk to a human agent please'
-       WHEN bucket = 5 THEN 'show me something cheaper under rm 2000'
-       WHEN bucket = 6 THEN 'how long does delivery usually take'
-       WHEN bucket = 7 THEN concat('saya cari kedai dekat nation_', cast((conv_id + turn) % 25 AS STRING))
-       WHEN bucket = 8 THEN 'I already logged a ticket last week'
+       WHEN bucket = 2 THEN 'How do I use the guarantee for my order?'
+       WHEN bucket = 3 THEN CASE conv_id % 4 WHEN 0 THEN 'howdy' WHEN 1 THEN 'howdy folks, anyone around'
+                                 WHEN 2 THEN 'howdy!' ELSE ' Fine morning team' END
+       WHEN bucket = 4 THEN 'Please connect me to a live person'
+       WHEN bucket = 5 THEN 'show me something lighter for 2000 ringgit'
+       WHEN bucket = 6 THEN 'how many weeks does the courier need'
+       WHEN bucket = 7 THEN concat('tolong, jalan ke nation_', cast((conv_id + turn) % 25 AS STRING))
+       WHEN bucket = 8 THEN 'I already filed a complaint last week'
+       WHEN conv_id % 3 = 0 THEN 'Which showroom has parking?'
+       WHEN conv_id % 3 = 1 THEN 'is there a kiosk in Atlantis'
        ELSE text END AS text
 FROM (SELECT conv_id, turn, role, text,
              CAST((conv_id + CAST(floor(turn / 2) AS BIGINT)) % 10 AS BIGINT) AS bucket
@@ -84,12 +88,12 @@ FROM (SELECT conv_id, turn, role, text,
 
 KB_SQL = """
 SELECT item_id AS ordinal,
-       concat(' ', CASE WHEN item_id % 2 = 0 THEN translate(left(text, 12), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE left(text, 12) END) AS keyword,
+       concat(' ', CASE WHEN item_id % 2 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END) AS keyword,
        text AS answer
 FROM benchmark
 UNION ALL
-SELECT item_id + 1000000 AS ordinal, concat(left(text, 12), '  ') AS keyword,
-       concat('second answer: ', left(text, 40)) AS answer
+SELECT item_id + 1000000 AS ordinal, concat(text, '  ') AS keyword,
+       concat('second answer: ', text) AS answer
 FROM benchmark WHERE item_id % 5 = 0
 """
 
@@ -118,9 +122,10 @@ SELECT conv_id, turn,
        WHEN 4 THEN translate(trim(k.keyword), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
        ELSE concat(trim(k.keyword), '?') END AS label
 FROM messages m
-JOIN kb k ON k.ordinal = (m.conv_id + m.turn) % 40
+JOIN kb k ON k.ordinal = (m.conv_id + m.turn) % (SELECT max(item_id) + 1 FROM benchmark)
 WHERE m.role = 'user'
 """
+KB_ROWS = "(SELECT max(item_id) + 1 FROM benchmark)"
 
 # next version of the catalog: some prices and handles changed, some rows
 # gone, some new (input for the changed-rows job G6)
@@ -151,24 +156,24 @@ SHARED_VIEWS = [
 # --- vocabularies (our own short word lists; parameters, not constants) ------
 
 VOCABULARIES: dict[str, list[str]] = {
-    "strong_location": ["nearest", "nearby", "branch", "outlet", "address", "directions"],
-    "weak_location": ["where", "store", "shop", "find", "location", "visit"],
-    "strong_faq": ["warranty", "refund", "installment", "imei", "tradein"],
-    "weak_faq": ["how", "long", "delivery", "pay", "return", "days"],
-    "malay": ["saya", "cari", "kedai", "dekat", "mana", "ada", "boleh", "tidak"],
-    "greeting": ["hi", "hello", "hey", "good morning", "good evening"],
-    "human": ["human", "agent", "real person", "talk to"],
-    "ticket": ["ticket", "open a ticket"],
-    "ticket_logged": ["ticket logged", "already logged a ticket", "went to cs"],
-    "stopwords": ["do", "you", "have", "any", "in", "stock", "for", "with", "want", "need", "please"],
-    "refinement": ["gb", "storage", "under", "below", "above", "budget", "rm", "price", "cheaper"],
+    "strong_location": ["kiosk", "showroom", "landmark", "postcode", "parking"],
+    "weak_location": ["closest", "reach", "drive", "situated", "corner"],
+    "strong_faq": ["guarantee", "reimbursement", "unlocking", "insurance"],
+    "weak_faq": ["courier", "parcel", "invoice", "weeks", "receipt"],
+    "malay": ["tolong", "berapa", "harga", "terima", "kasih", "pagi", "jalan"],
+    "greeting": ["howdy", "greetings", "salutations", "fine morning"],
+    "human": ["supervisor", "live person", "staff member"],
+    "ticket": ["complaint", "raise a case"],
+    "ticket_logged": ["complaint filed", "already filed a complaint"],
+    "stopwords": ["the", "an", "of", "to", "my", "that", "on"],
+    "refinement": ["lighter", "smaller", "larger", "newer", "ringgit", "discount"],
 }
 
 # FAQ section keyword map: section -> phrases (ordered)
 FAQ_KEYWORDS: list[tuple[str, list[str]]] = [
-    ("user", ["warranty", "claim", "order"]),
-    ("assistant", ["delivery", "how long", "take"]),
-    ("system", ["ticket", "agent"]),
+    ("user", ["guarantee", "repair", "order"]),
+    ("assistant", ["courier", "how many weeks", "parcel"]),
+    ("system", ["complaint", "supervisor"]),
 ]
 
 
@@ -197,7 +202,7 @@ def faq_keywords_sql() -> str:
     return f"SELECT * FROM (VALUES {vals}) AS t(section, ordinal, keyword)"
 
 
-_REGISTERED: dict[int, str] = {}
+_REGISTERED: dict[tuple[str, int], str] = {}
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
@@ -205,13 +210,15 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     (once per session and scale directory)."""
     from quaymind.session import ship_package
     ship_package(spark)
-    key = id(spark)
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
     if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("route_labels"):
         return
     for t in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    # streams can't hold the oracle's scalar subquery: its value goes into the text
+    last = spark.table("benchmark").selectExpr("max(item_id) + 1").head()[0]
     for name, sql in SHARED_VIEWS:
-        spark.sql(sql).createOrReplaceTempView(name)
+        spark.sql(sql.replace(KB_ROWS, str(last))).createOrReplaceTempView(name)
     spark.sql(FAQ_DOCS_SPARK).createOrReplaceTempView("faq_docs")
     _REGISTERED[key] = sf_dir
 

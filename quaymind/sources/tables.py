@@ -10,6 +10,7 @@ temporary folder.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,9 +71,9 @@ def load_knowledge_base(df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if not re.match(r"^Unnamed", c)]
     names = [c.strip().lower() for c in keep]
     if "keyword" not in names:
-        raise ValueError("The knowledge base must contain a 'keyword' column.")
+        raise ValueError(f"no keyword column among {names}")
     if "answer" not in names:
-        raise ValueError("The knowledge base must contain an 'answer' column.")
+        raise ValueError(f"no answer column among {names}")
     return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)])
 
 
@@ -107,40 +108,48 @@ def scan_nested_catalog(spark: SparkSession, path: str) -> DataFrame:
     return s.select("brand", "model", "storage", "price", F.explode("colors").alias("color"))
 
 
+STORE_FIELDS = ["vendor", "product_type", "handle", "color", "spec", "condition", "tenure", "price"]
+META_SCHEMA = "fingerprint string, model string, row_count bigint, limit bigint, vectors string"
+
+
 def write_embedding_store(df: DataFrame, path: str, model: str, limit: int | None = None) -> DataFrame:
-    """Write ``(product_id, variant_id, embedding, <product fields>)`` as
-    Parquet under ``path/vectors`` and a one-row metadata table
+    """Write ``(product_id, variant_id, embedding, <product fields>)`` as a
+    new version under ``path/vectors-<id>`` and then the one-row metadata table
     ``fingerprint, model, row_count, limit`` under ``path/meta``.
+
+    The metadata names its version and is written last: until then readers see
+    the old store whole, and a failure in between leaves it in place.
     Returns the metadata row."""
     from quaymind.operators.profile import table_fingerprint
-    fields = [c for c in ["vendor", "product_type", "handle", "color", "spec", "condition", "tenure", "price"]
-              if c in df.columns]
-    df.select("product_id", "variant_id", "embedding", *fields).write.mode("overwrite").parquet(f"{path}/vectors")
     spark = df.sparkSession
-    vec = spark.read.parquet(f"{path}/vectors")
-    fp = table_fingerprint(vec.drop("embedding"), [c for c in ["product_id", "variant_id", "vendor", "product_type",
-                                                                "handle", "color", "spec", "condition", "tenure",
-                                                                "price"] if c in vec.columns])
-    meta = fp.select("fingerprint", F.lit(model).alias("model"), "row_count",
-                     F.lit(limit).cast("bigint").alias("limit"))
+    version = f"vectors-{uuid.uuid4().hex}"
+    fields = [c for c in STORE_FIELDS if c in df.columns]
+    df.select("product_id", "variant_id", "embedding", *fields).write.parquet(f"{path}/{version}")
+    vec = spark.read.parquet(f"{path}/{version}")
+    fp = table_fingerprint(vec.drop("embedding"), [c for c in ["product_id", "variant_id", *STORE_FIELDS] if c in vec.columns])
+    meta = fp.select("fingerprint", F.lit(model).alias("model"), "row_count", F.lit(limit).cast("bigint").alias("limit"),
+                     F.lit(version).alias("vectors"))
     meta.write.mode("overwrite").json(f"{path}/meta")
-    return spark.read.schema("fingerprint string, model string, row_count bigint, limit bigint").json(f"{path}/meta")
+    return spark.read.schema(META_SCHEMA).json(f"{path}/meta").drop("vectors")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
 def read_embedding_store(spark: SparkSession, path: str, expected_model: str) -> DataFrame:
-    """The stored vectors with their product fields; empty when the
-    store is missing or was built with another model."""
+    """The stored vectors with their product fields; empty when there is
+    no store or it was built with another model.  A store that is there but
+    can't be read is an error."""
     schema = ("product_id bigint, variant_id bigint, embedding array<float>, vendor string, product_type string, "
               "handle string, color string, spec string, condition string, tenure string, price string")
-    try:
-        meta = spark.read.schema("fingerprint string, model string, row_count bigint, limit bigint") \
-            .json(f"{path}/meta").select("model").head(1)  # the one metadata row
-        vec = spark.read.parquet(f"{path}/vectors")
-    except Exception:  # missing store files
+    if not _exists(spark, f"{path}/meta"):
         return spark.createDataFrame([], schema)
+    meta = spark.read.schema(META_SCHEMA).option("mode", "FAILFAST").json(f"{path}/meta").head(1)  # the one metadata row
     if not meta or meta[0]["model"] != expected_model:
         return spark.createDataFrame([], schema)
-    return vec
+    return spark.read.parquet(f"{path}/{meta[0]['vectors']}")
 
 
 def falsy_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -160,25 +169,70 @@ def append_by_name(existing: DataFrame, new: DataFrame) -> DataFrame:
     return sanitize_text(existing.unionByName(new, allowMissingColumns=True))
 
 
+def append_table(new: DataFrame, folder: str, table: str) -> str:
+    """A9 with its write: the named table becomes itself plus ``new``."""
+    spark = new.sparkSession
+    return _swap_in(append_by_name(read_table(spark, folder, table), new), folder, table)
+
+
 def replace_table(df: DataFrame, folder: str, table: str, positions: dict | None = None) -> str:
     """A10: reorder (B3), sanitise (B2) and overwrite one named table under
-    ``folder``; other tables in the folder are untouched.  Returns the path."""
-    out = sanitize_text(reorder_columns(df, positions))
-    path = f"{folder}/{table}"
-    out.write.mode("overwrite").parquet(path)
+    ``folder``; other tables in the folder are untouched.  ``df`` may come from
+    the table itself.  Returns the table's path (see ``read_table``)."""
+    return _swap_in(sanitize_text(reorder_columns(df, positions)), folder, table)
+
+
+def _swap_in(df: DataFrame, folder: str, table: str) -> str:
+    """Write a new version next to the current one, then point the table at it.
+
+    The pointer is one small row, written last; the version that ``df`` may
+    still read stays in place, and so does the table when a write fails."""
+    spark, path = df.sparkSession, f"{folder}/{table}"
+    version = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
     return path
 
 
+def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The current version of a table that ``replace_table`` or ``append_table``
+    wrote, or a plain Parquet folder."""
+    path = f"{folder}/{table}"
+    if not _exists(spark, f"{path}/current"):
+        return spark.read.parquet(path)
+    return spark.read.parquet(f"{path}/{spark.read.schema('version string').json(f'{path}/current').head()['version']}")
+
+
 def run_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
-    """Run a caller's parameterised read-only query; blank SQL is an error."""
+    """Run a caller's parameterised read-only query; blank SQL is an error.
+
+    The statement is parsed first, and refused when any node of its plan is a
+    command or writes: an INSERT behind WITH or FROM is no query."""
     if not sql or not sql.strip():
-        raise ValueError("SQL query cannot be empty.")
-    head = sql.lstrip().split(None, 1)[0].upper()
-    if head not in ("SELECT", "WITH", "VALUES", "TABLE", "FROM"):
-        raise ValueError("only read-only queries are allowed")
+        raise ValueError("the query is blank")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    names = [plan.nodeName(), *re.findall(r"[A-Za-z]+", _node_names(plan))]
+    bad = [n for n in names if re.search(r"Command|Insert|CreateTable|Overwrite|Append|Delete|Update|Merge|Drop|Set[A-Z]|Alter", n)]
+    if bad:
+        raise ValueError(f"only read-only queries are allowed, not {bad[0]}")
     return spark.sql(sql, args=args or {})
 
 
+def _node_names(plan) -> str:
+    """Names of all nodes of a parsed plan, those inside WITH included."""
+    found, open_ = [], [plan]
+    while open_:
+        node = open_.pop()
+        found.append(node.nodeName())
+        for group in (node.children(), node.innerChildren()):
+            it = group.iterator()
+            while it.hasNext():
+                inner = it.next()
+                if hasattr(inner, "nodeName"):
+                    open_.append(inner)
+    return " ".join(found)
+
+
 def sample_rows(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
     """The first n rows (all columns) by an explicit order key."""
     return df.orderBy(*(order or df.columns[:1])).limit(n)

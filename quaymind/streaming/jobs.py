@@ -12,6 +12,7 @@ Turns of one conversation must arrive in order across micro-batches
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,33 +34,34 @@ CARRY_OUT = ("conv_id long, turn long, effective_query string, preferred_handles
 CARRY_STATE = "last_eff string, last_handles array<string>"
 
 
+def _true(flag) -> bool:
+    return flag is not None and flag == flag and bool(flag)
+
+
+def _next_query(carried: str, turn) -> str:
+    """The carried text is kept by a refinement without a model and by a blank
+    turn, and replaced otherwise; the turn's own text is appended to it."""
+    model, asked = (turn.recommended_model or "").strip(), (turn.search_query or "").strip()
+    keeps = not (model or asked) or (_true(turn.is_refinement) and not model)
+    return " ".join(filter(None, (carried if keeps else "", model, asked)))
+
+
 def _carry(key, batches: Iterator[pd.DataFrame], state, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
-    last_eff, last_handles = (state.get if state.exists else (None, None))
-    last_handles = list(last_handles) if last_handles is not None else None
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn")
-    out = []
-    for r in pdf.itertuples(index=False):
-        sq = (r.search_query or "").strip()
-        md = (r.recommended_model or "").strip()
-        refine = bool(r.is_refinement)
-        eff = f"{md} {sq}".strip() if md else sq
-        if refine and last_eff and not md:
-            eff = f"{last_eff} {sq}".strip()
-        if not eff and last_eff:
-            eff = last_eff
-        if eff:
-            last_eff = eff
-        preferred = list(last_handles) if refine and last_handles else []
-        if r.handles is not None:
-            last_handles = list(r.handles)
-        out.append((r.conv_id, r.turn, eff, preferred))
-    state.update((last_eff, last_handles))
+    query, shown = state.get if state.exists else (None, None)
+    turns = list(pd.concat(list(batches), ignore_index=True).sort_values("turn").itertuples(index=False))
+    queries = list(accumulate(turns, _next_query, initial=query or ""))
+    # what was shown before each turn: the latest answer with handles
+    answers = list(accumulate((t.handles for t in turns), lambda old, new: old if new is None else list(new),
+                              initial=list(shown or ())))
+    state.update((queries[-1] or None, answers[-1] or None))
     if idle_ms:
         state.setTimeoutDuration(idle_ms)
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "effective_query", "preferred_handles"])
+    yield pd.DataFrame({
+        "conv_id": [t.conv_id for t in turns], "turn": [t.turn for t in turns], "effective_query": queries[1:],
+        "preferred_handles": [list(h) if _true(t.is_refinement) and h else [] for t, h in zip(turns, answers)]})
 
 
 def stream_carry_query(turns: DataFrame, idle_timeout_ms: int | None = None) -> DataFrame:

@@ -4,6 +4,9 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
+from pyspark.sql import functions as F
+
 from quaymind.operators import classify as C
 
 TERMS = ["middle east", "nation_1", "nation_10", "asia", "east", "kl", "kl sentral", "st. john"]
@@ -58,14 +61,30 @@ def test_faq_and_refinement(spark):
     assert ref == [True, True, True, True, True, False]
 
 
-def test_detect_location_join_path_matches_literal(spark, monkeypatch):
+def test_table_and_expression_find_the_same_location(spark):
     from quaymind.operators import classify as CL
-    texts = ["Shop near NATION_10 please", "nation_1, nation_10", "middle  east", "Middle East!", "x", ""]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, t string")
-    terms = ["middle east", "nation_1", "nation_10", "east", "asia"]
+    texts = ["Shop near NATION_10 please", "nation_1, nation_10", "middle  east", "Middle East!", "x", "", None, "go to st. ives now",
+             "Middle East!", "st.ives", "(c) here", "a(c)b", "\\E odd"]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id bigint, t string")
+    terms = ["middle east", "nation_1", "nation_10", "east", "asia", "st. ives", "(c)", "\\e odd"]
     d = spark.createDataFrame([(t, i + 1) for i, t in enumerate(terms)], "term string, ordinal bigint")
-    lit = {r["id"]: r["loc"] for r in CL.detect_location(df, "t", d, out="loc").collect()}
-    monkeypatch.setattr(CL, "_ranked_terms", lambda dictionary: None)
-    joined = {r["id"]: r["loc"] for r in CL.detect_location(df, "t", d, out="loc").collect()}
-    assert lit == joined
-    assert lit[0] == "nation_10" and lit[2] == "east" and lit[3] == "middle east" and lit[4] is None
+    ranked = CL._ranked_terms(d)
+    order = lambda rows: sorted(rows, key=repr)
+    one = order((r["id"], r["t"], r["loc"]) for r in df.select("id", "t", CL.detect_location_expr("t", ranked).alias("loc")).collect())
+    two = order((r["id"], r["t"], r["loc"]) for r in CL.detect_location(df, "t", d, out="loc").collect())
+    assert one == two
+    assert ("Middle East!" in [t for _, t, _ in two]) and [loc for _, t, loc in two if t == "Middle East!"] == ["middle east"] * 2
+
+
+def test_large_dictionaries_behave_like_small_ones(spark):
+    from quaymind.operators import classify as CL
+    for n in (4999, 5001):
+        d = spark.createDataFrame([(f"place{i}", i) for i in range(n)], "term string, ordinal bigint")
+        df = spark.createDataFrame([("place7",), ("place7",), ("where is the shop in place8",)], "t string")
+        found = CL.detect_location(df, "t", d, out="loc")
+        routed = found.withColumn("asks", CL.is_location_query("t", ["kiosk"], [], F.col("loc"))).collect()
+        assert sorted((r["loc"], r["asks"]) for r in routed) == [("place7", True), ("place7", True), ("place8", True)]
+        ranked = CL._ranked_terms(d)
+        assert len(ranked) == n
+    with pytest.raises(ValueError):
+        CL.location_term("t", None)

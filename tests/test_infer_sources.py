@@ -52,3 +52,57 @@ def test_knowledge_base_and_reorder(spark):
     bad = spark.createDataFrame([("a\x01b\x0bc\nd",)], "`h\x07` string")
     out = sanitize_text(bad)
     assert out.columns == ["h"] and out.collect()[0][0] == "abc\nd"
+
+
+def test_a_table_replaced_by_itself_is_kept(spark, tmp_path):
+    from quaymind.sources import tables as A
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c\x07")], "id bigint, t string").write.parquet(f"{tmp_path}/book/one")
+    for _ in range(2):
+        A.replace_table(A.read_table(spark, f"{tmp_path}/book", "one"), f"{tmp_path}/book", "one", {"t": "A"})
+    assert sorted(tuple(r) for r in A.read_table(spark, f"{tmp_path}/book", "one").collect()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_append_keeps_the_old_rows(spark, tmp_path):
+    from quaymind.sources import tables as A
+    spark.createDataFrame([(1, "a")], "id bigint, t string").write.parquet(f"{tmp_path}/one")
+    for n in (2, 3):
+        A.append_table(spark.createDataFrame([("x", n)], "extra string, id bigint"), str(tmp_path), "one")
+    assert sorted(tuple(r) for r in A.read_table(spark, str(tmp_path), "one").collect()) == [(1, "a", None), (2, None, "x"), (3, None, "x")]
+
+
+def test_a_corrupt_store_is_an_error_and_a_missing_one_is_empty(spark, tmp_path):
+    import glob
+
+    import pytest
+    from quaymind.sources import tables as A
+    assert A.read_embedding_store(spark, f"{tmp_path}/none", "m").count() == 0
+    df = spark.createDataFrame([(1, 1, [0.5, 0.5], "h")], "product_id bigint, variant_id bigint, embedding array<float>, handle string")
+    A.write_embedding_store(df, f"{tmp_path}/s", "m")
+    A.write_embedding_store(df.union(df), f"{tmp_path}/s", "m")          # the new version takes the old one's place
+    assert A.read_embedding_store(spark, f"{tmp_path}/s", "m").count() == 2
+    assert A.read_embedding_store(spark, f"{tmp_path}/s", "other").count() == 0
+    for f in glob.glob(f"{tmp_path}/s/vectors-*/part-*"):
+        open(f, "w").write("broken")
+    with pytest.raises(Exception):
+        A.read_embedding_store(spark, f"{tmp_path}/s", "m").collect()
+
+
+def test_large_numbers_beside_nulls_survive_model_calls(spark):
+    from quaymind.operators.infer import EchoProvider, generate_replies
+    df = spark.createDataFrame([(9007199254740993, "ask"), (None, "ask more")], "`odd name: id` bigint, prompt string")
+    out = generate_replies(df, "prompt", EchoProvider, model="m", concurrency=2).collect()
+    assert sorted(((r["odd name: id"], r["reply"]) for r in out), key=repr) == [(9007199254740993, "[m] ask"), (None, "[m] ask more")]
+
+
+def test_only_queries_run(spark, tmp_path):
+    import pytest
+    from quaymind.sources.tables import run_sql
+    spark.range(3).createOrReplaceTempView("three")
+    target = f"INSERT OVERWRITE DIRECTORY '{tmp_path}/out' USING parquet"
+    for bad in (f"FROM three {target} SELECT id", f"WITH t AS (SELECT 1 AS x) {target} SELECT x FROM t", f"{target} SELECT 1",
+                "DROP VIEW three", "SET a = b", "CREATE TABLE x AS SELECT 1", " "):
+        with pytest.raises(Exception):
+            run_sql(spark, bad)
+    assert not (tmp_path / "out").exists()
+    assert run_sql(spark, "(SELECT 1 AS a)").collect()[0]["a"] == 1
+    assert run_sql(spark, "-- note\nWITH t AS (SELECT id FROM three) SELECT count(*) AS n FROM t").collect()[0]["n"] == 3

@@ -23,7 +23,7 @@ def frames(spark, q, c):
     return qdf, cdf
 
 
-@pytest.mark.parametrize("bbytes", [64 * 1024 * 1024, 1])  # broadcast path, then block (cogroup) path
+@pytest.mark.parametrize("bbytes", [64 * 1024 * 1024, 2000])  # one slice of queries, then several
 def test_topk_matches_numpy(spark, bbytes):
     rng = np.random.default_rng(7)
     c = [(i, i * 10 + 1, rng.normal(size=8).astype(np.float32)) for i in range(60)]
@@ -46,14 +46,12 @@ def test_k_edges(spark):
     assert vector_topk(qdf, cdf.limit(0), 5).count() == 0  # empty corpus
 
 
-def test_block_path_many_blocks(spark, monkeypatch):
+def test_many_query_slices(spark):
     import quaymind.operators.vectors as VX
-    monkeypatch.setattr(VX, "BLOCK_QUERY_BYTES", 8 * 8 * 5)     # ~5 queries per block
-    monkeypatch.setattr(VX, "BLOCK_PAIR_BYTES", 8 * 8 * 20)     # ~20 corpus rows per block
     rng = np.random.default_rng(11)
     c = [(i, 1, rng.normal(size=8).astype(np.float32)) for i in range(90)]
     q = [(j, rng.normal(size=8).astype(np.float32)) for j in range(17)]
     qdf, cdf = frames(spark, q, c)
-    got = sorted(tuple(r) for r in vector_topk(qdf, cdf, 7, broadcast_bytes=1).collect())
+    got = sorted(tuple(r) for r in vector_topk(qdf, cdf, 7, broadcast_bytes=8 * 8 * 5).collect())
     exp = brute(q, c, 7)
     assert [g[:4] for g in got] == [e[:4] for e in exp]
