@@ -41,10 +41,10 @@ from quaymind.session import ship_package
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces of up to this many bytes share arrays of trees.
 SHORT = 64
-#: Distinct pieces that a worker remembers.
-CACHE = 300_000
+#: Distinct chunks (and pieces) that a worker remembers: bounds its memory between texts.
+CACHE = 120_000
 #: Rows of one array of trees.
-TREES = 1 << 15
+TREES = 1 << 13
 
 _NONE = np.iinfo(np.int32).max
 
@@ -78,9 +78,9 @@ class Codec:
         lengths[known] = [len(self.tokens[i]) for i in known]
         self.token_length, self.token_start = lengths, np.cumsum(lengths) - lengths
         self.token_bytes = np.frombuffer(b"".join(self.tokens[i] for i in known), dtype=np.uint8)
-        # chunk -> (its ids as int32 bytes, its ids as decimal text); piece -> ids
+        # chunk or piece -> (its ids as int32 bytes, its ids as decimal text)
         self.cache: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[bytes, str]] = {}
 
     # ------------------------------------------------------------ many short pieces
 
@@ -224,10 +224,14 @@ class Codec:
         matches = self._split_all(chunks)
         known = self.pieces
         fresh = list({p for m in matches for p in m if p not in known})
-        known.update(zip(fresh, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in fresh])))
+        for piece, ids in zip(fresh, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in fresh])):
+            known[piece] = (array("i", ids).tobytes(), ",".join(map(str, ids)))
         for chunk, match in zip(chunks, matches):
-            ids = known[match[0]] if len(match) == 1 else [i for p in match for i in known[p]]
-            self.cache[chunk] = (array("i", ids).tobytes(), ",".join(map(str, ids)))
+            if len(match) == 1:
+                self.cache[chunk] = known[match[0]]
+            else:
+                found = [known[p] for p in match]
+                self.cache[chunk] = (b"".join([f[0] for f in found]), ",".join([f[1] for f in found]))
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         """The ids of every text, as an int32 array and as comma-joined decimals.
@@ -303,7 +307,7 @@ def _split_pattern() -> str:
 
 
 #: Characters of text that go through the encoder at once.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 
 
 def _batches(column: pa.Array) -> Iterator[list[str | None]]:
