@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quaymind import fixed as X
 from quaymind.functions.text import keywords, py_strip
@@ -191,39 +192,51 @@ def route_messages(messages: DataFrame, replies: DataFrame, kb: DataFrame, vocab
 
 
 def term_outcomes(dictionary: DataFrame, stores: DataFrame, max_listed: int = 5) -> DataFrame:
-    """Per dictionary term: active / closed store counts and the first
-    ``max_listed`` active stores (store order).  Aggregated on the
-    dictionary x stores table, so messages only need a lookup by term."""
+    """Per dictionary term: active / closed store counts, and the first
+    ``max_listed`` of each kind (store order).  Works on the dictionary x
+    stores table, so messages only need a lookup by term; a term's stores are
+    ranked, and only the listed ones are gathered."""
     ts = term_stores(None, dictionary, stores).withColumn("closed", C.is_closed("name"))
+    nth = F.row_number().over(Window.partitionBy("term", "closed").orderBy("id", "name"))
     item = F.struct(F.col("id").alias("i"), F.col("name").alias("n"), F.col("location").alias("l"),
                     F.col("operatingHours").alias("h"), F.col("whatsappLink").alias("w"))
-    return ts.groupBy("term").agg(
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(kind & (F.col("nth") <= max_listed), item)))
+    return ts.withColumn("nth", nth).groupBy("term").agg(
         F.sum(F.when(~F.col("closed"), 1).otherwise(0)).cast("bigint").alias("n_active"),
         F.sum(F.when(F.col("closed"), 1).otherwise(0)).cast("bigint").alias("n_closed"),
-        F.slice(F.array_sort(F.collect_list(F.when(~F.col("closed"), item))), 1, max_listed).alias("active_stores"))
+        listed(~F.col("closed")).alias("active_stores"), listed(F.col("closed")).alias("closed_stores"))
 
 
 def store_outcome(messages: DataFrame, dictionary: DataFrame, stores: DataFrame, malay: list[str],
-                  ranked_terms: list[str], *, keys: list[str] | None = None, text: str = "text",
-                  max_listed: int = 5) -> DataFrame:
+                  ranked_terms: list[str] | Column, *, keys: list[str] | None = None, text: str = "text",
+                  max_listed: int = 5, replies: dict[tuple[str, str], str] | None = None) -> DataFrame:
     """Per location message: language (P2), detected term (P3),
     needs_location when no term, active and closed store counts, the first
-    ``max_listed`` active stores in store order (``active_stores``,
-    ``active_names``) and the outcome kind (needs_location / not_found /
-    stores).  Store facts are aggregated per term first (bounded by the
-    dictionary), then looked up by term: no shuffle of the messages."""
+    ``max_listed`` stores of both kinds in store order (``active_stores``,
+    ``active_names``, ``closed_names``) and the outcome kind (needs_location /
+    not_found / stores).  ``replies`` maps (outcome, language) to the fixed
+    text of the ``reply`` column, in which {term} is replaced.
+
+    Store facts are aggregated per term first (bounded by the dictionary),
+    then looked up by term; messages without a term meet no common key."""
     m = messages.withColumn("language", C.detect_language(text, malay)) \
-        .withColumn("location_term", C.location_term(text, ranked_terms))
-    per_term = term_outcomes(dictionary, stores, max_listed).withColumnRenamed("term", "location_term")
-    out = m.join(per_term, "location_term", "left")
+        .withColumn("location_term", C.location_term(text, ranked_terms)) \
+        .withColumn("_lkey", _spread(F.col("location_term")))
+    per_term = term_outcomes(dictionary, stores, max_listed).withColumnRenamed("term", "_lkey")
+    out = m.join(per_term, "_lkey", "left")
     n_act = F.coalesce("n_active", F.lit(0).cast("bigint"))
     n_clo = F.coalesce("n_closed", F.lit(0).cast("bigint"))
-    act = F.coalesce("active_stores", F.array().cast(per_term.schema["active_stores"].dataType))
+    none = F.array().cast(per_term.schema["active_stores"].dataType)
+    act, clo = F.coalesce("active_stores", none), F.coalesce("closed_stores", none)
+    outcome = (F.when(F.col("location_term").isNull(), F.lit("needs_location"))
+               .when(n_act + n_clo == 0, F.lit("not_found")).otherwise(F.lit("stores")))
+    reply = F.lit(None).cast("string")
+    for (kind, language), said in (replies or {}).items():
+        filled = F.replace(F.lit(said), F.lit("{term}"), F.coalesce("location_term", F.lit("")))
+        reply = F.when((F.col("outcome") == kind) & (F.col("language") == language), filled).otherwise(reply)
     return out.select(
         *messages.columns, "language", "location_term",
         F.col("location_term").isNull().alias("needs_location"),
         n_act.alias("n_active"), n_clo.alias("n_closed"), act.alias("active_stores"),
         F.transform(act, lambda x: x["n"]).alias("active_names"),
-        F.when(F.col("location_term").isNull(), F.lit("needs_location"))
-         .when(n_act + n_clo == 0, F.lit("not_found"))
-         .otherwise(F.lit("stores")).alias("outcome"))
+        F.transform(clo, lambda x: x["n"]).alias("closed_names"), outcome.alias("outcome")).withColumn("reply", reply)

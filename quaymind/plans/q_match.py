@@ -241,16 +241,30 @@ LOC_MSG_CTES = STORE_MATCH_CTES + [
     ("act", """SELECT conv_id, turn, count(*) FILTER (WHERE NOT closed) AS n_active, count(*) FILTER (WHERE closed) AS n_closed,
         string_agg(name, '|' ORDER BY store_id) FILTER (WHERE NOT closed) AS names_all,
         list(struct_pack(i := store_id, n := name, l := location, h := operatingHours, w := whatsappLink)
-             ORDER BY store_id) FILTER (WHERE NOT closed) AS act FROM sm GROUP BY conv_id, turn"""),
+             ORDER BY store_id) FILTER (WHERE NOT closed) AS act,
+        list(name ORDER BY store_id) FILTER (WHERE closed) AS clo FROM sm GROUP BY conv_id, turn"""),
 ]
 
 
-@query("p12_store_outcome", O.sql(["messages", "locations", "stores"], LOC_MSG_CTES, """
+# our own fixed replies (P12 parameters)
+FIXED_REPLIES = {
+    ("needs_location", "en"): "Which town or mall are you near?",
+    ("needs_location", "ms"): "Boleh beritahu nama bandar terdekat?",
+    ("not_found", "en"): "There is no kiosk at {term} yet.",
+    ("not_found", "ms"): "Belum ada kiosk di {term}.",
+}
+OUTCOME_SQL = """CASE WHEN lm.location_term IS NULL THEN 'needs_location'
+       WHEN coalesce(a.n_active, 0) + coalesce(a.n_closed, 0) = 0 THEN 'not_found' ELSE 'stores' END"""
+FIXED_REPLY_SQL = "CASE " + " ".join(
+    f"WHEN lm.language = '{lang}' AND ({OUTCOME_SQL}) = '{kind}' THEN replace('{said}', '{{term}}', coalesce(lm.location_term, ''))"
+    for (kind, lang), said in FIXED_REPLIES.items()) + " END"
+
+
+@query("p12_store_outcome", O.sql(["messages", "locations", "stores"], LOC_MSG_CTES, f"""
 SELECT lm.conv_id, lm.turn, lm.language, lm.location_term, lm.location_term IS NULL AS needs_location,
   coalesce(a.n_active, 0) AS n_active, coalesce(a.n_closed, 0) AS n_closed,
   coalesce(array_to_string(list_transform(list_slice(a.act, 1, 5), lambda x: x.n), '|'), '') AS active_names,
-  CASE WHEN lm.location_term IS NULL THEN 'needs_location'
-       WHEN coalesce(a.n_active, 0) + coalesce(a.n_closed, 0) = 0 THEN 'not_found' ELSE 'stores' END AS outcome
+  coalesce(array_to_string(list_slice(a.clo, 1, 5), '|'), '') AS closed_names, {OUTCOME_SQL} AS outcome, {FIXED_REPLY_SQL} AS reply
 FROM lm LEFT JOIN act a ON lm.conv_id = a.conv_id AND lm.turn = a.turn"""))
 def p12(spark, sf):
     """P12 store-locator outcome of every location question."""
@@ -258,9 +272,10 @@ def p12(spark, sf):
     um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
     ranked = _ranked(spark)
     loc = um.filter(C.is_location_query("text", V["strong_location"], V["weak_location"], ranked))
-    out = M.store_outcome(loc, spark.table("locations"), spark.table("stores"), V["malay"], ranked)
+    out = M.store_outcome(loc, spark.table("locations"), spark.table("stores"), V["malay"], ranked, replies=FIXED_REPLIES)
     return out.select("conv_id", "turn", "language", "location_term", "needs_location", "n_active", "n_closed",
-                      F.array_join("active_names", "|").alias("active_names"), "outcome")
+                      F.array_join("active_names", "|").alias("active_names"),
+                      F.array_join("closed_names", "|").alias("closed_names"), "outcome", "reply")
 
 
 # our own store-reply prompt template (B6 parameters)

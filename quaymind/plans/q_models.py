@@ -181,8 +181,9 @@ def r_store(spark, sf):
     ranked = _ranked(spark)
     um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
     loc = um.filter(C.is_location_query("text", V["strong_location"], V["weak_location"], ranked))
+    from quaymind.plans.q_match import FIXED_REPLIES
     out = RC.store_replies(loc, spark.table("locations"), spark.table("stores"), _provider, model="primary",
-                           malay=V["malay"], ranked_terms=ranked)
+                           malay=V["malay"], ranked_terms=ranked, fixed_replies=FIXED_REPLIES)
     return out.select("conv_id", "turn", "language", "location_term", "reply")
 
 
@@ -403,11 +404,15 @@ def _attach_faq_store_oracles():
     sp = (f"concat('Reply in ', lm.language, ' listing these stores.', chr(10), chr(10), 'Message: \"', lm.text, '\"', "
           f"chr(10), chr(10), 'Stores:', chr(10), coalesce({lines}, ''))")
     r, e, u = _echo_sql("prompt", "primary", default="")
+    from quaymind.plans.q_match import FIXED_REPLY_SQL, OUTCOME_SQL
     REGISTRY["u1_recipe_store_replies"].oracle = O.sql(["messages", "locations", "stores"], LOC_MSG_CTES + [
         ("p", f"""SELECT lm.conv_id, lm.turn, lm.language, lm.location_term, {sp} AS prompt, coalesce({blocks}, '') AS store_list
             FROM lm JOIN act a ON lm.conv_id = a.conv_id AND lm.turn = a.turn
             WHERE lm.location_term IS NOT NULL AND coalesce(a.n_active, 0) + coalesce(a.n_closed, 0) > 0""")], f"""
-SELECT conv_id, turn, language, location_term, CASE WHEN {r} = '' THEN store_list ELSE {r} END AS reply FROM p""")
+SELECT conv_id, turn, language, location_term, CASE WHEN {r} = '' THEN store_list ELSE {r} END AS reply FROM p
+UNION ALL
+SELECT lm.conv_id, lm.turn, lm.language, lm.location_term, {FIXED_REPLY_SQL}
+FROM lm LEFT JOIN act a ON lm.conv_id = a.conv_id AND lm.turn = a.turn WHERE {OUTCOME_SQL} <> 'stores'""")
 
 
 _attach_faq_store_oracles()

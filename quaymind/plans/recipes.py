@@ -73,16 +73,19 @@ def answer_from_faq(messages: DataFrame, keyword_map: DataFrame, sections: DataF
 
 
 def store_replies(messages: DataFrame, dictionary: DataFrame, stores: DataFrame, provider: Provider, *,
-                  model: str, malay: list[str], ranked_terms: list[str], keys: list[str] | None = None,
-                  text: str = "text") -> DataFrame:
+                  model: str, malay: list[str], ranked_terms, keys: list[str] | None = None,
+                  text: str = "text", fixed_replies: dict[tuple[str, str], str] | None = None) -> DataFrame:
     """Store replies: P12 -> B6 -> U1, falling back to the plain store list
-    (B7) when the model gives nothing."""
-    outc = M.store_outcome(messages, dictionary, stores, malay, ranked_terms, keys=keys, text=text)
-    withs = P.render_store_list(outc.filter(F.col("outcome") == "stores")).withColumn("store_lines", P.store_lines())
+    (B7) when the model gives nothing.  Messages without a place and places
+    without a store get their fixed reply and make no model call."""
+    outc = M.store_outcome(messages, dictionary, stores, malay, ranked_terms, keys=keys, text=text, replies=fixed_replies)
+    withs = P.render_store_list(outc.filter(F.col("outcome") == "stores").drop("reply")) \
+        .withColumn("store_lines", P.store_lines())
     prompt = P.assemble_prompts(withs, ["Reply in ", F.col("language"), " listing these stores.\n\nMessage: \"",
                                         F.col(text), "\"\n\nStores:\n", F.col("store_lines")])
     out = generate_replies(prompt, "prompt", provider, model=model, default_text="")
-    return out.withColumn("reply", F.when(F.col("reply") == "", F.col("store_list")).otherwise(F.col("reply")))
+    out = out.withColumn("reply", F.when(F.col("reply") == "", F.col("store_list")).otherwise(F.col("reply")))
+    return out.unionByName(outc.filter(F.col("outcome") != "stores"), allowMissingColumns=True)
 
 
 def summarise_conversations(turns: DataFrame, previous: DataFrame, provider: Provider, *, model: str,
