@@ -65,8 +65,8 @@ def t1(spark, sf):
     base = scratch(spark, sf, "t1")
     src = f"{base}/in"
     um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    um.repartition(2).write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(um.schema).parquet(src)
+    um.write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(um.schema).option("maxFilesPerTrigger", 2).parquet(src)   # several micro-batches
     out = S.stream_route(stream, _label_replies_spark(spark), spark.table("kb"), V, _ranked(spark))
     sink = f"{base}/out-{_run_id()}"
     S.run_available_now(out, sink, f"{sink}-ckpt")
@@ -78,12 +78,14 @@ def t2(spark, sf):
     """T2 carried query/handles per conversation as streaming keyed state (applyInPandasWithState)."""
     register(spark, sf)
     base = scratch(spark, sf, "t2")
-    src = f"{base}/in"
+    run = _run_id()
+    src, sink = f"{base}/in-{run}", f"{base}/out-{run}"
     inp = _plan_stream_input(spark, sf)
-    inp.repartition(1).sortWithinPartitions("conv_id", "turn").write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(inp.schema).parquet(src)
-    sink = f"{base}/out-{_run_id()}"
-    S.run_available_now(S.stream_carry_query(stream), sink, f"{sink}-ckpt")
+    # early turns arrive and are processed first, later ones afterwards: the state carries over in between
+    for arriving in (inp.where("turn < 3"), inp.where("turn >= 3")):
+        arriving.repartition("conv_id").write.mode("append").parquet(src)
+        stream = spark.readStream.schema(inp.schema).parquet(src)
+        S.run_available_now(S.stream_carry_query(stream), sink, f"{sink}-ckpt")
     out = spark.read.parquet(sink)
     return out.select("conv_id", "turn", "effective_query",
                       F.array_join("preferred_handles", "|").alias("preferred_handles"))

@@ -88,21 +88,19 @@ def resolve_column(df: DataFrame, name: str, rename_to: str | None = None) -> tu
     return df, found
 
 
-NESTED_SCHEMA = T.StructType([
-    T.StructField("brand", T.StringType()),
-    T.StructField("stock", T.ArrayType(T.StructType([
-        T.StructField("model", T.StringType()),
-        T.StructField("colors", T.ArrayType(T.StringType())),
-        T.StructField("storage_price", T.MapType(T.StringType(), T.IntegerType())),
-    ]))),
-])
+STOCK_SCHEMA = "map<string, array<struct<model: string, colors: array<string>, storage_price: map<string, int>>>>"
 
 
-def scan_nested_catalog(spark: SparkSession, path: str) -> DataFrame:
+def scan_nested_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A5: flatten nested stock records (models x storage sizes x colours)
-    into variant rows ``brand, model, storage, price, color``."""
-    raw = spark.read.schema(NESTED_SCHEMA).json(path)
-    m = raw.select("brand", F.explode("stock").alias("m"))
+    into variant rows ``brand, model, storage, price, color``.
+
+    A record is an object whose keys name brands and hold arrays of models.
+    ``multi_line``: each file is one (pretty-printed) object; else one object
+    per line.  A record that is no such object is an error."""
+    raw = spark.read.text(path, wholetext=multi_line).where(F.trim("value") != "")
+    stock = raw.select(F.explode(F.from_json("value", STOCK_SCHEMA, {"mode": "FAILFAST"})).alias("brand", "models"))
+    m = stock.select("brand", F.explode("models").alias("m"))
     s = m.select("brand", F.col("m.model").alias("model"), F.col("m.colors").alias("colors"),
                  F.explode("m.storage_price").alias("storage", "price"))
     return s.select("brand", "model", "storage", "price", F.explode("colors").alias("color"))

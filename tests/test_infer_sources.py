@@ -106,3 +106,17 @@ def test_only_queries_run(spark, tmp_path):
     assert not (tmp_path / "out").exists()
     assert run_sql(spark, "(SELECT 1 AS a)").collect()[0]["a"] == 1
     assert run_sql(spark, "-- note\nWITH t AS (SELECT id FROM three) SELECT count(*) AS n FROM t").collect()[0]["n"] == 3
+
+
+def test_pretty_printed_stock_file(spark, tmp_path):
+    import json
+
+    from quaymind.sources.tables import scan_nested_catalog
+    (tmp_path / "stock").mkdir()
+    stock = {"nova_stock": [{"model": "Nova 1", "colors": ["Red", "Blue"], "storage_price": {"64GB": 100, "128GB": 150}},
+                            {"model": "Nova 2", "colors": ["Red"], "storage_price": {"64GB": 200}}]}
+    (tmp_path / "stock" / "a.json").write_text(json.dumps(stock, indent=2))
+    got = sorted(tuple(r) for r in scan_nested_catalog(spark, f"{tmp_path}/stock").collect())
+    assert got == [("nova_stock", "Nova 1", "128GB", 150, "Blue"), ("nova_stock", "Nova 1", "128GB", 150, "Red"),
+                   ("nova_stock", "Nova 1", "64GB", 100, "Blue"), ("nova_stock", "Nova 1", "64GB", 100, "Red"),
+                   ("nova_stock", "Nova 2", "64GB", 200, "Red")]
