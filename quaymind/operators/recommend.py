@@ -223,12 +223,13 @@ def rank_hits(scores: DataFrame, k: int, *, query_id: str = "query_id", score: s
         .withColumn("rank", F.col("rank").cast("long"))
 
 
-def available_models(catalog: DataFrame, prefix: str, limit: int = 50) -> DataFrame:
+def available_models(catalog: DataFrame, prefix: str, limit: int | None = 50) -> DataFrame:
     """Distinct handles with a case-insensitive prefix (P9), sorted,
-    limited; blank handles are dropped after the limit."""
+    limited; blank handles are dropped after the limit.  Without a limit it
+    is the whole set, as S4's test needs it."""
     h = F.col("handle")
     d = catalog.select(h).filter(h.isNotNull() & prefix_ilike(h, prefix)).distinct()
-    return d.orderBy(h).limit(limit).filter(h != "")
+    return (d if limit is None else d.orderBy(h).limit(limit)).filter(h != "")
 
 
 def prefix_ilike(col: Column, prefix: str) -> Column:
@@ -281,16 +282,20 @@ def constrain_model(df: DataFrame, model: str, allowed: DataFrame | None) -> Dat
     """A recommended model not in the allowed handle list becomes ''.
 
     ``allowed`` is a DataFrame with a ``handle`` column (e.g. S1's output);
-    None means no list was given and the model is kept.  Left-semi style
-    flag via a left join on the (distinct) allowed handles.
+    None and an empty list both mean that nothing is constrained.  One left
+    join on the distinct allowed handles; whether there are any is a flag
+    of the same plan (one broadcast row), not a job of its own.
     """
-    if allowed is None or allowed.isEmpty():
+    if allowed is None:
         return df
     a = allowed.select(F.col("handle").alias("_allowed")).distinct()
+    # "" stands for "the list has entries": it never equals a model that is tested
+    any_ = a.limit(1).select(F.lit("").alias("_blank"))
     m = F.col(model)
-    out = df.join(a, m == F.col("_allowed"), "left")
-    return out.withColumn(model, F.when((F.coalesce(m, F.lit("")) == "") | F.col("_allowed").isNotNull(), m)
-                          .otherwise(F.lit(""))).drop("_allowed")
+    out = df.join(a, m == F.col("_allowed"), "left").withColumn("_key", F.lit("")).join(
+        F.broadcast(any_), F.col("_key") == F.col("_blank"), "left")
+    keep = (F.coalesce(m, F.lit("")) == "") | F.col("_allowed").isNotNull() | F.col("_blank").isNull()
+    return out.withColumn(model, F.when(keep, m).otherwise(F.lit(""))).drop("_allowed", "_key", "_blank")
 
 
 def first_per_key(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:

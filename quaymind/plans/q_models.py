@@ -195,7 +195,7 @@ def r_rewrite(spark, sf):
     register(spark, sf)
     from quaymind.operators import recommend as R
     um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    allowed = R.available_models(spark.table("catalog"), "", 50)
+    allowed = R.available_models(spark.table("catalog"), "", None)
     return RC.rewrite_search_queries(um, _provider, model="primary", allowed=allowed)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymind.operators import recommend as R
+from quaymind.operators.flow import recommend
 from quaymind.operators.vectors import vector_topk
 from quaymind.plans import oracle_sql as O
 from quaymind.plans.registry import query
@@ -162,6 +163,14 @@ REPLY_OF_QUERY = ("CASE query_id % 2 WHEN 0 THEN concat('Try the ', replace(mk.h
                   "ELSE 'Here are a few options.' END")
 
 
+_LO = "(CASE WHEN e.vec_id % 3 = 0 THEN NULL ELSE 2750.0::DOUBLE END)"
+_HI = "(CASE WHEN e.vec_id % 2 = 0 THEN 2950.0::DOUBLE ELSE NULL END)"
+NO_MATCH_SQL = f"""CASE WHEN {_LO} IS NOT NULL AND {_HI} IS NOT NULL
+    THEN concat('No matches in range ', CAST({_LO} AS VARCHAR), ' to ', CAST({_HI} AS VARCHAR), '.')
+  WHEN {_HI} IS NOT NULL THEN concat('No matches under ', CAST({_HI} AS VARCHAR), '.')
+  WHEN {_LO} IS NOT NULL THEN concat('No matches above ', CAST({_LO} AS VARCHAR), '.') ELSE 'No matches after filtering.' END"""
+
+
 @query("v4_recommend", O.sql(["catalog"], DIVERSE_CTES + [
     ("dm", f"""SELECT d.*, {MODEL_OF_QUERY} AS model,
         trim(regexp_replace(lower({REPLY_OF_QUERY}), '[^a-z0-9]+', ' ', 'g')) AS rep
@@ -174,19 +183,24 @@ REPLY_OF_QUERY = ("CASE query_id % 2 WHEN 0 THEN concat('Try the ', replace(mk.h
     ("f6", "SELECT query_id, bool_or(m6) AS anym FROM m6 GROUP BY query_id"),
     ("k6", """SELECT m6.*, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n
         FROM m6 JOIN f6 USING (query_id) WHERE m6.m6 OR NOT f6.anym""")], f"""
-SELECT query_id, bool_or(recommended_in_results) AS recommended_in_results,
+SELECT e.vec_id AS query_id, coalesce(c.cards, {NO_MATCH_SQL}) AS answer, CAST(coalesce(c.n, 0) AS BIGINT) AS n_models,
+  coalesce(c.recommended_in_results, false) AS recommended_in_results, c.cards IS NOT NULL AS found
+FROM (SELECT query_id, bool_or(recommended_in_results) AS recommended_in_results, count(*) AS n,
   string_agg({_card_sql('n')}, concat(chr(10), chr(10)) ORDER BY n) AS cards
-FROM k6 GROUP BY query_id"""))
+FROM k6 GROUP BY query_id) c RIGHT JOIN embeddings e ON e.vec_id = c.query_id"""))
 def v4(spark, sf):
-    """V4 full recommend flow: search -> group models -> model filter -> mention filter -> cards."""
-    d = diverse(spark, sf)
-    cat = spark.table("catalog").select(F.col("product_id").alias("query_id"), F.col("handle").alias("_qh"))
-    d = d.join(cat, "query_id", "left") \
-        .withColumn("model", F.expr(MODEL_OF_QUERY.replace("mk.handle", "_qh"))) \
-        .withColumn("reply", F.expr(REPLY_OF_QUERY.replace("mk.handle", "_qh"))).drop("_qh")
-    rows = R.semi_or_all_by_model(d, "model", VOCABULARIES["stopwords"])
-    rows = R.semi_or_all_by_mention(rows, "reply")
-    return R.render_cards(rows, extra=[F.max("recommended_in_results").alias("recommended_in_results")])
+    """V4 full recommend flow, one answer per query: search -> group models -> model filter -> mention filter ->
+    cards, or the no-match message."""
+    register(spark, sf)
+    emb = spark.table("embeddings")
+    mk = spark.table("catalog").select(F.col("product_id").alias("query_id"), F.col("handle").alias("_qh"))
+    queries = (emb.select(F.col("vec_id").alias("query_id"), "embedding").join(mk, "query_id", "left")
+               .withColumn("price_min", _price_min(F.col("query_id"))).withColumn("price_max", _price_max(F.col("query_id")))
+               .withColumn("model", F.expr(MODEL_OF_QUERY.replace("mk.handle", "_qh")))
+               .withColumn("reply", F.expr(REPLY_OF_QUERY.replace("mk.handle", "_qh"))))
+    corpus = emb.select(F.col("vec_id").alias("product_id"), (F.col("vec_id") * 10 + 1).alias("variant_id"), "embedding")
+    return recommend(queries, corpus, spark.table("catalog"), stopwords=VOCABULARIES["stopwords"], models=TOP_K,
+                     candidates=CANDIDATE_K, domain=DOMAIN)
 
 
 @query("s1_available_models", O.sql(["catalog"], [], """
@@ -227,13 +241,13 @@ def s3(spark, sf):
 
 
 @query("s4_constrain_model", O.sql(["catalog"], [
-    ("allowed", "SELECT handle FROM (SELECT DISTINCT handle FROM catalog WHERE handle ILIKE 'b%' ORDER BY handle LIMIT 50) WHERE handle <> ''"),
+    ("allowed", "SELECT DISTINCT handle FROM catalog WHERE handle ILIKE 'b%' AND handle <> ''"),
     ("rm", "SELECT product_id, CASE product_id % 3 WHEN 0 THEN handle WHEN 1 THEN concat(handle, '-x') ELSE '' END AS model FROM catalog")], """
 SELECT product_id, CASE WHEN coalesce(model, '') = '' OR model IN (SELECT handle FROM allowed) THEN model ELSE '' END AS model FROM rm"""))
 def s4(spark, sf):
     """S4 recommended models outside the allowed handle list blanked."""
     register(spark, sf)
-    allowed = R.available_models(spark.table("catalog"), "b", 50)
+    allowed = R.available_models(spark.table("catalog"), "b", None)
     rm = spark.table("catalog").select("product_id", F.expr(
         "CASE product_id % 3 WHEN 0 THEN handle WHEN 1 THEN concat(handle, '-x') ELSE '' END").alias("model"))
     return R.constrain_model(rm, "model", allowed)
