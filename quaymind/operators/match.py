@@ -102,10 +102,11 @@ def history_reply(questions: DataFrame, turns: DataFrame, *, conv: str = "conv_i
     """For each question, the earlier turn sharing the most C2 keywords
     with it; ties go to the most recent turn; a trailing turn equal to the
     question (trimmed, any case) is ignored; no overlap -> NULL."""
-    t = turns.filter(py_strip(F.col(text)) != "")
-    last = t.groupBy(conv).agg(F.max(order).alias("_last"))
+    # the last turn by a window: the join with the questions and the aggregation reuse its partitioning
+    t = (turns.filter(py_strip(F.col(text)) != "").select(conv, order, text)
+         .withColumn("_last", F.max(order).over(Window.partitionBy(conv))))
     q = questions.select(conv, question).withColumn("_kq", keywords(F.col(question)))
-    j = t.join(last, conv).join(q, conv)
+    j = t.join(q, conv)
     dup = (F.col(order) == F.col("_last")) & \
         (F.lower(py_strip(F.col(text))) == F.lower(py_strip(F.col(question))))
     scored = j.filter(~dup).withColumn("_score", F.size(F.array_intersect(F.col("_kq"), keywords(F.col(text))))) \
