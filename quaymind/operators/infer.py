@@ -87,5 +87,19 @@ class EchoProvider:
             raise ProviderError(400, "bad request")
         if n % 13 == 0:
             return "   "
+        return self.answer(prompt, model)
+
+    def answer(self, prompt: str, model: str) -> str:
         last = prompt.strip().splitlines()[-1] if prompt.strip() else ""
         return f"[{model}] {last}"
+
+
+class ScriptedProvider(EchoProvider):
+    """The same failures, but the answer is one of the given replies, picked by the prompt's length."""
+
+    def __init__(self, replies: list[str], fail_model: str = "primary"):
+        super().__init__(fail_model)
+        self.replies = replies
+
+    def answer(self, prompt: str, model: str) -> str:
+        return self.replies[len(prompt) % len(self.replies)]

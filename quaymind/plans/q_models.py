@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quaymind.operators import classify as C
 from quaymind.operators import project as P
-from quaymind.operators.infer import EchoProvider, generate_replies
+from quaymind.operators.infer import EchoProvider, generate_replies, ScriptedProvider
+from quaymind.functions import text as T
 from quaymind.operators.vectors import encode_texts
 from quaymind.plans.q_sources import scratch
 from quaymind.plans.registry import query
@@ -155,12 +156,16 @@ def r_earlier(spark, sf):
     return RC.find_earlier_reply(spark.table("history"), spark.table("questions"), _provider, model="secondary")
 
 
+# what the stand-in model says about a message's emotion: known labels in any case, an unknown one, and no JSON
+EMOTION_SCRIPT = ['{"emotion": "worried"}', '{"emotion": "SAD"}', '{"emotion": "puzzled"}', "no idea", '{"emotion": "Confused"}']
+
+
 @query("u1_recipe_emotion")
 def r_emotion(spark, sf):
     """Recipe: emotion labels of every user message (C11 -> B6 -> U1 -> C14)."""
     register(spark, sf)
     um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    return RC.label_emotion(um, _provider, model="secondary")
+    return RC.label_emotion(um, lambda: ScriptedProvider(EMOTION_SCRIPT), model="secondary")
 
 
 @query("u1_recipe_faq_answer")
@@ -290,7 +295,7 @@ _attach_oracles()
 
 
 def _echo_sql(prompt: str, model: str, *, fail_model: str = "primary", fallback: str | None = None,
-              default: str | None = None) -> tuple[str, str, str]:
+              default: str | None = None, script: list[str] | None = None) -> tuple[str, str, str]:
     """(reply, error, model_used) of U1 with the stand-in provider, in DuckDB."""
     from quaymind.plans import oracle_sql as O
     lb = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -299,6 +304,8 @@ def _echo_sql(prompt: str, model: str, *, fail_model: str = "primary", fallback:
     used = f"CASE WHEN {retry} AND {'true' if fallback else 'false'} THEN '{fallback or model}' ELSE '{model}' END"
     last = f"list_last(string_split_regex({O.strip(prompt)}, '{lb}'))"
     ok = O.strip(f"concat('[', {used}, '] ', {last})")
+    if script:
+        ok = f"[{', '.join(repr(x) for x in script)}][{n} % {len(script)} + 1]"
     hard = f"(({retry} AND {'false' if fallback else 'true'}) OR {n} % 11 = 0)"
     err_txt = f"CASE WHEN {retry} AND {'false' if fallback else 'true'} THEN 'ProviderError: overloaded' ELSE 'ProviderError: bad request' END"
     d = "NULL" if default is None else f"'{default}'"
@@ -312,9 +319,14 @@ def _attach_recipe_oracles():
     from quaymind.plans import oracle_sql as O
     from quaymind.plans.registry import REGISTRY
     um = "SELECT conv_id, turn, text FROM messages WHERE role = 'user'"
-    # emotion: replies are never JSON, so every emotion is ''
-    REGISTRY["u1_recipe_emotion"].oracle = O.sql(["messages"], [("um", um)],
-                                                 "SELECT conv_id, turn, text, '' AS emotion FROM um")
+    clean = "trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'))"
+    ask = "concat('Reply only with JSON {\"emotion\": ...}.', chr(10), 'User message: \"', c, '\"')"
+    r, _, _ = _echo_sql("prompt", "secondary", default="", script=EMOTION_SCRIPT)
+    REGISTRY["u1_recipe_emotion"].oracle = O.sql(["messages"], [
+        ("um", um), ("cl", f"SELECT *, {clean} AS c FROM um"), ("p", f"SELECT *, {ask} AS prompt FROM cl"),
+        ("s", f"SELECT conv_id, turn, text, c, {r} AS r FROM p"),
+        ("e", "SELECT *, CASE WHEN json_valid(r) THEN lower(json_extract_string(r, '$.emotion')) END AS em FROM s")], f"""
+SELECT conv_id, turn, text, CASE WHEN c <> '' AND em IN ({', '.join(f"'{x}'" for x in T.EMOTIONS)}) THEN em ELSE '' END AS emotion FROM e""")
     sp = ("concat('Answer politely, then suggest a product from this list.', chr(10), chr(10), 'Products:', chr(10), "
           "'[{\"handle\": \"sample-phone\", \"price\": 1000}]', chr(10), chr(10), 'Message: \"', text, '\"')")
     r, e, u = _echo_sql("prompt", "primary")
