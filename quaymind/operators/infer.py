@@ -103,3 +103,13 @@ class ScriptedProvider(EchoProvider):
 
     def answer(self, prompt: str, model: str) -> str:
         return self.replies[len(prompt) % len(self.replies)]
+
+
+class OptionProvider(EchoProvider):
+    """The same failures, but the answer is one of the options that the prompt
+    lists (lines that start with "- "), or NO_MATCH, picked by the prompt's length."""
+
+    def answer(self, prompt: str, model: str) -> str:
+        listed = prompt.partition("Options:")[2].rpartition("\n\nMessage: ")[0]
+        options = [*listed.split("\n- ")[1:], "NO_MATCH"]
+        return options[len(prompt) % len(options)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaymind.operators import classify as C
 from quaymind.operators import project as P
-from quaymind.operators.infer import EchoProvider, generate_replies, ScriptedProvider
+from quaymind.operators.infer import EchoProvider, OptionProvider, ScriptedProvider, generate_replies
 from quaymind.functions import text as T
 from quaymind.operators.vectors import encode_texts
 from quaymind.plans.q_sources import scratch
@@ -138,7 +138,8 @@ def r_label(spark, sf):
     """Recipe: knowledge-base labelling of every user message (B6 -> U1 -> C13 -> J3)."""
     register(spark, sf)
     um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    return RC.label_messages(um, spark.table("kb"), _provider, model="primary", fallback_model="secondary")
+    return RC.label_messages(um, spark.table("kb"), lambda: OptionProvider("primary"), model="primary",
+                             fallback_model="secondary")
 
 
 @query("u1_recipe_summarise")
@@ -295,7 +296,7 @@ _attach_oracles()
 
 
 def _echo_sql(prompt: str, model: str, *, fail_model: str = "primary", fallback: str | None = None,
-              default: str | None = None, script: list[str] | None = None) -> tuple[str, str, str]:
+              default: str | None = None, script: list[str] | None = None, answer: str | None = None) -> tuple[str, str, str]:
     """(reply, error, model_used) of U1 with the stand-in provider, in DuckDB."""
     from quaymind.plans import oracle_sql as O
     lb = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -304,6 +305,8 @@ def _echo_sql(prompt: str, model: str, *, fail_model: str = "primary", fallback:
     used = f"CASE WHEN {retry} AND {'true' if fallback else 'false'} THEN '{fallback or model}' ELSE '{model}' END"
     last = f"list_last(string_split_regex({O.strip(prompt)}, '{lb}'))"
     ok = O.strip(f"concat('[', {used}, '] ', {last})")
+    if answer:
+        ok = answer
     if script:
         ok = f"[{', '.join(repr(x) for x in script)}][{n} % {len(script)} + 1]"
     hard = f"(({retry} AND {'false' if fallback else 'true'}) OR {n} % 11 = 0)"
@@ -379,13 +382,15 @@ def _attach_more_recipe_oracles():
 SELECT conv_id, turn, text, CAST(NULL AS VARCHAR) AS search_query, CAST(NULL AS VARCHAR) AS recommended_model,
   CAST(NULL AS DOUBLE) AS price_min, CAST(NULL AS DOUBLE) AS price_max,
   coalesce(err, concat('non-JSON reply: ', {O.strip("coalesce(reply, '')")})) AS error FROM g""")
-    opts = f"SELECT string_agg(concat('- ', {O.strip('keyword')}), chr(10) ORDER BY ordinal) AS o FROM kb"
+    opts = (f"SELECT string_agg(concat('- ', {O.strip('keyword')}), chr(10) ORDER BY ordinal) AS o, "
+            f"list(concat({O.strip('keyword')}) ORDER BY ordinal) AS ks FROM kb")
     lp = ("concat('Pick the option that answers the message, or NO_MATCH.', chr(10), chr(10), 'Options:', chr(10), "
           "opts.o, chr(10), chr(10), 'Message: ', um.text)")
-    r, e, _ = _echo_sql("prompt", "primary", fallback="secondary")
+    r, e, _ = _echo_sql("prompt", "primary", fallback="secondary",
+                        answer="coalesce(ks[length(prompt) % (len(ks) + 1) + 1], 'NO_MATCH')")
     lab, score = label_sql("coalesce(reply, '')")
     REGISTRY["u1_recipe_label_messages"].oracle = O.sql(["messages", "kb"], [
-        ("um", um), ("opts", opts), ("p", f"SELECT um.*, {lp} AS prompt FROM um, opts"),
+        ("um", um), ("opts", opts), ("p", f"SELECT um.*, opts.ks, {lp} AS prompt FROM um, opts"),
         ("g", f"SELECT conv_id, turn, text, {r} AS reply, {e} AS error FROM p"),
         ("l", f"SELECT conv_id, turn, text, {lab} AS match, {score} AS score, error FROM g"),
         ("kbf", KB_FIRST)], """
