@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quaymind.llm.common import DOC_COLUMNS, project
+from quaymind.llm.common import DOC_COLUMNS, bound_arrow_batches, project
 from quaymind.session import ship_package
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -63,15 +63,17 @@ class Codec:
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         # every way a token splits into two tokens: (left id, right id) -> the token's rank
         self.base = max(self.tokens) + 1
-        pairs = {}
+        keys, made = array("q"), array("i")
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 left, right = ranks.get(token[:k]), ranks.get(token[k:])
                 if left is not None and right is not None:
-                    pairs[left * self.base + right] = rank
-        self.pairs = pairs
-        self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int32)
+                    keys.append(left * self.base + right)
+                    made.append(rank)
+        order = np.argsort(np.frombuffer(keys, dtype=np.int64))
+        self.pair_keys = np.frombuffer(keys, dtype=np.int64)[order]
+        self.pair_ranks = np.frombuffer(made, dtype=np.int32)[order]
+        self._pairs: dict[int, int] | None = None
         # decoding table: all tokens' bytes behind one another, and each token's place
         known = sorted(self.tokens)
         lengths = np.zeros(self.base, dtype=np.int64)
@@ -82,6 +84,13 @@ class Codec:
         self.cache: dict[str, tuple[bytes, str]] = {}
         self.pieces: dict[str, tuple[bytes, str]] = {}
 
+    @property
+    def pairs(self) -> dict[int, int]:
+        """The pairs as a dictionary, made when the first long piece asks for it."""
+        if self._pairs is None:
+            self._pairs = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
+        return self._pairs
+
     # ------------------------------------------------------------ many short pieces
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -345,6 +354,7 @@ def _run(sc, path: str | None, pattern: str | None):
 def tokenize(df: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """The columns of ``df`` without text, and ``ids`` (array of int)."""
     ship_package(df.sparkSession)
+    bound_arrow_batches(df.sparkSession)
     start = _run(df.sparkSession.sparkContext, path, pattern)
     kept = [f for f in df.schema.fields if f.name != "text"]
 
@@ -358,6 +368,7 @@ def tokenize(df: DataFrame, path: str | None = None, pattern: str | None = None)
 def detokenize(df: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """The columns of ``df`` without ids, and ``text``: the ids' bytes read as UTF-8."""
     ship_package(df.sparkSession)
+    bound_arrow_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((vocabulary(path), pattern or _split_pattern()))
     kept = [f for f in df.schema.fields if f.name != "ids"]
 
@@ -374,6 +385,7 @@ def detokenize(df: DataFrame, path: str | None = None, pattern: str | None = Non
 def token_digests(df: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the hashes of the ids and of the bytes they decode to."""
     ship_package(df.sparkSession)
+    bound_arrow_batches(df.sparkSession)
     start = _run(df.sparkSession.sparkContext, path, pattern)
 
     def run(batches):
@@ -397,6 +409,7 @@ def op7_bpe(docs: DataFrame) -> DataFrame:
 def encoded_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """The documents as token ids: doc_id, lang, source, n_chars, ids and the digests of ``token_digests``."""
     ship_package(docs.sparkSession)
+    bound_arrow_batches(docs.sparkSession)
     rows = project(docs, DOC_COLUMNS)
     start = _run(docs.sparkSession.sparkContext, path, pattern)
     kept = [f for f in rows.schema.fields if f.name != "text"]

@@ -81,3 +81,14 @@ def global_index(df: DataFrame, keys: list[Column], column: str) -> DataFrame:
     start = F.element_at(literal_longs(ahead), part.cast("int") + 1)
     return (placed.withColumn(column, start + F.col("placed_at").bitwiseAND(F.lit((1 << 33) - 1)))
             .drop("placed_at"))
+
+
+#: Rows that travel to a Python worker at once: texts are long, and a worker holds a whole batch.
+ARROW_ROWS = 1_000
+
+
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))

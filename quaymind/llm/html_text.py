@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quaymind.llm.common import BROADCAST_BYTES, materialize, project
+from quaymind.llm.common import BROADCAST_BYTES, bound_arrow_batches, materialize, project
 from quaymind.session import ship_package
 
 #: Paths kept per host, best first.
@@ -322,6 +322,7 @@ def host_paths(pages: DataFrame, paths_per_host: int = PATHS_PER_HOST) -> DataFr
 def extract_text(pages: DataFrame, paths_per_host: int = PATHS_PER_HOST) -> DataFrame:
     """page_id, url and text of every page."""
     ship_package(pages.sparkSession)
+    bound_arrow_batches(pages.sparkSession)
     rows = project(pages, {"page_id": "bigint", "url": "string", "html": "string"}).withColumn("host", host_of(F.col("url")))
     chosen = materialize(host_paths(rows, paths_per_host), "host-paths")
     size = chosen.agg(F.coalesce(F.sum(F.octet_length(F.array_join("paths", "")) + F.octet_length("host") + 64),

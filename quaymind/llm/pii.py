@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymind.llm.common import materialize, project
-from quaymind.llm.spans import find_all, joined, ranked, sha256, when_contains
+from quaymind.llm.spans import find_all, joined, sha256, when_contains
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns.  A run of the leading class is tried from its start only (or from where the last

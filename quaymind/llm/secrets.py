@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaymind.llm.common import DOC_COLUMNS, project
+from quaymind.llm.common import DOC_COLUMNS, bound_arrow_batches, project
 from quaymind.llm.spans import find_all, joined, let, ranked, sha256
 from quaymind.session import ship_package
 
@@ -130,6 +130,7 @@ def with_secrets(df: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, a
     if not keep_text:
         out = out.drop("text")
     ship_package(df.sparkSession)
+    bound_arrow_batches(df.sparkSession)
     # the columns pass through as Arrow arrays; Python only looks at the candidates
     entropy = T.StructField("s_entropy", T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in "sek"])))
     schema = T.StructType([f for f in out.schema.fields if f.name != "s_candidates"] + [entropy])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaymind.llm.common import BROADCAST_BYTES, DOC_COLUMNS, materialize, project
+from quaymind.llm.common import BROADCAST_BYTES, DOC_COLUMNS, bound_arrow_batches, materialize, project
 from quaymind.session import ship_package
 
 SHINGLE_WORDS = 3
@@ -71,7 +71,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
 def _fingerprint_batches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], dtype=np.uint64)
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(prints.view(np.int64))],
                                              names=[*kept, "fp"])
@@ -81,6 +81,7 @@ def _fingerprint_batches(shingle: int):
 def with_fingerprints(df: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """The columns of ``df`` without text, and ``fp`` (the 64 bits as a signed long)."""
     ship_package(df.sparkSession)
+    bound_arrow_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema.fields if f.name != "text"] + [T.StructField("fp", T.LongType())])
     return df.mapInArrow(_fingerprint_batches(shingle), schema)
 
