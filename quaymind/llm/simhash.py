@@ -23,6 +23,7 @@ long texts are hashed whole, in bounded pieces; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -60,7 +61,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
         grams = map(b" ".join, zip(*[words[k:] for k in range(shingle)]))
     total, ones = max(1, len(words) - shingle + 1), np.zeros(64, dtype=np.int64)
     while True:
-        piece = np.fromiter((digest(g, SEED) for g, _ in zip(grams, range(PIECE))), dtype=np.uint64)
+        piece = np.fromiter((digest(g, SEED) for g in islice(grams, PIECE)), dtype=np.uint64)
         if not len(piece):
             break
         bits = np.unpackbits(piece.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)

@@ -126,6 +126,22 @@ def test_components_match_all_pairs(spark, node_rows):
     assert len(set(roots.values())) < len(texts) - 10
 
 
+@pytest.mark.parametrize("shingles", [1 << 15, (1 << 15) + 1, 70_000, 200_000])
+def test_long_texts_are_hashed_whole(shingles):
+    for seed in range(3):
+        rng = random.Random(seed)
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(shingles + 2))
+        assert simhash.fingerprint(text) == fingerprint(text)
+
+
+def test_no_shingle_is_lost_between_pieces(monkeypatch):
+    # a piece of 4: five shingles make a second piece of one
+    monkeypatch.setattr(simhash, "PIECE", 4)
+    for n in range(1, 40):
+        text = " ".join(f"w{k}" for k in range(n))
+        assert simhash.fingerprint(text) == fingerprint(text)
+
+
 def test_one_document_of_every_class_stays(spark):
     texts = near_texts() + ["same row"] * 3 + ["null id"] * 2
     ids = list(range(len(texts) - 5)) + [900] * 3 + [None] * 2
