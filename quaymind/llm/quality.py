@@ -5,16 +5,17 @@ hashed.  Digits stay: documents whose lines differ in numbers only are not
 furniture.  Per host (the ``source`` column) the number of distinct
 documents that hold a line is counted; exact copies of a text are one
 document, so a popular document is not mistaken for page furniture.  A line is
-removed when more than ``max(MIN_DOCUMENTS, MAX_SHARE of the host's distinct
-documents)`` hold it, and a document is rejected when what remains of it is
-below ``MIN_WORDS`` words or below ``MIN_REMAINING`` of its words.  The base
-rules (too few words, too much repetition inside the text) reject first.
-
-Built-in column functions only.  The table that meets the documents has one
-row per host, with the hashes of its removed lines: as each of them fills more
-than ``MAX_SHARE`` of the host's documents, there are at most
-``lines per document / MAX_SHARE`` of them.  It is broadcast when its measured
-size allows; beyond that it is joined with the host salted.
+removed when more than ``MIN_DOCUMENTS`` of them hold it, however large the
+host, and a document is rejected when what remains of it is below
+``MIN_WORDS`` words or below ``MIN_REMAINING`` of its words.  The base rules
+(too few words, too much repetition inside the text) reject first.
+
+Built-in column functions only.  Removed lines meet the documents' lines on
+(host, line hash), so a hot host is spread over its lines; what each distinct
+text loses goes back to the documents on (host, text hash).  Neither table is
+bounded by the rule: each is broadcast when its measured size allows; beyond
+that both sides are shuffled and Spark splits the document side of a hot line
+or of a text with many copies.
 
 Defined cases: null text has no words and fails the base rule; the null source
 is a host of its own; an empty table gives no rows; repeated rows get equal
@@ -32,13 +33,12 @@ MIN_WORDS = 10
 #: Words in repeated 5-word windows, in percent of all words.
 MAX_REPEAT_PERCENT = 20
 WINDOW_WORDS = 5
-#: A line is furniture when more distinct documents of its host than this hold it ...
+#: A line is furniture when more distinct documents of its host than this hold it.
 MIN_DOCUMENTS = 10
-#: ... and more than this share of them.
+#: Only the oracle's SQL has this share of the host's documents as well: the operator does without it.
 MAX_SHARE = 0.25
 #: A document keeps at least this share of its words, or it is rejected.
 MIN_REMAINING = 0.3
-SALTS = 32
 
 
 def repeated_words(tokens: Column, window: int = WINDOW_WORDS) -> Column:
@@ -101,33 +101,40 @@ def with_stats(df: DataFrame) -> DataFrame:
             .drop("q_words", "q_lines"))
 
 
-def frequent_lines(lined: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """One row per host: the hashes of its lines above the limits.
+def _met(table: DataFrame, size: Column) -> DataFrame:
+    """``table`` as the small side of a join: broadcast when its measured size allows."""
+    measured = table.agg(F.coalesce(F.sum(size + F.coalesce(F.octet_length("host"), F.lit(0)) + 32), F.lit(0))).first()[0]
+    return F.broadcast(table) if measured <= BROADCAST_BYTES else table
+
+
+def frequent_lines(lined: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """host and h, the hash, of every line above the limit.
 
     ``lined`` has the columns host, content (a hash of the whole text) and
     hashes (array of long).
     """
-    documents = lined.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
-    held = (lined.select("host", "content", F.explode(F.array_distinct("hashes")).alias("h")).distinct()
-            .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_documents))
-    above = (held.alias("l").join(documents.alias("d"), F.col("l.host").eqNullSafe(F.col("d.host")))
-             .where(F.col("n") > F.col("documents") * max_share))
-    return above.groupBy("l.host").agg(F.collect_list("h").alias("removed"))
-
-
-def _attach_removed(df: DataFrame, removed: DataFrame) -> DataFrame:
-    """``df`` (with ``source``) and the removed hashes of its host; empty where there are none."""
-    removed = materialize(removed.select("host", "removed"), "frequent-lines")
-    size = removed.agg(F.coalesce(F.sum(F.size("removed") * 8 + F.coalesce(F.octet_length("host"), F.lit(0)) + 32),
-                                  F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:
-        out = df.join(F.broadcast(removed), F.col("source").eqNullSafe(F.col("host")), "left")
-    else:
-        salted = removed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = (df.withColumn("q_salt", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALTS)).cast("int"))
-               .join(salted, F.col("source").eqNullSafe(F.col("host")) & (F.col("q_salt") == F.col("salt")), "left")
-               .drop("q_salt", "salt"))
-    return out.withColumn("removed", F.coalesce("removed", F.expr("array()").cast("array<bigint>"))).drop("host")
+    return (lined.select("host", "content", F.explode(F.array_distinct("hashes")).alias("h")).distinct()
+            .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_documents).select("host", "h"))
+
+
+def removed_lines(lined: DataFrame) -> DataFrame:
+    """host, content and, as ``removed``, the hashes of its frequent lines, for every text that has one.
+
+    Two texts with one hash share a row: what it lists is frequent in their host, so each loses its own lines only.
+    """
+    frequent = materialize(frequent_lines(lined), "frequent-lines").select(F.col("host").alias("of"), F.col("h").alias("gone"))
+    small = _met(frequent.withColumnRenamed("of", "host"), F.lit(8)).withColumnRenamed("host", "of")
+    lines = lined.select("host", "content", F.explode(F.array_distinct("hashes")).alias("h"))
+    held = lines.join(small, F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("gone")))
+    return held.groupBy("host", "content").agg(F.collect_set("h").alias("removed"))
+
+
+def _attach_removed(df: DataFrame, lined: DataFrame) -> DataFrame:
+    """``df`` (with ``source`` and ``content``) and the removed hashes of its text; empty where there are none."""
+    removed = materialize(removed_lines(lined), "removed-lines").withColumnRenamed("content", "of")
+    small = _met(removed, F.size("removed") * 8 + 8)
+    out = df.join(small, F.col("source").eqNullSafe(F.col("host")) & F.col("content").eqNullSafe(F.col("of")), "left")
+    return out.withColumn("removed", F.coalesce("removed", F.expr("array()").cast("array<bigint>"))).drop("host", "of")
 
 
 def _verdict(df: DataFrame) -> DataFrame:
@@ -147,18 +154,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = project(docs, {"doc_id": "bigint", "text": "string", "source": "string"})
     slim = materialize(with_stats(rows.withColumn("content", F.xxhash64("text"))).drop("text"), "quality")
     lined = slim.select(F.col("source").alias("host"), "content", F.transform("lines", lambda x: x["h"]).alias("hashes"))
-    return _verdict(_attach_removed(slim, frequent_lines(lined))).drop("lines", "removed", "content", "source")
+    return _verdict(_attach_removed(slim, lined)).drop("lines", "removed", "content", "source")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their frequent lines (n_chars follows the text)."""
-    rows = project(docs, DOC_COLUMNS)
-    lined = rows.select(F.col("source").alias("host"), F.xxhash64("text").alias("content"),
+    rows = project(docs, DOC_COLUMNS).withColumn("content", F.xxhash64("text"))
+    lined = rows.select(F.col("source").alias("host"), "content",
                         F.transform(line_array(F.col("text")), lambda x: F.xxhash64(normal_line(x))).alias("hashes"))
-    judged = _verdict(_attach_removed(with_stats(rows), frequent_lines(lined))).where("kept")
+    judged = _verdict(_attach_removed(with_stats(rows), materialize(lined, "quality-lines"))).where("kept")
     lines = F.filter(F.split("text", "\n", -1),
                      lambda x: ~F.array_contains(F.col("removed"), F.xxhash64(normal_line(x))))
-    changed = F.col("n_remaining") < F.col("n_words")
+    changed = F.size("removed") > 0
     return (judged.withColumn("text", F.when(changed, F.array_join(lines, "\n")).otherwise(F.col("text")))
             .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
             .select(*DOC_COLUMNS))

@@ -198,6 +198,33 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert clean[0].text == own[0] and clean[0].n_chars == len(own[0]) and clean[35].text == own[35]
 
 
+@pytest.mark.parametrize("broadcast_bytes", [None, 0])
+def test_lines_go_however_large_the_host(spark, monkeypatch, broadcast_bytes):
+    if broadcast_bytes is not None:
+        monkeypatch.setattr(quality, "BROADCAST_BYTES", broadcast_bytes)
+    own = [" ".join(f"v{i}x{k}" for k in range(20)) for i in range(200)]
+    notice, rare = "Subscribe to our list for more news like this every week", "a line that ten texts of the host hold"
+    # 30 of 200 distinct texts (15 %) and exact copies; ten texts hold the rare line, in any number of copies
+    texts = [f"{notice}\n{t}" if i < 30 else f"{t}\n{rare}" if i < 40 else t for i, t in enumerate(own)]
+    texts += [texts[0]] * 25 + [texts[35]] * 25
+    texts += [f"{notice}\nnot more than{i} these words" for i in range(2)] + [None]
+    for hosts in (["h"] * len(texts), [None] * len(texts)):
+        df = documents(spark, texts, hosts)
+        clean = {r.doc_id: r for r in quality.clean_documents(df).collect()}
+        kept = {r.doc_id for r in quality.op6_quality(df).collect() if r.kept}
+        assert set(clean) == kept == set(range(250))
+        for i in [*range(200), *range(200, 225)]:
+            want = own[i if i < 200 else 0]
+            assert clean[i].text == (f"{want}\n{rare}" if 30 <= i < 40 else want) and clean[i].n_chars == len(clean[i].text)
+
+
+def test_lines_are_removed_from_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    changed = [r for r in quality.clean_documents(docs).collect() if r.text != before[r.doc_id]]
+    assert changed and all(len(r.text) < len(before[r.doc_id]) and r.n_chars == len(r.text) for r in changed)
+
+
 # ---------------------------------------------------------------- preference pairs
 
 def test_prompt_is_rendered_once_and_masks_cover_replies(spark):
