@@ -12,8 +12,10 @@
    own best container.
 
 Furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) is known by tag, role and class words and is left
-out at any depth; headings inside an article's header stay.
+scripts, styles, comments) is known by tag, role and the first or last word of
+a class or id, and is left out at any depth; headings inside an article's
+header stay.  Names of layout or state (has-sidebar, nav-open) hide nothing,
+and no name hides what holds the page's main or most of its text.
 
 Blocks are joined in page order by one newline; white space inside a block
 becomes one space; character references are decoded.
@@ -71,6 +73,13 @@ FURNITURE_WORDS = frozenset("""nav navbar navigation menu menus breadcrumb bread
     widget ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent
     gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus reply replies
     respond share sharing social related recommended pagination pager toolbar topbar skip""".split())
+#: Words that make a class or id one of layout or state: what the element is with, not what it is.
+LAYOUT_WORDS = frozenset("has no not with without".split())
+STATE_WORDS = frozenset("open opened closed collapsed enabled disabled".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
+HEADER_WORDS = frozenset("header masthead".split())
+#: What an article's own header may be named after.
+ARTICLE_WORDS = frozenset("article entry post story content".split())
 
 
 class Node:
@@ -102,21 +111,31 @@ def _short(path: str) -> str:
 
 
 def _is_furniture(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether tag, role or state say furniture."""
     if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
         return True
     if not attributes:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if attributes.get("role", "").lower() in FURNITURE_ROLES:
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return False
+    return attributes.get("role", "").lower() in FURNITURE_ROLES
+
+
+def _names(attributes: dict[str, str]) -> list[list[str]]:
+    """The words of every class and id."""
     said = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    if not said.strip():
+    return [w for x in said.split() if (w := _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()))]
+
+
+def _own_header(name: list[str]) -> bool:
+    return len(name) > 1 and name[0] in ARTICLE_WORDS and name[-1] in HEADER_WORDS
+
+
+def _says_furniture(name: list[str]) -> bool:
+    """A class or id says furniture by its first or last word, unless it is one of layout or state."""
+    if not LAYOUT_WORDS.isdisjoint(name) or name[-1] in STATE_WORDS or _own_header(name):
         return False
-    said = re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower()
-    return not FURNITURE_WORDS.isdisjoint(_WORDS.findall(said))
+    return name[0] in FURNITURE_WORDS or name[-1] in FURNITURE_WORDS
 
 
 class Page:
@@ -126,15 +145,42 @@ class Page:
     """
 
     def __init__(self, source: str):
+        self._read_all(source, frozenset())
+        spared = self._spared()
+        if spared:
+            self._read_all(source, spared)
+
+    def _read_all(self, source: str, spared: frozenset[int]) -> None:
         self.blocks: list[tuple[str, Node]] = []
         self.link_chars: dict[int, int] = {}
         root = Node("html", "", False, None, 0)
         self.nodes = [root]
-        # open elements: tag, container, hidden, in a link, in an article, in a header, hidden by more than the header
-        self._stack: list[tuple] = [("html", root, False, False, False, False, False)]
+        # open elements: tag, container, hidden, in a link, in an article, in a header, hidden by more than the header,
+        # hidden by more than a name, number if a name hides it
+        self._stack: list[tuple] = [("html", root, False, False, False, False, False, False, None)]
+        # of elements that a name hides: whether it is a plain word, and unlinked characters, articles and mains on
+        # opening, then within; the same of the page so far
+        self._named: list[list] = []
+        self._seen = [0, 0, 0]
+        self._spare = spared
         self._text: list[str] = []
         self._linked = 0
         self._read(source)
+        self._cut(1)
+
+    def _cut(self, at: int) -> None:
+        """Close the open elements from this one on."""
+        for x in self._stack[at:]:
+            if x[8] is not None:
+                named = self._named[x[8]]
+                named[1:] = [now - then for now, then in zip(self._seen, named[1:])]
+        del self._stack[at:]
+
+    def _spared(self) -> frozenset[int]:
+        """Elements that a name hides but that hold the page's main, or most of its unlinked text: with all
+        articles in it, or when the name is no plain furniture word and not of comments."""
+        return frozenset(i for i, (plain, chars, articles, mains) in enumerate(self._named)
+                         if mains or (2 * chars > self._seen[0] and (0 < articles == self._seen[1] or not plain)))
 
     def _flush(self) -> None:
         if self._text:
@@ -146,9 +192,13 @@ class Page:
 
     def _add(self, raw: str) -> None:
         top = self._stack[-1]
-        if not raw or top[2]:
+        if not raw:
             return
         link = top[3]
+        if not (link or top[7]):
+            self._seen[0] += len(raw.strip())
+        if top[2]:
+            return
         text = entities.unescape(raw) if "&" in raw else raw
         self._text.append(text)
         if link:
@@ -159,7 +209,7 @@ class Page:
         for at in range(len(self._stack) - 1, 0, -1):
             if self._stack[at][0] in names:
                 self._flush()
-                del self._stack[at:]
+                self._cut(at)
                 return
             if self._stack[at][0] in SCOPE:
                 return
@@ -177,25 +227,37 @@ class Page:
             self._close({"p"})
         if tag in CLOSES:
             self._close(CLOSES[tag])
-        _, above, hidden, link, in_article, in_header, furniture = self._stack[-1]
+        _, above, hidden, link, in_article, in_header, furniture, sure, _ = self._stack[-1]
         attributes: dict[str, str] = {}
         if raw and raw != "/":
             if "=" in raw:
                 attributes = _attributes(raw)
             if "hidden" in raw and "hidden" in raw.lower().split():
                 attributes["hidden"] = ""
-        furniture = furniture or _is_furniture(tag, attributes, in_article)
+        sure = sure or _is_furniture(tag, attributes, in_article)
+        header, named = tag == "header", None
+        if not sure:
+            self._seen[1] += tag == "article"
+            self._seen[2] += tag == "main"
+            if attributes and tag not in ("html", "body", "main", "article"):
+                names = _names(attributes)
+                header = header or (in_article and any(map(_own_header, names)))
+                bad = [x for x in names if _says_furniture(x) and not (header and HEADER_WORDS.issuperset(x))]
+                if bad:
+                    named = len(self._named)
+                    self._named.append([any(len(x) == 1 or not COMMENT_WORDS.isdisjoint(x) for x in bad), *self._seen])
+        furniture = furniture or sure or (named is not None and named not in self._spare)
         # inside an article's header only the headings count
         if tag in HEADINGS and in_header and in_article:
             hidden = furniture
         else:
-            hidden = hidden or furniture or tag == "header"
+            hidden = hidden or furniture or header
         node = above
         if tag in CONTAINERS and not hidden:
             node = Node(tag, f"{_short(above.path)}>{_step(tag, attributes)}", hidden, above, len(self.nodes))
             self.nodes.append(node)
         self._stack.append((tag, node, hidden, link or tag == "a", in_article or tag == "article" or tag == "main",
-                            in_header or tag == "header", furniture))
+                            in_header or header, furniture, sure, named))
 
     def _read(self, source: str) -> None:
         at, n, text_from = 0, len(source), 0
@@ -226,7 +288,7 @@ class Page:
                             # an inline end tag does not close blocks that opened inside
                             continue
                         self._flush()
-                    del self._stack[open_at:]
+                    self._cut(open_at)
                 elif tag in BLOCKS:
                     self._flush()
                 continue

@@ -85,6 +85,33 @@ def test_host_consensus_beats_a_page_of_its_own(spark):
     assert got[0] == "text number 0, with words."
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "nav-open", "layout-with-header", "post comments-closed",
+                                  "entry related-work", "sidebar-left", "hasSidebar"])
+@pytest.mark.parametrize("inner", ["article", "div", "main"])
+def test_layout_names_hide_no_article(name, inner):
+    page = (f"<body><div class=menu>Home and more</div><div class='{name}'><{inner}><h1>Title</h1><p>First words, and more of them.</p>"
+            f"<div class='comments'>A comment.</div><div class=ad-box>BUY</div></{inner}></div><div class=cookie-banner>Cookies</div></body>")
+    assert html_text.Page(page).extract([]) == "Title\nFirst words, and more of them."
+
+
+@pytest.mark.parametrize("header", ["div class=article-header", "header class=entry-header", "header class=header"])
+def test_headings_of_an_article_header_stay(header):
+    page = f"<article><{header}><h1>Title</h1><p>by me</p></{header.split()[0]}><p>First words, and more of them.</p></article>"
+    assert html_text.Page(page).extract([]) == "Title\nFirst words, and more of them."
+
+
+@pytest.mark.parametrize("name", ["comments", "sidebar", "related-posts", "site-header", "menu-container", "widget"])
+def test_furniture_beside_an_article_stays_hidden(name):
+    page = (f"<body><div class=post><p>First words, and more of them, in some number.</p></div>"
+            f"<div class='{name}'><p>short.</p></div></body>")
+    assert html_text.Page(page).extract([]) == "First words, and more of them, in some number."
+
+
+def test_long_comments_stay_hidden():
+    page = "<article><p>First words.</p></article><div class=comment-list><article>" + "A comment, long. " * 30 + "</article></div>"
+    assert html_text.Page(page).extract([]) == "First words."
+
+
 @pytest.mark.parametrize("source", ["<div>" * 3000 + "x", "<" * 3000, "<a " * 2000, "<!-- open", "<p title='x > y'>x", "</p></div>x"])
 def test_broken_pages_do_not_fail(source):
     assert html_text.Page(source).extract([]) is not None
