@@ -8,8 +8,10 @@
    its consensus.  Votes are summed map-side, so a host with a third of all
    pages is only a frequent key of a sum.
 3. Each page is parsed again and the containers on the host's best path that
-   the page has give its text; a page that has none of them falls back on its
-   own best container.
+   the page has are looked up; a page that has none of them falls back on its
+   own best container.  What they are parts of gives the text: the nearest
+   article or main around them, or without one the element with text of its
+   own, or with several sections, around them.
 
 Furniture (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments) is known by tag, role and the first or last word of
@@ -331,15 +333,41 @@ class Page:
     def best(self) -> Node | None:
         return min(self.scored(), key=lambda x: (-x.score, x.order), default=None)
 
+    def whole(self, chosen: list[Node]) -> list[Node]:
+        """What the chosen containers are parts of: the article (or main) around each, or else the
+        element that has text of its own beside it, or of whose sections it is one."""
+        own: dict[int, bool] = {}
+        sections: dict[int, int] = {}
+        for i, (text, node) in enumerate(self.blocks):
+            own[node.order] = own.get(node.order, False) or len(text) > self.link_chars[i]
+        for x in self.nodes:
+            if x.tag == "section" and x.parent is not None:
+                sections[x.parent.order] = sections.get(x.parent.order, 0) + 1
+        out = {}
+        for node in chosen:
+            top = node
+            while top is not None and top.tag not in ("article", "main"):
+                top = top.parent
+            if top is None:
+                top = node
+                while (above := top.parent) is not None and above.tag in ("section", "div", "blockquote") and (
+                        top.tag == "blockquote" or own.get(above.order)
+                        or (top.tag == "section" and sections.get(above.order, 0) > 1)):
+                    top = above
+                if top is not node and self.link_share(top) > MAX_LINK_SHARE:
+                    top = node
+            out[top.order] = top
+        return list(out.values())
+
     def extract(self, paths: list[str]) -> str:
-        """The text of the containers on the first of the paths that gives any, or of the page's own best."""
+        """The text of what the containers on the first of the paths that gives any are parts of, or the page's
+        own best container."""
         for path in paths:
             found = [x for x in self.nodes if x.path == path and self.link_share(x) <= MAX_LINK_SHARE]
-            text = self.text_under(found) if found else ""
-            if text:
-                return text
+            if found and self.text_under(found):
+                return self.text_under(self.whole(found))
         own = self.best()
-        return self.text_under([own]) if own else "\n".join(text for text, _ in self.blocks)
+        return self.text_under(self.whole([own])) if own else "\n".join(text for text, _ in self.blocks)
 
 
 def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,6 +85,27 @@ def test_host_consensus_beats_a_page_of_its_own(spark):
     assert got[0] == "text number 0, with words."
 
 
+ENTRY = "<p>" + "The body of it, in many words. " * 8 + "</p>"
+LAST = "<blockquote><p>" + "A longer quotation, of some length. " * 20 + "</p></blockquote>"
+
+
+@pytest.mark.parametrize("page", [
+    "<article><h1>Title {n}</h1><p>lead</p><div class=entry>{entry}</div></article>",
+    "<div class=post><h1>Title {n}</h1><p>lead</p><div class=entry>{entry}</div></div>",
+    "<article><section class=intro><h1>Title {n}</h1><p>lead</p></section><section class=body>{entry}</section></article>",
+    "<div class=page><section class=intro><h1>Title {n}</h1><p>lead</p></section><section class=body>{entry}</section></div>",
+    "<main><h1>Title {n}</h1><div class=lead>lead</div><table><tr><td>{entry}</td></tr></table></main>",
+])
+def test_the_whole_article_is_read(spark, page):
+    for entry in (ENTRY, ENTRY + LAST):
+        body = "<body><div class=menu>Home</div>" + page + "<div class=box><p>note</p></div><footer>end</footer></body>"
+        rows = [(f"http://a.example.com/{n}", body.replace("{n}", str(n)).replace("{entry}", entry)) for n in range(4)]
+        plain = "\n".join(" ".join(x.split()) for x in entry.replace("<blockquote>", "").replace("</blockquote>", "")
+                          .replace("<p>", "").split("</p>") if x)
+        got = {r.page_id: r.text for r in html_text.op3_html(pages(spark, rows)).collect()}
+        assert got == {n: f"Title {n}\nlead\n{plain}" for n in range(4)}
+
+
 @pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "nav-open", "layout-with-header", "post comments-closed",
                                   "entry related-work", "sidebar-left", "hasSidebar"])
 @pytest.mark.parametrize("inner", ["article", "div", "main"])
