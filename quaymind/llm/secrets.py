@@ -4,8 +4,9 @@ Spark finds the base spans and the candidate strings (long runs of token
 characters) with built-in functions.  Each candidate then goes through a
 window per character class whose Shannon entropy follows from incremental
 counts: one character enters, one leaves, and only their two terms change.
-Windows above the class's threshold are merged into spans; what the allow-list
-matches is suppressed.  The allow-list never touches base spans.
+Windows above the class's threshold are merged into spans.  What the allow-list
+matches, with the rest of the word it stands in, takes no part in a window; the
+text beside it does.  The allow-list never touches base spans.
 
 Defined cases: a null text counts as empty; an empty table gives no rows;
 repeated rows are separate documents; equal spans of two kinds are both
@@ -15,6 +16,7 @@ reported; a null id is kept; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log2
@@ -51,10 +53,15 @@ _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghi
 CLASSES = (
     CharacterClass("entropy_hex", _DIGITS + "abcdefABCDEF", 20, 2.9, (_DIGITS, "abcdefABCDEF")),
     CharacterClass("entropy_base64", _DIGITS + _UPPER + _LOWER + "+/_-=", 20, 3.6, (_DIGITS, _UPPER, _LOWER)),
+    # one case and digits: with a letter that is no hex digit, else it is the first class
+    CharacterClass("entropy_base36", _DIGITS + _LOWER, 20, 3.5, (_DIGITS, _LOWER[6:])),
+    CharacterClass("entropy_base32", _DIGITS + _UPPER, 20, 3.4, (_DIGITS, _UPPER[6:])),
 )
 #: Strings that look random and are no secrets: UUIDs, documented example keys, alphabets, placeholders.
 ALLOW = (r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i)example|placeholder|your[_-]|x{6,}",
-         r"0123456789|(?i:abcdefgh)|(?i:qwertyuiop)")
+         r"0123456789|(?i:abcdefgh)|(?i:qwertyuiop)", r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
+_UUID = re.compile(ALLOW[0])
+_RUN = re.compile(r"[A-Za-z0-9]+")
 
 
 def entropy_runs(text: str, rule: CharacterClass) -> list[tuple[int, int]]:
@@ -91,13 +98,31 @@ def entropy_runs(text: str, rule: CharacterClass) -> list[tuple[int, int]]:
     return out
 
 
+def without_allowed(text: str, allow: tuple[str, ...] = ALLOW) -> str:
+    """``text`` with what the allow-list covers blanked: its matches, and the letters and digits a word is glued to."""
+    runs = [m.span() for m in _RUN.finditer(text)]
+    starts, spans = [s for s, _ in runs], set()
+    for p in allow:
+        for m in re.finditer(p, text):
+            s, e = m.span()
+            if not _UUID.fullmatch(m[0]):
+                first, last = (runs[max(bisect_right(starts, at) - 1, 0)] if runs else (0, 0) for at in (s, e - 1))
+                s, e = first[0] if first[0] <= s < first[1] else s, last[1] if last[0] < e <= last[1] else e
+            spans.add((s, e))
+    out, at = [], 0
+    for s, e in sorted(spans):
+        if e > at:
+            out += [text[at:s], "\0" * (e - max(s, at))]
+            at = e
+    return "".join([*out, text[at:]])
+
+
 def scan_candidate(text: str, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW):
     """(start, end, class index) of a candidate's suspicious stretches."""
-    found = [(s, e, k) for k, rule in enumerate(classes) for s, e in entropy_runs(text, rule)]
-    if not found:
+    if not any(entropy_runs(text, rule) for rule in classes):
         return []
-    clear = [m.span() for p in allow for m in re.finditer(p, text)]
-    return [x for x in found if not any(s < x[1] and x[0] < e for s, e in clear)]
+    left = without_allowed(text, allow)
+    return [(s, e, k) for k, rule in enumerate(classes) for s, e in entropy_runs(left, rule)]
 
 
 def _entropy_batches(classes: tuple[CharacterClass, ...], allow: tuple[str, ...]):
