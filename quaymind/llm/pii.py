@@ -2,8 +2,9 @@
 
 The base patterns (e-mail, IP address, card, phone) give the seed entities.
 Their surroundings induce lexical patterns: the two words on the left, and the
-word on either side.  Tokens that hold digits but are no seed are the unseen
-candidates.  Patterns and instances (the distinct values) form a graph that is
+word on either side.  What looks like a seed's kind in a looser form but is no
+seed is an unseen candidate: tokens that hold digits, numbers written in
+groups, and addresses without a dot or with a spelled-out at.  Patterns and instances (the distinct values) form a graph that is
 scored in rounds: a pattern's confidence for a kind is the score of its
 instances over their number, an instance's score the best confidence among its
 patterns.  Patterns with enough seeds and confidence discover their
@@ -40,7 +41,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A token that holds a digit, from the token's start.
 TOKEN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z@._%+-]*+[0-9][A-Za-z0-9@._%+-]*+"
-MIN_TOKEN, MAX_TOKEN = 6, 64
+MIN_TOKEN = 6
+#: A number in groups, as cards and phones are written, with or without +.
+NUMBER = r"(?<![A-Za-z0-9@._%+-])\+?\(?[0-9](?:[\x20().-]{0,3}+[0-9])++"
+MIN_DIGITS, MAX_DIGITS = 7, 19
+#: An address with any host, and one whose at (and dots) are spelled out in brackets.
+ADDRESS = (r"(?<![A-Za-z0-9@._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[(\[{<]\x20?(?:at|AT|@)\x20?[)\]}>]\x20?)[A-Za-z0-9-]++"
+           r"(?:(?:\.|\x20?[(\[{<]\x20?(?:dot|DOT|\.)\x20?[)\]}>]\x20?)[A-Za-z0-9-]++)*+")
 
 ROUNDS = 3
 #: Distinct seeds that a pattern needs, and its least confidence.
@@ -100,14 +107,22 @@ def mentions(docs: DataFrame) -> DataFrame:
     df = docs.select("doc_id", text.alias("t"))
     for k in KINDS:
         df = df.withColumn(k, found[k])
-    df = df.withColumn("token", F.filter(find_all(F.col("t"), TOKEN, context=True), lambda x: (
-        F.length(x["m"]) >= MIN_TOKEN) & (F.length(x["m"]) <= MAX_TOKEN))).drop("t")
+    starts = lambda c: F.transform(c, lambda x: x["s"])
+    df = (df.withColumn("token", F.filter(find_all(F.col("t"), TOKEN, context=True), lambda x: F.length(x["m"]) >= MIN_TOKEN))
+          .withColumn("number", F.filter(find_all(F.col("t"), NUMBER, context=True), lambda x: _count(
+              _digits(x["m"]), MIN_DIGITS, MAX_DIGITS) & x["m"].rlike(r"[\x20().-]")))
+          .withColumn("address", F.when(F.col("t").rlike(r"@|[(\[{<]\x20?(?:at|AT)\x20?[)\]}>]"),
+                                        find_all(F.col("t"), ADDRESS, context=True)).otherwise(F.filter("token", lambda x: F.lit(False))))
+          .drop("t"))
+    # one candidate from one place: the number that a token begins, the token that an address begins with
+    df = (df.withColumn("address", F.filter("address", lambda x: ~F.array_contains(starts("token"), x["s"])))
+          .withColumn("token", F.filter("token", lambda x: ~F.array_contains(starts("number"), x["s"]))))
     slim = lambda spans, kind: F.transform(spans, lambda x: F.struct(
         x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"),
         F.xxhash64(F.lower(x["m"])).alias("instance"), _patterns(x).alias("patterns")))
     seeds = F.concat(*[slim(F.col(k), k) for k in KINDS])
     out = (df.withColumn("seeds", seeds)
-           .withColumn("candidates", F.filter(slim(F.col("token"), ""), lambda c: ~F.exists(
+           .withColumn("candidates", F.filter(F.concat(*[slim(F.col(c), "") for c in ("token", "number", "address")]), lambda c: ~F.exists(
                F.col("seeds"), lambda x: (x["s"] < c["e"]) & (c["s"] < x["e"])))))
     return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "seeds", "candidates",
                       *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code points of a match's surroundings that are kept on either side.
+#: Code points of a match's surroundings that are kept on either side, whether or not other matches lie in them.
 CONTEXT = 48
+#: So many matches and pieces before or behind are as long as that at least: neither is empty.
+NEIGHBOURS = CONTEXT // 2
 
 
 def let(value: Column, use) -> Column:
@@ -37,16 +39,29 @@ def find_all(text: Column, pattern: str, context: bool = False) -> Column:
                                       F.concat(a["starts"], F.array(a["at"] + x["p"])).alias("starts")),
                 lambda a: a["starts"])
 
-            def rows(at: Column) -> Column:
+            end, begin = (lambda x: F.right(x, F.lit(CONTEXT))), (lambda x: F.left(x, F.lit(CONTEXT)))
+            # the end of every piece with its match, and the start of every match with the piece behind it
+            tails = F.transform(hits, lambda h, i: end(F.concat(end(F.get(between, i)), end(h))))
+            heads = F.transform(hits, lambda h, i: begin(F.concat(begin(h), begin(F.get(between, i + 1)))))
+
+            def rows(around: Column) -> Column:
+                at = around["starts"]
+
                 def row(s: Column, i: Column) -> Column:
                     hit = F.get(hits, i)
                     parts = [s.alias("s"), (s + F.length(hit)).alias("e"), hit.alias("m")]
                     if context:
-                        parts += [F.right(F.get(between, i), F.lit(CONTEXT)).alias("left"),
-                                  F.left(F.get(between, i + 1), F.lit(CONTEXT)).alias("right")]
+                        before, behind = F.get(between, i), F.get(between, i + 1)
+                        ahead = F.slice(around["tails"], F.greatest(i - NEIGHBOURS, F.lit(0)) + 1, F.least(i, F.lit(NEIGHBOURS)))
+                        after = F.slice(around["heads"], i + 2, F.lit(NEIGHBOURS))
+                        parts += [F.when(F.length(before) >= CONTEXT, end(before))
+                                  .otherwise(end(F.concat(F.array_join(ahead, ""), before))).alias("left"),
+                                  F.when(F.length(behind) >= CONTEXT, begin(behind))
+                                  .otherwise(begin(F.concat(behind, F.array_join(after, "")))).alias("right")]
                     return F.struct(*parts)
                 return F.transform(at, row)
-            return let(starts, rows)
+            near = [tails.alias("tails"), heads.alias("heads")] if context else []
+            return let(F.struct(starts.alias("starts"), *near), rows)
         return let(pieces, build)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),

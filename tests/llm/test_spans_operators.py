@@ -4,6 +4,7 @@ import re
 
 import pytest
 from helpers import documents, sha, spans_text
+from pyspark.sql import functions as F
 
 from quaymind.llm import pii, secrets
 
@@ -66,6 +67,34 @@ def test_patterns_of_seeds_discover_unseen_identifiers(spark):
     assert all(got[i].startswith("email:") and "context" not in got[i] for i in range(30))
 
 
+@pytest.mark.parametrize("seed,before,unseen,kind", [
+    ("4{i:03} 1111 1111 1111", "pay by card", "4111 1111 1111 1112", "card"),
+    ("+1 (222) 333-{i:04}", "phone us on", "(017) 555-7713", "phone"),
+    ("+1 (222) 333-{i:04}", "phone us on", "017 555 7713", "phone"),
+    ("p{i}@mail.example.com", "my contact address", "someone(at)mail", "email"),
+    ("p{i}@mail.example.com", "my contact address", "some.one [at] mail [dot] com", "email"),
+    ("p{i}@mail.example.com", "my contact address", "someone@localhost", "email"),
+    ("p{i}@mail.example.com", "my contact address", "a" * 80 + "7", "email"),
+    ("p{i}@mail.example.com", "room 123456 12", "person77(at)", "email")])
+def test_loose_forms_of_every_kind_are_discovered(spark, seed, before, unseen, kind):
+    seeds = [seed.format(i=i) for i in range(400)]
+    if kind == "card":
+        seeds = [x for x in seeds if luhn(re.sub("[^0-9]", "", x))]
+    texts = [f"some words {before} {x} please" for x in seeds[:30]] + [f"other words {before} {unseen} thanks"]
+    got = {r.doc_id: r.spans for r in pii.op4_pii(documents(spark, texts)).collect()}
+    at = len(f"other words {before} ")
+    assert got[len(texts) - 1] == f"context_{kind}:{at}:{at + len(unseen.removesuffix('(at)'))}"
+    assert all(got[i].startswith(f"{kind}:") and "context" not in got[i] for i in range(len(texts) - 1))
+
+
+def test_context_is_the_whole_text_around(spark):
+    from quaymind.llm.spans import CONTEXT, find_all
+    for text in ("room 12 on floor 3 a1 x " * 20, "1 2 3 4 " * 30, "é1", "word " * 40 + "7" + " word" * 40):
+        df = spark.createDataFrame([(text,)], "t string").select(find_all(F.col("t"), pii.TOKEN, context=True).alias("f"))
+        for x in df.first().f:
+            assert (x.left, x.m, x.right) == (text[max(x.s - CONTEXT, 0):x.s], text[x.s:x.e], text[x.e:x.e + CONTEXT])
+
+
 def test_weak_patterns_discover_nothing(spark):
     # as many plain numbers as seeds stand in the same place
     texts = [f"see number {100000 + i} there" for i in range(20)] + [f"see number 10.0.0.{i} there" for i in range(20)]
