@@ -252,13 +252,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def classes(prints: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """fp and component_id for a table of (doc_id, fp) rows."""
+    """fp, component_id and root, the class's smallest fingerprint, for a table of (doc_id, fp) rows."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     links = link_forest(nodes.select("fp"), max_bits, node_rows)
     roots = components(links)
     named = nodes.join(roots, nodes["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = materialize(named.join(ids, "root").select("fp", "component_id"), "classes")
+    moved = materialize(named.join(ids, "root").select("fp", "component_id", "root"), "classes")
     return moved
 
 
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     """doc_id, fp (long) and component_id of every document."""
     rows = project(docs, {"doc_id": "bigint", "text": "string"})
     slim = materialize(with_fingerprints(rows, shingle), "simhash")
-    return slim.join(classes(slim, max_bits, node_rows), "fp")
+    return slim.join(classes(slim, max_bits, node_rows).drop("root"), "fp")
 
 
 def op5_simhash(docs: DataFrame) -> DataFrame:
@@ -277,6 +277,7 @@ def op5_simhash(docs: DataFrame) -> DataFrame:
 def one_per_class(docs: DataFrame) -> DataFrame:
     """One document of every near-duplicate class: the one with the smallest id (a null id last).
 
+    A class is known by its root fingerprint, as ids may repeat or be null.
     Documents with the same id and class are told apart by a row number that
     is written down with the texts, so exactly one stays.
     """
@@ -285,8 +286,7 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     # one candidate per fingerprint, then one per class
     per_print = slim.groupBy("fp").agg(first.alias("first"))
-    chosen = (per_print.join(classes(slim), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
-              .agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")))
+    chosen = (per_print.join(classes(slim), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")))
     chosen = materialize(chosen, "simhash-kept")
     kept = F.broadcast(chosen) if chosen.count() * 16 <= BROADCAST_BYTES // 8 else chosen
     return rows.join(kept, "row", "left_semi").select(*DOC_COLUMNS)

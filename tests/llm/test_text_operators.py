@@ -199,6 +199,18 @@ def test_one_document_of_every_class_stays(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted((ids[i] is None, ids[i] or 0) for i in set(roots.values()))
 
 
+def test_classes_with_one_id_or_none_stay_apart(spark):
+    own = [" ".join(f"c{c}w{k}" for k in range(400)) for c in range(4)]
+    other = ["changed " + t.split(" ", 1)[1] for t in own]
+    pairs = [(a, b) for a, b in zip(own, other) if 0 < (fingerprint(a) ^ fingerprint(b)).bit_count() <= 2]
+    assert pairs                                          # a class of two fingerprints
+    texts = own[:2] + list(pairs[0])
+    kept = simhash.one_per_class(documents(spark, texts, ids=[7, 7, 7, 7])).collect()
+    assert len(kept) == len({own.index(t) if t in own else other.index(t) for t in texts})
+    kept = simhash.one_per_class(documents(spark, list(pairs[0]), ids=[None, None])).collect()
+    assert len(kept) == 1
+
+
 def test_walk_finds_all_near_pairs():
     import numpy as np
     rng = np.random.default_rng(2)
