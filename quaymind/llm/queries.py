@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymind.llm import bpe, html_text, mixing, pii, preferences, quality, secrets, sharding, simhash, topk
+from quaymind.llm import bpe, fingerprints, html_text, mixing, pii, preferences, quality, secrets, sharding, simhash, topk
 from quaymind.llm.common import read_table
 
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": _over("documents", mixing.op8_mixing),
     "op9_secrets": _over("documents", secrets.op9_secrets),
     "op10_topk": _over("embeddings", topk.op10_topk),
+    "op11_fingerprints": _over("documents", fingerprints.op11_fingerprints),
 }
 
 ORACLES: dict[str, str] = {
