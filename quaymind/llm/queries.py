@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymind.llm import bpe, fingerprints, html_text, mixing, pii, preferences, quality, secrets, sharding, simhash, topk
+from quaymind.llm import (bpe, codes, fingerprints, html_text, mixing, pii, preferences, quality, ranked, secrets, sharding,
+                          simhash, topk)
 from quaymind.llm.common import read_table
 
 
@@ -28,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": _over("documents", secrets.op9_secrets),
     "op10_topk": _over("embeddings", topk.op10_topk),
     "op11_fingerprints": _over("documents", fingerprints.op11_fingerprints),
+    "op12_ranked": ranked.op12_ranked,
+    "op13_codes": _over("embeddings", codes.op13_codes),
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +38,6 @@ ORACLES: dict[str, str] = {
     "op6_quality": quality.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op12_ranked": ranked.ORACLE,
+    "op13_codes": codes.ORACLE,
 }
