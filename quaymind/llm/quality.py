@@ -35,8 +35,6 @@ MAX_REPEAT_PERCENT = 20
 WINDOW_WORDS = 5
 #: A line is furniture when more distinct documents of its host than this hold it.
 MIN_DOCUMENTS = 10
-#: Only the oracle's SQL has this share of the host's documents as well: the operator does without it.
-MAX_SHARE = 0.25
 #: A document keeps at least this share of its words, or it is rejected.
 MIN_REMAINING = 0.3
 
@@ -187,10 +185,8 @@ ln AS (SELECT rid, source, text, unnest(string_split(t, chr(10))) AS line FROM d
 nl AS (SELECT *, regexp_replace(lower(trim(line, {_SQL_STRIP})), '{_SQL_SPACE}', ' ', 'g') AS norm,
               len(list_filter(regexp_split_to_array(line, '{_SQL_SPACE}'), lambda x: x <> '')) AS n FROM ln),
 wl AS (SELECT * FROM nl WHERE n > 0),
-host AS (SELECT source, count(*) AS docs FROM (SELECT DISTINCT source, text FROM d) GROUP BY source),
 held AS (SELECT source, norm, count(*) AS n FROM (SELECT DISTINCT source, norm, text FROM wl) GROUP BY source, norm),
-gone AS (SELECT held.source, norm FROM held JOIN host ON held.source IS NOT DISTINCT FROM host.source
-         WHERE n > {MIN_DOCUMENTS} AND n > docs * {MAX_SHARE}),
+gone AS (SELECT source, norm FROM held WHERE n > {MIN_DOCUMENTS}),
 kept_words AS (SELECT wl.rid, sum(CASE WHEN gone.norm IS NULL THEN wl.n ELSE 0 END) AS n,
                       count(wl.line) - count(DISTINCT wl.line) AS dup
                FROM wl LEFT JOIN gone ON wl.source IS NOT DISTINCT FROM gone.source AND wl.norm = gone.norm
