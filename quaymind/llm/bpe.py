@@ -10,7 +10,8 @@ part's leaf is cleared), so each costs a few updates of logarithmic length.
 Short pieces go through many trees at once: all distinct pieces of a batch with
 the same padded length form one array of trees, and one numpy step does one
 merge in each of them.  Long pieces have a tree of their own.  Distinct pieces
-are encoded once per worker and remembered in a bounded cache.
+are encoded once per worker and remembered in two generations of bounded bytes:
+a piece in use moves to the young one, so only what went unused is forgotten.
 
 The vocabulary file is a parameter.  The driver reads it (about 1 MB, a fixed
 size) and broadcasts its bytes, so executors need no such file.
@@ -41,8 +42,12 @@ from quaymind.session import ship_package
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces of up to this many bytes share arrays of trees.
 SHORT = 64
-#: Distinct chunks (and pieces) that a worker remembers: bounds its memory between texts.
-CACHE = 120_000
+#: Bytes of chunks, and a quarter of them of pieces, in one of a worker's two generations: bounds its memory between texts.
+CACHE_BYTES = 64 << 20
+#: Bytes of an entry besides its text and ids, about: two strings and a place in the table.
+ENTRY_BYTES = 180
+#: Distinct chunks that are encoded at once.
+LEARN = 100_000
 #: Rows of one array of trees.
 TREES = 1 << 13
 
@@ -53,6 +58,29 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
+class Recent:
+    """The ids (comma-joined decimals) of what was used last, in two generations: when the young one is full, the old one goes."""
+
+    def __init__(self, bound: int):
+        self.bound, self.held = bound, 0
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+
+    def get(self, key: str) -> str | None:
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.pop(key, None)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key: str, value: str) -> None:
+        self.young[key] = value
+        self.held += ENTRY_BYTES + len(key) + len(value)
+        if self.held > self.bound:
+            self.old, self.young, self.held = self.young, {}, 0
+
+
 class Codec:
     """Encoder and decoder for one rank table and split pattern."""
 
@@ -81,8 +109,8 @@ class Codec:
         self.token_length, self.token_start = lengths, np.cumsum(lengths) - lengths
         self.token_bytes = np.frombuffer(b"".join(self.tokens[i] for i in known), dtype=np.uint8)
         # chunk or piece -> (its ids as int32 bytes, its ids as decimal text)
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.cache = Recent(CACHE_BYTES)
+        self.pieces = Recent(CACHE_BYTES // 4)
 
     @property
     def pairs(self) -> dict[int, int]:
@@ -228,19 +256,22 @@ class Codec:
                 left -= len(m)
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks (texts that can be split on their own) into the cache."""
+    def _learn(self, chunks: list[str]) -> dict[str, str]:
+        """Encode chunks (texts that can be split on their own) and remember them."""
         matches = self._split_all(chunks)
-        known = self.pieces
-        fresh = list({p for m in matches for p in m if p not in known})
+        known = {p: self.pieces.get(p) for p in {p for m in matches for p in m}}
+        fresh = [p for p, value in known.items() if value is None]
         for piece, ids in zip(fresh, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in fresh])):
-            known[piece] = (array("i", ids).tobytes(), ",".join(map(str, ids)))
+            known[piece] = ",".join(map(str, ids))
+            self.pieces.put(piece, known[piece])
+        out = {}
         for chunk, match in zip(chunks, matches):
             if len(match) == 1:
-                self.cache[chunk] = known[match[0]]
+                out[chunk] = known[match[0]]
             else:
-                found = [known[p] for p in match]
-                self.cache[chunk] = (b"".join([f[0] for f in found]), ",".join([f[1] for f in found]))
+                out[chunk] = ",".join([known[p] for p in match])
+            self.cache.put(chunk, out[chunk])
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         """The ids of every text, as an int32 array and as comma-joined decimals.
@@ -250,17 +281,13 @@ class Codec:
         chunks can be split on their own.
         """
         chunks = [cut(t) if t else [] for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        fresh = list({c for parts in chunks for c in parts if c not in cache})
-        for s in range(0, len(fresh), CACHE):
-            self._learn(fresh[s:s + CACHE])
+        known = {c: self.cache.get(c) for c in {c for parts in chunks for c in parts}}
+        fresh = [c for c, value in known.items() if value is None]
+        for s in range(0, len(fresh), LEARN):
+            known.update(self._learn(fresh[s:s + LEARN]))
         for parts in chunks:
-            found = [cache[c] for c in parts]
-            yield np.frombuffer(b"".join([f[0] for f in found]), dtype=np.int32), ",".join([f[1] for f in found])
+            decimals = ",".join([known[c] for c in parts])
+            yield np.fromstring(decimals, dtype=np.int32, sep=","), decimals
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens, gathered from the decoding table in bounded pieces."""
