@@ -31,7 +31,7 @@ HISTORY_NOT_LIST = "conversation_history must be a list."
 # fixed values: stores
 CLOSED_MARKER = "Temporarily Closed"
 STORE_LINE = "- {name}: {location} | Hours: {hours} | WhatsApp: {link}"
-STORE_BLOCK = "\U0001F4CD {name}\n\U0001F3E2 {location}\n\U0001F550 {hours}\n\U0001F4AC {link}"
+STORE_BLOCK = "📍 {name}\n🏢 {location}\n🕐 {hours}\n💬 {link}"
 STORE_BLOCK_SEP = "\n\n"
 
 # fixed values: catalog sentence, product links and result cards

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quaymind import fixed as X
 from quaymind.operators import classify as C
 from quaymind.operators import project as P
 from quaymind.operators.infer import EchoProvider, OptionProvider, ScriptedProvider, generate_replies
@@ -418,8 +419,8 @@ def _attach_faq_store_oracles():
         f"SELECT conv_id, turn, text, doc_id, best_section, faq_text, {r} AS reply, {e} AS error, {u} AS model_used FROM p")
     lines = ("array_to_string(list_transform(list_slice(a.act, 1, 5), lambda x: concat('- ', x.n, ': ', x.l, ' | Hours: ', "
              "x.h, ' | WhatsApp: ', x.w)), chr(10))")
-    blocks = ("array_to_string(list_transform(list_slice(a.act, 1, 5), lambda x: concat('\U0001F4CD ', x.n, chr(10), '\U0001F3E2 ', "
-              "x.l, chr(10), '\U0001F550 ', x.h, chr(10), '\U0001F4AC ', x.w)), concat(chr(10), chr(10)))")
+    block = ", chr(10), ".join(f"'{line.partition('{')[0]}', x.{field}" for line, field in zip(X.STORE_BLOCK.split("\n"), "nlhw"))
+    blocks = f"array_to_string(list_transform(list_slice(a.act, 1, 5), lambda x: concat({block})), concat(chr(10), chr(10)))"
     sp = (f"concat('Reply in ', lm.language, ' listing these stores.', chr(10), chr(10), 'Message: \"', lm.text, '\"', "
           f"chr(10), chr(10), 'Stores:', chr(10), coalesce({lines}, ''))")
     r, e, u = _echo_sql("prompt", "primary", default="")

@@ -9,7 +9,6 @@ temporary folder.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 from quaymind.functions.text import py_strip
 from quaymind.operators.project import reorder_columns, sanitize_text
+from quaymind.sources import pointers
 
 CATALOG_COLUMNS = ["product_id", "variant_id", "color", "spec", "condition", "price", "handle", "vendor",
                    "product_type", "tenure"]
@@ -68,7 +68,7 @@ def scan_stores(spark: SparkSession, path: str, schema: str = STORES_SCHEMA) ->
 def load_knowledge_base(df: DataFrame) -> DataFrame:
     """A3: drop columns whose header starts with 'Unnamed', strip and
     lowercase headers; error when 'keyword' or 'answer' is missing."""
-    keep = [c for c in df.columns if not re.match(r"^Unnamed", c)]
+    keep = [c for c in df.columns if not c.startswith("Unnamed")]
     names = [c.strip().lower() for c in keep]
     if "keyword" not in names:
         raise ValueError(f"no keyword column among {names}")
@@ -82,7 +82,7 @@ def resolve_column(df: DataFrame, name: str, rename_to: str | None = None) -> tu
     missing); optionally rename it to ``rename_to``."""
     found = next((c for c in df.columns if c.strip().lower() == name.strip().lower()), None)
     if found is None:
-        raise ValueError(f"Expected a '{name}' column.")
+        raise ValueError(f"no column is called {name!r}; there are {df.columns}")
     if rename_to:
         return df.withColumnRenamed(found, rename_to), rename_to
     return df, found
@@ -107,47 +107,40 @@ def scan_nested_catalog(spark: SparkSession, path: str, multi_line: bool = True)
 
 
 STORE_FIELDS = ["vendor", "product_type", "handle", "color", "spec", "condition", "tenure", "price"]
-META_SCHEMA = "fingerprint string, model string, row_count bigint, limit bigint, vectors string"
+META_SCHEMA = "fingerprint string, model string, row_count bigint, limit bigint"
 
 
 def write_embedding_store(df: DataFrame, path: str, model: str, limit: int | None = None) -> DataFrame:
     """Write ``(product_id, variant_id, embedding, <product fields>)`` as a
-    new version under ``path/vectors-<id>`` and then the one-row metadata table
-    ``fingerprint, model, row_count, limit`` under ``path/meta``.
+    new version under ``path/vectors-<id>`` and then its metadata
+    ``fingerprint, model, row_count, limit`` as the next pointer under
+    ``path/meta`` (see ``pointers``).
 
-    The metadata names its version and is written last: until then readers see
-    the old store whole, and a failure in between leaves it in place.
-    Returns the metadata row."""
+    Until the pointer is there readers see the old store whole, and a failure
+    at any moment leaves it in place.  Returns the metadata row."""
     from quaymind.operators.profile import table_fingerprint
     spark = df.sparkSession
+    after, _ = pointers.latest(spark, f"{path}/meta")
     version = f"vectors-{uuid.uuid4().hex}"
     fields = [c for c in STORE_FIELDS if c in df.columns]
     df.select("product_id", "variant_id", "embedding", *fields).write.parquet(f"{path}/{version}")
     vec = spark.read.parquet(f"{path}/{version}")
     fp = table_fingerprint(vec.drop("embedding"), [c for c in ["product_id", "variant_id", *STORE_FIELDS] if c in vec.columns])
-    meta = fp.select("fingerprint", F.lit(model).alias("model"), "row_count", F.lit(limit).cast("bigint").alias("limit"),
-                     F.lit(version).alias("vectors"))
-    meta.write.mode("overwrite").json(f"{path}/meta")
-    return spark.read.schema(META_SCHEMA).json(f"{path}/meta").drop("vectors")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    meta = fp.head().asDict() | {"model": model, "limit": limit}
+    pointers.publish(spark, f"{path}/meta", after, meta | {"vectors": version})
+    return spark.createDataFrame([tuple(meta[c.split()[0]] for c in META_SCHEMA.split(", "))], META_SCHEMA)
 
 
 def read_embedding_store(spark: SparkSession, path: str, expected_model: str) -> DataFrame:
-    """The stored vectors with their product fields; empty when there is
-    no store or it was built with another model.  A store that is there but
-    can't be read is an error."""
+    """The stored vectors with their product fields; empty when no write
+    has completed yet or the store was built with another model.  A store that
+    is there but can't be read is an error."""
     schema = ("product_id bigint, variant_id bigint, embedding array<float>, vendor string, product_type string, "
               "handle string, color string, spec string, condition string, tenure string, price string")
-    if not _exists(spark, f"{path}/meta"):
-        return spark.createDataFrame([], schema)
-    meta = spark.read.schema(META_SCHEMA).option("mode", "FAILFAST").json(f"{path}/meta").head(1)  # the one metadata row
-    if not meta or meta[0]["model"] != expected_model:
+    _, meta = pointers.latest(spark, f"{path}/meta")
+    if meta is None or meta["model"] != expected_model:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{path}/{meta[0]['vectors']}")
+    return spark.read.parquet(f"{path}/{meta['vectors']}")
 
 
 def falsy_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -168,67 +161,83 @@ def append_by_name(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def append_table(new: DataFrame, folder: str, table: str) -> str:
-    """A9 with its write: the named table becomes itself plus ``new``."""
-    spark = new.sparkSession
-    return _swap_in(append_by_name(read_table(spark, folder, table), new), folder, table)
+    """A9 with its write: the named table becomes itself plus ``new``.  When
+    another writer got in between, ``pointers.ConcurrentWrite`` is raised."""
+    after, existing = _current(new.sparkSession, folder, table)
+    return _swap_in(append_by_name(existing, new), folder, table, after)
 
 
 def replace_table(df: DataFrame, folder: str, table: str, positions: dict | None = None) -> str:
     """A10: reorder (B3), sanitise (B2) and overwrite one named table under
     ``folder``; other tables in the folder are untouched.  ``df`` may come from
     the table itself.  Returns the table's path (see ``read_table``)."""
-    return _swap_in(sanitize_text(reorder_columns(df, positions)), folder, table)
+    after, _ = pointers.latest(df.sparkSession, f"{folder}/{table}/{_POINTERS}")
+    return _swap_in(sanitize_text(reorder_columns(df, positions)), folder, table, after)
 
 
-def _swap_in(df: DataFrame, folder: str, table: str) -> str:
+#: Spark's readers pass over names that start with an underscore: a plain folder stays readable under its versions.
+_POINTERS, _VERSIONS = "_current", "_versions"
+
+
+def _swap_in(df: DataFrame, folder: str, table: str, after: int) -> str:
     """Write a new version next to the current one, then point the table at it.
 
-    The pointer is one small row, written last; the version that ``df`` may
-    still read stays in place, and so does the table when a write fails."""
+    The version that ``df`` may still read stays in place, and so does the
+    table when a write fails (see ``pointers``)."""
     spark, path = df.sparkSession, f"{folder}/{table}"
     version = f"version-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    df.write.parquet(f"{path}/{_VERSIONS}/{version}")
+    pointers.publish(spark, f"{path}/{_POINTERS}", after, {"version": version})
     return path
 
 
+def _current(spark: SparkSession, folder: str, table: str) -> tuple[int, DataFrame]:
+    path = f"{folder}/{table}"
+    after, pointer = pointers.latest(spark, f"{path}/{_POINTERS}")
+    return after, spark.read.parquet(f"{path}/{_VERSIONS}/{pointer['version']}" if pointer else path)
+
+
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """The current version of a table that ``replace_table`` or ``append_table``
     wrote, or a plain Parquet folder."""
-    path = f"{folder}/{table}"
-    if not _exists(spark, f"{path}/current"):
-        return spark.read.parquet(path)
-    return spark.read.parquet(f"{path}/{spark.read.schema('version string').json(f'{path}/current').head()['version']}")
+    return _current(spark, folder, table)[1]
+
+
+#: What a parsed query can't be or hold: commands (DDL, SET, CACHE, TRUNCATE, SHOW ..) and statements such as INSERT.
+_REFUSED = ["org.apache.spark.sql.catalyst.plans.logical.Command",
+            "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement",
+            "org.apache.spark.sql.catalyst.plans.logical.InsertIntoDir"]
 
 
 def run_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
     """Run a caller's parameterised read-only query; blank SQL is an error.
 
-    The statement is parsed first, and refused when any node of its plan is a
-    command or writes: an INSERT behind WITH or FROM is no query."""
+    The statement is parsed first, and refused when its plan or any plan inside
+    it (WITH, subqueries, children) is a command or a statement of Catalyst's:
+    what is left are queries."""
     if not sql or not sql.strip():
         raise ValueError("the query is blank")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    names = [plan.nodeName(), *re.findall(r"[A-Za-z]+", _node_names(plan))]
-    bad = [n for n in names if re.search(r"Command|Insert|CreateTable|Overwrite|Append|Delete|Update|Merge|Drop|Set[A-Z]|Alter", n)]
-    if bad:
-        raise ValueError(f"only read-only queries are allowed, not {bad[0]}")
+    loader = plan.getClass().getClassLoader()
+    refused = [loader.loadClass(name) for name in _REFUSED]
+    for node in _nodes(plan):
+        if any(kind.isInstance(node) for kind in refused):
+            raise ValueError(f"only read-only queries are allowed, not {node.nodeName()}")
     return spark.sql(sql, args=args or {})
 
 
-def _node_names(plan) -> str:
-    """Names of all nodes of a parsed plan, those inside WITH included."""
-    found, open_ = [], [plan]
+def _nodes(plan):
+    """All plans of a parsed statement: children, plans inside WITH, and subqueries in expressions."""
+    open_ = [plan]
     while open_:
         node = open_.pop()
-        found.append(node.nodeName())
-        for group in (node.children(), node.innerChildren()):
-            it = group.iterator()
-            while it.hasNext():
-                inner = it.next()
-                if hasattr(inner, "nodeName"):
-                    open_.append(inner)
-    return " ".join(found)
+        yield node
+        for group in (node.children(), node.innerChildren(), node.subqueries()):
+            inner = group.iterator()
+            while inner.hasNext():
+                child = inner.next()
+                if hasattr(child, "subqueries"):
+                    open_.append(child)
 
 
 def sample_rows(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
