@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quaymind.functions.text import alnum_word_set, py_strip, tokens, word_set
 from quaymind.functions.vocab import check_literal, lit_array
+from quaymind.operators.substring import rarest, substring_pairs
 from quaymind import fixed as X
 
 # word boundary as in Python's \b for word-like terms: no letter, digit or _
@@ -139,26 +140,41 @@ _WORD_CHAR = r"[\p{L}\p{N}_]"
 def detect_location(df: DataFrame, text: str, dictionary: DataFrame, out: str = "location_term") -> DataFrame:
     """P3 over a message table, the same way for a dictionary of any size.
 
-    A term is looked up by its first word: the messages' words meet the
-    dictionary on equality (a hash join that the planner sizes itself), and
-    each candidate is then checked on word boundaries in the whole text.  Terms
-    without any word share the empty word.  Every message row keeps its own
-    result, also where rows are equal.
+    A term is looked up by its rarest word: slim rows (digest of the text,
+    word) meet the dictionary on equality.  A text's candidates come back to
+    its rows by the digest, as one array that is checked on word boundaries in
+    place, best first; so texts are never multiplied, and not moved at all
+    while the candidates are small enough to be broadcast.  Terms without any
+    word find their texts by character grams (``substring_pairs``).  Every
+    message row keeps its own result, also where rows are equal; rows with a
+    null text have none.  A text's array is as long as the terms whose rarest
+    word it holds.
     """
-    edge = lambda at, inside, outside: F.when(F.col("term").rlike(at), F.lit(outside)).otherwise(F.lit(inside))
-    quoted = F.concat(F.lit(r"\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    d = (dictionary.where(F.col("term") != "").groupBy("term").agg(F.min("ordinal").alias("_ord"))
-         .withColumn("_word", F.regexp_extract("term", _WORD_CHAR + "+", 0))
-         .withColumn("_pattern", F.concat(edge("^" + _WORD_CHAR, f"(?<={_WORD_CHAR})", WB_L), quoted,
-                                          edge(_WORD_CHAR + "$", f"(?={_WORD_CHAR})", WB_R))))
     msg = F.lower(F.col(text))
-    found = F.array_append(F.array_distinct(F.regexp_extract_all(F.coalesce(msg, F.lit("")), F.lit(_WORD_CHAR + "+"), F.lit(0))), F.lit(""))
-    asked = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_word", F.explode(found))
-    hit = F.when(F.coalesce(F.regexp_like(msg, F.col("_pattern")), F.lit(False)),
-                 F.struct((-F.length("term")).alias("n"), F.col("_ord").alias("o"), F.col("term").alias("t")))
-    return (asked.join(d, "_word", "left").withColumn("_hit", hit)
-            .groupBy("_row", *df.columns).agg(F.min("_hit").alias("_best"))
-            .select(*df.columns, F.col("_best.t").alias(out)))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(_WORD_CHAR + "+"), F.lit(0)))
+    d = (dictionary.where(F.col("term") != "").groupBy("term").agg(F.min("ordinal").alias("_ord"))
+         .withColumn("_words", words(F.col("term"))))
+    texts = df.select(F.md5(msg).alias("_tid"), msg.alias("_text")).where(F.col("_text").isNotNull())
+    parts = d.select("term", F.explode("_words").alias("_word"))
+    index = (texts.select("_tid", F.explode(words(F.col("_text"))).alias("_word"))
+             .join(parts.select("_word").distinct(), "_word", "left_semi").distinct())
+    found = rarest(parts, index, "term", "_word").join(index, "_word").select("term", "_tid")
+    wordless = d.where(F.size("_words") == 0).select("term")
+    if wordless.limit(1).count():
+        found = found.unionByName(substring_pairs(texts.distinct(), wordless, "_tid", "_text", "term"))
+    ranked = F.struct((-F.length("term")).alias("n"), F.col("_ord").alias("o"), F.col("term").alias("t"))
+    per_text = found.join(d, "term").groupBy("_tid").agg(F.sort_array(F.collect_list(ranked)).alias("_terms"))
+
+    def holds(term: Column) -> Column:
+        edge = lambda at, inside, outside: F.when(term.rlike(at), F.lit(outside)).otherwise(F.lit(inside))
+        quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        return F.regexp_like(msg, F.concat(edge("^" + _WORD_CHAR, f"(?<={_WORD_CHAR})", WB_L), quoted,
+                                           edge(_WORD_CHAR + "$", f"(?={_WORD_CHAR})", WB_R)))
+    # rows without a text get keys of their own that match nothing, so they do not meet in one partition
+    key = F.coalesce(F.md5(msg), F.concat(F.lit("none"), F.floor(F.rand(1) * 1024).cast("string")))
+    best = F.get(F.filter("_terms", lambda x: holds(x["t"])), F.lit(0))["t"]
+    return (df.withColumn("_key", key).join(per_text, F.col("_key") == F.col("_tid"), "left")
+            .select(*df.columns, best.alias(out)))
 
 
 def is_location_query(text, strong: list[str], weak: list[str], ranked_terms: list[str] | Column) -> Column:

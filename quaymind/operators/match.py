@@ -20,9 +20,11 @@ from quaymind import fixed as X
 from quaymind.functions.text import keywords, py_strip
 from quaymind.functions.vocab import check_literal, lit_array
 from quaymind.operators import classify as C
+from quaymind.operators.substring import substring_pairs
 
 PRODUCT_LABEL = X.PRODUCT_LABEL
 BROADCAST_BYTES = 64 << 20  # of a dimension table shipped to every task
+OUTRIGHT_PAIRS = 2_000_000  # needles x stores that are compared outright
 
 
 def _c(c) -> Column:
@@ -57,8 +59,8 @@ def term_stores(terms: DataFrame | None, dictionary: DataFrame, stores: DataFram
 
     Needles come from the dictionary (``term, needle``); a term missing from
     the dictionary is its own needle.  A store matches when its location or
-    name contains a needle, any case.  Both inputs are bounded by the
-    dictionary and store list, not by the message stream.
+    name contains a needle, any case.  Both inputs may have any size: beyond
+    ``OUTRIGHT_PAIRS`` a gram index finds the stores (see ``substring``).
     """
     dict_needles = dictionary.select("term", "needle")
     if terms is None:  # terms come from the dictionary itself (P3 output): no unknown terms
@@ -71,15 +73,16 @@ def term_stores(terms: DataFrame | None, dictionary: DataFrame, stores: DataFram
     st = stores.withColumn("_loc", F.lower(F.coalesce("location", F.lit("")))) \
         .withColumn("_name", F.lower(F.coalesce("name", F.lit(""))))
     cond = (F.instr(F.col("_loc"), F.col("_n")) > 0) | (F.instr(F.col("_name"), F.col("_n")) > 0)
-    # a substring match is no equi-join: the smaller side goes to every task, if its bytes allow
-    size = lambda df, *cols: df.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cols), F.lit(64))),
-                                               F.lit(0))).head()[0]
-    if size(stores, *[c for c, t in stores.dtypes if t == "string"]) <= BROADCAST_BYTES:
-        pairs = needles.join(F.broadcast(st), cond, "inner")
-    elif size(needles, "term", "needle") <= BROADCAST_BYTES:
-        pairs = F.broadcast(needles).join(st, cond, "inner")
+    # few pairs are compared outright, the needles broadcast; else the needles' rarest grams find the stores
+    asked, size = needles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term") + F.octet_length("needle") + 64), F.lit(0))).head()
+    if asked * stores.count() <= OUTRIGHT_PAIRS and size <= BROADCAST_BYTES:
+        pairs = st.join(F.broadcast(needles), cond, "inner")
     else:
-        raise ValueError("store list and location dictionary are both too large for a substring join")
+        # a needle may not reach over the seam: the condition is checked again
+        st = st.withColumn("_tid", F.md5(F.concat_ws("\x00", "_loc", "_name")))
+        texts = st.groupBy("_tid").agg(F.first(F.concat_ws("\x00", "_loc", "_name")).alias("text"))
+        found = substring_pairs(texts, needles.select(F.col("_n").alias("needle")), "_tid").withColumnRenamed("needle", "_n")
+        pairs = needles.join(found, "_n").join(st, "_tid").where(cond)
     return pairs.select("term", *stores.columns).dropDuplicates(["term", "id"])
 
 
