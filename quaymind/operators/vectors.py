@@ -78,14 +78,19 @@ def _select(scores: np.ndarray, keys: list[np.ndarray], k: int) -> tuple[np.ndar
 class _TopK:
     """Running exact top-k of (score, key columns) per query inside one task."""
 
-    def __init__(self, nq: int, k: int, nkeys: int):
-        self.k, self.nq = k, nq
+    def __init__(self, bound: np.ndarray, k: int, nkeys: int):
+        self.bound, self.k, self.nq = bound[:, None], k, (nq := len(bound))
         self.scores = np.full((nq, 0), -np.inf)
         self.keys = [np.zeros((nq, 0), dtype=np.int64) for _ in range(nkeys)]
 
     def add(self, scores: np.ndarray, keys: list[np.ndarray]) -> None:
-        # ranking is on the rounded score, ties broken by key
-        s, kk = _select(np.round(scores, SCORE_DECIMALS), keys, self.k)
+        # ranking is on the rounded score, ties broken by key; what lies below the bound is in no answer
+        rounded = np.round(scores, SCORE_DECIMALS)
+        if np.isfinite(self.bound).any():
+            fits = (rounded >= self.bound).any(axis=0)
+            rounded, keys = rounded[:, fits], [c[:, fits] for c in keys]
+            rounded = np.where(rounded >= self.bound, rounded, -np.inf)
+        s, kk = _select(rounded, keys, self.k)
         s = np.concatenate([self.scores, s], axis=1)
         kk = [np.concatenate([old, new], axis=1) for old, new in zip(self.keys, kk)]
         if s.shape[1] > self.k:
@@ -99,6 +104,8 @@ class _TopK:
         return {"q": query_ids[qi], "s": self.scores[mask], "k": [c[mask] for c in self.keys]}
 
 
+BOUND_BYTES = 256 << 20  # a larger corpus is searched in two phases
+BOUND_STEP = 16  # one corpus vector in so many gives the first phase's bounds
 SCORE_CELLS = 16_000_000  # queries x corpus rows scored at once in a task
 QUERY_SLICE = max(1, SCORE_CELLS // CORPUS_BATCH_ROWS)
 
@@ -113,9 +120,9 @@ def _score_block(tops: list[_TopK], qmat: np.ndarray, mat: np.ndarray, keys_1d:
         t.add(qs @ mat.T, keys)
 
 
-def _new_tops(nq: int, k: int, nkeys: int) -> list[_TopK]:
+def _new_tops(bound: np.ndarray, k: int, nkeys: int) -> list[_TopK]:
     step = QUERY_SLICE
-    return [_TopK(min(step, nq - s), k, nkeys) for s in range(0, nq, step)]
+    return [_TopK(bound[s:s + step], k, nkeys) for s in range(0, len(bound), step)]
 
 
 def _emit(tops: list[_TopK], qids: np.ndarray) -> dict:
@@ -129,10 +136,10 @@ def _emit(tops: list[_TopK], qids: np.ndarray) -> dict:
 def _arrow_topk_fn(bq, k: int, key_cols: list[str], vec_col: str, query_id: str,
                    out_schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat = bq.value
+        qids, qmat, bound = bq.value
         if len(qids) == 0:
             return
-        tops = _new_tops(len(qids), k, len(key_cols))
+        tops = _new_tops(bound, k, len(key_cols))
         seen = False
         for big in batches:
             for start in range(0, big.num_rows, CORPUS_BATCH_ROWS):
@@ -161,9 +168,15 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
                 query_id: str = "query_id", query_vec: str = "embedding",
                 key_cols: tuple[str, ...] | list[str] = ("product_id", "variant_id"),
                 corpus_vec: str = "embedding",
-                broadcast_bytes: int = BROADCAST_QUERY_BYTES) -> DataFrame:
+                broadcast_bytes: int = BROADCAST_QUERY_BYTES, bound_bytes: int = BOUND_BYTES) -> DataFrame:
     """V3: exact maximum-inner-product top-k.
 
+    A corpus of more than ``bound_bytes`` (by Spark's estimate) is searched in
+    two phases.  The first ranks one vector in ``BOUND_STEP``, picked by its
+    key; the k-th score there is a lower bound of the query's k-th score.  The
+    second scores all vectors, and tasks emit only what reaches the bound:
+    about k x ``BOUND_STEP`` candidates a query, however many tasks there are.
+
     Returns ``query_id, rank, <key_cols>, score`` with rank 1..min(k, |corpus|);
     score is the float64 inner product rounded to 6 decimals; equal scores
     are ordered by the key columns.  ``k <= 0`` or an empty corpus gives no
@@ -184,22 +197,41 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     dim = int(first[0]["d"])
     corpus_sel = corpus.select(*[F.col(c).cast("long").alias(c) for c in key_cols],
                                F.col(corpus_vec).alias("_cv"))
+    two_phases = int(str(corpus_sel._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > bound_bytes
     # the queries go out in slices of a bounded size; the corpus is never shuffled or copied
     slices = max(1, math.ceil(q.count() * dim * 8 / broadcast_bytes))
     cands = None
     for n in range(slices):
         part = q if slices == 1 else q.where(F.pmod(F.xxhash64(query_id), F.lit(slices)) == n)
-        found = _rank(_broadcast_candidates(part.toArrow(), corpus_sel, k, dim, query_id, key_cols), k, query_id, key_cols)
+        asked = part.toArrow()
+        bounds = _lower_bounds(asked, corpus_sel, k, dim, query_id, key_cols) if two_phases else None
+        found = _rank(_broadcast_candidates(asked, corpus_sel, k, dim, query_id, key_cols, bounds), k, query_id, key_cols)
         cands = found if cands is None else cands.unionByName(found)
     return cands.select(query_id, "rank", *key_cols, "score")
 
 
-def _broadcast_candidates(tbl: pa.Table, corpus: DataFrame, k: int, dim: int,
-                          query_id: str, key_cols: list[str]) -> DataFrame:
+def _lower_bounds(tbl: pa.Table, corpus: DataFrame, k: int, dim: int, query_id: str, key_cols: list[str]) -> np.ndarray:
+    """The k-th score of every query of a slice among a share of the corpus; -inf where that holds fewer than k.
+
+    The share itself is ranked with the bounds of a share of it, so its tasks
+    emit no more than those of the whole corpus."""
+    share = F.pmod(F.xxhash64(*key_cols), F.lit(BOUND_STEP ** 2))
+    bounds = None
+    for part in (corpus.where(share == 0), corpus.where(F.pmod(share, F.lit(BOUND_STEP)) == 0)):
+        ranked = _rank(_broadcast_candidates(tbl, part, k, dim, query_id, key_cols, bounds), k, query_id, key_cols)
+        # one score a query: as bounded as the slice
+        kth = {r[0]: r[1] for r in ranked.where(F.col("rank") == k).select(query_id, "score").collect()}
+        bounds = np.array([kth.get(int(i), -np.inf) for i in tbl.column(query_id).to_numpy()], dtype=np.float64)
+    return bounds
+
+
+def _broadcast_candidates(tbl: pa.Table, corpus: DataFrame, k: int, dim: int, query_id: str, key_cols: list[str],
+                          bounds: np.ndarray | None = None) -> DataFrame:
+    """What every task holds to be among the k best, and not below the queries' bounds."""
     spark = corpus.sparkSession
     qids = tbl.column(query_id).to_numpy().astype(np.int64)
     qmat = _matrix(tbl.column("_qv"), dim)
-    bq = spark.sparkContext.broadcast((qids, qmat))
+    bq = spark.sparkContext.broadcast((qids, qmat, np.full(len(qids), -np.inf) if bounds is None else bounds))
     out_schema = pa.schema([(query_id, pa.int64())] + [(c, pa.int64()) for c in key_cols]
                            + [("score", pa.float64())])
     spark_schema = f"{query_id} bigint, " + ", ".join(f"{c} bigint" for c in key_cols) + ", score double"

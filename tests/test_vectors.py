@@ -55,3 +55,32 @@ def test_many_query_slices(spark):
     got = sorted(tuple(r) for r in vector_topk(qdf, cdf, 7, broadcast_bytes=8 * 8 * 5).collect())
     exp = brute(q, c, 7)
     assert [g[:4] for g in got] == [e[:4] for e in exp]
+
+
+@pytest.mark.parametrize("k", [1, 7, 60])
+def test_two_phases_give_the_same_rows(spark, k):
+    """Also with ties at the k-th score and with shares that hold fewer than k vectors."""
+    rng = np.random.default_rng(13)
+    c = [(i, 1, np.round(rng.normal(size=4), 1).astype(np.float32)) for i in range(900)]
+    q = [(j, np.round(rng.normal(size=4), 1).astype(np.float32)) for j in range(9)]
+    qdf, cdf = frames(spark, q, c)
+    got = sorted(tuple(r) for r in vector_topk(qdf, cdf, k, bound_bytes=0).collect())
+    assert [g[:4] for g in got] == [e[:4] for e in brute(q, c, k)]
+
+
+def test_candidates_do_not_grow_with_partitions(spark):
+    import quaymind.operators.vectors as VX
+    rng = np.random.default_rng(17)
+    c = [(i, 1, rng.normal(size=8).astype(np.float32)) for i in range(20_000)]
+    q = [(j, rng.normal(size=8).astype(np.float32)) for j in range(5)]
+    qdf, cdf = frames(spark, q, c)
+    asked = qdf.withColumnRenamed("embedding", "_qv").toArrow()
+    corpus = cdf.withColumnRenamed("embedding", "_cv")
+    keys, k, emitted = ["product_id", "variant_id"], 10, {}
+    bounds = VX._lower_bounds(asked, corpus, k, 8, "query_id", keys)
+    for parts in (4, 200):
+        spread = corpus.repartition(parts)
+        emitted[parts] = [VX._broadcast_candidates(asked, spread, k, 8, "query_id", keys, b).count() for b in (None, bounds)]
+    assert emitted[200][0] == 5 * k * 200                                  # without bounds: k a query and task
+    assert max(emitted[4][1], emitted[200][1]) <= 5 * k * VX.BOUND_STEP * 2
+    assert emitted[200][1] < emitted[200][0] / 5
