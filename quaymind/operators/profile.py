@@ -1,8 +1,7 @@
 """Table profiling and fingerprints.
 
-G1 computes every column's statistics in one aggregation (one scan, one
-partial+final aggregate), then unpivots the single result row.  G2 uses
-map-side pre-aggregation plus a partial top-n (WindowGroupLimit) so no
+G1 counts (column, value) pairs once for all columns (one scan, one shuffle,
+map-side combined) and derives every statistic from them.  G2 uses map-side pre-aggregation plus a partial top-n (WindowGroupLimit) so no
 column's value set meets in one task.  G5's table fingerprint is an
 order-independent additive hash of row hashes: partial sums per task,
 no sort, no collect.
@@ -23,21 +22,39 @@ TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
-def distinct_counts(df: DataFrame) -> DataFrame:
-    """Exact distinct count per column: ``name, distinct_count``.
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
-    One grouped aggregation per column, unioned.  Each branch reads only
-    its own column (Parquet column pruning) and pre-aggregates map-side, so
-    this beats the Expand plan of many ``count(DISTINCT ..)`` in one
-    aggregate (which multiplies every row by the number of columns).
+
+def _comparable(c: str, kind: T.DataType) -> Column:
+    """A text that is equal exactly where the values are."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.expr(f"cast(cast({c} as double) + 0.0D as string)")       # -0.0 is 0.0
+    if isinstance(kind, T.DateType):
+        return F.expr(f"cast(unix_date({c}) as string)")
+    if isinstance(kind, T.TimestampType):
+        return F.expr(f"cast(unix_micros({c}) as string)")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(f"cast(timestampdiff(MICROSECOND, {_EPOCH}, {c}) as string)")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        return F.to_json(c, {"ignoreNullFields": "false"})
+    return F.col(c).cast("string")
+
+
+def column_values(df: DataFrame) -> DataFrame:
+    """``ordinal`` of the column from 1, ``value`` (comparable text) and ``cnt`` of every distinct non-NULL value;
+    ordinal 0 counts the rows.
+
+    One scan and one shuffle for any number of columns: a row becomes one
+    (column, value) pair per column, and pairs are counted map-side first.
     """
-    parts = [df.select(F.col(f"`{c}`").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-             .agg(F.count(F.lit(1)).alias("distinct_count")).select(F.lit(c).alias("name"), "distinct_count")
-             for c in df.columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    pairs = [F.struct(F.lit(0).alias("ordinal"), F.lit("").alias("value"))]
+    pairs += [F.struct(F.lit(i + 1).alias("ordinal"), _comparable(f"c{i}", f.dataType).alias("value"))
+              for i, f in enumerate(df.schema.fields)]
+    return (plain.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+            .groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
@@ -45,40 +62,37 @@ def profile_columns(df: DataFrame) -> DataFrame:
     empty table), distinct_count, and min/max for numeric (as double) and
     date/time columns (as 'yyyy-MM-dd HH:mm:ss' text).
 
-    Counts, NULLs and min/max come from one aggregation; distinct counts
-    from :func:`distinct_counts`; the two per-column results (one row per
-    column each) are joined on the column name."""
+    Everything comes from the distinct values of :func:`column_values` and
+    their counts: one scan, one shuffle of the pairs and one of a row per
+    column and task.  The columns' names and types are a small local table."""
     fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        aggs.append(F.count(c).alias(f"_nn{i}"))
-        if isinstance(f.dataType, NUMERIC):
-            aggs += [F.min(c).cast("double").alias(f"_mn{i}"), F.max(c).cast("double").alias(f"_mx{i}")]
-        elif isinstance(f.dataType, TEMPORAL):
-            aggs += [F.date_format(F.min(c), TS_FORMAT).alias(f"_tn{i}"), F.date_format(F.max(c), TS_FORMAT).alias(f"_tx{i}")]
-    row = df.agg(*aggs)
-    n = F.col("_n")
-    items = []
-    for i, f in enumerate(fields):
-        num = isinstance(f.dataType, NUMERIC)
-        tmp = isinstance(f.dataType, TEMPORAL)
-        nulls = n - F.col(f"_nn{i}")
-        items.append(F.struct(
-            F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
-            F.lit(f.nullable).alias("nullable"),
-            F.when(n > 0, F.round(nulls / n * 100, 2)).otherwise(F.lit(0.0)).alias("null_pct"),
-            (F.col(f"_mn{i}") if num else F.lit(None).cast("double")).alias("min_num"),
-            (F.col(f"_mx{i}") if num else F.lit(None).cast("double")).alias("max_num"),
-            (F.col(f"_tn{i}") if tmp else F.lit(None).cast("string")).alias("min_time"),
-            (F.col(f"_tx{i}") if tmp else F.lit(None).cast("string")).alias("max_time"),
-        ))
-    stats = row.select(F.inline(F.array(*items)))
-    # one row per column on both sides: the broadcast is bounded by the column count
-    out = stats.join(F.broadcast(distinct_counts(df)), "name", "left")
-    return out.select("ordinal", "name", "type", "nullable", "null_pct",
-                      F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
-                      "min_num", "max_num", "min_time", "max_time")
+    place = lambda kinds: [i + 1 for i, f in enumerate(fields) if isinstance(f.dataType, kinds)]
+    values = column_values(df)
+    num = F.when(F.col("ordinal").isin(place(NUMERIC)), F.expr("try_cast(value as double)"))
+    time = F.when(F.col("ordinal").isin(place(TEMPORAL)), F.expr("try_cast(value as bigint)"))
+    per_column = values.groupBy("ordinal").agg(
+        F.sum("cnt").alias("_n"), F.count(F.lit(1)).alias("_distinct"), F.min(num).alias("min_num"), F.max(num).alias("max_num"),
+        F.min(time).alias("_tmin"), F.max(time).alias("_tmax"))
+    # at most one row per column, so the window that spreads the number of rows is as small
+    rows = F.max(F.when(F.col("ordinal") == 0, F.col("_n"))).over(Window.partitionBy())
+    names = df.sparkSession.createDataFrame(
+        [(0, "", "", False)] + [(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(fields)],
+        "ordinal int, name string, type string, nullable boolean")
+    joined = names.join(F.broadcast(per_column), "ordinal", "left").withColumn("_rows", F.coalesce(rows, F.lit(0)))
+
+    def stamp(c: str) -> Column:
+        kind = lambda t: F.col("type") == t
+        # the session's time zone is that of dates and of the others' own clock
+        clock = F.when(kind("date"), F.expr(f"date_format(date_from_unix_date(cast(if(type = 'date', {c}, 0) as int)), '{TS_FORMAT}')"))
+        clock = clock.when(kind("timestamp"), F.date_format(F.timestamp_micros(F.when(kind("timestamp"), F.col(c))), TS_FORMAT))
+        ntz = F.expr(f"{_EPOCH} + make_dt_interval(0, 0, 0, cast(if(type = 'timestamp_ntz', {c}, 0) as decimal(20,0)) / 1000000)")
+        return clock.when(kind("timestamp_ntz"), F.date_format(ntz, TS_FORMAT))
+    found = F.coalesce(F.col("_n"), F.lit(0))
+    return joined.where(F.col("ordinal") > 0).select(
+        "ordinal", "name", "type", "nullable",
+        F.when(F.col("_rows") > 0, F.round((F.col("_rows") - found) / F.col("_rows") * 100, 2)).otherwise(F.lit(0.0)).alias("null_pct"),
+        F.coalesce("_distinct", F.lit(0)).alias("distinct_count"), "min_num", "max_num",
+        stamp("_tmin").alias("min_time"), stamp("_tmax").alias("max_time"))
 
 
 def top_values(df: DataFrame, cols: list[str] | None = None, n: int = 10) -> DataFrame:
