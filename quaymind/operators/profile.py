@@ -9,6 +9,7 @@ no sort, no collect.
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,36 +26,42 @@ TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
-def _comparable(c: str, kind: T.DataType) -> Column:
-    """A text that is equal exactly where the values are."""
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.expr(f"cast(cast({c} as double) + 0.0D as string)")       # -0.0 is 0.0
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+#: The slots of a value: it stands in one of them, in a form that is equal exactly where the values are.
+SLOTS = {"whole": "bigint", "real": "double", "txt": "string"}
+
+
+def _slot(c: str, kind: T.DataType) -> tuple[str, Column]:
+    if isinstance(kind, WHOLE):
+        return "whole", F.col(c).cast("int").cast("bigint") if isinstance(kind, T.BooleanType) else F.col(c).cast("bigint")
     if isinstance(kind, T.DateType):
-        return F.expr(f"cast(unix_date({c}) as string)")
+        return "whole", F.unix_date(c).cast("bigint")
     if isinstance(kind, T.TimestampType):
-        return F.expr(f"cast(unix_micros({c}) as string)")
+        return "whole", F.unix_micros(c)
     if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"cast(timestampdiff(MICROSECOND, {_EPOCH}, {c}) as string)")
+        return "whole", F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, {c})")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return "real", F.col(c).cast("double")
     if isinstance(kind, T.BinaryType):
-        return F.hex(c)
+        return "txt", F.hex(c)
     if isinstance(kind, (T.ArrayType, T.StructType)):
-        return F.to_json(c, {"ignoreNullFields": "false"})
-    return F.col(c).cast("string")
+        return "txt", F.to_json(c, {"ignoreNullFields": "false"})
+    return "txt", F.col(c).cast("string")
 
 
 def column_values(df: DataFrame) -> DataFrame:
-    """``ordinal`` of the column from 1, ``value`` (comparable text) and ``cnt`` of every distinct non-NULL value;
-    ordinal 0 counts the rows.
+    """``ordinal`` of the column from 1, its value in one of the ``SLOTS`` (NULL in all for NULL) and ``cnt``, its rows.
 
     One scan and one shuffle for any number of columns: a row becomes one
     (column, value) pair per column, and pairs are counted map-side first.
     """
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    pairs = [F.struct(F.lit(0).alias("ordinal"), F.lit("").alias("value"))]
-    pairs += [F.struct(F.lit(i + 1).alias("ordinal"), _comparable(f"c{i}", f.dataType).alias("value"))
-              for i, f in enumerate(df.schema.fields)]
-    return (plain.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
-            .groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    pairs = []
+    for i, f in enumerate(df.schema.fields):
+        slot, value = _slot(f"c{i}", f.dataType)
+        pairs.append(F.struct(F.lit(i + 1).alias("ordinal"),
+                              *[(value if s == slot else F.lit(None).cast(t)).alias(s) for s, t in SLOTS.items()]))
+    return plain.select(F.inline(F.array(*pairs))).groupBy("ordinal", *SLOTS).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
@@ -66,33 +73,33 @@ def profile_columns(df: DataFrame) -> DataFrame:
     their counts: one scan, one shuffle of the pairs and one of a row per
     column and task.  The columns' names and types are a small local table."""
     fields = df.schema.fields
-    place = lambda kinds: [i + 1 for i, f in enumerate(fields) if isinstance(f.dataType, kinds)]
-    values = column_values(df)
-    num = F.when(F.col("ordinal").isin(place(NUMERIC)), F.expr("try_cast(value as double)"))
-    time = F.when(F.col("ordinal").isin(place(TEMPORAL)), F.expr("try_cast(value as bigint)"))
-    per_column = values.groupBy("ordinal").agg(
-        F.sum("cnt").alias("_n"), F.count(F.lit(1)).alias("_distinct"), F.min(num).alias("min_num"), F.max(num).alias("max_num"),
-        F.min(time).alias("_tmin"), F.max(time).alias("_tmax"))
-    # at most one row per column, so the window that spreads the number of rows is as small
-    rows = F.max(F.when(F.col("ordinal") == 0, F.col("_n"))).over(Window.partitionBy())
+    decimals = [i + 1 for i, f in enumerate(fields) if isinstance(f.dataType, T.DecimalType)]
+    # read from the text only where the column is a decimal
+    exact = F.when(F.col("ordinal").isin(decimals), F.expr("try_cast(txt as double)")) if decimals else F.lit(None).cast("double")
+    given = F.when(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("txt").isNotNull(), True)
+    per_column = column_values(df).groupBy("ordinal").agg(
+        F.sum("cnt").alias("_rows"), F.coalesce(F.sum(F.when(given, F.col("cnt"))), F.lit(0)).alias("_given"),
+        F.count(given).alias("_distinct"), F.min("whole").alias("_wmin"), F.max("whole").alias("_wmax"),
+        F.min(F.coalesce("real", exact)).alias("_rmin"), F.max(F.coalesce("real", exact)).alias("_rmax"))
     names = df.sparkSession.createDataFrame(
-        [(0, "", "", False)] + [(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(fields)],
-        "ordinal int, name string, type string, nullable boolean")
-    joined = names.join(F.broadcast(per_column), "ordinal", "left").withColumn("_rows", F.coalesce(rows, F.lit(0)))
+        [(i + 1, f.name, f.dataType.simpleString(), f.nullable, isinstance(f.dataType, NUMERIC)) for i, f in enumerate(fields)],
+        "ordinal int, name string, type string, nullable boolean, _num boolean")
+    # one row per column on both sides
+    joined = names.join(F.broadcast(per_column), "ordinal", "left")
 
     def stamp(c: str) -> Column:
         kind = lambda t: F.col("type") == t
-        # the session's time zone is that of dates and of the others' own clock
-        clock = F.when(kind("date"), F.expr(f"date_format(date_from_unix_date(cast(if(type = 'date', {c}, 0) as int)), '{TS_FORMAT}')"))
-        clock = clock.when(kind("timestamp"), F.date_format(F.timestamp_micros(F.when(kind("timestamp"), F.col(c))), TS_FORMAT))
-        ntz = F.expr(f"{_EPOCH} + make_dt_interval(0, 0, 0, cast(if(type = 'timestamp_ntz', {c}, 0) as decimal(20,0)) / 1000000)")
-        return clock.when(kind("timestamp_ntz"), F.date_format(ntz, TS_FORMAT))
-    found = F.coalesce(F.col("_n"), F.lit(0))
-    return joined.where(F.col("ordinal") > 0).select(
+        day = F.expr(f"date_format(date_from_unix_date(cast(if(type = 'date', {c}, 0) as int)), '{TS_FORMAT}')")
+        moment = F.date_format(F.timestamp_micros(F.when(kind("timestamp"), F.col(c))), TS_FORMAT)
+        clock = F.expr(f"{_EPOCH} + make_dt_interval(0, 0, 0, cast(if(type = 'timestamp_ntz', {c}, 0) as decimal(20,0)) / 1000000)")
+        return F.when(F.col(c).isNull(), F.lit(None)).when(kind("date"), day).when(kind("timestamp"), moment).when(
+            kind("timestamp_ntz"), F.date_format(clock, TS_FORMAT))
+    number = lambda w, r: F.when(F.col("_num"), F.coalesce(F.col(w).cast("double"), F.col(r)))
+    return joined.select(
         "ordinal", "name", "type", "nullable",
-        F.when(F.col("_rows") > 0, F.round((F.col("_rows") - found) / F.col("_rows") * 100, 2)).otherwise(F.lit(0.0)).alias("null_pct"),
-        F.coalesce("_distinct", F.lit(0)).alias("distinct_count"), "min_num", "max_num",
-        stamp("_tmin").alias("min_time"), stamp("_tmax").alias("max_time"))
+        F.when(F.col("_rows") > 0, F.round((F.col("_rows") - F.col("_given")) / F.col("_rows") * 100, 2)).otherwise(F.lit(0.0)).alias("null_pct"),
+        F.coalesce("_distinct", F.lit(0)).alias("distinct_count"), number("_wmin", "_rmin").alias("min_num"),
+        number("_wmax", "_rmax").alias("max_num"), stamp("_wmin").alias("min_time"), stamp("_wmax").alias("max_time"))
 
 
 def top_values(df: DataFrame, cols: list[str] | None = None, n: int = 10) -> DataFrame:
@@ -130,6 +137,17 @@ def row_fingerprint(df: DataFrame, cols: list[str] | None = None, out: str = "ro
 TWO64 = 18446744073709551616
 
 
+def _hash_sums(df: DataFrame, by: list[Column], cols: list[str] | None) -> DataFrame:
+    """Rows and the four sums of the row hashes' 64-bit words, modulo 2**64, of every group."""
+    h = row_hash(cols)
+    words = [F.conv(F.substring(h, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    names = ["bucket"] if by else []
+    summed = df.select(*by, *[w.alias(f"_w{i}") for i, w in enumerate(words)]).groupBy(*names).agg(F.count(F.lit(1)).alias("row_count"), *[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(4)])
+    return summed.select(*names, "row_count", *[
+        F.pmod(F.coalesce(F.col(f"_s{i}"), F.lit(0).cast("decimal(38,0)")), F.lit(str(TWO64)).cast("decimal(38,0)"))
+        .cast("decimal(20,0)").alias(f"s{i}") for i in range(4)])
+
+
 def table_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """G5 (table): order-independent fingerprint of a table's rows.
 
@@ -137,14 +155,30 @@ def table_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     column-wise modulo 2**64 (a multiset hash), so partitions combine in
     any order with plain partial sums.  Result: ``row_count, fingerprint``
     where fingerprint = sha256('count:s1:s2:s3:s4')."""
-    h = row_hash(cols)
-    words = [F.conv(F.substring(h, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    agg = df.select(*[w.alias(f"_w{i}") for i, w in enumerate(words)]).agg(
-        F.count(F.lit(1)).alias("row_count"), *[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(4)])
-    sums = [F.pmod(F.coalesce(F.col(f"_s{i}"), F.lit(0).cast("decimal(38,0)")),
-                   F.lit(str(TWO64)).cast("decimal(38,0)")).cast("decimal(20,0)").cast("string") for i in range(4)]
-    return agg.select("row_count", F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), *sums), 256)
-                      .alias("fingerprint"))
+    return _hash_sums(df, [], cols).select("row_count", F.sha2(F.concat_ws(":", *[
+        F.col(c).cast("string") for c in ("row_count", "s0", "s1", "s2", "s3")]), 256).alias("fingerprint"))
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    """The bucket of a row: the same for rows with the same key in every version of a table."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def bucket_sums(df: DataFrame, keys: list[str], buckets: int, cols: list[str] | None = None) -> DataFrame:
+    """G5 (tree): ``bucket, row_count, s0 .. s3`` of every bucket that has rows.
+
+    The levels of the hash tree are row hashes, sums per bucket and, by
+    ``combined``, the table's fingerprint; a level follows from the one below
+    by addition, so partial sums combine map-side and a changed row changes
+    its own bucket only."""
+    return _hash_sums(df, [bucket_of(keys, buckets).alias("bucket")], cols)
+
+
+def combined(sums: list[list[int]]) -> tuple[int, str]:
+    """Rows and fingerprint of a table from the ``[row_count, s0 .. s3]`` of its buckets."""
+    rows = sum(s[0] for s in sums)
+    words = [str(sum(s[i] for s in sums) % TWO64) for i in range(1, 5)]
+    return rows, hashlib.sha256(":".join([str(rows), *words]).encode()).hexdigest()
 
 
 def changed_rows(old: DataFrame, new: DataFrame, keys: list[str] | None = None,

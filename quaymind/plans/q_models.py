@@ -3,6 +3,8 @@ the pytest suite compares them with brute force / the batch operators)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quaymind import fixed as X
@@ -13,7 +15,7 @@ from quaymind.functions import text as T
 from quaymind.operators.vectors import encode_texts
 from quaymind.plans.q_sources import scratch
 from quaymind.plans.registry import query
-from quaymind.plans.store_build import build_store
+from quaymind.plans.store_build import build_store, changed_since, refresh_store
 from quaymind.sources.fixtures import VOCABULARIES, register
 from quaymind.sources.tables import read_embedding_store
 from quaymind.streaming import jobs as S
@@ -40,6 +42,26 @@ def v5(spark, sf):
     return vec.select("product_id", "variant_id", F.size("embedding").alias("dims"), "handle", "price")
 
 
+@query("v5_refresh_store")
+def v5_refresh(spark, sf):
+    """V5 in place: the store of the catalog brought up to its next version; only changed rows are encoded."""
+    register(spark, sf)
+    path = f"{scratch(spark, sf, 'refreshed')}-{uuid.uuid4().hex}"
+    build_store(spark.table("catalog"), path, model="hash-64")
+    refresh_store(spark.table("catalog_next"), path, model="hash-64")
+    vec = read_embedding_store(spark, path, "hash-64")
+    return vec.select("product_id", "variant_id", F.size("embedding").alias("dims"), "handle", "price")
+
+
+@query("g6_changed_since_store")
+def g6_since(spark, sf):
+    """G6 against a store: rows of the next catalog that differ from the stored ones, from the buckets that differ."""
+    register(spark, sf)
+    path = f"{scratch(spark, sf, 'since')}-{uuid.uuid4().hex}"
+    build_store(spark.table("catalog"), path, model="hash-64")
+    return changed_since(spark.table("catalog_next"), path, "hash-64").select("product_id", "variant_id", "handle", "price")
+
+
 @query("u1_generate_replies")
 def u1(spark, sf):
     """U1 batch replies for every user message prompt (retry, default text and error paths)."""
@@ -261,6 +283,9 @@ def _attach_oracles():
     REGISTRY["a7_read_embedding_store"].oracle = O.sql(["catalog"], [("si", store_in)],
                                                        "SELECT product_id, variant_id, handle, 'given-64' AS asked FROM si")
     REGISTRY["v5_build_store"].oracle = O.sql(["catalog"], [], "SELECT product_id, variant_id, 64 AS dims, handle, price FROM catalog")
+    REGISTRY["v5_refresh_store"].oracle = O.sql(["catalog", "catalog_next"], [],
+                                                "SELECT product_id, variant_id, 64 AS dims, handle, price FROM catalog_next")
+    REGISTRY["g6_changed_since_store"].oracle = REGISTRY["g6_changed_rows"].oracle
     lb = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
     last = f"list_last(string_split_regex({O.strip('prompt')}, '{lb}'))"
     REGISTRY["u1_generate_replies"].oracle = O.sql(["messages"], [

@@ -5,13 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quaymind.operators.profile import changed_rows
 from quaymind.operators.project import describe_rows
 from quaymind.operators.vectors import encode_texts
-from quaymind.sources.tables import read_embedding_store, scan_catalog, write_embedding_store
+from quaymind.operators.profile import bucket_of
+from quaymind.sources import pointers
+from quaymind.sources.tables import (STORE_BUCKETS, STORE_KEYS, bucket_state, read_embedding_store, read_parts, scan_catalog,
+                                     store_metadata, write_embedding_store)
 
 FIELDS = ["vendor", "product_type", "handle", "color", "spec", "condition", "tenure", "price"]
 
@@ -40,4 +42,51 @@ def build_store(catalog: DataFrame, path: str, model: str, *, limit: int | None
     enc = enc.select("product_id", "variant_id", "embedding", *FIELDS)
     if carried is not None:
         enc = enc.unionByName(carried.select("product_id", "variant_id", "embedding", *FIELDS))
-    return write_embedding_store(enc.withColumn("embedding", F.col("embedding")), path, model, limit)
+    return write_embedding_store(enc, path, model, limit, max(STORE_BUCKETS, min(4096, rows.count() // 100_000)))
+
+
+def differing_buckets(spark: SparkSession, rows: DataFrame, path: str, model: str) -> tuple[list[int], dict | None]:
+    """The buckets whose hash sums differ between catalog rows and the store, and the store's metadata (None: no store).
+
+    The rows are hashed once; of the store only its metadata is read."""
+    _, meta = pointers.latest(spark, f"{path}/meta")
+    if meta is None or meta["model"] != model:
+        return [], None
+    now = bucket_state(rows.select(*STORE_KEYS, *FIELDS), meta["buckets"])
+    then = {int(b): p["sums"] for b, p in meta["parts"].items()}
+    return sorted(b for b in now.keys() | then.keys() if now.get(b) != then.get(b)), meta
+
+
+def changed_since(catalog: DataFrame, path: str, model: str) -> DataFrame:
+    """G6 against a store: new or changed catalog rows; only buckets that differ are opened."""
+    spark = catalog.sparkSession
+    rows = scan_catalog(catalog, spark)
+    buckets, meta = differing_buckets(spark, rows, path, model)
+    if meta is None:
+        return rows
+    mine = rows.where(bucket_of(STORE_KEYS, meta["buckets"]).isin(buckets))
+    return changed_rows(read_parts(spark, path, meta, buckets).select(*STORE_KEYS, *FIELDS), mine).drop("row_hash")
+
+
+def refresh_store(catalog: DataFrame, path: str, model: str, *, encoder_factory: Callable | None = None) -> DataFrame:
+    """Bring the store at ``path`` up to the catalog in place; returns its metadata row.
+
+    Only changed rows are encoded, and only buckets that differ are read and
+    written; the others are named by the new pointer where they lie.  A store
+    of another model, or none, is built anew; an unchanged store is left as it
+    is, and none of its rows is read."""
+    spark = catalog.sparkSession
+    rows = scan_catalog(catalog, spark)
+    buckets, meta = differing_buckets(spark, rows, path, model)
+    if meta is None:
+        return build_store(catalog, path, model, encoder_factory=encoder_factory)
+    if not buckets:
+        return store_metadata(spark, meta)
+    old = read_parts(spark, path, meta, buckets)
+    mine = rows.where(bucket_of(STORE_KEYS, meta["buckets"]).isin(buckets))
+    todo = changed_rows(old.select(*STORE_KEYS, *FIELDS), mine).drop("row_hash")
+    stays = mine.join(todo.select(*STORE_KEYS), STORE_KEYS, "left_anti").join(old.select(*STORE_KEYS, "embedding"), STORE_KEYS)
+    enc = encode_texts(describe_rows(todo), "sentence", encoder_factory=encoder_factory, batch_size=32)
+    both = enc.select(*STORE_KEYS, "embedding", *FIELDS).unionByName(stays.select(*STORE_KEYS, "embedding", *FIELDS))
+    keep = {b: p for b, p in meta["parts"].items() if int(b) not in set(buckets)}
+    return write_embedding_store(both, path, model, meta["limit"], meta["buckets"], keep)

@@ -110,27 +110,62 @@ STORE_FIELDS = ["vendor", "product_type", "handle", "color", "spec", "condition"
 META_SCHEMA = "fingerprint string, model string, row_count bigint, limit bigint"
 
 
-def write_embedding_store(df: DataFrame, path: str, model: str, limit: int | None = None) -> DataFrame:
-    """Write ``(product_id, variant_id, embedding, <product fields>)`` as a
-    new version under ``path/vectors-<id>`` and then its metadata
-    ``fingerprint, model, row_count, limit`` as the next pointer under
-    ``path/meta`` (see ``pointers``).
+STORE_KEYS = ["product_id", "variant_id"]
+#: Buckets of a store by default; ``build_store`` takes one per 100,000 rows.
+STORE_BUCKETS = 16
+
+
+def store_columns(df: DataFrame) -> list[str]:
+    """The columns a store is fingerprinted by: keys and product fields."""
+    return [c for c in [*STORE_KEYS, *STORE_FIELDS] if c in df.columns]
+
+
+def bucket_state(df: DataFrame, buckets: int) -> dict[int, list[int]]:
+    """Rows and hash sums of every bucket; a few numbers per bucket."""
+    from quaymind.operators.profile import bucket_sums
+    rows = bucket_sums(df.drop("embedding"), STORE_KEYS, buckets, store_columns(df)).collect()
+    return {r["bucket"]: [int(x) for x in tuple(r)[1:]] for r in rows}
 
-    Until the pointer is there readers see the old store whole, and a failure
-    at any moment leaves it in place.  Returns the metadata row."""
-    from quaymind.operators.profile import table_fingerprint
+
+def write_embedding_store(df: DataFrame, path: str, model: str, limit: int | None = None, buckets: int = STORE_BUCKETS,
+                          keep: dict | None = None) -> DataFrame:
+    """Write ``(product_id, variant_id, embedding, <product fields>)`` in
+    buckets of the key under ``path/vectors-<id>`` and then its metadata
+    ``fingerprint, model, row_count, limit`` as the next pointer under
+    ``path/meta`` (see ``pointers``), with the place and the hash sums of every
+    bucket.
+
+    ``keep`` names buckets of earlier versions that stay as they are; ``df``
+    then holds the others.  Until the pointer is there readers see the old
+    store whole, and a failure at any moment leaves it in place.  Returns the
+    metadata row."""
+    from quaymind.operators.profile import bucket_of, combined
     spark = df.sparkSession
     after, _ = pointers.latest(spark, f"{path}/meta")
     version = f"vectors-{uuid.uuid4().hex}"
     fields = [c for c in STORE_FIELDS if c in df.columns]
-    df.select("product_id", "variant_id", "embedding", *fields).write.parquet(f"{path}/{version}")
-    vec = spark.read.parquet(f"{path}/{version}")
-    fp = table_fingerprint(vec.drop("embedding"), [c for c in ["product_id", "variant_id", *STORE_FIELDS] if c in vec.columns])
-    meta = fp.head().asDict() | {"model": model, "limit": limit}
-    pointers.publish(spark, f"{path}/meta", after, meta | {"vectors": version})
+    (df.select(*STORE_KEYS, "embedding", *fields).withColumn("bucket", bucket_of(STORE_KEYS, buckets))
+     .repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{version}"))
+    kinds = T.StructType([f for f in df.select(*STORE_KEYS, "embedding", *fields).schema.fields])
+    state = bucket_state(spark.read.schema(kinds).parquet(f"{path}/{version}"), buckets)
+    parts = dict(keep or {}) | {str(b): {"at": f"{version}/bucket={b}", "sums": sums} for b, sums in state.items()}
+    rows, fingerprint = combined([p["sums"] for p in parts.values()])
+    meta = {"fingerprint": fingerprint, "model": model, "row_count": rows, "limit": limit}
+    pointers.publish(spark, f"{path}/meta", after, meta | {"buckets": buckets, "parts": parts, "schema": kinds.jsonValue()})
+    return store_metadata(spark, meta)
+
+
+def store_metadata(spark: SparkSession, meta: dict) -> DataFrame:
     return spark.createDataFrame([tuple(meta[c.split()[0]] for c in META_SCHEMA.split(", "))], META_SCHEMA)
 
 
+def read_parts(spark: SparkSession, path: str, meta: dict, buckets: list[int] | None = None) -> DataFrame:
+    """The vectors of a store's buckets (all, or those named); files of others are not opened."""
+    kinds = T.StructType.fromJson(meta["schema"])
+    at = [f"{path}/{p['at']}" for b, p in meta["parts"].items() if buckets is None or int(b) in set(buckets)]
+    return spark.read.schema(kinds).parquet(*at) if at else spark.createDataFrame([], kinds)
+
+
 def read_embedding_store(spark: SparkSession, path: str, expected_model: str) -> DataFrame:
     """The stored vectors with their product fields; empty when no write
     has completed yet or the store was built with another model.  A store that
@@ -140,7 +175,7 @@ def read_embedding_store(spark: SparkSession, path: str, expected_model: str) ->
     _, meta = pointers.latest(spark, f"{path}/meta")
     if meta is None or meta["model"] != expected_model:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{path}/{meta['vectors']}")
+    return read_parts(spark, path, meta)
 
 
 def falsy_to_null(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -81,7 +81,7 @@ def test_a_corrupt_store_is_an_error_and_a_missing_one_is_empty(spark, tmp_path)
     A.write_embedding_store(df.union(df), f"{tmp_path}/s", "m")          # the new version takes the old one's place
     assert A.read_embedding_store(spark, f"{tmp_path}/s", "m").count() == 2
     assert A.read_embedding_store(spark, f"{tmp_path}/s", "other").count() == 0
-    for f in glob.glob(f"{tmp_path}/s/vectors-*/part-*"):
+    for f in glob.glob(f"{tmp_path}/s/vectors-*/*/part-*"):
         open(f, "w").write("broken")
     with pytest.raises(Exception):
         A.read_embedding_store(spark, f"{tmp_path}/s", "m").collect()
