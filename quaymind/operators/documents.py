@@ -10,7 +10,7 @@ summary is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymind import fixed as X
@@ -42,13 +42,47 @@ def _sections_from_lines(lines: DataFrame, doc: str) -> DataFrame:
         F.min("sec").alias("position"), F.max_by("text", "sec").alias("text"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _fold(lines: Column, marker: str) -> Column:
+    """The sections of one document's lines: array of (section, position, text), one per name.
+
+    Linear in the lines but for a sort of the headings: their places cut the
+    lines into bodies; ordered by (name, number), the first of a name gives
+    the position and the last one the text.
+    """
+    heads = F.filter(F.transform(lines, lambda line, i: F.when(line.startswith(marker), i)), lambda i: i.isNotNull())
+
+    def cut(at: Column) -> Column:
+        def section(start: Column, n: Column) -> Column:
+            end = F.coalesce(F.get(at, n + 1), F.size(lines))
+            name = F.when(n == 0, F.lit(GENERAL)).otherwise(
+                py_strip(F.substring(F.get(lines, start), F.lit(len(marker) + 1), F.lit(1 << 30))))
+            return F.struct(name.alias("section"), n.alias("n"), F.slice(lines, start + 2, end - start - 1).alias("body"))
+        return F.array_sort(F.filter(F.transform(at, section), lambda s: F.size(s["body"]) > 0))
+
+    def one_per_name(ordered: Column) -> Column:
+        # a whole array per condition: filter hands over the element and its place
+        first = F.filter(ordered, lambda s, i: ~s["section"].eqNullSafe(F.get(ordered, i - 1)["section"]))
+        last = F.filter(ordered, lambda s, i: ~s["section"].eqNullSafe(F.get(ordered, i + 1)["section"]))
+        return F.zip_with(first, last, lambda a, z: F.struct(
+            z["section"].alias("section"), a["n"].cast("bigint").alias("position"), F.array_join(z["body"], "\n").alias("text")))
+    return _let(F.concat(F.array(F.lit(-1)), heads), lambda at: _let(cut(at), one_per_name))
+
+
 def split_sections(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", marker: str = X.SECTION_MARKER) -> DataFrame:
     """Markdown-style sections of each document: ``doc, section,
-    position, text`` (lines split as str.splitlines)."""
-    lines = docs.select(doc, F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
-    lines = lines.withColumn("is_heading", F.col("line").startswith(marker)) \
-        .withColumn("name", F.when(F.col("is_heading"), py_strip(F.substring("line", len(marker) + 1, 1 << 30))))
-    return _sections_from_lines(lines, doc)
+    position, text`` (lines split as str.splitlines).
+
+    A document is a row and is folded where it lies: nothing is shuffled.  A
+    heading opens a section; lines before the first heading form 'General'; a
+    section is kept only when it has a line; a repeated name keeps the later
+    text at the first position.  Null and empty texts have no section."""
+    folded = docs.select(doc, _let(split_lines(F.col(text)), lambda lines: _fold(lines, marker)).alias("_sections"))
+    return folded.select(doc, F.inline("_sections"))
 
 
 HEADING_1, HEADING_2, LIST_STYLE = X.HEADING_1, X.HEADING_2, X.LIST_STYLE

@@ -138,8 +138,9 @@ def faq_section(messages: DataFrame, keyword_map: DataFrame, sections: DataFrame
     lowercased message; highest wins, ties go to keyword-map order.  Zero
     score, or a best section missing from the document, gives all sections
     of the document joined by a rule line.  The keyword map is small and
-    is applied as literal expressions (no join); sections join on
-    (document, section name).
+    is applied as literal expressions (no join); a section meets its
+    messages on (document, section name), and a document's whole text only
+    those messages that no section answers.
     """
     check_literal(keyword_map, "keyword", "the FAQ keyword map")
     rows = keyword_map.orderBy("ordinal", "keyword").collect()
@@ -156,14 +157,19 @@ def faq_section(messages: DataFrame, keyword_map: DataFrame, sections: DataFrame
         F.lit(-i).alias("o"), F.lit(s).alias("s")) for i, s in enumerate(order)])
     best = F.array_max(scored)
     m = messages.withColumn("_best", F.when(best["n"] > 0, best["s"]))
-    # one row per document: its sections in order and the all-sections text
-    per_doc = (sections.groupBy(doc)
-               .agg(F.array_sort(F.collect_list(F.struct("position", "section", "text"))).alias("_secs"))
-               .withColumn("_all", F.array_join(F.transform("_secs", lambda x: x["text"]), X.ALL_SECTIONS_SEP)))
-    out = m.join(per_doc, doc, "left")
-    chosen = F.try_element_at(F.filter("_secs", lambda x: x["section"] == F.col("_best")), F.lit(1))["text"]
+    # a section is looked up by (document, name); the whole document only by the rows that need it
+    named = sections.groupBy(F.col(doc).cast("string").alias("_doc"), F.col("section").alias("_name")).agg(
+        F.min_by("text", F.struct("position", "text")).alias("_text"))
+    key = F.when(F.col("_best").isNotNull(), F.col(doc).cast("string"))
+    hit = m.withColumn("_key", _spread(key)).join(
+        named, (F.col("_key") == F.col("_doc")) & (F.col("_best") == F.col("_name")), "left").drop("_doc", "_name", "_key")
+    ordered = F.array_sort(F.collect_list(F.struct("position", "section", "text")))
+    whole = sections.groupBy(F.col(doc).cast("string").alias("_doc")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["text"]), X.ALL_SECTIONS_SEP).alias("_all"))
+    out = hit.withColumn("_key", _spread(F.when(F.col("_text").isNull(), F.col(doc).cast("string")))).join(
+        whole, F.col("_key") == F.col("_doc"), "left")
     return out.select(*messages.columns, F.col("_best").alias("best_section"),
-                      F.coalesce(chosen, F.col("_all")).alias("faq_text"))
+                      F.coalesce("_text", "_all").alias("faq_text"))
 
 
 STORE_LOCATOR, STORE_NEEDS_LOCATION, FAQ = X.STORE_LOCATOR, X.STORE_NEEDS_LOCATION, X.FAQ
