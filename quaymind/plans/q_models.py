@@ -253,7 +253,8 @@ def r_intro(spark, sf):
     from quaymind.plans.q_documents import PAIRS_SQL
     from quaymind.plans.q_recommend import diverse
     register(spark, sf)
-    rows = diverse(spark, sf).withColumn("conv_id", F.col("query_id") % 100) \
+    folds = spark.table("messages").agg(F.max("conv_id") + 1).head()[0]      # searches are dealt over all conversations
+    rows = diverse(spark, sf).withColumn("conv_id", F.col("query_id") % F.lit(folds)) \
         .withColumn("query", F.concat(F.lit("phones like "), F.col("query_id").cast("string")))
     out = RC.recommendation_intro(rows, spark.sql(PAIRS_SQL), _provider, model="secondary")
     return out.select("query_id", "position", "handle", "reply")
@@ -473,7 +474,7 @@ def _attach_intro_oracle():
           "coalesce(m.history_text, 'None'), chr(10), chr(10), 'Query: ', c.query, chr(10), chr(10), 'Options:', chr(10), c.cat)")
     ph = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     REGISTRY["u1_recipe_recommendation_intro"].oracle = O.sql(["catalog", "messages"], DIVERSE_CTES + [
-        ("rows_", "SELECT *, query_id % 100 AS conv_id, concat('phones like ', CAST(query_id AS VARCHAR)) AS query FROM diverse"),
+        ("rows_", "SELECT *, query_id % (SELECT max(conv_id) + 1 FROM messages) AS conv_id, concat('phones like ', CAST(query_id AS VARCHAR)) AS query FROM diverse"),
         ("cat", """SELECT query_id, conv_id, query, string_agg(concat('- ', concat_ws(' | ', handle, color, spec, condition, price)),
             chr(10) ORDER BY position) AS cat FROM rows_ GROUP BY query_id, conv_id, query"""),
         ("pairs", PAIRS_SQL),
