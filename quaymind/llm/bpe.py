@@ -44,6 +44,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHORT = 64
 #: Bytes of chunks, and a quarter of them of pieces, in one of a worker's two generations: bounds its memory between texts.
 CACHE_BYTES = 64 << 20
+#: The same where the ids themselves are returned, beside what earlier stages leave in an executor's memory.
+CACHE_BYTES_OF_IDS = 16 << 20
 #: Bytes of an entry besides its text and ids, about: two strings and a place in the table.
 ENTRY_BYTES = 180
 #: Distinct chunks that are encoded at once.
@@ -84,7 +86,7 @@ class Recent:
 class Codec:
     """Encoder and decoder for one rank table and split pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = CACHE_BYTES):
         import regex
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
@@ -109,8 +111,8 @@ class Codec:
         self.token_length, self.token_start = lengths, np.cumsum(lengths) - lengths
         self.token_bytes = np.frombuffer(b"".join(self.tokens[i] for i in known), dtype=np.uint8)
         # chunk or piece -> (its ids as int32 bytes, its ids as decimal text)
-        self.cache = Recent(CACHE_BYTES)
-        self.pieces = Recent(CACHE_BYTES // 4)
+        self.cache = Recent(cache_bytes)
+        self.pieces = Recent(cache_bytes // 4)
 
     @property
     def pairs(self) -> dict[int, int]:
@@ -320,11 +322,11 @@ def cut(text: str) -> list[str]:
 _CODECS: dict[str, Codec] = {}
 
 
-def _codec(data: bytes, pattern: str) -> Codec:
-    """One codec per worker process and vocabulary."""
-    key = hashlib.sha256(data + pattern.encode()).hexdigest()
+def _codec(data: bytes, pattern: str, cache_bytes: int = CACHE_BYTES) -> Codec:
+    """One codec per worker process, vocabulary and size of its cache."""
+    key = f"{hashlib.sha256(data + pattern.encode()).hexdigest()}-{cache_bytes}"
     if key not in _CODECS:
-        _CODECS[key] = Codec(read_ranks(data), pattern)
+        _CODECS[key] = Codec(read_ranks(data), pattern, cache_bytes)
         gc.freeze()     # its tables live as long as the worker; the collector need not walk them
     return _CODECS[key]
 
@@ -364,8 +366,8 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
 
 
-def _run(sc, path: str | None, pattern: str | None):
-    shared = sc.broadcast((vocabulary(path), pattern or _split_pattern()))
+def _run(sc, path: str | None, pattern: str | None, cache_bytes: int = CACHE_BYTES_OF_IDS):
+    shared = sc.broadcast((vocabulary(path), pattern or _split_pattern(), cache_bytes))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*shared.value)
@@ -409,11 +411,12 @@ def detokenize(df: DataFrame, path: str | None = None, pattern: str | None = Non
     return df.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
 
 
-def token_digests(df: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def token_digests(df: DataFrame, path: str | None = None, pattern: str | None = None,
+                  cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, n_tokens and the hashes of the ids and of the bytes they decode to."""
     ship_package(df.sparkSession)
     bound_arrow_batches(df.sparkSession)
-    start = _run(df.sparkSession.sparkContext, path, pattern)
+    start = _run(df.sparkSession.sparkContext, path, pattern, cache_bytes)
 
     def run(batches):
         for part, codec, encoded in start(batches):
