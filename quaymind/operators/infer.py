@@ -26,33 +26,38 @@ class ProviderError(Exception):
 RETRYABLE = (503,)
 
 
+def ask(client, text: str, model: str, fallback_model: str | None = None,
+        retry_status: tuple[int, ...] = RETRYABLE) -> tuple[str | None, str | None, str]:
+    """One prompt's (reply, error, model used): one of reply and error is None."""
+    used = model
+    try:
+        try:
+            r = client.generate(text, model)
+        except ProviderError as e:
+            if e.status not in retry_status or not fallback_model:
+                raise
+            used = fallback_model
+            r = client.generate(text, fallback_model)
+        return (r or "").strip(), None, used
+    except Exception as e:  # failure becomes a value
+        return None, f"{type(e).__name__}: {e}", used
+
+
 def generate_replies(df: DataFrame, prompt: str, provider_factory: Callable[[], object], *,
                      model: str, fallback_model: str | None = None, default_text: str | None = None,
                      retry_status: tuple[int, ...] = RETRYABLE, concurrency: int = 1) -> DataFrame:
     """Add ``reply``, ``error`` and ``model_used`` to every row.
 
     ``concurrency`` is the number of calls that one task has open at a time.
+    Every row is a call, and a retried task calls again; ``replies_once`` of
+    :mod:`quaymind.operators.ledger` asks each distinct prompt once.
     """
     from quaymind.session import ship_package
     ship_package(df.sparkSession)
-    def call(client, text: str) -> tuple[str | None, str | None, str | None]:
-        used = model
-        try:
-            try:
-                r = client.generate(text, model)
-            except ProviderError as e:
-                if e.status not in retry_status or not fallback_model:
-                    raise
-                used = fallback_model
-                r = client.generate(text, fallback_model)
-            r = (r or "").strip()
-            if not r and default_text is not None:
-                return default_text, None, used
-            return r, None, used
-        except Exception as e:  # failure becomes a value
-            if default_text is not None:
-                return default_text, None, used
-            return None, f"{type(e).__name__}: {e}", used
+
+    def call(client, text: str) -> tuple[str | None, str | None, str]:
+        reply, error, used = ask(client, text, model, fallback_model, retry_status)
+        return (default_text, None, used) if default_text is not None and not reply else (reply, error, used)
 
     # only the prompts travel to Python; the other columns never leave the JVM
     @F.pandas_udf("reply string, error string, model_used string")

@@ -11,6 +11,7 @@ from quaymind import fixed as X
 from quaymind.operators import classify as C
 from quaymind.operators import project as P
 from quaymind.operators.infer import EchoProvider, OptionProvider, ScriptedProvider, generate_replies
+from quaymind.operators.ledger import replies_once
 from quaymind.functions import text as T
 from quaymind.operators.vectors import encode_texts
 from quaymind.plans.q_sources import scratch
@@ -72,6 +73,17 @@ def u1(spark, sf):
                             fallback_model="secondary", default_text=None)
 
 
+@query("u1_reply_ledger")
+def u1_ledger(spark, sf):
+    """U1 through a reply ledger: each distinct prompt of the user messages is asked once."""
+    register(spark, sf)
+    prompts = spark.table("messages").filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.concat(F.lit("Answer briefly.\n"), F.col("text")).alias("prompt"))
+    ledger = f"{scratch(spark, sf, 'ledger')}-{_run_id()}"
+    return replies_once(prompts, "prompt", lambda: EchoProvider("primary"), ledger, model="primary", fallback_model="secondary",
+                        buckets=spark.sparkContext.defaultParallelism)
+
+
 def _plan_stream_input(spark, sf):
     from quaymind.plans.q_documents import HANDLES_SQL, PLAN_SQL
     plan = spark.sql(PLAN_SQL).withColumn("is_refinement", C.is_refinement("text", V["refinement"]))
@@ -298,6 +310,7 @@ SELECT conv_id, turn, prompt,
   CASE WHEN bad THEN 'ProviderError: bad request' END AS error,
   CASE WHEN retry THEN 'secondary' ELSE 'primary' END AS model_used
 FROM c""")
+    REGISTRY["u1_reply_ledger"].oracle = REGISTRY["u1_generate_replies"].oracle
     REGISTRY["t1_stream_route"].oracle = O.sql(["messages", "locations", "route_labels", "kb"], ROUTE_CTES + [
         ("esc", f"SELECT conv_id, turn, {ESC_SQL} AS r FROM messages WHERE role = 'user'")], """
 SELECT r.conv_id, r.turn, coalesce(r.intercept, r.lmatch) AS match,
