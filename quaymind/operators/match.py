@@ -175,6 +175,19 @@ def faq_section(messages: DataFrame, keyword_map: DataFrame, sections: DataFrame
 STORE_LOCATOR, STORE_NEEDS_LOCATION, FAQ = X.STORE_LOCATOR, X.STORE_NEEDS_LOCATION, X.FAQ
 
 
+def _intercept(text: str, vocab: dict[str, list[str]], ranked_terms: list[str]) -> Column:
+    loc = C.is_location_query(text, vocab["strong_location"], vocab["weak_location"], ranked_terms)
+    term = C.location_term(text, ranked_terms)
+    faq = C.is_faq_query(text, vocab["strong_faq"], vocab["weak_faq"])
+    return (F.when(loc & term.isNull(), F.lit(STORE_NEEDS_LOCATION))
+            .when(loc, F.lit(STORE_LOCATOR)).when(faq, F.lit(FAQ)))
+
+
+def is_intercepted(text: str, vocab: dict[str, list[str]], ranked_terms: list[str]) -> Column:
+    """Whether P11 routes the message by rule, without a label."""
+    return _intercept(text, vocab, ranked_terms).isNotNull()
+
+
 def route_messages(messages: DataFrame, replies: DataFrame, kb: DataFrame, vocab: dict[str, list[str]],
                    ranked_terms: list[str], *, keys: list[str] | None = None, text: str = "text") -> DataFrame:
     """Location question -> STORE_LOCATOR / ..._NEEDS_LOCATION (score
@@ -185,11 +198,7 @@ def route_messages(messages: DataFrame, replies: DataFrame, kb: DataFrame, vocab
     message goes through the same (broadcastable) knowledge-base join."""
     from quaymind.functions.text import normalize_label
     keys = keys or ["conv_id", "turn"]
-    loc = C.is_location_query(text, vocab["strong_location"], vocab["weak_location"], ranked_terms)
-    term = C.location_term(text, ranked_terms)
-    faq = C.is_faq_query(text, vocab["strong_faq"], vocab["weak_faq"])
-    intercept = (F.when(loc & term.isNull(), F.lit(STORE_NEEDS_LOCATION))
-                 .when(loc, F.lit(STORE_LOCATOR)).when(faq, F.lit(FAQ)))
+    intercept = _intercept(text, vocab, ranked_terms)
     m = messages.withColumn("_intercept", intercept)
     lab = replies.select(*keys, normalize_label(F.col("reply")).alias("_l"))
     j = m.join(lab, keys, "left")

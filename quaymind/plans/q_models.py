@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaymind import fixed as X
@@ -127,6 +128,44 @@ def t2(spark, sf):
                       F.array_join("preferred_handles", "|").alias("preferred_handles"))
 
 
+@query("t1_stream_model")
+def t1_model(spark, sf):
+    """T1 with the model called inside the stream: every user message labelled once, through a reply ledger."""
+    from quaymind.plans.q_classify import _ranked
+    register(spark, sf)
+    base = f"{scratch(spark, sf, 't1-model')}-{_run_id()}"
+    um = spark.table("messages").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    um.write.mode("overwrite").parquet(f"{base}/in")
+    # the stand-in names one of two keywords, logs a ticket or finds nothing, by the prompt's length
+    said = [r["keyword"] for r in spark.table("kb").orderBy("ordinal").select("keyword").limit(2).collect()]
+    script = [*said, *[""] * (2 - len(said)), "  Logging_Ticket ", "NO_MATCH"]
+    stream = spark.readStream.schema(um.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    S.run_route(stream, lambda m: m.withColumn("prompt", F.concat(F.lit("Pick a label.\n"), F.col("text"))),
+                lambda: ScriptedProvider(script, "primary"), spark.table("kb"), V, _ranked(spark), sink=f"{base}/out",
+                checkpoint=f"{base}/ckpt", ledger=f"{base}/ledger", model="primary", fallback_model="secondary",
+                buckets=spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(f"{base}/out").drop("text", "batch")
+
+
+@query("t2_stream_ordered")
+def t2_ordered(spark, sf):
+    """T2 for turns in any order: they arrive dealt over three micro-batches by a hash, and are answered in order."""
+    register(spark, sf)
+    base = f"{scratch(spark, sf, 't2-ordered')}-{_run_id()}"
+    numbered = _plan_stream_input(spark, sf).withColumn("place", F.row_number().over(
+        Window.partitionBy("conv_id").orderBy("turn")).cast("long") - 1).persist()
+    given = numbered.withColumn("asked_turn", F.col("turn")).withColumn("turn", F.col("place")).withColumn(
+        "at", F.timestamp_seconds(F.col("place") * 60))
+    arrives = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    for n in range(3):
+        given.where(arrives == n).drop("asked_turn", "place").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(given.drop("asked_turn", "place").schema).parquet(f"{base}/in")
+        S.run_available_now(S.stream_carry_ordered(stream, "at", "30 days"), f"{base}/out", f"{base}/ckpt")
+    out = spark.read.parquet(f"{base}/out").withColumnRenamed("turn", "place")
+    return numbered.select("conv_id", "place", "turn").join(out, ["conv_id", "place"]).select(
+        "conv_id", "turn", "effective_query", F.array_join("preferred_handles", "|").alias("preferred_handles"))
+
+
 def _run_id() -> str:
     import uuid
     return uuid.uuid4().hex[:12]
@@ -274,6 +313,29 @@ def r_intro(spark, sf):
 
 # ---- oracles for the writer / stream jobs whose results SQL can state ----------
 
+def _echo_sql(prompt: str, model: str, *, fail_model: str = "primary", fallback: str | None = None,
+              default: str | None = None, script: list[str] | None = None, answer: str | None = None) -> tuple[str, str, str]:
+    """(reply, error, model_used) of U1 with the stand-in provider, in DuckDB."""
+    from quaymind.plans import oracle_sql as O
+    lb = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+    n = f"length({prompt})"
+    retry = f"({n} % 7 = 0)" if model == fail_model else "false"
+    used = f"CASE WHEN {retry} AND {'true' if fallback else 'false'} THEN '{fallback or model}' ELSE '{model}' END"
+    last = f"list_last(string_split_regex({O.strip(prompt)}, '{lb}'))"
+    ok = O.strip(f"concat('[', {used}, '] ', {last})")
+    if answer:
+        ok = answer
+    if script:
+        ok = f"[{', '.join(repr(x) for x in script)}][{n} % {len(script)} + 1]"
+    hard = f"(({retry} AND {'false' if fallback else 'true'}) OR {n} % 11 = 0)"
+    err_txt = f"CASE WHEN {retry} AND {'false' if fallback else 'true'} THEN 'ProviderError: overloaded' ELSE 'ProviderError: bad request' END"
+    d = "NULL" if default is None else f"'{default}'"
+    blank = "''" if default is None else d
+    reply = f"CASE WHEN {hard} THEN {d} WHEN {n} % 13 = 0 THEN {blank} ELSE {ok} END"
+    error = f"CASE WHEN {hard} AND {'true' if default is None else 'false'} THEN {err_txt} END"
+    return reply, error, used
+
+
 def _attach_oracles():
     from quaymind.plans import oracle_sql as O
     from quaymind.plans.q_classify import ESC_SQL
@@ -329,35 +391,30 @@ JOIN esc e ON e.conv_id = r.conv_id AND e.turn = r.turn""")
 SELECT w.conv_id, w.turn, w.eff AS effective_query,
   CASE WHEN r.refine THEN coalesce(array_to_string(r.prev, '|'), '') ELSE '' END AS preferred_handles
 FROM walk w JOIN r ON r.conv_id = w.conv_id AND r.turn = w.turn""")
+    REGISTRY["t2_stream_ordered"].oracle = REGISTRY["t2_stream_carry_query"].oracle
+    reply, _, _ = _echo_sql("prompt", "primary", fallback="secondary",
+                            answer="""CASE length(prompt) % 4 WHEN 0 THEN trim(ks[1]) WHEN 1 THEN trim(ks[2])
+                              WHEN 2 THEN 'Logging_Ticket' ELSE 'NO_MATCH' END""")
+    asked = [("ks", "SELECT list(keyword ORDER BY ordinal)[1:2] AS ks FROM kb"),
+             ("p", """SELECT conv_id, turn, ks, concat('Pick a label.', chr(10), text) AS prompt
+                FROM messages, ks WHERE role = 'user'"""),
+             ("replies", f"SELECT conv_id, turn, coalesce({reply}, '') AS reply FROM p")]
+    REGISTRY["t1_stream_model"].oracle = O.sql(["messages", "locations", "kb"], asked + ROUTE_CTES[1:] + [
+        ("esc", f"SELECT conv_id, turn, {ESC_SQL} AS r FROM messages WHERE role = 'user'")], """
+SELECT r.conv_id, r.turn, coalesce(r.intercept, r.lmatch) AS match,
+  CASE WHEN r.intercept IS NOT NULL THEN 1.0 ELSE r.lscore END AS score,
+  CASE WHEN r.intercept IS NOT NULL THEN NULL ELSE k.ordinal END AS kb_ordinal,
+  CASE WHEN r.intercept IS NOT NULL THEN r.intercept ELSE k.keyword END AS keyword,
+  CASE WHEN r.intercept IS NOT NULL THEN NULL ELSE k.answer END AS answer,
+  e.r <> '' AS escalate, e.r AS escalation_response
+FROM routed r LEFT JOIN kbf k ON r.intercept IS NULL AND r.lmatch <> 'PRODUCT_ENQUIRE' AND lower(r.lmatch) = k.k
+JOIN esc e ON e.conv_id = r.conv_id AND e.turn = r.turn""")
     _ = KB_FIRST
 
 
 _attach_oracles()
 
 
-def _echo_sql(prompt: str, model: str, *, fail_model: str = "primary", fallback: str | None = None,
-              default: str | None = None, script: list[str] | None = None, answer: str | None = None) -> tuple[str, str, str]:
-    """(reply, error, model_used) of U1 with the stand-in provider, in DuckDB."""
-    from quaymind.plans import oracle_sql as O
-    lb = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
-    n = f"length({prompt})"
-    retry = f"({n} % 7 = 0)" if model == fail_model else "false"
-    used = f"CASE WHEN {retry} AND {'true' if fallback else 'false'} THEN '{fallback or model}' ELSE '{model}' END"
-    last = f"list_last(string_split_regex({O.strip(prompt)}, '{lb}'))"
-    ok = O.strip(f"concat('[', {used}, '] ', {last})")
-    if answer:
-        ok = answer
-    if script:
-        ok = f"[{', '.join(repr(x) for x in script)}][{n} % {len(script)} + 1]"
-    hard = f"(({retry} AND {'false' if fallback else 'true'}) OR {n} % 11 = 0)"
-    err_txt = f"CASE WHEN {retry} AND {'false' if fallback else 'true'} THEN 'ProviderError: overloaded' ELSE 'ProviderError: bad request' END"
-    d = "NULL" if default is None else f"'{default}'"
-    blank = "''" if default is None else d
-    reply = f"CASE WHEN {hard} THEN {d} WHEN {n} % 13 = 0 THEN {blank} ELSE {ok} END"
-    error = f"CASE WHEN {hard} AND {'true' if default is None else 'false'} THEN {err_txt} END"
-    return reply, error, used
-
-
 def _attach_recipe_oracles():
     from quaymind.plans import oracle_sql as O
     from quaymind.plans.registry import REGISTRY

@@ -1,35 +1,83 @@
 """Structured Streaming jobs.
 
-T1 routes a message stream with the same column functions as the batch
-job (stream-static joins against the label and knowledge-base tables).
-T2 keeps the carried search state per conversation with
-``applyInPandasWithState``: state is two small values per conversation
-(last effective query, last shown handles) and expires after a timeout.
-Turns of one conversation must arrive in order across micro-batches
-(within a batch they are sorted by turn).
+T1 routes a message stream with the same column functions as the batch job:
+``stream_route`` against a table of replies that exists already,
+``run_route`` with the model asked inside the stream, each message once.
+
+T2 keeps the carried search state per conversation.  ``stream_carry_query``
+needs the turns of a conversation in order across micro-batches (within a
+batch they are sorted) and keeps two small values in
+``applyInPandasWithState``.  ``stream_carry_ordered`` takes turns in any
+order: a buffer per conversation (``transformWithStateInPandas``) holds early
+turns back, and a timer on the watermark gives up on turns that never come.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import namedtuple
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from quaymind.operators import classify as C
 from quaymind.operators import match as M
+from quaymind.operators.ledger import replies_once
 
 
 def stream_route(messages: DataFrame, replies: DataFrame, kb: DataFrame, vocab: dict[str, list[str]],
-                 ranked_terms: list[str]) -> DataFrame:
+                 ranked_terms: list[str], keys: list[str] | None = None) -> DataFrame:
     """P11 routing plus P6 escalation for each streamed message."""
-    routed = M.route_messages(messages, replies, kb, vocab, ranked_terms)
+    routed = M.route_messages(messages, replies, kb, vocab, ranked_terms, keys=keys)
     esc = C.detect_escalation("text", vocab["greeting"], vocab["ticket_logged"], vocab["human"], vocab["ticket"])
     return routed.withColumn("escalate", esc["escalate"]).withColumn("escalation_response", esc["response"])
 
 
+def once_per_id(messages: DataFrame, keys: list[str], event_time: str | None = None, delay: str = "1 day") -> DataFrame:
+    """The first arrival of each message id.  With an event time, ids are forgotten ``delay`` behind the newest
+    message (a repeat must come sooner); without one they are remembered for good."""
+    if event_time is None:
+        return messages.dropDuplicates(keys)
+    return messages.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def run_route(messages: DataFrame, prompt: Callable[[DataFrame], DataFrame], provider: Callable[[], object], kb: DataFrame,
+              vocab: dict[str, list[str]], ranked_terms: list[str], *, sink: str, checkpoint: str, ledger: str, model: str,
+              fallback_model: str | None = None, keys: tuple[str, ...] = ("conv_id", "turn"), event_time: str | None = None,
+              delay: str = "1 day", concurrency: int = 1, buckets: int = 64) -> None:
+    """T1 with the model inside the stream: labels every available message and writes it to ``sink`` (Parquet).
+
+    ``prompt`` adds a column ``prompt`` to the messages of a micro-batch.
+    Only messages that no location or FAQ rule takes are asked.  Answers go through the ledger: a micro-batch that
+    is done again after a failure reads them, and overwrites its own folder of the sink (``batch=<id>``), so every
+    message id has one label.  A failed call counts as an empty reply.
+    """
+    keys = list(keys)
+
+    def label(batch: DataFrame, batch_id: int) -> None:
+        # the micro-batch is read for its prompts and for its routing
+        batch = batch.persist()
+        try:
+            asked = prompt(batch.where(~M.is_intercepted("text", vocab, ranked_terms))).select(*keys, "prompt")
+            replies = replies_once(asked, "prompt", provider, ledger, model=model, fallback_model=fallback_model,
+                                   concurrency=concurrency, buckets=buckets, run=f"batch-{batch_id}")
+            out = stream_route(batch, replies.select(*keys, F.coalesce("reply", F.lit("")).alias("reply")), kb, vocab,
+                               ranked_terms, keys=keys)
+            out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    q = (once_per_id(messages, keys, event_time, delay).writeStream.foreachBatch(label)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
 CARRY_OUT = ("conv_id long, turn long, effective_query string, preferred_handles array<string>")
 CARRY_STATE = "last_eff string, last_handles array<string>"
 
@@ -84,6 +132,123 @@ def stream_carry_query(turns: DataFrame, idle_timeout_ms: int | None = None) ->
     return turns.groupBy("conv_id").applyInPandasWithState(fn, CARRY_OUT, CARRY_STATE, "append", timeout)
 
 
+ORDERED_OUT = CARRY_OUT + ", late boolean"
+_HELD = "turn long, search_query string, recommended_model string, is_refinement boolean, handles array<string>"
+_Turn = namedtuple("_Turn", [c.split()[0] for c in _HELD.split(", ")])
+
+
+def _plain(v):
+    """A value that state keeps: no pandas or numpy kinds, NaN and NA as None."""
+    if v is None or isinstance(v, str):
+        return v
+    if hasattr(v, "tolist"):
+        v = v.tolist()
+    if isinstance(v, (list, tuple)):
+        return [_plain(x) for x in v]
+    return None if pd.isna(v) else v
+
+
+def _preferred(turn, shown: list) -> list:
+    return shown if _true(turn.is_refinement) and shown else []
+
+
+class _Ordered(StatefulProcessor):
+    """Holds early turns of a conversation until the turns before them have come or are given up.
+
+    State: ``held``, the waiting turns by number; ``at``, the next turn, the carried text, what was shown last, and
+    the ranges of turns given up (flat: from, to, from, to, ...).
+    """
+
+    def __init__(self, first_turn: int):
+        self.first = first_turn
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "turn long", _HELD.partition(", ")[2] + ", event_ms long")
+        self.at = handle.getValueState("at", "next long, query string, shown array<string>, missing array<long>")
+
+    def close(self) -> None:
+        pass
+
+    def _read(self) -> tuple[int, str, list, list[int]]:
+        if not self.at.exists():
+            return self.first, "", [], []
+        n, query, shown, missing = self.at.get()
+        return int(n), query or "", list(shown or []), [int(x) for x in missing or []]
+
+    def _answer(self, conv, upto: int, late: list[_Turn], missing: list[int]) -> pd.DataFrame:
+        """Late turns, then the held turns from the next one on: without a gap, or past any gap for turns up to ``upto``."""
+        at, query, shown, _ = self._read()
+        rows = [(conv, t.turn, _next_query(query, t), _preferred(t, shown), True) for t in late]
+        for n in sorted(int(k[0]) for k in self.held.keys()):
+            if n > max(at, upto):
+                break
+            if n > at:
+                missing = [*missing, at, n]
+            t = _Turn(n, *[_plain(v) for v in self.held.getValue((n,))][:-1])
+            self.held.removeKey((n,))
+            query = _next_query(query, t)
+            rows.append((conv, n, query, _preferred(t, shown), False))
+            at, shown = n + 1, shown if t.handles is None else t.handles
+        self.at.update((at, query or None, shown or None, missing or None))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ORDERED_OUT.split(", ")])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, _, _, missing = self._read()
+        late: dict[int, _Turn] = {}
+        came = False
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                t = _Turn(*(_plain(getattr(r, c)) for c in _Turn._fields))
+                gap = next((i for i in range(0, len(missing), 2) if missing[i] <= t.turn < missing[i + 1]), None)
+                if t.turn >= at and not self.held.containsKey((t.turn,)):
+                    self.held.updateValue((t.turn,), (*t[1:], int(r.event_ms)))
+                    self.handle.registerTimer(int(r.event_ms))
+                    came = True
+                elif t.turn < at and gap is not None:
+                    # it came after all: what is still missing lies around it
+                    sides = ((missing[gap], t.turn), (t.turn + 1, missing[gap + 1]))
+                    missing[gap:gap + 2] = [x for side in sides if side[0] < side[1] for x in side]
+                    late[t.turn] = t
+        if came or late:
+            yield self._answer(key[0], at, [late[n] for n in sorted(late)], missing)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        over = [int(k[0]) for k, v in self.held.iterator() if v[-1] <= passed]
+        if over:
+            yield self._answer(key[0], max(over), [], self._read()[3])
+
+
+def use_keyed_state(spark: SparkSession) -> None:
+    """``transformWithState`` needs the state store on RocksDB; running queries keep their own."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_carry_ordered(turns: DataFrame, event_time: str, delay: str, first_turn: int = 0) -> DataFrame:
+    """T2 for turns that arrive in any order: W4 + W5 per conversation, plus ``late``.
+
+    Columns as for :func:`stream_carry_query`, and an event time.  A conversation's turns are numbered without gaps
+    from ``first_turn``; a turn is answered as soon as all turns before it were, so without losses the result equals
+    the batch result whatever the order.  Turns that are missing are given up once the watermark (``delay`` behind
+    the newest event time seen) passes the event time of a turn that waits for them.  A turn that comes after it was given
+    up is answered from what is carried by then, marked ``late``, and changes nothing; none is dropped for its age.
+    A turn that comes again is passed over, and so is a row without a conversation, turn or event time, or with a
+    turn before the first.
+    """
+    from quaymind.session import ship_package
+    ship_package(turns.sparkSession)
+    use_keyed_state(turns.sparkSession)
+    given = turns.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col(event_time).isNotNull())
+    # without the event time itself nothing is filtered as too old: the state decides
+    slim = given.withWatermark(event_time, delay).select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *_Turn._fields[1:],
+        F.unix_millis(F.col(event_time).cast("timestamp")).alias("event_ms"))
+    return slim.groupBy("conv_id").transformWithStateInPandas(
+        statefulProcessor=_Ordered(first_turn), outputStructType=ORDERED_OUT, outputMode="append", timeMode="eventTime")
+
+
 def run_available_now(df: DataFrame, sink: str, checkpoint: str) -> None:
     """Drive a streaming DataFrame over all available input into a Parquet
     sink (exactly-once via the checkpoint) and wait for it."""
