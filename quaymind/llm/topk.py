@@ -19,9 +19,10 @@ row.
 
 Defined cases: vectors that are null or hold null or non-finite components,
 and rows with a null id, take no part; shorter vectors count as padded with
-zeros; repeated rows (same id and components) count as one; a candidate with
-the query's id is the query itself; equal scores go to the smaller id; a query
-with fewer than k candidates returns all; an empty table gives no rows.
+zeros; repeated rows are rows of their own: each is a candidate, also of a query
+with the same id, and each repeat of a query is a query that gets its own k
+rows; equal scores go to the smaller id; a query with fewer than k candidates
+returns all; an empty table gives no rows.
 Components that would make a score exceed 2**53 are computed with Python
 integers, and scores are cut to the range of a long.
 """
@@ -53,12 +54,15 @@ PARTITION_ROWS = 50_000
 
 
 def quantized(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and the components floor(256 * x) of the vectors that take part."""
+    """row, vec_id and the components floor(256 * x) of the vectors that take part.
+
+    ``row`` tells repeated rows apart; it holds once the table is written.
+    """
     rows = project(df, {id_col: "bigint", vector_col: "array<double>"}).toDF("vec_id", "raw")
     finite = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     scaled = F.transform("raw", lambda x: F.floor(x * 256.0).cast("double"))
     return (rows.where(F.col("vec_id").isNotNull() & F.col("raw").isNotNull()).where(F.coalesce(finite, F.lit(False)))
-            .select("vec_id", scaled.alias("v")).dropDuplicates(["vec_id", "v"]))
+            .select(F.monotonically_increasing_id().alias("row"), "vec_id", scaled.alias("v")))
 
 
 def fit_pivots(sample: np.ndarray, pivots: int, rounds: int = 8) -> np.ndarray:
@@ -103,8 +107,8 @@ def _keyed(dim: int, radius2: float, pivots: np.ndarray):
             d = _distances(_lifted(v, radius2), pivots)
             near = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("v"), pa.array(near.astype(np.int32)),
-                 pa.array(d[np.arange(len(v)), near])], names=["vec_id", "v", "pivot", "dist"])
+                [batch.column("row"), batch.column("vec_id"), batch.column("v"), pa.array(near.astype(np.int32)),
+                 pa.array(d[np.arange(len(v)), near])], names=["row", "vec_id", "v", "pivot", "dist"])
     return run
 
 
@@ -116,16 +120,16 @@ def _scores(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) of each query of a slice, best first."""
+    """The k best (score, id) of each query of a slice, best first; ``own`` are the queries' own rows."""
 
-    def __init__(self, ids: np.ndarray, k: int, bound: np.ndarray, exact: bool):
-        self.ids, self.k, self.bound = ids, k, bound
+    def __init__(self, own: np.ndarray, k: int, bound: np.ndarray, exact: bool):
+        self.own, self.k, self.bound = own, k, bound
         kind = np.float64 if exact else object
-        self.score = np.full((len(ids), k), -np.inf, dtype=kind)
-        self.vec = np.full((len(ids), k), np.iinfo(np.int64).max, dtype=np.int64)
+        self.score = np.full((len(own), k), -np.inf, dtype=kind)
+        self.vec = np.full((len(own), k), np.iinfo(np.int64).max, dtype=np.int64)
 
-    def add(self, rows: np.ndarray, scores: np.ndarray, vec_ids: np.ndarray) -> None:
-        fits = (scores >= self.bound[rows][:, None]).astype(bool) & (self.ids[rows][:, None] != vec_ids[None, :])
+    def add(self, rows: np.ndarray, scores: np.ndarray, vec_ids: np.ndarray, at: np.ndarray) -> None:
+        fits = (scores >= self.bound[rows][:, None]).astype(bool) & (self.own[rows][:, None] != at[None, :])
         some = fits.any(axis=1)
         if not some.any():
             return
@@ -151,27 +155,28 @@ class _Best:
         if len(score) == self.k and score[-1] > self.bound[r]:
             self.bound[r] = score[-1]
 
-    def batch(self) -> pa.RecordBatch:
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
         q, at = np.nonzero((self.score > -np.inf).astype(bool))
         return pa.RecordBatch.from_arrays(
-            [pa.array(self.ids[q]), pa.array(self.vec[q, at]), pa.array([int(s) for s in self.score[q, at]], pa.int64())],
-            names=["query_id", "vec_id", "score"])
+            [pa.array(self.own[q]), pa.array(ids[q]), pa.array(self.vec[q, at]),
+             pa.array([int(s) for s in self.score[q, at]], pa.int64())], names=["query", "query_id", "vec_id", "score"])
 
 
 def _search(queries, pivots: np.ndarray, dim: int, radius2: float, k: int, exact: bool, seed_only: bool):
     """Scan one sorted index partition for all queries of a slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, bound = queries.value
+        own, ids, q, bound = queries.value
         lifted = np.hstack([q, np.zeros((len(q), 1))])
         to_pivot = _distances(lifted, pivots)
         # nothing further from the query than this can reach the bound: |q-x|^2 = |q|^2 + R^2 - 2 q.x
         q2 = (q * q).sum(axis=1)
         home = _distances(_lifted(q, radius2), pivots)
         home_pivot, home_dist = home.argmin(axis=1), home.min(axis=1)
-        best = _Best(ids, k, bound.copy(), exact)
+        best = _Best(own, k, bound.copy(), exact)
         slack = 1e-6 * (radius2 + 1.0)
         for batch in batches:
             v, vec = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
+            at = batch.column("row").to_numpy()
             pivot, dist = batch.column("pivot").to_numpy(), batch.column("dist").to_numpy()
             edges = np.flatnonzero(np.diff(pivot)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(pivot)]):
@@ -184,7 +189,7 @@ def _search(queries, pivots: np.ndarray, dim: int, radius2: float, k: int, exact
                             for s, e in blocks]
                     for s, e, rows in near:
                         if len(rows):
-                            best.add(rows, _scores(q[rows], v[s:e], exact), vec[s:e])
+                            best.add(rows, _scores(q[rows], v[s:e], exact), vec[s:e], at[s:e])
                     continue
                 # annuli from the query's own distance outwards: nearest ring first
                 inner, outer = np.array([dist[s] for s, _ in blocks]), np.array([dist[e - 1] for _, e in blocks])
@@ -195,13 +200,13 @@ def _search(queries, pivots: np.ndarray, dim: int, radius2: float, k: int, exact
                     rows = np.flatnonzero(reach + slack >= best.bound)
                     if len(rows):
                         s, e = blocks[b]
-                        best.add(rows, _scores(q[rows], v[s:e], exact), vec[s:e])
-        yield best.batch()
+                        best.add(rows, _scores(q[rows], v[s:e], exact), vec[s:e], at[s:e])
+        yield best.batch(ids)
     return run
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id"))
     return hits.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
@@ -221,15 +226,15 @@ def top_k(df: DataFrame, k: int = TOP, query_every: int = QUERY_EVERY, pivots: i
     exact = dim * largest * largest < 2.0**53
     if not np.isfinite(radius2):
         radius2 = float(np.finfo(float).max) / 4
-    share = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    share = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     picked = vectors.where(share < sample / rows).limit(sample).select("v").toArrow()
     fitted = _matrix(picked.column("v").combine_chunks(), dim) if picked.num_rows else np.zeros((1, dim))
     centres = fit_pivots(_lifted(fitted, radius2), pivots)
 
     parts = max(1, -(-rows // PARTITION_ROWS), min(spark.sparkContext.defaultParallelism, rows // BLOCK))
-    order = ["pivot", "dist", "vec_id"]
+    order = ["pivot", "dist", "vec_id", "row"]
     index = materialize(
-        vectors.mapInArrow(_keyed(dim, radius2, centres), "vec_id long, v array<double>, pivot int, dist double")
+        vectors.mapInArrow(_keyed(dim, radius2, centres), "row long, vec_id long, v array<double>, pivot int, dist double")
         .repartitionByRange(parts, *order).sortWithinPartitions(*order), "pivot-index")
 
     asked = vectors.where(F.col("vec_id") % query_every == 0)
@@ -237,18 +242,18 @@ def top_k(df: DataFrame, k: int = TOP, query_every: int = QUERY_EVERY, pivots: i
     slices = max(1, -(-wanted * dim * 8 // slice_bytes))
     out = None
     for n in range(slices):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == n).toArrow()
+        part = asked.where(F.pmod(F.xxhash64("row"), F.lit(slices)) == n).toArrow()
         if not part.num_rows:
             continue
-        ids = part.column("vec_id").to_numpy()
+        own, ids = part.column("row").to_numpy(), part.column("vec_id").to_numpy()
         q = _matrix(part.column("v").combine_chunks(), dim)
-        sc, schema = spark.sparkContext, "query_id long, vec_id long, score long"
-        first = sc.broadcast((ids, q, np.full(len(ids), -np.inf)))
+        sc, schema = spark.sparkContext, "query long, query_id long, vec_id long, score long"
+        first = sc.broadcast((own, ids, q, np.full(len(ids), -np.inf)))
         seeds = _ranked(index.mapInArrow(_search(first, centres, dim, radius2, k, exact, True), schema), k)
-        known = {r["query_id"]: r["s"] for r in seeds.where(F.col("rank") == k).select(
-            "query_id", F.col("score").alias("s")).collect()}
-        bound = np.array([known.get(int(i), -np.inf) for i in ids], dtype=float)
-        again = sc.broadcast((ids, q, bound if exact else np.full(len(ids), -np.inf)))
+        known = {r["query"]: r["s"] for r in seeds.where(F.col("rank") == k).select(
+            "query", F.col("score").alias("s")).collect()}
+        bound = np.array([known.get(int(i), -np.inf) for i in own], dtype=float)
+        again = sc.broadcast((own, ids, q, bound if exact else np.full(len(ids), -np.inf)))
         hits = _ranked(index.mapInArrow(_search(again, centres, dim, radius2, k, exact, False), schema), k)
         hits = materialize(hits.select("query_id", "rank", "vec_id", "score"), "topk")
         first.destroy()
@@ -263,14 +268,14 @@ def op10_topk(embeddings: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH e AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.own, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.own <> c.own),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -307,14 +307,12 @@ def test_prompt_is_rendered_once_and_masks_cover_replies(spark):
 
 def plain_topk(rows, k=5, every=50):
     import math
-    valid = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            valid[i] = [math.floor(256 * x) for x in v]
+    valid = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in valid:
+    for own, (q, w) in enumerate(valid):
         if q % every == 0:
-            hits = sorted((-sum(a * b for a, b in zip(valid[q], v)), i) for i, v in valid.items() if i != q)[:k]
+            hits = sorted((-sum(a * b for a, b in zip(w, v)), i) for n, (i, v) in enumerate(valid) if n != own)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(hits)]
     return sorted(out)
 
@@ -340,6 +338,17 @@ def test_topk_over_several_query_slices(spark):
     assert got == plain_topk(rows, every=20)
 
 
+def test_topk_keeps_repeated_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    # repeats of a candidate and of a query, and an id with two vectors
+    rows += [rows[7]] * 6 + [rows[50]] * 2 + [(100, [9.0, -9.0, 9.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, pivots=3).collect())
+    assert got == plain_topk(rows)
+    assert any(q == v for q, _, v, _ in got)
+
+
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect()] == [(0, 1, 1, 256 * 512)]
