@@ -4,13 +4,16 @@ Spark finds the base spans and the candidate strings (long runs of token
 characters) with built-in functions.  Each candidate then goes through a
 window per character class whose Shannon entropy follows from incremental
 counts: one character enters, one leaves, and only their two terms change.
-Windows above the class's threshold are merged into spans.  What the allow-list
+Windows above the class's threshold are merged into spans; in the class of mixed
+cases those that read as paths, identifiers or file names are left out (a key
+beside such a name is found, with less than a window of it).  What the allow-list
 matches, with the rest of the word it stands in, takes no part in a window; the
 text beside it does.  The allow-list never touches base spans.
 
 Defined cases: a null text counts as empty; an empty table gives no rows;
 repeated rows are separate documents; equal spans of two kinds are both
-reported; a null id is kept; extra columns are ignored.
+reported; a very long text is searched whole (a candidate's windows take linear
+time, the places and the redaction of thousands of matches in one text do not); a null id is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -47,12 +51,14 @@ class CharacterClass:
     window: int
     bits: float
     needs: tuple[str, ...]
+    #: Whether windows that read as names are left out: in strings of one case random letters look too much like words.
+    names_out: bool = False
 
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
     CharacterClass("entropy_hex", _DIGITS + "abcdefABCDEF", 20, 2.9, (_DIGITS, "abcdefABCDEF")),
-    CharacterClass("entropy_base64", _DIGITS + _UPPER + _LOWER + "+/_-=", 20, 3.6, (_DIGITS, _UPPER, _LOWER)),
+    CharacterClass("entropy_base64", _DIGITS + _UPPER + _LOWER + "+/_-=", 20, 3.6, (_DIGITS, _UPPER, _LOWER), True),
     # one case and digits: with a letter that is no hex digit, else it is the first class
     CharacterClass("entropy_base36", _DIGITS + _LOWER, 20, 3.5, (_DIGITS, _LOWER[6:])),
     CharacterClass("entropy_base32", _DIGITS + _UPPER, 20, 3.4, (_DIGITS, _UPPER[6:])),
@@ -64,15 +70,44 @@ _UUID = re.compile(ALLOW[0])
 _RUN = re.compile(r"[A-Za-z0-9]+")
 
 
+#: What names are made of: words in one case or capitalised, and short numbers.
+_PIECE = re.compile(r"(?P<word>[A-Z]?[a-z]+|[A-Z]+(?![a-z]))|(?P<number>[0-9]+)|(?P<join>[/_+=-])")
+_JOINTS = "/_+=-"
+_VOWEL, _CLUSTER = re.compile(r"[AEIOUYaeiouy]"), re.compile(r"[^AEIOUYaeiouy]{5}")
+#: A window is a name, not a key, when at least this share of its characters stands in words and what joins them.
+NAME_SHARE = 0.7
+
+
+def name_parts(text: str) -> bytearray:
+    """1 for every character that reads as part of a name: words of 3 letters or more with a vowel and without long
+    consonant clusters; abbreviations and numbers that joints set apart; and what is short between or beside those."""
+    out = bytearray(len(text))
+    pieces = [(m.start(), m.end(), m.lastgroup) for m in _PIECE.finditer(text)]
+    for s, e, kind in pieces:
+        apart = (s == 0 or text[s - 1] in _JOINTS) and (e == len(text) or text[e] in _JOINTS)
+        if kind == "word" and ((e - s >= 3 and _VOWEL.search(text, s, e) and not _CLUSTER.search(text, s, e))
+                               or (apart and e - s <= 4)) or (kind == "number" and apart and e - s <= 8):
+            out[s:e] = b"\1" * (e - s)
+    for s, e, kind in pieces:
+        before, behind = s > 0 and out[s - 1], e < len(text) and out[e]
+        if kind == "join":
+            out[s] = bool(before or behind)
+        elif e - s <= (4 if kind == "number" else 2) and before and (behind or e == len(text) or text[e] in _JOINTS):
+            out[s:e] = b"\1" * (e - s)
+    return out
+
+
 def entropy_runs(text: str, rule: CharacterClass) -> list[tuple[int, int]]:
-    """Merged [start, end) of the windows of ``rule`` with enough entropy."""
+    """Merged [start, end) of the windows of ``rule`` with enough entropy (``names_out``: and that don't read as names)."""
     n, w = len(text), rule.window
     if n < w:
         return []
+    named = list(accumulate(name_parts(text), initial=0)) if rule.names_out else [0] * (n + 1)
+    most = NAME_SHARE * w
     member, term = set(rule.characters), [0.0] + [c * log2(c) for c in range(1, w + 1)]
     groups = [frozenset(g) for g in rule.needs]
     counts: dict[str, int] = {}
-    held, inside, total, out = [0] * len(groups), 0, 0.0, []
+    held, inside, total, out, wide = [0] * len(groups), 0, 0.0, [], []
     limit = w * (log2(w) - rule.bits)      # H >= bits  <=>  sum c*log2(c) <= w*(log2(w) - bits)
     for i, new in enumerate(text):
         if new not in member:              # a foreign character ends the run
@@ -91,10 +126,33 @@ def entropy_runs(text: str, rule: CharacterClass) -> list[tuple[int, int]]:
             for k, g in enumerate(groups):
                 held[k] -= old in g
         if inside == w and total <= limit + 1e-9 and all(held):
-            if out and i - w + 1 <= out[-1][1]:
-                out[-1] = (out[-1][0], i + 1)
-            else:
-                out.append((i - w + 1, i + 1))
+            _merge(wide, i - w + 1, i + 1)
+            if named[i + 1] - named[i + 1 - w] < most:
+                _merge(out, i - w + 1, i + 1)
+    return _to_word_ends(text, out, wide) if rule.names_out else out
+
+
+def _merge(runs: list[tuple[int, int]], s: int, e: int) -> None:
+    if runs and s <= runs[-1][1]:
+        runs[-1] = (runs[-1][0], e)
+    else:
+        runs.append((s, e))
+
+
+def _to_word_ends(text: str, runs: list[tuple[int, int]], wide: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs as far as the letters and digits go on, inside the run of windows that had the entropy: a key's end
+    that happens to read as a name belongs to the key."""
+    out: list[tuple[int, int]] = []
+    at = 0
+    for s, e in runs:
+        while wide[at][1] < e:
+            at += 1
+        low, high = wide[at]
+        while s > low and text[s - 1].isalnum() and text[s].isalnum():
+            s -= 1
+        while e < high and text[e - 1].isalnum() and text[e].isalnum():
+            e += 1
+        _merge(out, s, e)
     return out
 
 

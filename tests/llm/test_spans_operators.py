@@ -159,3 +159,50 @@ def test_redaction_replaces_merged_spans(spark):
     got = {r.doc_id: r for r in secrets.redact_documents(documents(spark, texts)).collect()}
     assert got[0].text == "a [SECRET] b [SECRET]" and got[0].n_chars == len(got[0].text)
     assert got[1].text == texts[1] and got[2].text is None and got[3].text == "[SECRET]\""
+
+
+NAMES = """Articles/2023/05/Some-Title-Words
+getUserById2FromDatabaseConnection
+Boeing-737-MAX-8-Grounding-Timeline
+DSC_0042_Sunset-Over-Lake_2019
+src/main/java/com/acme/Billing2Service/InvoiceFactory
+Quarterly_Report_2021-Q3_Final-Version2
+IMG_20230514_Holiday-In-Spain_0012
+convertUtf8ToLatin1WithFallback2Encoding
+docs/API/v2/Reference-Guide/Getting-Started
+Chapter-12_The-Long-Road-To-Freedom_1994
+ISO-8859-1_To_UTF-8_Conversion-Table
+Model-S-Plaid-2022_Owners-Manual_Rev3""".splitlines()
+
+
+def test_paths_and_identifiers_are_no_secrets():
+    assert [n for n in NAMES if secrets.scan_candidate(n)] == []
+
+
+@pytest.mark.parametrize("length, least", [(24, 0.95), (32, 0.98), (40, 0.99), (64, 1.0)])
+def test_random_keys_are_found_though_names_are_not(length, least):
+    import random
+    import string
+    rnd = random.Random(length)
+    keys = ["".join(rnd.choices(string.ascii_letters + string.digits, k=length)) for _ in range(1000)]
+    assert sum(bool(secrets.scan_candidate(k)) for k in keys) >= least * len(keys)
+
+
+def test_a_key_behind_a_path_is_found_with_less_than_a_window_of_the_path():
+    key = "q7Zk2PxV9bT4mWc8RjN3sLd6HyFg5QaE"
+    text = "src/main/resources/settings/" + key
+    spans = [(s, e) for s, e, k in secrets.scan_candidate(text) if secrets.CLASSES[k].kind == "entropy_base64"]
+    assert len(spans) == 1 and spans[0][1] == len(text)
+    assert 0 <= text.index(key) - spans[0][0] < secrets.CLASSES[1].window
+
+
+def test_a_name_of_any_length_takes_linear_time():
+    import time
+
+    def seconds(n):
+        text = "/".join(NAMES[0:1] * n)
+        at = time.process_time()
+        assert secrets.scan_candidate(text) == []
+        return time.process_time() - at
+    seconds(500)
+    assert seconds(16_000) < 4 * seconds(8_000)
