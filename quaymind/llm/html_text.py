@@ -155,6 +155,7 @@ class Page:
     def _read_all(self, source: str, spared: frozenset[int]) -> None:
         self.blocks: list[tuple[str, Node]] = []
         self.link_chars: dict[int, int] = {}
+        self._sums: tuple[list[int], list[int]] | None = None
         root = Node("html", "", False, None, 0)
         self.nodes = [root]
         # open elements: tag, container, hidden, in a link, in an article, in a header, hidden by more than the header,
@@ -322,12 +323,18 @@ class Page:
         return "\n".join(text for text, node in self.blocks if inside[node.order])
 
     def link_share(self, chosen: Node) -> float:
-        chars = links = 0
-        for i, (text, node) in enumerate(self.blocks):
-            while node is not None and node is not chosen:
-                node = node.parent
-            if node is chosen:
-                chars, links = chars + len(text), links + self.link_chars[i]
+        """The share of a container's text that stands in links; all sums are made once, from the leaves up."""
+        if self._sums is None:
+            chars, links = [0] * len(self.nodes), [0] * len(self.nodes)
+            for i, (text, node) in enumerate(self.blocks):
+                chars[node.order] += len(text)
+                links[node.order] += self.link_chars[i]
+            for node in reversed(self.nodes):      # parents come first
+                if node.parent is not None:
+                    chars[node.parent.order] += chars[node.order]
+                    links[node.parent.order] += links[node.order]
+            self._sums = chars, links
+        chars, links = (x[chosen.order] for x in self._sums)
         return links / chars if chars else 1.0
 
     def best(self) -> Node | None:

@@ -15,8 +15,10 @@ in the shared folder; the rounds run on distinct (pattern, instance) hashes
 with partial aggregates, so a frequent word is only a frequent key of an
 equi-join that Spark can split.
 
-Regular expressions are anchored at the start of a run and possessive, so they
-stay linear on very long texts.
+Regular expressions are anchored at the start of a run and possessive, and
+mentions meet by sorted merges, so a very long text with many of them takes
+time in proportion to its length.  48 code points of context are kept on either
+side of a mention; a word that they cut makes no pattern.
 
 Defined cases: a null text counts as empty; an empty table gives no rows;
 repeated rows are separate documents (their mentions are one instance);
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymind.llm.common import materialize, project
-from quaymind.llm.spans import find_all, joined, sha256, when_contains
+from quaymind.llm.spans import find_all, joined, sha256, when_contains, without_overlaps, without_starts
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns.  A run of the leading class is tried from its start only (or from where the last
@@ -80,23 +82,35 @@ def _count(digits: Column, low: int, high: int) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """The base spans of every kind, as arrays of (s, e, m, left, right)."""
-    email = when_contains(text, "@", find_all(text, EMAIL, context=True))
+    email = when_contains(text, "@", EMAIL)
     ip = F.filter(find_all(text, IP, context=True), lambda x: F.forall(F.split(x["m"], r"\."), _small))
     card = F.filter(find_all(text, CARD, context=True), lambda x: F.when(
         _count(_digits(x["m"]), 14, 19), luhn(_digits(x["m"]))).otherwise(False))
-    phone = F.filter(when_contains(text, "+", find_all(text, PHONE, context=True)),
+    phone = F.filter(when_contains(text, "+", PHONE),
                      lambda x: _count(_digits(x["m"]), 10, 15))
     return dict(zip(KINDS, (email, ip, card, phone)))
 
 
-def _patterns(x: Column) -> Column:
-    """Hashes of the lexical patterns around a mention; none where a word is missing."""
-    left = F.lower(x["left"])
-    two = F.regexp_extract(left, r"(?:^|\s)(\S+\s+\S+)\s+$", 1)
-    one = F.regexp_extract(left, r"(\S+)\s+$", 1)
-    right = F.regexp_extract(F.lower(x["right"]), r"^\s+(\S+)(?:\s|$)", 1)
+#: What may stand between a mention and the words around it.
+OPENING, CLOSING = r"[\s\"'(\[{<:=]+$", r"^[\s\"')\]}>.,;:!?]+"
+
+
+def _patterns(x: Column, chars: Column) -> Column:
+    """Hashes of the lexical patterns around a mention in a text of so many code points.
+
+    None where a word is missing, or where the kept context cuts it.
+    """
+    left, right = F.lower(x["left"]), F.lower(x["right"])
+    # a word at the text's end is whole; one at the context's end may go on
+    left = F.concat(F.when(F.length(x["left"]) == x["s"], F.lit(" ")).otherwise(""), left)
+    right = F.concat(right, F.when(x["e"] + F.length(x["right"]) == chars, F.lit(" ")).otherwise(""))
+    ahead = F.when(left.rlike(OPENING), F.regexp_replace(left, OPENING, "")).otherwise("")
+    behind = F.when(right.rlike(CLOSING), F.regexp_replace(right, CLOSING, "")).otherwise("")
+    two = F.regexp_extract(ahead, r"\s(\S+\s+\S+)$", 1)
+    one = F.regexp_extract(ahead, r"\s(\S+)$", 1)
+    after = F.regexp_extract(behind, r"^(\S+)\s", 1)
     return F.filter(F.array(F.when(two != "", F.xxhash64(F.lit("2"), F.regexp_replace(two, r"\s+", " "))),
-                            F.when((one != "") & (right != ""), F.xxhash64(F.lit("lr"), one, right))),
+                            F.when((one != "") & (after != ""), F.xxhash64(F.lit("lr"), one, after))),
                     lambda h: h.isNotNull())
 
 
@@ -104,10 +118,9 @@ def mentions(docs: DataFrame) -> DataFrame:
     """One row per document: the base spans and the candidates, with their pattern hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = base_spans(F.col("t"))
-    df = docs.select("doc_id", text.alias("t"))
+    df = docs.select("doc_id", text.alias("t")).withColumn("chars", F.length("t"))
     for k in KINDS:
         df = df.withColumn(k, found[k])
-    starts = lambda c: F.transform(c, lambda x: x["s"])
     df = (df.withColumn("token", F.filter(find_all(F.col("t"), TOKEN, context=True), lambda x: F.length(x["m"]) >= MIN_TOKEN))
           .withColumn("number", F.filter(find_all(F.col("t"), NUMBER, context=True), lambda x: _count(
               _digits(x["m"]), MIN_DIGITS, MAX_DIGITS) & x["m"].rlike(r"[\x20().-]")))
@@ -115,17 +128,16 @@ def mentions(docs: DataFrame) -> DataFrame:
                                         find_all(F.col("t"), ADDRESS, context=True)).otherwise(F.filter("token", lambda x: F.lit(False))))
           .drop("t"))
     # one candidate from one place: the number that a token begins, the token that an address begins with
-    df = (df.withColumn("address", F.filter("address", lambda x: ~F.array_contains(starts("token"), x["s"])))
-          .withColumn("token", F.filter("token", lambda x: ~F.array_contains(starts("number"), x["s"]))))
+    df = (df.withColumn("address", without_starts(F.col("address"), F.col("token")))
+          .withColumn("token", without_starts(F.col("token"), F.col("number"))))
     slim = lambda spans, kind: F.transform(spans, lambda x: F.struct(
         x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"),
-        F.xxhash64(F.lower(x["m"])).alias("instance"), _patterns(x).alias("patterns")))
-    seeds = F.concat(*[slim(F.col(k), k) for k in KINDS])
-    out = (df.withColumn("seeds", seeds)
-           .withColumn("candidates", F.filter(F.concat(*[slim(F.col(c), "") for c in ("token", "number", "address")]), lambda c: ~F.exists(
-               F.col("seeds"), lambda x: (x["s"] < c["e"]) & (c["s"] < x["e"])))))
-    return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "seeds", "candidates",
-                      *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])
+        F.xxhash64(F.lower(x["m"])).alias("instance"), _patterns(x, F.col("chars")).alias("patterns")))
+    df = df.withColumn("seeds", F.concat(*[slim(F.col(k), k) for k in KINDS]))
+    loose = without_overlaps(F.concat("token", "number", "address"), F.col("seeds"))
+    return (df.withColumn("candidates", slim(loose, ""))
+            .select(F.monotonically_increasing_id().alias("row"), "doc_id", "seeds", "candidates",
+                    *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]))
 
 
 def confident_patterns(rows: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,

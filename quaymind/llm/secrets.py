@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaymind.llm.common import DOC_COLUMNS, bound_arrow_batches, project
-from quaymind.llm.spans import find_all, joined, let, ranked, sha256
+from quaymind.llm.spans import find_all, joined, merged, pieces_between, ranked, sha256
 from quaymind.session import ship_package
 
 # The contract's patterns, possessive where nothing can be given back.
@@ -241,22 +241,7 @@ PLACEHOLDER = "[SECRET]"
 
 def redacted(text: Column, spans: Column, placeholder: str = PLACEHOLDER) -> Column:
     """The text with every maximal stretch of (overlapping or touching) spans replaced once."""
-    start = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-
-    def join(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        span = F.struct(x["s"].alias("s"), x["e"].alias("e"))
-        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-        return (F.when(F.size(a) == 0, F.array(span)).when(last["e"] < x["s"], F.concat(a, F.array(span)))
-                .otherwise(F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer))))
-
-    def cut(merged: Column) -> Column:
-        before = F.transform(merged, lambda x, i: F.substring(
-            text, F.coalesce(F.get(merged, i - 1)["e"], F.lit(0)) + 1, x["s"] - F.coalesce(F.get(merged, i - 1)["e"], F.lit(0))))
-        tail = F.substring(text, F.element_at(merged, -1)["e"] + 1, F.length(text))
-        return F.array_join(F.concat(before, F.array(tail)), placeholder)
-
-    return F.when(F.size(spans) == 0, text).otherwise(let(F.aggregate(F.sort_array(spans), start, join), cut))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(pieces_between(text, merged(spans)), placeholder))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
