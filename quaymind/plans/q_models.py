@@ -279,6 +279,26 @@ def r_rewrite(spark, sf):
     return RC.rewrite_search_queries(um, _provider, model="primary", allowed=allowed)
 
 
+# what the stand-in model makes of a message: a plain search, a model with prices, a price as text, no JSON
+PLAN_SCRIPT = ['{"search_query": "almond blue", "recommended_model": "", "price_min": null, "price_max": null}',
+               '{"search_query": "large", "recommended_model": "unknown-9", "price_min": 3000, "price_max": 4000}',
+               '{"search_query": "small steel", "recommended_model": null, "price_max": "3,500"}', "no plan"]
+
+
+@query("v4_recommend_messages")
+def v4_messages(spark, sf):
+    """V4 from the text of every user message: rewrite -> encode -> search the catalog's sentences -> cards."""
+    from quaymind.operators import recommend as R
+    register(spark, sf)
+    um = spark.table("messages").filter(F.col("role") == "user").select(
+        (F.shiftleft(F.col("conv_id"), 16) + F.col("turn")).alias("message_id"), "text")
+    catalog = spark.table("catalog")
+    corpus = encode_texts(P.describe_rows(catalog), "sentence").select("product_id", "variant_id", "embedding")
+    return RC.recommend_messages(um, corpus, catalog, lambda: ScriptedProvider(PLAN_SCRIPT), model="primary",
+                                 fallback_model="secondary", stopwords=V["stopwords"],
+                                 allowed=R.available_models(catalog, "", None))
+
+
 @query("u1_recipe_sales_redirect")
 def r_sales(spark, sf):
     """Recipe: sales-redirect replies for messages routed nowhere else (B6 -> U1)."""

@@ -7,6 +7,7 @@ provider is any factory accepted by :func:`generate_replies`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,10 @@ from quaymind.operators import documents as D
 from quaymind.operators import match as M
 from quaymind.operators import project as P
 from quaymind.operators import recommend as R
+from quaymind.operators.flow import recommend
 from quaymind.operators.infer import generate_replies
+from quaymind.operators.vectors import encode_texts
+from quaymind.session import checkpoint_dir
 
 Provider = Callable[[], object]
 
@@ -43,6 +47,47 @@ def rewrite_search_queries(queries: DataFrame, provider: Provider, *, model: str
     return R.constrain_model(out, "recommended_model", allowed)
 
 
+def effective_query(search_query, recommended_model):
+    """What is searched for: the recommended model, if any, in front of the rewritten query."""
+    m, q = F.coalesce(recommended_model, F.lit("")), F.coalesce(search_query, F.lit(""))
+    return F.when(m != "", T.py_strip(F.concat(m, F.lit(" "), q))).otherwise(q)
+
+
+def recommend_messages(messages: DataFrame, corpus: DataFrame, catalog: DataFrame, provider: Provider, *, model: str,
+                       stopwords: list[str], allowed: DataFrame | None = None, encoder_factory=None,
+                       message_id: str = "message_id", text: str = "text", summary: str | None = None,
+                       fallback_model: str | None = None, **options) -> DataFrame:
+    """V4 from text: query rewrite (B6 -> U1 -> C12 -> S4) -> V1 -> V4, one answer per message.
+
+    ``message_id`` is a unique long.  A ``summary`` column is put behind the
+    text as context.  A message whose rewrite fails is searched by its own
+    text without price bounds and keeps the ``error``; a blank effective
+    query has a null vector and gets the no-match message.  ``options`` go to
+    :func:`recommend`.
+
+    Plans and vectors are written to the shared folder before the search: the
+    flow reads its queries several times, and the model is asked only once.
+    """
+    asked = F.coalesce(F.col(text), F.lit(""))
+    if summary:
+        context = F.coalesce(F.col(summary), F.lit(""))
+        asked = F.when(context != "", F.concat(asked, F.lit("\n\nContext: "), context)).otherwise(asked)
+    plans = rewrite_search_queries(messages.select(F.col(message_id).cast("long").alias("query_id"), asked.alias("asked")),
+                                   provider, model=model, allowed=allowed, text="asked", fallback_model=fallback_model)
+    failed = F.col("error").isNotNull()
+    plans = plans.select(
+        "query_id", "error", F.when(failed, F.col("asked")).otherwise(
+            effective_query(F.col("search_query"), F.col("recommended_model"))).alias("effective_query"),
+        *[F.when(~failed, F.col(c)).alias(n) for c, n in
+          (("recommended_model", "model"), ("price_min", "price_min"), ("price_max", "price_max"))])
+    path = f"{checkpoint_dir(messages.sparkSession)}/quaymind/message-plans-{uuid.uuid4().hex}"
+    encode_texts(plans, "effective_query", encoder_factory=encoder_factory) \
+        .withColumn("embedding", F.when(T.py_strip("effective_query") != "", F.col("embedding"))).write.parquet(path)
+    queries = messages.sparkSession.read.parquet(path)
+    answers = recommend(queries, corpus, catalog, stopwords=stopwords, **options)
+    return queries.select("query_id", "effective_query", "error").join(answers, "query_id").withColumnRenamed("query_id", message_id)
+
+
 def label_messages(messages: DataFrame, kb: DataFrame, provider: Provider, *, model: str,
                    text: str = "text", summary: str | None = None, fallback_model: str | None = None) -> DataFrame:
     """Knowledge-base labelling: B6 (options = all trimmed keywords, a

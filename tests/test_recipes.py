@@ -1,5 +1,14 @@
 """Recipes: compositions over U1 with a scripted provider."""
 
+import json
+import os
+import uuid
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from quaymind.operators import recommend as R
+from quaymind.operators.vectors import encode_texts, hash_encoder
 from quaymind.plans import recipes as RC
 
 
@@ -29,3 +38,43 @@ def test_summaries_keep_previous_without_turns(spark):
     prev = spark.createDataFrame([(1, "old"), (2, "  kept  ")], "conv_id bigint, previous_summary string")
     got = {r["conv_id"]: r["summary"] for r in RC.summarise_conversations(turns, prev, Echo, model="m").collect()}
     assert got == {1: "summary:bye", 2: "kept"}
+
+
+def test_messages_are_planned_once_encoded_and_answered(spark, tmp_path):
+    calls = str(tmp_path)
+    plans = {"cheap nova": {"search_query": "nova phone", "recommended_model": "nova-1", "price_max": 200},
+             "any orb": {"search_query": "orb phone", "recommended_model": "not-sold"},
+             "dear": {"search_query": "orb", "price_min": 5000}, "blank": {"search_query": "", "recommended_model": ""}}
+
+    class Planner:
+        def generate(self, prompt, model):
+            open(os.path.join(calls, uuid.uuid4().hex), "w").close()
+            said = prompt.split("Query: ")[1]
+            return next((json.dumps(v) for k, v in plans.items() if said.startswith(k)), "no plan")
+
+    names = ["nova-1", "orb-2"]
+    catalog = spark.createDataFrame([(i, 10 * i, names[i], str(100 + 800 * i)) for i in range(2)],
+                                    "product_id bigint, variant_id bigint, handle string, price string")
+    catalog = catalog.select("*", *[F.lit(None).cast("string").alias(c) for c in
+                                    ("spec", "condition", "color", "vendor", "product_type", "tenure")])
+    corpus = encode_texts(catalog.select("product_id", "variant_id", F.concat(F.replace("handle", F.lit("-"), F.lit(" ")),
+                                                                              F.lit(" phone")).alias("s")), "s").drop("s")
+    texts = ["cheap nova", "any orb", "dear", "blank", "orb 2 phone", None]
+    msgs = spark.createDataFrame([(i, t, "seen before" if i == 1 else None) for i, t in enumerate(texts)],
+                                 "message_id bigint, text string, summary string")
+    out = RC.recommend_messages(msgs, corpus, catalog, Planner, model="m", stopwords=["the"], summary="summary",
+                                allowed=R.available_models(catalog, "", None), models=1)
+    got = {r["message_id"]: r for r in out.collect()}
+    assert len(os.listdir(calls)) == len(texts) and sorted(got) == list(range(len(texts)))
+    want = ["nova-1 nova phone", "orb phone", "orb", "blank", "orb 2 phone", ""]     # C12: a blank search is the text itself
+    assert [got[i]["effective_query"] for i in range(6)] == want
+    assert [got[i]["error"] is None for i in range(6)] == [True, True, True, True, False, False]
+    assert [got[i]["found"] for i in range(6)] == [True, True, False, True, True, False]
+    assert "5000.0" in got[2]["answer"]
+    # the best product by plain inner products, within the price bound
+    enc = hash_encoder(64)
+    products = enc(pd.Series(["nova 1 phone", "orb 2 phone"]))
+    for i, title in ((0, "Nova 1"), (1, "Orb 2"), (4, "Orb 2")):
+        scores = [float(enc(pd.Series([want[i]]))[0] @ p) for p in products]
+        assert scores.index(max(scores)) == ("Nova 1", "Orb 2").index(title)
+        assert title in got[i]["answer"]
