@@ -78,3 +78,38 @@ def test_messages_are_planned_once_encoded_and_answered(spark, tmp_path):
         scores = [float(enc(pd.Series([want[i]]))[0] @ p) for p in products]
         assert scores.index(max(scores)) == ("Nova 1", "Orb 2").index(title)
         assert title in got[i]["answer"]
+
+
+def test_encoded_sentences_match_a_plain_encoder(spark, sf):
+    """V1 over the whole catalog: every vector against counts of hashed words and word pairs."""
+    import math
+    import re
+
+    import xxhash
+
+    from quaymind.operators import project as P
+    from quaymind.sources.fixtures import register
+    register(spark, sf)
+    rows = encode_texts(P.describe_rows(spark.table("catalog")), "sentence", batch_size=7).select("sentence", "embedding").collect()
+    assert len(rows) == spark.table("catalog").count()
+    for r in rows:
+        words = re.findall("[a-z0-9]+", (r["sentence"] or "").lower())
+        want = [0.0] * 64
+        for term in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            h = xxhash.xxh64(term.encode()).intdigest()
+            want[h % 64] += 1 if h >> 32 & 1 else -1
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert max(abs(a - b / norm) for a, b in zip(r["embedding"], want)) < 1e-6
+
+
+def test_stock_prompt_takes_the_first_schema_given(spark):
+    msgs = spark.createDataFrame([(1, "how many blue phones?"), (2, None)], "id bigint, text string")
+
+    def prompts(*args, **more):
+        return {r["id"]: r["prompt"] for r in RC.stock_query_prompt(msgs, *args, **more).collect()}
+
+    profile = prompts('{"columns": []}', given="given", default_ddl="ddl")
+    assert '{"columns": []}' in profile[1] and profile[1].endswith("Request: how many blue phones?")
+    assert "given" not in profile[1] and profile[2].rstrip().endswith("Request:")
+    assert "Table:\ngiven" in prompts(None, given="given", default_ddl="ddl")[1]
+    assert "Table:\nddl" in prompts("", default_ddl="ddl")[1]
