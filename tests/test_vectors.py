@@ -84,3 +84,45 @@ def test_candidates_do_not_grow_with_partitions(spark):
     assert emitted[200][0] == 5 * k * 200                                  # without bounds: k a query and task
     assert max(emitted[4][1], emitted[200][1]) <= 5 * k * VX.BOUND_STEP * 2
     assert emitted[200][1] < emitted[200][0] / 5
+
+
+@pytest.mark.parametrize("bbytes", [1 << 20, 0])  # queries broadcast, queries in blocks
+@pytest.mark.parametrize("scale", [1.0, 1e19])    # scored in float32 first, in float64 only
+def test_near_ties_copies_and_repeated_queries(spark, bbytes, scale):
+    """Scores that float32 cannot tell apart, more copies of a vector than k, and a query id that comes twice."""
+    rng = np.random.default_rng(23)
+    base = rng.normal(size=8).astype(np.float32)
+    c = [(i, 1, (base * np.float32(1 + 1e-6 * (i % 7))).astype(np.float32)) for i in range(300)]
+    c += [(1000 + i, 2, np.full(8, scale * (i % 5), np.float32)) for i in range(50)]
+    q = [(1, base), (2, rng.normal(size=8).astype(np.float32)), (3, -base)]
+    qdf, cdf = frames(spark, q, c)
+    got = sorted(tuple(r) for r in vector_topk(qdf.unionByName(qdf.where("query_id = 2")), cdf, 20, broadcast_bytes=bbytes).collect())
+    exp = brute(q, c, 20)
+    twice = sorted(x for r in exp if r[0] == 2 for x in (r, r))[:20]
+    want = [r[2:4] for r in exp if r[0] == 1] + [r[2:4] for r in twice] + [r[2:4] for r in exp if r[0] == 3]
+    assert [g[2:4] for g in got] == want
+    assert [g[1] for g in got] == [*range(1, 21)] * 3
+
+
+@pytest.mark.parametrize("bbytes", [1 << 20, 0])
+def test_non_finite_vectors_take_no_place(spark, bbytes):
+    c = [(1, 1, [float("inf"), 1.0]), (2, 1, [float("nan"), 1.0]), (3, 1, [0.5, 0.5]), (4, 1, [0.1, 0.1])]
+    qdf, cdf = frames(spark, [(1, [1.0, 1.0]), (2, [float("nan"), 1.0])], c)
+    got = [tuple(r)[:3] for r in vector_topk(qdf, cdf.coalesce(1), 1, broadcast_bytes=bbytes).collect()]
+    assert got == [(1, 1, 3)]
+
+
+def test_many_queries_leave_no_candidates_and_do_not_pass_the_driver(spark, monkeypatch):
+    """Every task of the block path ranks whole answers: nothing is ranked, broadcast or collected behind it."""
+    import quaymind.operators.vectors as VX
+    monkeypatch.setattr(VX, "MIN_BLOCK_QUERIES", 10)
+    rng = np.random.default_rng(29)
+    c = [(i, 1, rng.normal(size=8).astype(np.float32)) for i in range(500)]
+    q = [(j, rng.normal(size=8).astype(np.float32)) for j in range(80)]
+    qdf, cdf = frames(spark, q, c)
+    found = vector_topk(qdf, cdf.repartition(40), 7, broadcast_bytes=1000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    head = plan[:plan.index("MapInArrow")]
+    assert "Window" not in head and "Broadcast" not in plan and plan.count("MapInArrow") == 1
+    got = sorted(tuple(r) for r in found.collect())
+    assert [g[:4] for g in got] == [e[:4] for e in brute(q, c, 7)]
