@@ -25,6 +25,7 @@ from quaymind.operators.substring import substring_pairs
 PRODUCT_LABEL = X.PRODUCT_LABEL
 BROADCAST_BYTES = 64 << 20  # of a dimension table shipped to every task
 OUTRIGHT_PAIRS = 2_000_000  # needles x stores that are compared outright
+TERM_CUTS = 8  # parts of a term's messages, and of its stores
 
 
 def _c(c) -> Column:
@@ -91,12 +92,23 @@ def match_stores(messages: DataFrame, dictionary: DataFrame, stores: DataFrame,
     """Stores for each message's detected term (one row per message and
     store, with the P10 ``closed`` flag).  The message side meets the
     precomputed term->store table on an equi-join.  ``known_terms=True``
-    (terms detected by P3) skips the unknown-term pass over the messages."""
+    (terms detected by P3) skips the unknown-term pass over the messages.
+
+    Few terms may have most of the messages and of the stores, so a term's
+    pairs are dealt over ``TERM_CUTS`` x ``TERM_CUTS`` cells of a message part
+    and a store part each."""
     with_term = messages.filter(F.col(term).isNotNull())
     ts = term_stores(None if known_terms else with_term.select(F.col(term).alias("term")), dictionary, stores)
     ts = ts.select(F.col("term").alias(term), *[F.col(c).alias(f"store_{c}") if c != "id" else F.col("id").alias("store_id")
                                                 for c in stores.columns])
-    out = with_term.join(ts, term, "inner")
+    tasks = 4 * messages.sparkSession.sparkContext.defaultParallelism
+    own = [c for c, t in messages.dtypes if "map<" not in t and "variant" not in t]
+    part = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(TERM_CUTS)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(TERM_CUTS - 1))
+    left = with_term.withColumn("_mine", part(*own)).withColumn("_theirs", F.explode(every))
+    right = ts.withColumn("_theirs", part("store_id")).withColumn("_mine", F.explode(every))
+    cell = [term, "_mine", "_theirs"]
+    out = left.repartition(tasks, *cell).join(right.repartition(tasks, *cell), cell, "inner").drop("_mine", "_theirs")
     return out.withColumn("closed", C.is_closed("store_name"))
 
 

@@ -91,3 +91,17 @@ def test_statements_that_are_no_queries_are_refused(spark, tmp_path, statement):
 def test_queries_run(spark):
     assert A.run_sql(spark, "VALUES (1), (2)").count() == 2
     assert A.run_sql(spark, "WITH a AS (SELECT 1 AS x) SELECT x FROM a UNION ALL SELECT :n", {"n": 5}).count() == 2
+
+
+def test_a_hot_term_is_dealt_over_tasks(spark):
+    """All messages name one place that every store has: its pairs come from many tasks."""
+    from pyspark.sql import functions as F
+    from quaymind.operators import match as M
+    messages = spark.createDataFrame([(i, "asia") for i in range(200)], "conv_id bigint, location_term string")
+    dictionary = spark.createDataFrame([("asia", "Asia")], "term string, needle string")
+    stores = spark.createDataFrame([(i, f"Kiosk {i}", "Unit 1, Asia") for i in range(50)], "id bigint, name string, location string")
+    out = M.match_stores(messages, dictionary, stores, known_terms=True)
+    made = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 200 * 50 and max(made) < 200 * 50 / 4
+    assert out.select("conv_id", "store_id").distinct().count() == 200 * 50
+    assert out.columns[:2] == ["location_term", "conv_id"]
