@@ -184,11 +184,12 @@ def combined(sums: list[list[int]]) -> tuple[int, str]:
 def changed_rows(old: DataFrame, new: DataFrame, keys: list[str] | None = None,
                  cols: list[str] | None = None) -> DataFrame:
     """Rows of ``new`` whose (key, row hash) is not in ``old`` -- new or
-    changed rows, the ones to re-embed.  Left-anti join on key + hash."""
+    changed rows, the ones to re-embed.  Left-anti join on key + hash; both
+    sides are as large as the catalog, so neither is broadcast."""
     keys = keys or ["product_id", "variant_id"]
     o = old.select(*keys, row_hash(cols).alias("row_hash"))
     n = new.withColumn("row_hash", row_hash(cols))
-    return n.join(o, keys + ["row_hash"], "left_anti")
+    return n.join(o.hint("merge"), keys + ["row_hash"], "left_anti")
 
 
 def profile_json(df: DataFrame, table: str, top_n: int = 10, sample: int = 10,

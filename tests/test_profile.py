@@ -65,3 +65,12 @@ def test_profile_json_values(spark):
     assert doc["samples"] == [{"id": 1, "t": "a"}, {"id": 2, "t": "b"}]
     assert spark.createDataFrame([(json.dumps(doc),), ("[1]",), ("{}",)], "p string").select(P.valid_profile("p").alias("v")) \
         .collect() == [(True,), (False,), (False,)]
+
+
+def test_changed_rows_broadcasts_no_side(spark):
+    from quaymind.operators.profile import changed_rows
+    old = spark.createDataFrame([(1, 11, "a"), (2, 21, "b")], "product_id bigint, variant_id bigint, handle string")
+    new = spark.createDataFrame([(1, 11, "a"), (2, 21, "c"), (3, 31, "d")], "product_id bigint, variant_id bigint, handle string")
+    out = changed_rows(old, new, cols=["product_id", "variant_id", "handle"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["product_id"] for r in out.collect()) == [2, 3]
