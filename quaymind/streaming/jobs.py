@@ -170,54 +170,65 @@ class _Ordered(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _read(self) -> tuple[int, str, list, list[int]]:
-        if not self.at.exists():
-            return self.first, "", [], []
-        n, query, shown, missing = self.at.get()
-        return int(n), query or "", list(shown or []), [int(x) for x in missing or []]
-
-    def _answer(self, conv, upto: int, late: list[_Turn], missing: list[int]) -> pd.DataFrame:
-        """Late turns, then the held turns from the next one on: without a gap, or past any gap for turns up to ``upto``."""
-        at, query, shown, _ = self._read()
+    def _read(self) -> tuple[int, str, list, list[int], dict[int, tuple[_Turn, int]]]:
+        """The next turn, the carried text, what was shown, the gaps, and the waiting turns with their times."""
+        kept = self.at.get()
+        if kept is None:
+            return self.first, "", [], [], {}
+        n, query, shown, missing = kept
+        held = {int(k[0]): (_Turn(int(k[0]), *[_plain(x) for x in v][:-1]), int(v[-1])) for k, v in self.held.iterator()}
+        return int(n), query or "", list(shown or []), [int(x) for x in missing or []], held
+
+    def _answer(self, conv, state, upto: int, late: list[_Turn], new: set[int]) -> pd.DataFrame:
+        """Late turns, then the waiting turns from the next one on: without a gap, or past any gap for turns up to ``upto``.
+
+        Every call to the state store is a message to the JVM: a turn that is answered at once never goes there."""
+        at, query, shown, missing, waiting = state
         rows = [(conv, t.turn, _next_query(query, t), _preferred(t, shown), True) for t in late]
-        for n in sorted(int(k[0]) for k in self.held.keys()):
+        for n in sorted(waiting):
             if n > max(at, upto):
                 break
             if n > at:
                 missing = [*missing, at, n]
-            t = _Turn(n, *[_plain(v) for v in self.held.getValue((n,))][:-1])
-            self.held.removeKey((n,))
+            t, _ = waiting.pop(n)
+            if n not in new:
+                self.held.removeKey((n,))
             query = _next_query(query, t)
             rows.append((conv, n, query, _preferred(t, shown), False))
             at, shown = n + 1, shown if t.handles is None else t.handles
+        for n in sorted(new & waiting.keys()):
+            t, event_ms = waiting[n]
+            self.held.updateValue((n,), (*t[1:], event_ms))
+            self.handle.registerTimer(event_ms)
         self.at.update((at, query or None, shown or None, missing or None))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in ORDERED_OUT.split(", ")])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, _, _, missing = self._read()
+        state = self._read()
+        at, _, _, missing, waiting = state
         late: dict[int, _Turn] = {}
-        came = False
+        new: set[int] = set()
         for batch in rows:
             for r in batch.itertuples(index=False):
                 t = _Turn(*(_plain(getattr(r, c)) for c in _Turn._fields))
                 gap = next((i for i in range(0, len(missing), 2) if missing[i] <= t.turn < missing[i + 1]), None)
-                if t.turn >= at and not self.held.containsKey((t.turn,)):
-                    self.held.updateValue((t.turn,), (*t[1:], int(r.event_ms)))
-                    self.handle.registerTimer(int(r.event_ms))
-                    came = True
+                if t.turn >= at and t.turn not in waiting:
+                    waiting[t.turn] = (t, int(r.event_ms))
+                    new.add(t.turn)
                 elif t.turn < at and gap is not None:
                     # it came after all: what is still missing lies around it
                     sides = ((missing[gap], t.turn), (t.turn + 1, missing[gap + 1]))
                     missing[gap:gap + 2] = [x for side in sides if side[0] < side[1] for x in side]
                     late[t.turn] = t
-        if came or late:
-            yield self._answer(key[0], at, [late[n] for n in sorted(late)], missing)
+        if new or late:
+            yield self._answer(key[0], state, at, [late[n] for n in sorted(late)], new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = expiredTimerInfo.getExpiryTimeInMs()
-        over = [int(k[0]) for k, v in self.held.iterator() if v[-1] <= passed]
+        state = self._read()
+        over = [n for n, (_, event_ms) in state[4].items() if event_ms <= passed]
         if over:
-            yield self._answer(key[0], max(over), [], self._read()[3])
+            yield self._answer(key[0], state, max(over), [], set())
 
 
 def use_keyed_state(spark: SparkSession) -> None:

@@ -113,3 +113,32 @@ def test_the_stream_asks_once_and_labels_every_message(spark, tmp_path):
     run()
     assert {(r["conv_id"], r["turn"]): (r["match"], r["answer"]) for r in spark.read.parquet(sink).collect()} == got
     assert spark.read.parquet(sink).count() == 6 and len(os.listdir(seen)) == len(calls)
+
+
+def test_turns_answered_at_once_stay_out_of_the_state():
+    """Only a turn that has to wait is written to the state store, with its timer."""
+    import pandas as pd
+    from quaymind.streaming.jobs import _Ordered
+    wrote, timers = [], []
+
+    class State:
+        def get(self):
+            return None
+
+        def update(self, v):
+            self.v = v
+
+    class Held:
+        def iterator(self):
+            return iter(())
+
+        def updateValue(self, k, v):
+            wrote.append(k)
+
+    p = _Ordered(0)
+    p.at, p.held = State(), Held()
+    p.handle = type("H", (), {"registerTimer": lambda self, t: timers.append(t)})()
+    rows = pd.DataFrame({"turn": [1, 0, 3], "search_query": ["b", "a", "d"], "recommended_model": [None] * 3,
+                         "is_refinement": [False] * 3, "handles": [None] * 3, "event_ms": [10, 0, 30]})
+    out = pd.concat(p.handleInputRows((7,), iter([rows]), None))
+    assert list(out["turn"]) == [0, 1] and wrote == [(3,)] and timers == [30] and p.at.v[0] == 2
