@@ -113,3 +113,11 @@ def test_stock_prompt_takes_the_first_schema_given(spark):
     assert "given" not in profile[1] and profile[2].rstrip().endswith("Request:")
     assert "Table:\ngiven" in prompts(None, given="given", default_ddl="ddl")[1]
     assert "Table:\nddl" in prompts("", default_ddl="ddl")[1]
+
+
+def test_a_catalog_of_one_file_is_encoded_by_all_cores(spark, sf, monkeypatch):
+    from quaymind.plans import q_models
+    asked = []
+    monkeypatch.setattr(q_models, "encode_texts", lambda df, *a, **k: asked.append(df.rdd.getNumPartitions()) or encode_texts(df, *a, **k))
+    q_models.v4_messages(spark, sf)
+    assert asked and asked[0] >= spark.sparkContext.defaultParallelism

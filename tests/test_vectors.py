@@ -126,3 +126,19 @@ def test_many_queries_leave_no_candidates_and_do_not_pass_the_driver(spark, monk
     assert "Window" not in head and "Broadcast" not in plan and plan.count("MapInArrow") == 1
     got = sorted(tuple(r) for r in found.collect())
     assert [g[:4] for g in got] == [e[:4] for e in brute(q, c, 7)]
+
+
+def test_encoder_matches_token_by_token_counts():
+    import pandas as pd
+    import xxhash
+    from quaymind.operators.vectors import hash_encoder
+    texts = ["Almond blue, almond BLUE", "", None, "x"]
+    got = hash_encoder(16)(pd.Series(texts))
+    for t, v in zip(texts, got):
+        toks = (t or "").lower().replace(",", "").split()
+        want = np.zeros(16)
+        for tok in toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])]:
+            h = xxhash.xxh64_intdigest(tok)
+            want[h % 16] += 1 if (h >> 32) & 1 else -1
+        n = np.linalg.norm(want)
+        assert np.allclose(v, want / n if n else want) and v.dtype == np.float32
