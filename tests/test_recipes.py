@@ -121,3 +121,28 @@ def test_a_catalog_of_one_file_is_encoded_by_all_cores(spark, sf, monkeypatch):
     monkeypatch.setattr(q_models, "encode_texts", lambda df, *a, **k: asked.append(df.rdd.getNumPartitions()) or encode_texts(df, *a, **k))
     q_models.v4_messages(spark, sf)
     assert asked and asked[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_intro_finds_its_rows_once(spark):
+    """Prompts and narrowed rows both read the search's rows: it isn't run for each."""
+    class Intro:
+        def generate(self, prompt, model):
+            return "Take the blue mug" if "User: hi\nBot: hello" in prompt else "none of them"
+
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def searched(handle):
+        runs.add(1)
+        return handle
+
+    cols = ["color", "spec", "condition", "price"]
+    rows = spark.createDataFrame([(1, 1, "blue-mug", 7), (1, 2, "red-cup", 7), (2, 1, "blue-mug", 8), (2, 2, "red-cup", 8)],
+                                 "query_id bigint, position bigint, h string, conv_id bigint")
+    rows = rows.select("query_id", "position", searched("h").alias("handle"), "conv_id", F.lit("mugs").alias("query"),
+                       *[F.lit("x").alias(c) for c in cols])
+    pairs = spark.createDataFrame([(7, 0, "hi", "hello")], "conv_id bigint, turn bigint, user_text string, bot_text string")
+    out = RC.recommendation_intro(rows, pairs, Intro, model="m").select("query_id", "handle", "reply").collect()
+    assert sorted(map(tuple, out)) == [(1, "blue-mug", "Take the blue mug"), (2, "blue-mug", "none of them"),
+                                       (2, "red-cup", "none of them")]
+    assert runs.value == 4
