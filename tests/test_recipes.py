@@ -123,6 +123,14 @@ def test_a_catalog_of_one_file_is_encoded_by_all_cores(spark, sf, monkeypatch):
     assert asked and asked[0] >= spark.sparkContext.defaultParallelism
 
 
+def test_messages_of_one_file_are_planned_by_all_cores(spark, sf, monkeypatch):
+    from quaymind.plans import q_models
+    asked = []
+    monkeypatch.setattr(q_models.RC, "recommend_messages", lambda messages, *a, **k: asked.append(messages.rdd.getNumPartitions()))
+    q_models.v4_messages(spark, sf)
+    assert asked and asked[0] >= spark.sparkContext.defaultParallelism
+
+
 def test_intro_finds_its_rows_once(spark):
     """Prompts and narrowed rows both read the search's rows: it isn't run for each."""
     class Intro:

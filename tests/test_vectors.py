@@ -142,3 +142,41 @@ def test_encoder_matches_token_by_token_counts():
             want[h % 16] += 1 if (h >> 32) & 1 else -1
         n = np.linalg.norm(want)
         assert np.allclose(v, want / n if n else want) and v.dtype == np.float32
+
+
+def test_a_large_query_set_shuffles_the_corpus_a_few_times_only(spark):
+    """The corpus goes once to every block: 70,000 queries are no more blocks than there are cores."""
+    rng = np.random.default_rng(31)
+    c = [(i, 1, rng.integers(-9, 10, 2).astype(np.float32)) for i in range(6)]
+    qdf = spark.range(70_000).selectExpr("id AS query_id", "array(CAST(id % 13 - 6 AS FLOAT), CAST(id % 7 - 3 AS FLOAT)) AS embedding")
+    _, cdf = frames(spark, [], c)
+    found = vector_topk(qdf, cdf, 1, broadcast_bytes=0)
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    q = [(i, np.array([i % 13 - 6, i % 7 - 3], np.float32)) for i in range(70_000)]
+    assert [tuple(r) for r in found.orderBy("query_id").collect()] == brute(q, c, 1)
+
+
+def test_answers_leave_a_tile_at_a_time_and_repeated_queries_are_ranked_together(spark, monkeypatch):
+    """Ranks are right where the rows of one query id lie in several tiles; a batch holds no more than a tile's answers."""
+    import pyarrow as pa
+    import quaymind.operators.vectors as VX
+    monkeypatch.setattr(VX, "QUERY_TILE", 4)
+    monkeypatch.setattr(VX, "CORPUS_BATCH_ROWS", 16)
+    rng = np.random.default_rng(37)
+    c = [(i, i % 3, rng.integers(-4, 5, 6).astype(np.float32)) for i in range(120)]
+    ids = np.array([5, 1, 5, 2, 5, 5, 9, 5, 5, 5, 3, 5, 5, 9, 1, 7])
+    q = [(int(i), rng.integers(-4, 5, 6).astype(np.float32)) for i in ids]
+    k = 5
+    schema = pa.schema([(n, pa.int64()) for n in ("query_id", "rank", "a", "b")] + [("score", pa.float64())])
+    cell = pa.table({"_side": [0] * len(q) + [1] * len(c), "_k0": [i for i, _ in q] + [x[0] for x in c],
+                     "_k1": [0] * len(q) + [x[1] for x in c],
+                     "_v": pa.array([v.tolist() for _, v in q] + [x[2].tolist() for x in c], pa.list_(pa.float32()))})
+    out = list(VX._arrow_cell_fn(k, 6, 2, True, schema)(iter(cell.to_batches(max_chunksize=10))))
+    assert max(b.num_rows for b in out) <= 4 * k
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    want = []
+    for i in sorted(set(ids.tolist())):
+        found = [r for j, v in q if j == i for r in brute([(i, v)], c, k)]
+        found.sort(key=lambda r: (-r[4], r[2], r[3]))
+        want += [(i, n + 1, *r[2:]) for n, r in enumerate(found[:k])]
+    assert sorted(got) == want
